@@ -1,8 +1,8 @@
 """Text normalisation as JVM-side column expressions.
 
-White space means Unicode white space plus U+001C-1F throughout.  Lines end at
-``\\n`` only, so no pattern below uses ``^`` or ``$``: in Java these would also
-react to ``\\r`` and other terminators.
+White space means Unicode white space (flag ``U``) plus U+001C-1F throughout.
+Lines end at ``\\n`` only, hence flag ``d`` wherever ``^`` is used: without it Java
+would also react to ``\\r`` and other terminators.
 """
 
 from __future__ import annotations
@@ -13,13 +13,10 @@ from pyspark.sql import functions as F
 from . import wording as w
 
 _WS = r"[\s\x1c-\x1f]"
-_NOT_WS = r"[^\s\x1c-\x1f]"
-# white space that stays on its line
-_WS_IN_LINE = r"[\s\x1c-\x1f&&[^\n]]"
-# Position at the start of a line.  The second form ends on the line break after
-# visible text, so a run of blank lines is walked once, not once per line; the
-# third is a line start right behind the previous match.
-_LINE_START = rf"(\A|{_NOT_WS}{_WS_IN_LINE}*+\n|\G(?<=\n))"
+_BLANK = r"[\s\x1c-\x1f&&[^\n]]"
+# Start of a line.  A run of blank lines is only entered at its first line (or right
+# behind the previous match), so it is not walked again from each of its lines.
+_LINE_START = rf"^(?:\G|(?<!\n{_BLANK}{{0,40}}\n))"
 
 
 def fill(template: str, **values: Column) -> Column:
@@ -62,7 +59,7 @@ def normalize_headers(text: Column) -> Column:
     hash can serve as the second run: ``## X`` becomes ``# X``.  White space after
     the hashes, line breaks included, becomes one space.
     """
-    return F.regexp_replace(text, rf"(?Ud)(?<![^\n])(#{{1,6}}){_WS}*#+{_WS}*", "$1 ")
+    return F.regexp_replace(text, rf"(?Umd)^(#{{1,6}}){_WS}*#+{_WS}*", "$1 ")
 
 
 def normalize_lists(text: Column) -> Column:
@@ -71,8 +68,8 @@ def normalize_lists(text: Column) -> Column:
     Blank lines in front of the bullet are swallowed with it.
     """
     for signs in (w.BULLETS, w.STAR):
-        pattern = rf"(?Ud){_LINE_START}{_WS}*+[{signs}]{_WS}+"
-        text = F.regexp_replace(text, pattern, "$1- ")
+        pattern = rf"(?Umd){_LINE_START}{_WS}*+[{signs}]{_WS}+"
+        text = F.regexp_replace(text, pattern, "- ")
     return text
 
 
@@ -81,7 +78,7 @@ def collapse_spaces(text: Column) -> Column:
 
     One pass: a table line is matched whole and put back as it is.
     """
-    return F.regexp_replace(text, r"((?<![^\n])\|[^\n]*+| (?= )) *+", "$1")
+    return F.regexp_replace(text, r"(?md)(^\|[^\n]*+| (?= )) *+", "$1")
 
 
 def limit_blank_lines(text: Column) -> Column:

@@ -27,8 +27,7 @@ ORDER = ["page_no", "section", "k1", "k2", "k3", "k4"]
 SCHEMA = ["doc_id", *ORDER, "md", "same_block"]
 
 
-def as_blocks(
-    df: DataFrame,
+def block(
     section: int,
     md: Column,
     k1: Column | None = None,
@@ -36,23 +35,37 @@ def as_blocks(
     k3: Column | None = None,
     k4: Column | None = None,
     same_block: Column | None = None,
-) -> DataFrame:
-    def key(column: Column | None, kind: str) -> Column:
-        return F.lit(0).cast(kind) if column is None else column.cast(kind)
+    route: str | None = None,
+) -> Column:
+    """One block of a row as a struct; a null ``md`` means there is none."""
 
-    return df.select(
-        "doc_id",
-        F.col("page_no").cast("int").alias("page_no"),
+    def key(column: Column | None, kind: str, name: str) -> Column:
+        return (F.lit(0) if column is None else column).cast(kind).alias(name)
+
+    return F.struct(
+        *([] if route is None else [F.lit(route).alias("route")]),
         F.lit(section).alias("section"),
-        key(k1, "double").alias("k1"),
-        key(k2, "double").alias("k2"),
-        key(k3, "bigint").alias("k3"),
-        key(k4, "bigint").alias("k4"),
+        key(k1, "double", "k1"),
+        key(k2, "double", "k2"),
+        key(k3, "bigint", "k3"),
+        key(k4, "bigint", "k4"),
         md.alias("md"),
         (F.lit(False) if same_block is None else same_block).alias("same_block"),
     )
 
 
+def emit(df: DataFrame, *blocks: Column) -> DataFrame:
+    """The blocks of every row, in one pass over ``df``."""
+    rows = df.select(
+        "doc_id", F.col("page_no").cast("int").alias("page_no"), F.inline(F.array(*blocks))
+    )
+    return rows.where(F.col("md").isNotNull())
+
+
+def as_blocks(df: DataFrame, section: int, md: Column, **keys: Column) -> DataFrame:
+    return emit(df, block(section, md, **keys))
+
+
 def union(*frames: DataFrame | None) -> DataFrame:
     return reduce(DataFrame.unionByName, [frame for frame in frames if frame is not None])
 
@@ -65,14 +78,14 @@ def shown_number() -> Column:
 # --- headings ---------------------------------------------------------------------
 
 
-def headings(pages: DataFrame, template: str) -> DataFrame:
-    return as_blocks(pages, HEADING, t.fill(template, n=shown_number()))
+def heading(template: str, route: str | None = None) -> Column:
+    return block(HEADING, t.fill(template, n=shown_number()), route=route)
 
 
 def page_sections(pages: DataFrame, content: DataFrame, template: str) -> DataFrame:
     """A heading for every page that is listed or has content; empty pages keep theirs."""
     every = pages.select("doc_id", "page_no").union(content.select("doc_id", "page_no"))
-    return headings(every.distinct(), template)
+    return emit(every.distinct(), heading(template))
 
 
 # --- text PDFs --------------------------------------------------------------------
@@ -81,7 +94,12 @@ def page_sections(pages: DataFrame, content: DataFrame, template: str) -> DataFr
 def text_block_rows(blocks: DataFrame) -> DataFrame:
     kept = text_blocks(blocks)
     return as_blocks(
-        kept, CONTENT, F.col("text"), row_band(F.col("y0")), F.col("x0"), F.col("block_no")
+        kept,
+        CONTENT,
+        F.col("text"),
+        k1=row_band(F.col("y0")),
+        k2=F.col("x0"),
+        k3=F.col("block_no"),
     )
 
 
@@ -110,10 +128,14 @@ def figure_links(named_images: DataFrame) -> DataFrame:
     )
 
 
-def partial_error_warnings(doc_pages: DataFrame) -> DataFrame:
+def partial_error() -> Column:
     """Text blocks found before the failure stay; the warning follows them."""
-    failed = doc_pages.where(F.col("block_error"))
-    return as_blocks(failed, WARNING, t.fill(w.PAGE_PARTIAL_ERROR, n=shown_number()))
+    return F.when(F.col("block_error"), t.fill(w.PAGE_PARTIAL_ERROR, n=shown_number()))
+
+
+def text_page(route: str | None = None) -> list[Column]:
+    """What a page of a text PDF has besides its blocks: heading and, maybe, a warning."""
+    return [heading(w.PAGE_HEADING, route), block(WARNING, partial_error(), route=route)]
 
 
 def pdf_page_blocks(
@@ -124,10 +146,9 @@ def pdf_page_blocks(
 ) -> DataFrame:
     """Per page: heading, text blocks in reading order, tables, then images."""
     return union(
-        headings(doc_pages, w.PAGE_HEADING),
+        emit(doc_pages, *text_page()),
         text_block_rows(blocks),
         tables,
-        partial_error_warnings(doc_pages),
         None if images is None else figure_links(images),
     )
 
@@ -135,17 +156,26 @@ def pdf_page_blocks(
 # --- scanned PDFs -----------------------------------------------------------------
 
 
-def scanned_page_md() -> Column:
-    """OCR text, or the warning that fits: not rasterised, OCR failed, OCR empty."""
+def is_empty(text: Column) -> Column:
+    return t.is_blank(F.coalesce(text, F.lit("")))
+
+
+def scanned_page_warning() -> Column:
+    """The warning that stands for the text: not rasterised, OCR failed, or OCR empty."""
     page = shown_number()
     return (
         F.when(~F.col("rasterized"), t.fill(w.PAGE_NOT_RASTERIZED, n=page))
         .when(F.col("ocr_error").isNotNull(), t.fill(w.PAGE_OCR_FAILED, n=page))
-        .when(t.is_blank(F.coalesce("text", F.lit(""))), t.fill(w.PAGE_OCR_EMPTY, n=page))
-        .otherwise(F.col("text"))
+        .when(is_empty(F.col("text")), t.fill(w.PAGE_OCR_EMPTY, n=page))
     )
 
 
+def scanned_page(route: str | None = None) -> list[Column]:
+    """Heading, then OCR text or its warning."""
+    content = F.coalesce(scanned_page_warning(), F.col("text"))
+    return [heading(w.PAGE_HEADING, route), block(CONTENT, content, route=route)]
+
+
 def page_images(doc_pages: DataFrame) -> DataFrame:
     """Image references of scanned pages: one for each page that went through OCR."""
     read = doc_pages.where(F.col("rasterized") & F.col("ocr_error").isNull())
@@ -167,24 +197,15 @@ def page_links(named_images: DataFrame) -> DataFrame:
 def scanned_page_blocks(doc_pages: DataFrame, images: DataFrame | None = None) -> DataFrame:
     """Per page: heading, OCR text or a warning, then the page image."""
     return union(
-        headings(doc_pages, w.PAGE_HEADING),
-        as_blocks(doc_pages, CONTENT, scanned_page_md()),
-        None if images is None else page_links(images),
+        emit(doc_pages, *scanned_page()), None if images is None else page_links(images)
     )
 
 
 def page_warnings(doc_pages: DataFrame) -> DataFrame:
     """Warning blocks of scanned pages and of pages with a partial block error."""
-    stand_in = as_blocks(
-        doc_pages.where(
-            ~F.col("rasterized")
-            | F.col("ocr_error").isNotNull()
-            | t.is_blank(F.coalesce("text", F.lit("")))
-        ),
-        CONTENT,
-        scanned_page_md(),
+    return emit(
+        doc_pages, block(CONTENT, scanned_page_warning()), block(WARNING, partial_error())
     )
-    return union(stand_in, partial_error_warnings(doc_pages))
 
 
 # --- slides -----------------------------------------------------------------------
@@ -247,10 +268,10 @@ def shape_dispatch(shapes: DataFrame) -> DataFrame:
         placed,
         CONTENT,
         F.col("md"),
-        F.coalesce("top", F.lit(0)),
-        F.coalesce("left", F.lit(0)),
-        F.col("shape_no"),
-        F.col("pos"),
+        k1=F.coalesce("top", F.lit(0)),
+        k2=F.coalesce("left", F.lit(0)),
+        k3=F.col("shape_no"),
+        k4=F.col("pos"),
     )
 
 
@@ -259,9 +280,8 @@ def notes_blocks(notes: DataFrame) -> DataFrame:
     return as_blocks(stripped, NOTES, t.fill(w.NOTES_BLOCK, text=F.col("text")))
 
 
-def slide_warnings(slides: DataFrame) -> DataFrame:
-    failed = slides.where(F.col("error").isNotNull())
-    return as_blocks(failed, WARNING, t.fill(w.SLIDE_FAILED, n=shown_number()))
+def slide_failed() -> Column:
+    return F.when(F.col("error").isNotNull(), t.fill(w.SLIDE_FAILED, n=shown_number()))
 
 
 def slide_blocks(slides: DataFrame, shapes: DataFrame, notes: DataFrame) -> DataFrame:
@@ -270,28 +290,20 @@ def slide_blocks(slides: DataFrame, shapes: DataFrame, notes: DataFrame) -> Data
     ``shapes`` needs ``image_name``; null where no image was saved.
     """
     return union(
-        headings(slides, w.SLIDE_HEADING),
+        emit(slides, heading(w.SLIDE_HEADING), block(WARNING, slide_failed())),
         shape_dispatch(shapes),
         notes_blocks(notes),
-        slide_warnings(slides),
     )
 
 
 # --- image files ------------------------------------------------------------------
 
 
-def image_doc_md() -> Column:
-    return (
-        F.when(
-            F.col("ocr_error").isNotNull(),
-            t.fill(w.IMAGE_OCR_FAILED, error=F.coalesce("ocr_error", F.lit(""))),
-        )
-        .when(
-            t.is_blank(F.coalesce("text", F.lit(""))),
-            t.fill(w.IMAGE_OCR_EMPTY, name=F.col("file")),
-        )
-        .otherwise(F.col("text"))
-    )
+def image_warning() -> Column:
+    failed = F.col("ocr_error").isNotNull()
+    error = t.fill(w.IMAGE_OCR_FAILED, error=F.coalesce("ocr_error", F.lit("")))
+    empty = t.fill(w.IMAGE_OCR_EMPTY, name=F.col("file"))
+    return F.when(failed, error).when(is_empty(F.col("text")), empty)
 
 
 def image_doc_blocks(image_pages: DataFrame, with_images: bool = False) -> DataFrame:
@@ -299,18 +311,18 @@ def image_doc_blocks(image_pages: DataFrame, with_images: bool = False) -> DataF
 
     ``image_pages`` has one row per image file that could be opened, with ``file``.
     """
-    content = as_blocks(image_pages, CONTENT, image_doc_md())
-    if not with_images:
-        return content
-    name = n.image_name(n.sanitize_name(n.stem(F.col("file"))), F.lit(1))
-    link = n.image_link(n.stem(F.col("file")), name)
-    saved = image_pages.where(F.col("image_saved"))
-    return union(content, as_blocks(saved, IMAGES, F.concat(F.lit("\n"), link, F.lit("\n"))))
+    blocks = [block(CONTENT, F.coalesce(image_warning(), F.col("text")))]
+    if with_images:
+        stem = n.stem(F.col("file"))
+        link = n.image_link(stem, n.image_name(n.sanitize_name(stem), F.lit(1)))
+        shown = F.when(F.col("image_saved"), F.concat(F.lit("\n"), link, F.lit("\n")))
+        blocks.append(block(IMAGES, shown))
+    return emit(image_pages, *blocks)
 
 
 def doc_warnings(image_pages: DataFrame, slides: DataFrame) -> DataFrame:
     """Warnings of image files (OCR failed or empty) and of failed slides."""
-    failed = image_pages.where(
-        F.col("ocr_error").isNotNull() | t.is_blank(F.coalesce("text", F.lit("")))
+    return union(
+        as_blocks(image_pages, CONTENT, image_warning()),
+        as_blocks(slides, WARNING, slide_failed()),
     )
-    return union(as_blocks(failed, CONTENT, image_doc_md()), slide_warnings(slides))

@@ -18,7 +18,13 @@ from ..operators import report as r
 from ..operators.gates import drop_blank_blocks, page_facts, quick_sufficient
 from ..operators.order import number_figures, number_images, slide_images, with_image_names
 from ..operators.parts import PART_CHARS, clean_parts, clean_whole
-from ..operators.skew import LargeGroups, find_large_groups, join_per_group, number_rows
+from ..operators.skew import (
+    BROADCAST_GROUPS,
+    LargeGroups,
+    find_large_groups,
+    join_per_group,
+    number_rows,
+)
 from ..operators.tables import table_lines, tables_md
 from ..session import run_folder
 
@@ -149,12 +155,15 @@ def document_blocks(
 
     ``in_parts`` is for large documents: their tables stay one row per line.
     """
-    pdf_images = page_names = None
+    pdf_figures = page_links = quick_images = None
     shapes = tables.shapes.withColumn("image_name", F.lit(None).cast("string"))
-    quick_images = None
     if options.extract_images:
-        pdf_images = _named(number_images(tables.image_refs, large=large), docs, large)
-        page_names = _named(number_images(b.page_images(tables.doc_pages), large=large), docs, large)
+        images = _named(number_images(tables.image_refs, large=large), docs, large)
+        pdf_figures = b.figure_links(images)
+        scans = number_images(b.page_images(tables.doc_pages), large=large)
+        page_links = b.page_links(_named(scans, docs, large)).withColumn(
+            "route", F.lit(d.SCANNED_PDF)
+        )
         shapes = _shapes_with_names(tables.shapes, docs, large)
         quick_images = d.image_section_blocks(_quick_figures(tables, docs, large))
     if in_parts:
@@ -165,12 +174,14 @@ def document_blocks(
     quick = tables.quick_text.where(quick_sufficient(F.col("text"))).withColumn("page_no", F.lit(0))
     tagged = {
         d.QUICK: b.union(b.as_blocks(quick, b.CONTENT, F.col("text")), quick_images),
-        d.TEXT_PDF: b.pdf_page_blocks(tables.doc_pages, tables.blocks, page_tables, pdf_images),
-        d.SCANNED_PDF: b.scanned_page_blocks(tables.doc_pages, page_names),
+        d.TEXT_PDF: b.union(b.text_block_rows(tables.blocks), page_tables, pdf_figures),
         d.SLIDES: b.slide_blocks(tables.slides, shapes, tables.notes),
         d.IMAGE: _image_file_blocks(tables, docs, options, large),
     }
-    return b.union(*[rows.withColumn("route", F.lit(name)) for name, rows in tagged.items()])
+    # one pass over the pages serves both kinds of PDF
+    pages = b.emit(tables.doc_pages, *b.text_page(d.TEXT_PDF), *b.scanned_page(d.SCANNED_PDF))
+    rest = [rows.withColumn("route", F.lit(name)) for name, rows in tagged.items()]
+    return b.union(pages, page_links, *rest)
 
 
 def _quick_figures(tables: DocumentTables, docs: DataFrame, large: LargeGroups) -> DataFrame:
@@ -240,14 +251,18 @@ def document_bodies(
 ) -> DataFrame:
     """``doc_id, route, part_no, last_part, body`` of the documents that have any block.
 
-    Blocks are shuffled once, by document and route; the routes a document does
-    not take fall away in the same place.
+    Blocks are shuffled once, by document and route.  Rows of a route that their
+    document does not take are dropped before that if the list of documents is
+    small enough to be broadcast; if not, the later join to the documents drops
+    their bodies, which saves shuffling every block a second time.
     """
     keys, order = ["doc_id", "route"], b.ORDER
     wanted = docs.where(F.col("output").isNotNull()).select(*keys)
     none = replace(large, number=0)
     usual = document_blocks(tables.restricted(large.without), docs, options, none, in_parts=False)
-    usual = drop_blank_blocks(usual).join(wanted, keys, "left_semi")
+    usual = drop_blank_blocks(usual)
+    if docs.count() <= BROADCAST_GROUPS:
+        usual = usual.join(F.broadcast(wanted), keys, "left_semi")
     whole = clean_whole(usual, keys, order, "md")
     if not large:
         return whole

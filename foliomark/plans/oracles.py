@@ -157,10 +157,12 @@ CTES = {
         FROM lineitem""",
     "kept_blocks": f"""SELECT * REPLACE ({strip("text")} AS text) FROM blocks
         WHERE block_type = 0 AND {strip("text")} <> ''""",
-    "order_pages": f"""SELECT doc_id, page_no, {joined("text", "block_no", NL)} AS text,
+    "order_pages": """SELECT o_orderkey AS doc_id, page_no,
+        CASE WHEN o_orderstatus = 'P' THEN ' - '
+             ELSE 'Order ' || o_orderkey || ' of ' || o_orderpriority || ' ' END AS text,
         true AS rasterized, NULL::VARCHAR AS ocr_error,
-        page_no = 2 AND doc_id % 10 = 0 AS block_error, true AS image_saved
-        FROM blocks GROUP BY doc_id, page_no""",
+        page_no = 2 AND o_orderkey % 10 = 0 AS block_error, o_orderstatus <> 'F' AS image_saved
+        FROM orders, (SELECT unnest([0, 1, 2]) AS page_no)""",
     "table_rows": """SELECT floor(p_partkey / 40)::BIGINT AS doc_id, (p_partkey % 3)::INT AS page_no,
         (p_size % 10)::INT AS table_no,
         CASE WHEN p_type IN ('ECONOMY', 'STANDARD') THEN 1 ELSE 2 END AS extractor,
@@ -235,7 +237,7 @@ CTES = {
                     WHERE {kind_of("file")} IS NOT NULL))""",
     # --- the corpus: five kinds of files in one id space ------------------------------
     "c_files": """SELECT doc_id * 5 AS doc_id, path FROM files
-        UNION ALL SELECT DISTINCT l_orderkey * 5 + 1, 'orders/Order: ' || l_orderkey || '.pdf' FROM lineitem
+        UNION ALL SELECT DISTINCT o_orderkey * 5 + 1, 'orders/Order: ' || o_orderkey || '.pdf' FROM orders
         UNION ALL SELECT DISTINCT conv_id * 5 + 2, 'scans/Scan ' || conv_id || '.PDF' FROM conversations
         UNION ALL SELECT DISTINCT o_custkey * 5 + 3, 'decks/Deck ' || o_custkey || '.pptx' FROM orders
         UNION ALL SELECT DISTINCT user_id * 5 + 4, 'photos/Photo? ' || user_id || '.png' FROM events""",

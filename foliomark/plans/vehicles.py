@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.documents import join_ocr_lines
-from ..operators.skew import ordered_join
+from ..session import checkpointed
+from ..sources.corpus import spread
 from .convert import DocumentTables
 
 # Document ids in the corpus: 5 * id + place of its space in this list.
@@ -33,9 +34,12 @@ _SHAPE_PARAGRAPHS = """
 class Vehicles:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._tables[name]
 
     def files(self) -> DataFrame:
         return self.table("documents").selectExpr(
@@ -46,11 +50,11 @@ class Vehicles:
         )
 
     def quick_text(self) -> DataFrame:
-        return self.table("documents").select("doc_id", "text")
+        return spread(self.table("documents").select("doc_id", "text"))
 
     def dirty_text(self) -> DataFrame:
         """Whole texts behind a head that gives every cleaning pass something to do."""
-        return self.table("documents").selectExpr(
+        return spread(self.table("documents")).selectExpr(
             "doc_id",
             """concat(chr(1), '  \\n## ## Doc ', doc_id, chr(127), '\\n\\n\\n\\n  • ', lang,
                  '\\n\\n * x   y\\n| a   b |\\n### ', source, '\\n#\\n##\\n', text, ' \\n') as text""",
@@ -84,18 +88,21 @@ class Vehicles:
         )
 
     def order_pages(self) -> DataFrame:
-        """Pages of the orders; their embedded text is that of their blocks."""
-        texts = self.blocks().groupBy("doc_id", "page_no").agg(
-            ordered_join(["block_no"], F.col("text"), "\n").alias("text")
-        )
-        return texts.selectExpr(
+        """Three pages per order; those with status P have hardly any embedded text."""
+        return self.table("orders").selectExpr(
+            "o_orderkey as doc_id",
+            "explode(array(0, 1, 2)) as page_no",
+            """case when o_orderstatus = 'P' then ' - '
+                    else concat('Order ', o_orderkey, ' of ', o_orderpriority, ' ') end as text""",
+            "o_orderstatus <> 'F' as image_saved",
+        ).selectExpr(
             "doc_id",
             "page_no",
             "text",
             "true as rasterized",
             "cast(null as string) as ocr_error",
             "page_no = 2 and doc_id % 10 = 0 as block_error",
-            "true as image_saved",
+            "image_saved",
         )
 
     def table_rows(self) -> DataFrame:
@@ -202,7 +209,7 @@ class Vehicles:
         return DocumentTables(
             files=together(
                 documents=self.files(),
-                orders=named(self.table("lineitem"), "l_orderkey", "orders/Order: ", ".pdf"),
+                orders=named(self.table("orders"), "o_orderkey", "orders/Order: ", ".pdf"),
                 conversations=named(self.table("conversations"), "conv_id", "scans/Scan ", ".PDF"),
                 customers=named(self.table("orders"), "o_custkey", "decks/Deck ", ".pptx"),
                 users=named(self.table("events"), "user_id", "photos/Photo? ", ".png"),
@@ -211,7 +218,7 @@ class Vehicles:
             doc_pages=together(
                 orders=self.order_pages(),
                 conversations=self.doc_pages(),
-                users=self.image_pages(),
+                users=checkpointed(self.image_pages()),
             ),
             blocks=together(orders=self.blocks()),
             table_rows=together(orders=self.table_rows()),

@@ -57,6 +57,18 @@ def scan_one(spark: SparkSession, path: str) -> DataFrame:
     return _described(spark.read.format("binaryFile").load(path))
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """Deal a just-read table out to all cores if its files give fewer splits than that.
+
+    A corpus of any size has more splits than cores and is left as it is; a few
+    files with one row group each would keep most cores idle in text work.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    if table.rdd.getNumPartitions() >= cores:
+        return table
+    return table.repartition(cores)
+
+
 def distinct_sorted_paths(paths: DataFrame) -> DataFrame:
     """Each path once, ordered folder by folder."""
     return paths.select("path").distinct().orderBy(F.split("path", "/"))
