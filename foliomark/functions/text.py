@@ -40,7 +40,8 @@ def strip(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return strip(text) == ""
+    """True if ``strip`` would leave nothing; stops at the first visible character."""
+    return ~F.rlike(text, F.lit(r"(?U)[^\s\x1c-\x1f]"))
 
 
 def newline_count(text: Column) -> Column:

@@ -212,11 +212,10 @@ def page_warnings(doc_pages: DataFrame) -> DataFrame:
 
 
 def nonblank_paragraphs(paragraphs: Column) -> Column:
-    stripped = F.transform(
-        paragraphs,
+    return F.transform(
+        F.filter(paragraphs, lambda p: ~t.is_blank(p["text"])),
         lambda p: F.struct(p["level"].alias("level"), t.strip(p["text"]).alias("text")),
     )
-    return F.filter(stripped, lambda p: p["text"] != "")
 
 
 def is_title(name: Column) -> Column:
@@ -276,8 +275,8 @@ def shape_dispatch(shapes: DataFrame) -> DataFrame:
 
 
 def notes_blocks(notes: DataFrame) -> DataFrame:
-    stripped = notes.withColumn("text", t.strip(F.col("text"))).where(F.col("text") != "")
-    return as_blocks(stripped, NOTES, t.fill(w.NOTES_BLOCK, text=F.col("text")))
+    kept = notes.where(~t.is_blank(F.col("text")))
+    return as_blocks(kept, NOTES, t.fill(w.NOTES_BLOCK, text=t.strip(F.col("text"))))
 
 
 def slide_failed() -> Column:

@@ -44,8 +44,8 @@ def has_embedded_text(doc_pages: DataFrame) -> DataFrame:
 
 def text_blocks(blocks: DataFrame) -> DataFrame:
     """Text blocks (type 0), stripped, without blank ones."""
-    stripped = blocks.where(F.col("block_type") == 0).withColumn("text", t.strip(F.col("text")))
-    return stripped.where(F.col("text") != "")
+    kept = blocks.where((F.col("block_type") == 0) & ~t.is_blank(F.col("text")))
+    return kept.withColumn("text", t.strip(F.col("text")))
 
 
 def drop_blank_blocks(blocks: DataFrame, text: str = "md") -> DataFrame:

@@ -179,7 +179,7 @@ def _cut_rule(text: Column) -> tuple[Column, Column]:
     """
     kept = t.remove_control(text)
     last_line = F.substring_index(F.rtrim(kept, F.lit("\n")), "\n", -1)
-    return t.strip(kept) != "", F.rlike(last_line, F.lit(_SOLID))
+    return ~t.is_blank(kept), F.rlike(last_line, F.lit(_SOLID))
 
 
 def _assign_parts(
