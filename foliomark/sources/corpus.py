@@ -6,7 +6,8 @@ source.  File contents are read only if the ``content`` column is used.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names as n
@@ -33,23 +34,26 @@ def _described(files: DataFrame) -> DataFrame:
     )
 
 
+def _binary_files(spark: SparkSession) -> DataFrameReader:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+
+
 def scan_corpus(
     spark: SparkSession, root: str, recursive: bool = False, any_case: bool = False
 ) -> DataFrame:
-    """Supported files in a folder, or below it if ``recursive``."""
-    root = root.rstrip("/")
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", suffix_glob(any_case))
-        .option("recursiveFileLookup", str(recursive).lower())
-        .load(root)
-    )
-    listed = _described(files)
+    """Supported files in a folder, or also below it if ``recursive``."""
+    root, glob = root.rstrip("/"), suffix_glob(any_case)
+    below = _binary_files(spark).option("pathGlobFilter", glob)
     if recursive:
-        return listed
-    # sub-folders named like partitions (a=b) would be read as well
-    direct = F.concat(F.lit(root + "/"), F.col("file"))
-    return listed.where(F.endswith(F.col("path"), direct))
+        return _described(below.load(root))
+    # a glob in the path itself does not go down into sub-folders
+    try:
+        return _described(_binary_files(spark).load(f"{root}/{glob}"))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    # no such file; this fails in turn if there is no such folder
+    return _described(below.load(root)).where(F.lit(False))
 
 
 def scan_one(spark: SparkSession, path: str) -> DataFrame:
