@@ -12,7 +12,7 @@ from ..functions import text as t
 from ..functions import wording as w
 from .blocks import IMAGES, ORDER, as_blocks
 from .gates import drop_blank_blocks, ocr_confident_lines, quick_sufficient
-from .parts import PART_CHARS, clean_body, ordered_text
+from .parts import PART_CHARS, Texts, clean_body, ordered_text
 from .skew import LargeGroups, join_per_group
 
 QUICK, TEXT_PDF, SCANNED_PDF, SLIDES, IMAGE = "quick", "text_pdf", "scanned_pdf", "slides", "image"
@@ -107,11 +107,16 @@ def attach_image_section(
         group_rows,
         part_chars,
     )
-    section = links.select(
-        "doc_id", "part_no", t.fill(w.IMAGE_SECTION, links=F.col("_links")).alias("image_section")
+    links = links.with_last_part(["doc_id"])
+    before, _, after = w.IMAGE_SECTION.partition("{links}")
+    part_no = F.coalesce("part_no", F.lit(0).cast("bigint"))
+    section = F.concat(
+        F.when(part_no == 0, before).otherwise(""),
+        F.col("_links"),
+        F.when(F.coalesce("last_part", F.lit(True)), after).otherwise(""),
     )
-    return docs.join(section, "doc_id", "left").withColumn(
-        "part_no", F.coalesce("part_no", F.lit(0).cast("bigint"))
+    return links.left_join(docs, ["doc_id"]).select(
+        *docs.columns, part_no.alias("part_no"), section.alias("image_section")
     )
 
 
@@ -141,7 +146,7 @@ def join_ocr_lines(
         large,
         group_rows,
         part_chars,
-    )
+    ).union()
 
 
 def assemble_body(
@@ -151,7 +156,7 @@ def assemble_body(
     part_chars: int = PART_CHARS,
 ) -> DataFrame:
     """``doc_id, part_no, body``: non-blank blocks in order, a blank line between, not cleaned."""
-    parts = ordered_text(
+    return ordered_text(
         drop_blank_blocks(blocks),
         ["doc_id"],
         ORDER,
@@ -161,8 +166,7 @@ def assemble_body(
         large,
         group_rows,
         part_chars,
-    )
-    return parts
+    ).union()
 
 
 def document_bodies(
@@ -170,7 +174,7 @@ def document_bodies(
     large: LargeGroups | None = None,
     group_rows: int | None = None,
     part_chars: int = PART_CHARS,
-) -> DataFrame:
+) -> Texts:
     """``doc_id, part_no, last_part, body``: joined and cleaned."""
     return clean_body(
         drop_blank_blocks(blocks),
@@ -198,13 +202,13 @@ def header(generated_at: Column, languages: Column) -> Column:
 
 def format_document(
     docs: DataFrame,
-    bodies: DataFrame,
+    bodies: Texts,
     generated_at: Column,
     languages: Column,
     keys: Sequence[str] = ("doc_id",),
 ) -> DataFrame:
     """Add ``part_no, markdown`` to every document, also to those without any block."""
-    joined = docs.join(bodies, list(keys), "left")
+    joined = bodies.left_join(docs, keys)
     part_no = F.coalesce("part_no", F.lit(0).cast("bigint"))
     first, last = part_no == 0, F.coalesce("last_part", F.lit(True))
     markdown = F.concat(

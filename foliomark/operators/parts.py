@@ -8,6 +8,7 @@ text, and the parts joined with nothing between them are the whole text.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,42 @@ _MARKS = f"#{w.BULLETS}{w.STAR}"
 _SOLID = rf"(?U)[^\s\x1c-\x1f{_MARKS}]"
 
 
+class Texts(NamedTuple):
+    """Texts of groups: those in one piece, those in parts, and which groups the latter are."""
+
+    whole: DataFrame
+    parts: DataFrame | None
+    large: LargeGroups
+
+    def union(self) -> DataFrame:
+        return self.whole if self.parts is None else self.whole.unionByName(self.parts)
+
+    def with_last_part(self, keys: Sequence[str]) -> Texts:
+        """Mark the part that ends each text; one narrow row per large group is added."""
+        if self.parts is None:
+            return self._replace(whole=self.whole.withColumn("last_part", F.lit(True)))
+        ends = self.parts.groupBy(*keys).agg(F.max("part_no").alias("_end"))
+        marked = self.parts.join(self.large.bounded(ends), list(keys)).withColumn(
+            "last_part", F.col("part_no") == F.col("_end")
+        )
+        whole = self.whole.withColumn("last_part", F.lit(True))
+        return Texts(whole, marked.drop("_end"), self.large)
+
+    def left_join(self, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """Join one-row-per-group ``groups`` to their texts; groups without text stay.
+
+        The parts of a large group stay spread out: its one row comes to them.
+        """
+        usual = self.large.without(groups).join(self.whole, list(keys), "left")
+        if self.parts is None:
+            return usual
+        large_groups = self.large.only(groups)
+        cut = self.parts.join(self.large.bounded(large_groups), list(keys), "inner")
+        begun = self.parts.where(F.col("part_no") == 0).select(*keys)
+        bare = large_groups.join(begun, list(keys), "left_anti")
+        return usual.unionByName(cut).unionByName(bare, allowMissingColumns=True)
+
+
 def ordered_text(
     df: DataFrame,
     keys: Sequence[str],
@@ -41,37 +78,32 @@ def ordered_text(
     large: LargeGroups | None = None,
     group_rows: int | None = None,
     part_chars: int = PART_CHARS,
-) -> DataFrame:
-    """``keys, part_no, <name>``: each group's texts in order with ``separator`` between."""
+) -> Texts:
+    """``keys, part_no, <name>``: each group's texts in order with ``separator`` between.
+
+    A null text is left out; a group of nothing else has an empty text.
+    """
     large = find_large_groups(df, keys, group_rows) if large is None else large
-    usual = (
+    whole = (
         large.without(df)
         .groupBy(*keys)
         .agg(ordered_join(order, F.col(text), separator).alias(name))
         .select(*keys, F.lit(0).cast("bigint").alias("part_no"), name)
     )
     if not large:
-        return usual
+        return Texts(whole, None, large)
     texts = large.only(df).where(F.col(text).isNotNull())
     rows = _assign_parts(large, texts, keys, order, text, None, len(separator), part_chars, None)
+    lead = F.when(F.col("part_no") == 0, "").otherwise(separator)
     parts = (
         rows.groupBy(*keys, "part_no")
         .agg(ordered_join(order, F.col(text), separator).alias("_joined"))
-        .withColumn(
-            name,
-            F.when(F.col("part_no") == 0, F.col("_joined")).otherwise(
-                F.concat(F.lit(separator), F.col("_joined"))
-            ),
-        )
-        .select(*keys, "part_no", name)
+        .select(*keys, "part_no", F.concat(lead, F.col("_joined")).alias(name))
     )
-    # a group that has no text at all keeps its row, as it does above
-    every = large.keys_df.join(parts, list(keys), "left").select(
-        *keys,
-        F.coalesce("part_no", F.lit(0).cast("bigint")).alias("part_no"),
-        F.coalesce(name, F.lit("")).alias(name),
+    silent = large.keys_df.join(texts.select(*keys).distinct(), list(keys), "left_anti").select(
+        *keys, F.lit(0).cast("bigint").alias("part_no"), F.lit("").alias(name)
     )
-    return usual.unionByName(every)
+    return Texts(whole, parts.unionByName(silent), large)
 
 
 def clean_body(
@@ -83,7 +115,7 @@ def clean_body(
     large: LargeGroups | None = None,
     group_rows: int | None = None,
     part_chars: int = PART_CHARS,
-) -> DataFrame:
+) -> Texts:
     """``keys, part_no, last_part, <name>``: blocks joined by a blank line, then cleaned.
 
     If there is a boolean column ``same_block``, rows with true carry on the block
@@ -93,9 +125,9 @@ def clean_body(
     large = find_large_groups(blocks, keys, group_rows) if large is None else large
     whole = clean_whole(large.without(blocks), keys, order, text, name)
     if not large:
-        return whole
-    rows = large.only(blocks)
-    return whole.unionByName(clean_parts(large, rows, keys, order, text, name, part_chars))
+        return Texts(whole, None, large)
+    parts = clean_parts(large, large.only(blocks), keys, order, text, name, part_chars)
+    return Texts(whole, parts, large)
 
 
 def clean_whole(

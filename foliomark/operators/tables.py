@@ -72,7 +72,7 @@ def page_tables_md(
     parts = ordered_text(
         lines, TABLE, ["row_no"], "md", "\n", "md", group_rows=group_rows, part_chars=part_chars
     )
-    return usual.unionByName(parts)
+    return usual.unionByName(parts.union())
 
 
 def tables_md(table_rows: DataFrame) -> DataFrame:

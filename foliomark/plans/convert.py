@@ -17,7 +17,7 @@ from ..operators import documents as d
 from ..operators import report as r
 from ..operators.gates import drop_blank_blocks, page_facts, quick_sufficient
 from ..operators.order import number_figures, number_images, slide_images, with_image_names
-from ..operators.parts import PART_CHARS, clean_parts, clean_whole
+from ..operators.parts import PART_CHARS, Texts, clean_parts, clean_whole
 from ..operators.skew import (
     BROADCAST_GROUPS,
     LargeGroups,
@@ -248,7 +248,7 @@ def _stored(df: DataFrame, label: str) -> DataFrame:
 
 def document_bodies(
     tables: DocumentTables, docs: DataFrame, options: Options, large: LargeGroups
-) -> DataFrame:
+) -> Texts:
     """``doc_id, route, part_no, last_part, body`` of the documents that have any block.
 
     Blocks are shuffled once, by document and route.  Rows of a route that their
@@ -265,12 +265,12 @@ def document_bodies(
         usual = usual.join(F.broadcast(wanted), keys, "left_semi")
     whole = clean_whole(usual, keys, order, "md")
     if not large:
-        return whole
+        return Texts(whole, None, large)
     rows = document_blocks(tables.restricted(large.only), docs, options, large, in_parts=True)
     their_routes = large.bounded(large.only(wanted))
     rows = drop_blank_blocks(rows).join(their_routes, keys, "left_semi")
     parts = clean_parts(large, rows, keys, order, "md", part_chars=options.part_chars)
-    return whole.unionByName(parts)
+    return Texts(whole, parts, large)
 
 
 def convert(tables: DocumentTables, options: Options = Options()) -> Conversion:

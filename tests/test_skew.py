@@ -79,11 +79,13 @@ def test_ordered_text_in_parts(spark):
     rows = spark.range(1000).selectExpr(
         "id % 3 as doc_id", "id as line_no", "concat('line ', id, repeat('x', cast(id % 13 as int))) as text"
     )
-    usual, _ = whole_texts(ordered_text(rows, ["doc_id"], ["line_no"], "text", "\n"), "text")
+    usual, _ = whole_texts(
+        ordered_text(rows, ["doc_id"], ["line_no"], "text", "\n").union(), "text"
+    )
     parts = ordered_text(
         rows, ["doc_id"], ["line_no"], "text", "\n", group_rows=333, part_chars=1000
     )
-    joined, numbers = whole_texts(parts, "text")
+    joined, numbers = whole_texts(parts.union(), "text")
     assert joined == usual
     # 334 rows in document 0, 333 in the others
     assert numbers[0] > 3 and numbers[1] == 1
@@ -91,7 +93,7 @@ def test_ordered_text_in_parts(spark):
 
 def test_ordered_text_keeps_a_large_group_without_text(spark):
     rows = spark.range(50).selectExpr("1 as doc_id", "id as line_no", "cast(null as string) as text")
-    row = ordered_text(rows, ["doc_id"], ["line_no"], "text", "\n", group_rows=10).first()
+    row = ordered_text(rows, ["doc_id"], ["line_no"], "text", "\n", group_rows=10).union().first()
     assert (row["part_no"], row["text"]) == (0, "")
 
 
@@ -123,8 +125,8 @@ def test_cleaned_parts_join_to_the_cleaned_whole(spark, documents, part_chars):
     df = spark.createDataFrame(rows, "doc_id long, k long, md string")
     df = d.drop_blank_blocks(df)
     args = (df, ["doc_id"], ["k"], "md")
-    assert whole_texts(clean_body(*args), "body")[0] == wanted
-    parts = clean_body(*args, group_rows=1, part_chars=part_chars)
+    assert whole_texts(clean_body(*args).union(), "body")[0] == wanted
+    parts = clean_body(*args, group_rows=1, part_chars=part_chars).union()
     assert whole_texts(parts, "body")[0] == wanted
     ends = parts.groupBy("doc_id").agg(
         F.count_if("last_part").alias("n"), F.max_by("last_part", "part_no").alias("at_end")
@@ -135,7 +137,7 @@ def test_cleaned_parts_join_to_the_cleaned_whole(spark, documents, part_chars):
 def test_a_long_document_really_is_cut(spark):
     texts = [random.Random(i).choice(["• x", "para", "\n## Página 2\n"]) + f" {i}" for i in range(2000)]
     df = spark.createDataFrame([(1, i, x) for i, x in enumerate(texts)], "doc_id long, k long, md string")
-    parts = clean_body(df, ["doc_id"], ["k"], "md", group_rows=100, part_chars=1000)
+    parts = clean_body(df, ["doc_id"], ["k"], "md", group_rows=100, part_chars=1000).union()
     joined, numbers = whole_texts(parts, "body")
     assert joined[1] == plain_document(texts)
     assert numbers[1] >= 15
@@ -164,3 +166,16 @@ def test_tables_of_a_large_page(spark):
     assert set(usual) == {(1, 0, 1), (1, 1, 1), (1, 3, 1), (3, 0, 1)}
     assert usual[(3, 0, 1)] == "| only | header |\n| --- | --- |"
     assert texts(group_rows=10, part_chars=50) == usual
+
+
+def test_image_section_of_a_large_document(spark):
+    figures = spark.range(500).selectExpr(
+        "case when id < 300 then 1 else 2 end as doc_id",
+        "case when id < 300 then id + 1 else id - 299 end as figure",
+        "concat('i_', id, '.png') as image_name",
+    )
+    docs = spark.createDataFrame([(1,), (2,), (3,)], "doc_id long")
+    usual = d.attach_image_section(docs, figures).na.fill("")
+    cut = d.attach_image_section(docs, figures, group_rows=250, part_chars=500).na.fill("")
+    assert whole_texts(cut, "image_section")[0] == whole_texts(usual, "image_section")[0]
+    assert cut.count() > 3
