@@ -11,7 +11,7 @@ from ..functions import names as n
 from ..functions import text as t
 from ..functions import wording as w
 from .blocks import IMAGES, ORDER, as_blocks
-from .gates import drop_blank_blocks, ocr_confident_lines, quick_sufficient
+from .gates import drop_blank_blocks, quick_sufficient
 from .parts import PART_CHARS, Texts, clean_body, ordered_text
 from .skew import LargeGroups, join_per_group
 

@@ -16,7 +16,7 @@ from ..operators import blocks as b
 from ..operators import documents as d
 from ..operators import report as r
 from ..operators.gates import drop_blank_blocks, page_facts, quick_sufficient
-from ..operators.order import number_figures, number_images, slide_images, with_image_names
+from ..operators.order import number_figures, number_images, with_image_names
 from ..operators.parts import PART_CHARS, Texts, clean_parts, clean_whole
 from ..operators.skew import (
     BROADCAST_GROUPS,

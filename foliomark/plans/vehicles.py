@@ -121,7 +121,7 @@ class Vehicles:
 
     def shapes(self) -> DataFrame:
         """Slide shapes: one per order, a deck per customer, a slide per month."""
-        return self.table("orders").selectExpr(
+        return spread(self.table("orders")).selectExpr(
             "o_custkey as doc_id",
             "month(o_orderdate) - 1 as page_no",
             "o_orderkey as shape_no",
