@@ -109,7 +109,7 @@ BLOCKS = st.lists(
 )
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(BLOCKS, min_size=4, max_size=8), st.integers(1, 40))
 def test_cleaned_parts_join_to_the_cleaned_whole(spark, documents, part_chars):
     rows = [

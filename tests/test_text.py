@@ -77,7 +77,7 @@ PIECES = st.lists(
 ).map("".join)
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(PIECES, min_size=60, max_size=120))
 def test_cleaning_matches_plain_rules(spark, texts):
     assert apply(spark, t.clean_markdown, texts) == [plain_clean(text) for text in texts]
