@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import append_columns, checkpointed, named  # noqa: F401
+from .common import checkpointed, named
 from .components import Forest, connected
 
 THRESHOLD = 0.9

@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
+from ..session import run_folder
+from .bpe import bpe_round_trip
 from .common import read_table
 from .embeddings import embedding_components
 from .mixing import mix_sources
+from .ngram import score_texts
+from .quality import quality_rules
+from .secrets import scan
 from .sharding import shard_documents
 from .simhash import simhash_components
 from .url_filter import filter_urls
+from .warc import page_number, payload_digest, read_warc, write_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +32,7 @@ URL_RULES = [
     ("net", "/fr/", "block"),
 ]
 SHARDS = 24
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +50,41 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(read_table(spark, sf_dir, "documents"))
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = run_folder(spark, "warc")
+    write_warc(read_table(spark, sf_dir, "pages"), folder)
+    return (
+        read_warc(spark, folder)
+        .withColumn("revisit", F.col("record_type") == "revisit")
+        .select(
+            page_number(F.col("record_id")).alias("page_id"),
+            # a revisit has no payload of its own
+            F.when(F.col("revisit"), F.col("payload_length")).otherwise(F.length("payload")).cast("long").alias("payload_bytes"),
+            F.when(F.col("revisit"), F.substring_index("payload_digest", ":", -1))
+            .otherwise(payload_digest(F.col("payload")))
+            .alias("payload_digest"),
+            "record_type",
+            page_number(F.col("refers_to")).alias("refers_to"),
+        )
+    )
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(read_table(spark, sf_dir, "documents"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_documents(read_table(spark, sf_dir, "documents"), SHARDS)
     return placed.select(
@@ -53,10 +97,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {
-        f.__name__: f
-        for f in (op1_url_filter, op2_embedding_dedup, op3_mix_sources, op9_shards, op10_simhash)
-    }
+    every = [
+        op1_url_filter, op2_embedding_dedup, op3_mix_sources, op4_lm_scores, op5_bpe, op6_warc, op7_secret_scan, op8_quality,
+        op9_shards, op10_simhash,
+    ]
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -103,4 +148,17 @@ SELECT doc_id, size, source_size, target,
        CASE WHEN source_size = 0 THEN 0 ELSE CAST(
          (budget // source_size) * size + greatest(0, least(size, budget % source_size - before)) AS BIGINT) END AS taken
 FROM placed""",
+        "op6_warc": """
+WITH digests AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+coded AS (
+  SELECT page_id, payload_bytes, array_to_string([array_to_string(
+           [substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(hex, 5 * k + 1, 5) AS INTEGER) >> s) & 31) + 1, 1) FOR s IN [15, 10, 5, 0]],
+           '') FOR k IN range(8)], '') AS payload_digest
+  FROM digests),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS original FROM coded)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id IS DISTINCT FROM original AND original IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM original THEN original END AS refers_to
+FROM firsts""",
     }
