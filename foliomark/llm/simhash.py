@@ -92,8 +92,10 @@ def fingerprint_components(prints: DataFrame, radius: int = RADIUS, tile: int =
     """node and component for the fingerprints (column ``print``, distinct) that have a link."""
     ones = F.bit_count("print")
     counts = {r["ones"]: r["n"] for r in prints.groupBy(ones.alias("ones")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return prints.select(F.col("print").alias("node"), F.col("print").alias("component"))
     tiles = {p: -(-n // tile) for p, n in counts.items()}  # 65 numbers at most
-    many = F.create_map(*(F.lit(x) for p, n in tiles.items() for x in (p, n))) if tiles else F.lit(None)
+    many = F.create_map(*(F.lit(x) for p, n in tiles.items() for x in (p, n)))
     # tile names: population count * 2^32 + number
     name = lambda p, k: F.shiftleft(p.cast("long"), 32) + k
     dealt = (
@@ -102,8 +104,6 @@ def fingerprint_components(prints: DataFrame, radius: int = RADIUS, tile: int =
         .groupBy("ones", "tile")
         .agg(F.collect_list("print").alias("prints"))
     )
-    if not tiles:
-        return prints.select(F.col("print").alias("node"), F.col("print").alias("component")).limit(0)
     dealt = checkpointed(dealt)
     partners = F.flatten(
         F.transform(

@@ -118,7 +118,7 @@ def boosted(
 def forest(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 8, least: int = 3, seed: int = 1) -> Trees:
     """Random forest on bootstrap samples with random features at each split; ``sums`` gives the mean vote."""
     random, width = np.random.default_rng(seed), x.shape[1]
-    grower = _Grower(x, depth, least, 0.0, [0] * width)
+    grower = _Grower(x, depth, least, 1e-9, [0] * width)
     few = max(1, round(width**0.5))
     for _ in range(trees):
         rows = np.sort(random.integers(0, len(y), len(y)))
