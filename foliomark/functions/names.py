@@ -54,8 +54,13 @@ def image_link(label: Column, name: Column) -> Column:
 
 
 def quoted(text: Column) -> Column:
-    """Quote a value for an error message: single quotes unless only those occur in it."""
+    """Quote a value for an error message: single quotes unless only those occur in it.
+
+    Tab and line ends are shown by their usual escapes.
+    """
     body = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    for sign, shown in (("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")):
+        body = F.replace(body, F.lit(sign), F.lit(shown))
     single, double = F.contains(body, F.lit("'")), F.contains(body, F.lit('"'))
     return (
         F.when(single & ~double, F.concat(F.lit('"'), body, F.lit('"')))

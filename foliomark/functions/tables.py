@@ -9,7 +9,8 @@ from .text import strip
 
 
 def table_line(cells: Column) -> Column:
-    return F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
+    """A missing cell is an empty one."""
+    return F.concat(F.lit("| "), F.array_join(cells, " | ", ""), F.lit(" |"))
 
 
 def rule_line(width: Column) -> Column:

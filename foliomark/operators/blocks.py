@@ -56,12 +56,29 @@ def block(
 
 def emit(df: DataFrame, *blocks: Column) -> DataFrame:
     """The blocks of every row, in one pass over ``df``."""
-    rows = df.select(
+    rows = in_parts(df).select(
         "doc_id", F.col("page_no").cast("int").alias("page_no"), F.inline(F.array(*blocks))
     )
     return rows.where(F.col("md").isNotNull())
 
 
+def in_parts(pages: DataFrame) -> DataFrame:
+    """Pages with ``part_no``: 0, unless a page's long OCR text comes in several rows."""
+    if "part_no" in pages.columns:
+        return pages
+    return pages.withColumn("part_no", F.lit(0).cast("bigint"))
+
+
+def once(value: Column) -> Column:
+    """What a page has besides its text stands with the first part only."""
+    return F.when(F.col("part_no") == 0, value)
+
+
+def after_break(text: str) -> Column:
+    """A later part of a text without the line break that it begins with."""
+    return F.regexp_replace(text, r"\A\n", "")
+
+
 def as_blocks(df: DataFrame, section: int, md: Column, **keys: Column) -> DataFrame:
     return emit(df, block(section, md, **keys))
 
@@ -79,7 +96,7 @@ def shown_number() -> Column:
 
 
 def heading(template: str, route: str | None = None) -> Column:
-    return block(HEADING, t.fill(template, n=shown_number()), route=route)
+    return block(HEADING, once(t.fill(template, n=shown_number())), route=route)
 
 
 def page_sections(pages: DataFrame, content: DataFrame, template: str) -> DataFrame:
@@ -104,8 +121,12 @@ def text_block_rows(blocks: DataFrame) -> DataFrame:
 
 
 def table_blocks(page_tables: DataFrame) -> DataFrame:
-    return as_blocks(
-        page_tables, TABLES, F.col("md"), k3=F.col("table_no"), k4=F.col("part_no")
+    """Tables as blocks; a later part carries on the block before it, a line below."""
+    later = F.col("_table_part") > 0
+    md = F.when(later, after_break("md")).otherwise(F.col("md"))
+    return emit(
+        page_tables.withColumnRenamed("part_no", "_table_part"),
+        block(TABLES, md, k3=F.col("table_no"), k4=F.col("_table_part"), same_block=later),
     )
 
 
@@ -129,8 +150,8 @@ def figure_links(named_images: DataFrame) -> DataFrame:
 
 
 def partial_error() -> Column:
-    """Text blocks found before the failure stay; the warning follows them."""
-    return F.when(F.col("block_error"), t.fill(w.PAGE_PARTIAL_ERROR, n=shown_number()))
+    """Text blocks found before the failure stay, tables come after it and are lost."""
+    return once(F.when(F.col("block_error"), t.fill(w.PAGE_PARTIAL_ERROR, n=shown_number())))
 
 
 def text_page(route: str | None = None) -> list[Column]:
@@ -138,13 +159,25 @@ def text_page(route: str | None = None) -> list[Column]:
     return [heading(w.PAGE_HEADING, route), block(WARNING, partial_error(), route=route)]
 
 
+def without_failed_pages(rows: DataFrame, doc_pages: DataFrame) -> DataFrame:
+    """Drop what comes after the text blocks of a page on which these failed.
+
+    A semi-join on page keys; Spark may split a page with very many rows.
+    """
+    failed = doc_pages.where(F.col("block_error")).select("doc_id", "page_no")
+    return rows.join(failed, ["doc_id", "page_no"], "left_anti")
+
+
 def pdf_page_blocks(
     doc_pages: DataFrame,
     blocks: DataFrame,
     tables: DataFrame | None = None,
     images: DataFrame | None = None,
 ) -> DataFrame:
-    """Per page: heading, text blocks in reading order, tables, then images."""
+    """Per page: heading, text blocks in reading order, tables, then images.
+
+    ``tables`` are blocks (``table_blocks``, ``table_line_blocks``) of pages without error.
+    """
     return union(
         emit(doc_pages, *text_page()),
         text_block_rows(blocks),
@@ -163,22 +196,31 @@ def is_empty(text: Column) -> Column:
 def scanned_page_warning() -> Column:
     """The warning that stands for the text: not rasterised, OCR failed, or OCR empty."""
     page = shown_number()
-    return (
+    return once(
         F.when(~F.col("rasterized"), t.fill(w.PAGE_NOT_RASTERIZED, n=page))
         .when(F.col("ocr_error").isNotNull(), t.fill(w.PAGE_OCR_FAILED, n=page))
-        .when(is_empty(F.col("text")), t.fill(w.PAGE_OCR_EMPTY, n=page))
+        .when(is_empty(F.col("ocr_text")), t.fill(w.PAGE_OCR_EMPTY, n=page))
     )
 
 
+def read_text(warning: Column, route: str | None = None) -> Column:
+    """OCR text or the warning that stands for it; later parts carry on a line below."""
+    later = F.col("part_no") > 0
+    was_read = F.col("rasterized") & F.col("ocr_error").isNull()
+    text = F.when(was_read, F.when(later, after_break("ocr_text")).otherwise(F.col("ocr_text")))
+    return block(CONTENT, F.coalesce(warning, text), k4=F.col("part_no"), same_block=later, route=route)
+
+
 def scanned_page(route: str | None = None) -> list[Column]:
     """Heading, then OCR text or its warning."""
-    content = F.coalesce(scanned_page_warning(), F.col("text"))
-    return [heading(w.PAGE_HEADING, route), block(CONTENT, content, route=route)]
+    return [heading(w.PAGE_HEADING, route), read_text(scanned_page_warning(), route)]
 
 
 def page_images(doc_pages: DataFrame) -> DataFrame:
     """Image references of scanned pages: one for each page that went through OCR."""
-    read = doc_pages.where(F.col("rasterized") & F.col("ocr_error").isNull())
+    read = in_parts(doc_pages).where(
+        F.col("rasterized") & F.col("ocr_error").isNull() & (F.col("part_no") == 0)
+    )
     return read.select(
         "doc_id",
         "page_no",
@@ -241,11 +283,12 @@ def paragraph_md(name: Column, paragraphs: Column) -> Column:
 def shape_md() -> Column:
     """Blocks of one shape as an array, by its kind; other kinds and failed shapes give none.
 
-    A picture gives its link, if it was saved (``image_name``), then its OCR text;
-    a picture that cannot be decoded gives nothing, and blank OCR is no warning.
+    A picture gives its link, if it was saved (``image_name``), then its OCR text.  One
+    that cannot be decoded gives nothing, one that OCR failed on (``ocr_error``) keeps
+    its link, and blank OCR is no warning.
     """
     link = n.image_link(F.lit(w.FIGURE_LABEL), F.col("image_name"))
-    picture = F.array(F.concat(F.lit("\n"), link, F.lit("\n")), F.col("ocr_text"))
+    picture = F.array(F.concat(F.lit("\n"), link, F.lit("\n")), F.when(F.col("ocr_error").isNull(), F.col("ocr_text")))
     table = F.array(tb.table_md_header_width(F.col("rows")))
     none = F.array().cast("array<string>")
     found = (
@@ -286,12 +329,14 @@ def slide_failed() -> Column:
 def slide_blocks(slides: DataFrame, shapes: DataFrame, notes: DataFrame) -> DataFrame:
     """Per slide: heading, shapes by position, then speaker notes; a warning if it failed.
 
-    ``shapes`` needs ``image_name``; null where no image was saved.
+    Notes are read last, so a slide that failed has none.  ``shapes`` needs
+    ``image_name``; null where no image was saved.
     """
+    failed = slides.where(F.col("error").isNotNull()).select("doc_id", "page_no")
     return union(
         emit(slides, heading(w.SLIDE_HEADING), block(WARNING, slide_failed())),
         shape_dispatch(shapes),
-        notes_blocks(notes),
+        notes_blocks(notes.join(failed, ["doc_id", "page_no"], "left_anti")),
     )
 
 
@@ -302,7 +347,7 @@ def image_warning() -> Column:
     failed = F.col("ocr_error").isNotNull()
     error = t.fill(w.IMAGE_OCR_FAILED, error=F.coalesce("ocr_error", F.lit("")))
     empty = t.fill(w.IMAGE_OCR_EMPTY, name=F.col("file"))
-    return F.when(failed, error).when(is_empty(F.col("text")), empty)
+    return once(F.when(failed, error).when(is_empty(F.col("ocr_text")), empty))
 
 
 def image_doc_blocks(image_pages: DataFrame, with_images: bool = False) -> DataFrame:
@@ -310,12 +355,12 @@ def image_doc_blocks(image_pages: DataFrame, with_images: bool = False) -> DataF
 
     ``image_pages`` has one row per image file that could be opened, with ``file``.
     """
-    blocks = [block(CONTENT, F.coalesce(image_warning(), F.col("text")))]
+    blocks = [read_text(image_warning())]
     if with_images:
         stem = n.stem(F.col("file"))
         link = n.image_link(stem, n.image_name(n.sanitize_name(stem), F.lit(1)))
         shown = F.when(F.col("image_saved"), F.concat(F.lit("\n"), link, F.lit("\n")))
-        blocks.append(block(IMAGES, shown))
+        blocks.append(block(IMAGES, once(shown)))
     return emit(image_pages, *blocks)
 
 

@@ -13,13 +13,15 @@ from ..functions import wording as w
 from .blocks import IMAGES, ORDER, as_blocks
 from .gates import drop_blank_blocks, quick_sufficient
 from .parts import PART_CHARS, Texts, clean_body, ordered_text
-from .skew import LargeGroups, join_per_group
+from .skew import LargeGroups, find_large_groups, join_per_group
 
 QUICK, TEXT_PDF, SCANNED_PDF, SLIDES, IMAGE = "quick", "text_pdf", "scanned_pdf", "slides", "image"
 
 
 def page_count(pages: DataFrame) -> DataFrame:
-    """Pages or slides per document; counted map-side first."""
+    """Pages or slides per document; counted map-side first, a page in parts once."""
+    if "part_no" in pages.columns:
+        pages = pages.where(F.col("part_no") == 0)
     return pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"))
 
 
@@ -63,6 +65,7 @@ def engine_label(ocr_engine: str) -> Column:
     return (
         F.when(F.col("route").isNull(), w.NO_ENGINE)
         .when(F.col("route") == QUICK, w.QUICK_ENGINE)
+        .when(F.col("error").isNotNull(), w.NO_ENGINE)
         .otherwise(second)
     )
 
@@ -156,6 +159,9 @@ def assemble_body(
     part_chars: int = PART_CHARS,
 ) -> DataFrame:
     """``doc_id, part_no, body``: non-blank blocks in order, a blank line between, not cleaned."""
+    if large is None:
+        # counted before blank blocks are looked for
+        large = find_large_groups(blocks, ["doc_id"], group_rows, F.length("md"), part_chars)
     return ordered_text(
         drop_blank_blocks(blocks),
         ["doc_id"],
@@ -176,6 +182,8 @@ def document_bodies(
     part_chars: int = PART_CHARS,
 ) -> Texts:
     """``doc_id, part_no, last_part, body``: joined and cleaned."""
+    if large is None:
+        large = find_large_groups(blocks, ["doc_id"], group_rows, F.length("md"), part_chars)
     return clean_body(
         drop_blank_blocks(blocks),
         ["doc_id"],

@@ -23,18 +23,38 @@ def first_pages(doc_pages: DataFrame) -> DataFrame:
     return doc_pages.where(F.col("page_no") < w.DETECTION_PAGES)
 
 
+def _stripped_length(pages: Column) -> Column:
+    """Length of the pages' joined and stripped text, from numbers of each page in order.
+
+    White space falls away before the first and after the last page that isn't blank.
+    """
+    inked = F.filter(pages, lambda p: p["chars"] > p["lead"])
+    first, last = F.element_at(inked, 1), F.element_at(inked, -1)
+    inner = F.filter(pages, lambda p: (p["page_no"] >= first["page_no"]) & (p["page_no"] <= last["page_no"]))
+    chars = F.aggregate(inner, F.lit(0), lambda total, p: total + p["chars"])
+    return F.when(F.size(inked) > 0, chars - first["lead"] - last["trail"]).otherwise(0)
+
+
 def page_facts(doc_pages: DataFrame) -> DataFrame:
     """``doc_id, pages, has_text`` in one aggregation.
 
-    At most the texts of the first pages of a document are gathered.
+    Of the embedded texts of a document's first pages only lengths are shuffled.  A page
+    that comes in parts (``part_no``) counts once; OCR text plays no role.
     """
-    looked_at = F.when(
-        F.col("page_no") < w.DETECTION_PAGES, F.struct("page_no", F.col("text").alias("_text"))
+    text = F.coalesce("embedded_text", F.lit(""))
+    blanks = F.lit(w.WHITESPACE)
+    chars = F.length(text)
+    numbers = F.struct(
+        "page_no",
+        chars.alias("chars"),
+        (chars - F.length(F.ltrim(text, blanks))).alias("lead"),
+        (chars - F.length(F.rtrim(text, blanks))).alias("trail"),
     )
-    texts = F.transform(F.sort_array(F.collect_list(looked_at)), lambda page: page["_text"])
+    first_part = F.col("part_no") == 0 if "part_no" in doc_pages.columns else F.lit(True)
+    looked_at = F.when((F.col("page_no") < w.DETECTION_PAGES) & first_part, numbers)
     return doc_pages.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("pages"),
-        (F.length(t.strip(F.array_join(texts, ""))) > w.EMBEDDED_MIN_CHARS).alias("has_text"),
+        F.count_if(first_part).alias("pages"),
+        (_stripped_length(F.sort_array(F.collect_list(looked_at))) > w.EMBEDDED_MIN_CHARS).alias("has_text"),
     )
 
 

@@ -1,8 +1,8 @@
 """Join texts in order, in one piece or in parts.
 
-A group's text is normally one value.  A large group (see ``skew``) would not
-fit one task, so it comes out as several rows: ``part_no`` rises along the
-text, and the parts joined with nothing between them are the whole text.
+A group's text is one value up to ``PART_CHARS`` characters, however many rows it
+is made of.  A longer one comes out as several rows: ``part_no`` counts from 0 along
+the text, and the parts joined with nothing between them are the whole text.
 """
 
 from __future__ import annotations
@@ -68,6 +68,12 @@ class Texts(NamedTuple):
         return usual.unionByName(cut).unionByName(bare, allowMissingColumns=True)
 
 
+def _large(
+    df: DataFrame, keys: Sequence[str], group_rows: int | None, text: str, part_chars: int
+) -> LargeGroups:
+    return find_large_groups(df, keys, group_rows, F.length(text), part_chars)
+
+
 def ordered_text(
     df: DataFrame,
     keys: Sequence[str],
@@ -83,7 +89,7 @@ def ordered_text(
 
     A null text is left out; a group of nothing else has an empty text.
     """
-    large = find_large_groups(df, keys, group_rows) if large is None else large
+    large = _large(df, keys, group_rows, text, part_chars) if large is None else large
     whole = (
         large.without(df)
         .groupBy(*keys)
@@ -122,7 +128,7 @@ def clean_body(
     before them (a table line, an image link) after a single line break; such rows
     must neither start nor end with white space.
     """
-    large = find_large_groups(blocks, keys, group_rows) if large is None else large
+    large = _large(blocks, keys, group_rows, text, part_chars) if large is None else large
     whole = clean_whole(large.without(blocks), keys, order, text, name)
     if not large:
         return Texts(whole, None, large)
@@ -225,7 +231,7 @@ def _assign_parts(
     part_chars: int,
     cut_rule,
 ) -> DataFrame:
-    """Add ``part_no`` (0 first, rising, maybe with gaps) and ``_last_part`` to large groups."""
+    """Add ``part_no`` (counting from 0) and ``_last_part`` to large groups."""
     columns = [*keys, *order, text, *([flag] if flag else [])]
     rows = rows.select(*columns)
     starts, ends = cut_rule(F.col(text)) if cut_rule else (F.lit(True), F.lit(True))
@@ -235,6 +241,7 @@ def _assign_parts(
         .withColumn("_ends", ends),
         keys,
         order,
+        large,
     )
     local = in_slice(keys, order)
     up_to_here = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -273,18 +280,24 @@ def _assign_parts(
         *keys,
         "_slice",
         F.coalesce(F.max("_max_start").over(earlier), F.lit(0)).alias("_carried"),
-        F.coalesce(F.max("_max_start").over(Window.partitionBy(*keys)), F.lit(0)).alias(
-            "_last_part"
+    )
+    rows = rows.join(large.bounded(carried), [*keys, "_slice"]).withColumn(
+        "_stretch",
+        F.greatest(
+            F.col("_carried"),
+            F.coalesce(F.max("_part_start").over(up_to_here), F.lit(0)),
         ),
     )
-    return (
-        rows.join(large.bounded(carried), [*keys, "_slice"])
-        .withColumn(
-            "part_no",
-            F.greatest(
-                F.col("_carried"),
-                F.coalesce(F.max("_part_start").over(up_to_here), F.lit(0)),
-            ),
-        )
-        .select(*columns, "part_no", "_last_part")
+    # a stretch without an allowed start is no part, so the parts are counted anew
+    stretches = rows.select(*keys, "_stretch").distinct()
+    numbered = stretches.select(
+        *keys,
+        "_stretch",
+        (F.row_number().over(Window.partitionBy(*keys).orderBy("_stretch")) - 1)
+        .cast("bigint")
+        .alias("part_no"),
+        (F.count(F.lit(1)).over(Window.partitionBy(*keys)) - 1).alias("_last_part"),
+    )
+    return rows.join(large.bounded(numbered), [*keys, "_stretch"]).select(
+        *columns, "part_no", "_last_part"
     )

@@ -12,9 +12,10 @@ from .documents import QUICK, engine_known
 
 
 def error_message(ocr_engine: str = w.DEFAULT_OCR_ENGINE) -> Column:
-    """Why a file failed, from ``file, kind, route``; null if it did not.
+    """Why a file failed, from ``file, kind, route, error``; null if it did not.
 
-    A wrong engine name only matters to files that need the second tier.
+    A wrong engine name only matters to files that need the second tier, and so does a
+    failure there (``error``: a codec or an engine that stopped, in its own words).
     """
     suffix = n.quoted(F.lower(n.suffix(F.col("file"))))
     message = F.when(F.col("kind").isNull(), t.fill(w.UNSUPPORTED_TYPE, suffix=suffix))
@@ -24,7 +25,7 @@ def error_message(ocr_engine: str = w.DEFAULT_OCR_ENGINE) -> Column:
             w.UNSUPPORTED_ENGINE, engine=n.quoted(F.lit(ocr_engine)), options=F.lit(options)
         )
         message = message.when(F.col("route") != QUICK, unknown)
-    return message
+    return message.when(F.col("route") != QUICK, F.col("error"))
 
 
 def file_status(ocr_engine: str = w.DEFAULT_OCR_ENGINE) -> Column:

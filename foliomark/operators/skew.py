@@ -2,14 +2,14 @@
 
 Numbering and text building work per document or page.  Almost every group is
 small, and then one shuffle on the key is the best plan.  A *large* group (more
-rows than a limit) is taken out and cut into ordered slices by Spark's range
-partitioning on (key, order); slices are worked on in parallel and tied together
-by running totals over one row per slice.
-
-Finding large groups is one aggregation over the key columns with map-side
-combine.  There can be at most (rows / limit) of them; their number is counted,
-and they are broadcast only up to ``BROADCAST_GROUPS``; beyond that the split is
-a shuffle join.
+rows than a limit or, where its text is built, more characters) is taken out and
+cut into ordered slices by Spark's range partitioning on (key, order); slices are
+worked on in parallel and tied together by running totals over one row per slice.
+
+Finding large groups is one aggregation with map-side combine over the keys and
+the lengths of texts; no text is shuffled.  Their keys are stored once and counted,
+and they are broadcast only up to ``BROADCAST_GROUPS``; beyond that the split is a
+shuffle join.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ class LargeGroups:
     keys: tuple[str, ...]
     keys_df: DataFrame
     number: int
+    # rows of all large groups together
+    rows: int = 0
 
     def __bool__(self) -> bool:
         return self.number > 0
@@ -58,22 +60,38 @@ class LargeGroups:
 
 
 def find_large_groups(
-    df: DataFrame, keys: Sequence[str], group_rows: int | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    group_rows: int | None = None,
+    chars: Column | None = None,
+    group_chars: int | None = None,
 ) -> LargeGroups:
-    """One narrow job: count rows per key and keep the keys over the limit."""
+    """One narrow job: count rows (and characters) per key and keep the keys over a limit."""
     limit = GROUP_ROWS if group_rows is None else group_rows
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    large = sizes.where(F.col("_rows") > limit).select(*keys)
-    return LargeGroups(tuple(keys), large, large.count())
+    sizes = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_rows"),
+        (F.lit(0) if chars is None else F.sum(F.coalesce(chars, F.lit(0)))).alias("_chars"),
+    )
+    over = F.col("_rows") > limit
+    if chars is not None and group_chars is not None:
+        over |= F.col("_chars") > group_chars
+    large = checkpointed(sizes.where(over).select(*keys, "_rows"))
+    number, rows = large.agg(F.count(F.lit(1)), F.sum("_rows")).first()
+    return LargeGroups(tuple(keys), large.select(*keys), number, rows or 0)
 
 
-def slice_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def slice_groups(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], large: LargeGroups | None = None
+) -> DataFrame:
     """Add ``_slice``: contiguous, balanced runs of each group in its order.
 
+    There are enough slices for none to hold more than ``GROUP_ROWS`` rows or so.
     Range bounds come from a sample, so the result is checkpointed: every later
     read has to see the same slices.
     """
-    ranged = df.repartitionByRange(*[F.col(name) for name in (*keys, *order)])
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = max(usual, -(-(large.rows if large else 0) // GROUP_ROWS))
+    ranged = df.repartitionByRange(slices, *[F.col(name) for name in (*keys, *order)])
     return checkpointed(ranged.withColumn("_slice", F.spark_partition_id()))
 
 
@@ -104,7 +122,7 @@ def number_rows(
     usual = large.without(df).withColumn(name, F.row_number().over(usual_window).cast("bigint"))
     if not large:
         return usual
-    sliced = slice_groups(large.only(df), keys, order)
+    sliced = slice_groups(large.only(df), keys, order, large)
     per_slice = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
     offsets = per_slice.select(
         *keys,

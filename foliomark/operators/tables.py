@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -64,7 +64,8 @@ def page_tables_md(
     One shuffle by page serves both the tables and the choice between extractors.
     Pages with very many rows go line by line (``table_lines``) instead.
     """
-    large = find_large_groups(table_rows, PAGE, group_rows) if large is None else large
+    if large is None:
+        large = find_large_groups(table_rows, PAGE, group_rows, cell_chars(), part_chars)
     usual = tables_md(large.without(table_rows))
     if not large:
         return usual
@@ -75,6 +76,11 @@ def page_tables_md(
     return usual.unionByName(parts.union())
 
 
+def cell_chars() -> Column:
+    """Characters in a row's cells."""
+    return F.aggregate("cells", F.lit(0), lambda n, cell: n + F.length(F.coalesce(cell, F.lit(""))) + 3)
+
+
 def tables_md(table_rows: DataFrame) -> DataFrame:
     by_page = as_printed(table_rows).repartition(*PAGE)
     rows = F.transform(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import fields
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from ..operators import tables as tab
 from ..session import run_folder
 from ..sources.corpus import distinct_sorted_paths, scan_corpus, scan_one
 from ..sources.sinks import write_files, write_markdown_files
-from .convert import Options, convert, plan_documents, typed_files
+from .convert import DocumentTables, Options, convert, plan_documents, typed_files
 from .vehicles import Vehicles
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,28 +93,12 @@ def _(v):
     return distinct_sorted_paths(_user_paths(v))
 
 
-def _quick_documents(v: Vehicles) -> DataFrame:
-    """All documents of a supported kind, with their quick text where it suffices."""
-    docs = (
-        _named(v)
-        .where(F.col("kind").isNotNull())
-        .join(v.quick_text(), "doc_id")
-        .withColumn("quick_used", g.quick_sufficient(F.col("text")))
-        .withColumn("engine", F.when(F.col("quick_used"), w.QUICK_ENGINE).otherwise(w.NO_ENGINE))
-        .withColumn("pages", F.lit(0))
-        .withColumnRenamed("planned_output", "output")
-    )
-    quick = v.quick_text().where(g.quick_sufficient(F.col("text")))
-    bodies = d.document_bodies(
-        b.as_blocks(quick.withColumn("page_no", F.lit(0)), b.CONTENT, F.col("text"))
-    )
-    return d.format_document(docs.drop("text"), bodies, _date(), _languages())
-
-
 @query("write_documents")
 def _(v):
+    """All given documents through both tiers into files, and the files read back."""
     folder = run_folder(v.spark, "markdown")
-    write_markdown_files(_quick_documents(v), folder)
+    corpus, options = v.corpus(["documents"]), Options(extract_images=True, generated_at=DATE)
+    write_markdown_files(convert(corpus, options).documents, folder)
     files = v.spark.read.text(folder, wholetext=True, pathGlobFilter="*.md")
     return files.select(
         n.file_name(F.col("_metadata.file_path")).alias("file"), F.col("value").alias("markdown")
@@ -189,7 +174,7 @@ def _(v):
 
 @query("first_pages")
 def _(v):
-    return g.first_pages(v.doc_pages()).select("doc_id", "page_no", "text")
+    return g.first_pages(v.doc_pages()).select("doc_id", "page_no", "embedded_text", "ocr_text")
 
 
 @query("text_blocks")
@@ -256,7 +241,8 @@ def _(v):
 @query("attach_counts")
 def _(v):
     corpus = v.corpus()
-    counts = d.page_count(corpus.doc_pages.select("doc_id").union(corpus.slides.select("doc_id")))
+    pages = corpus.doc_pages.where("part_no = 0").select("doc_id")
+    counts = d.page_count(pages.union(corpus.slides.select("doc_id")))
     return d.attach_counts(typed_files(corpus.files), counts).select("doc_id", "kind", "pages")
 
 
@@ -350,7 +336,8 @@ def _(v):
 @query("pdf_page_blocks")
 def _(v):
     images = o.with_image_names(o.number_images(v.image_refs()), F.lit("Doc"))
-    tables = b.table_blocks(tab.page_tables_md(v.table_rows()))
+    rows = b.without_failed_pages(v.table_rows(), v.order_pages())
+    tables = b.table_blocks(tab.page_tables_md(rows))
     return b.pdf_page_blocks(v.order_pages(), v.blocks(), tables, images).select(BLOCK)
 
 
@@ -405,17 +392,23 @@ def _(v):
 
 @query("file_status")
 def _(v):
-    corpus = v.corpus()
-    usual = plan_documents(corpus, Options()).select("doc_id", "file", "status")
-    other = plan_documents(corpus, Options(ocr_engine=UNKNOWN_ENGINE, use_quick=True))
-    return usual.join(
-        other.select("doc_id", F.col("status").alias("status_unknown_engine")), "doc_id"
+    """With every engine, and as it would be with an unknown one."""
+    plan = plan_documents(v.corpus(), Options()).withColumn("error", F.lit(None).cast("string"))
+    return plan.select(
+        "doc_id", "file", "status", r.file_status(UNKNOWN_ENGINE).alias("status_unknown_engine")
     )
 
 
 @query("unreadable_ok")
 def _(v):
-    return _quick_documents(v).select("doc_id", "pages", "engine", "markdown")
+    """Files that no decoder of the second tier could open."""
+    corpus = v.corpus(["documents"])
+    decoded = {f.name: getattr(corpus, f.name) for f in fields(corpus)}
+    bare = {name: df.where(F.lit(False)) for name, df in decoded.items()}
+    unread = DocumentTables(**bare | {name: decoded[name] for name in ("files", "quick_text")})
+    return convert(unread, Options(generated_at=DATE)).documents.select(
+        "doc_id", "kind", "pages", "engine", "status", "part_no", "markdown"
+    )
 
 
 @query("output_collisions")

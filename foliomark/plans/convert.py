@@ -19,13 +19,12 @@ from ..operators.gates import drop_blank_blocks, page_facts, quick_sufficient
 from ..operators.order import number_figures, number_images, with_image_names
 from ..operators.parts import PART_CHARS, Texts, clean_parts, clean_whole
 from ..operators.skew import (
-    BROADCAST_GROUPS,
     LargeGroups,
     find_large_groups,
     join_per_group,
     number_rows,
 )
-from ..operators.tables import table_lines, tables_md
+from ..operators.tables import cell_chars, table_lines, tables_md
 from ..session import run_folder
 
 
@@ -34,15 +33,17 @@ class DocumentTables:
     """Decoded input, keyed by ``doc_id`` (never null).
 
     =========== ==============================================================
-    files       doc_id, path
+    files       doc_id, path; maybe error: why the second tier failed on the file
     quick_text  doc_id, text; null if the quick conversion failed
-    doc_pages   doc_id, page_no, text, rasterized, ocr_error, block_error,
-                image_saved; pages of PDFs and, as page 0, image files
+    doc_pages   doc_id, page_no, embedded_text, ocr_text, rasterized, ocr_error,
+                block_error, image_saved; pages of PDFs and, as page 0, image files.
+                Embedded text decides between text and scan, OCR text is printed.
+                Maybe part_no: a page's long OCR text in rows, as join_ocr_lines gives it
     blocks      doc_id, page_no, block_no, block_type, x0, y0, text
     table_rows  doc_id, page_no, table_no, extractor, row_no, cells
     slides      doc_id, page_no, error
     shapes      doc_id, page_no, shape_no, kind, name, top, left, paragraphs,
-                rows, ocr_text, decoded, saved, error
+                rows, ocr_text, ocr_error, decoded, saved, error
     notes       doc_id, page_no, text
     image_refs  doc_id, page_no, image_no, decoded, saved
     =========== ==============================================================
@@ -66,9 +67,13 @@ class DocumentTables:
         return replace(self, **{name: change(getattr(self, name)) for name in names})
 
     def row_keys(self) -> DataFrame:
-        """``doc_id`` of every decoded row; no other column is read."""
+        """``doc_id, chars`` of every decoded row: its key and the length of its text."""
+        texts = {"quick_text": "text", "doc_pages": "ocr_text", "blocks": "text", "notes": "text", "shapes": "ocr_text"}
         names = [field.name for field in fields(self) if field.name != "files"]
-        return reduce(DataFrame.union, [getattr(self, name).select("doc_id") for name in names])
+        chars = {name: F.length(texts[name]) if name in texts else F.lit(0) for name in names}
+        chars["table_rows"] = cell_chars()
+        rows = [getattr(self, name).select("doc_id", chars[name].alias("chars")) for name in names]
+        return reduce(DataFrame.union, rows)
 
 
 @dataclass(frozen=True)
@@ -100,8 +105,10 @@ class Conversion(NamedTuple):
 
 def typed_files(files: DataFrame, output_dir: str = "output") -> DataFrame:
     file = n.file_name(F.col("path"))
+    error = F.col("error") if "error" in files.columns else F.lit(None).cast("string")
     return files.select(
         "doc_id",
+        error.alias("error"),
         file.alias("file"),
         n.file_type(file).alias("kind"),
         n.output_path(file, output_dir).alias("planned_output"),
@@ -166,10 +173,11 @@ def document_blocks(
         )
         shapes = _shapes_with_names(tables.shapes, docs, large)
         quick_images = d.image_section_blocks(_quick_figures(tables, docs, large))
+    table_rows = b.without_failed_pages(tables.table_rows, tables.doc_pages)
     if in_parts:
-        page_tables = b.table_line_blocks(table_lines(tables.table_rows, options.group_rows))
+        page_tables = b.table_line_blocks(table_lines(table_rows, options.group_rows))
     else:
-        page_tables = b.table_blocks(tables_md(tables.table_rows))
+        page_tables = b.table_blocks(tables_md(table_rows))
 
     quick = tables.quick_text.where(quick_sufficient(F.col("text"))).withColumn("page_no", F.lit(0))
     tagged = {
@@ -251,18 +259,17 @@ def document_bodies(
 ) -> Texts:
     """``doc_id, route, part_no, last_part, body`` of the documents that have any block.
 
-    Blocks are shuffled once, by document and route.  Rows of a route that their
-    document does not take are dropped before that if the list of documents is
-    small enough to be broadcast; if not, the later join to the documents drops
-    their bodies, which saves shuffling every block a second time.
+    Blocks are shuffled once, by document and route.  They meet the stored list of
+    documents on these keys before they are gathered and cleaned, so that only the
+    route that a document takes is worked on: by broadcast if the written list is small
+    enough for Spark, else in a join whose partitioning the gathering uses again.
     """
     keys, order = ["doc_id", "route"], b.ORDER
     wanted = docs.where(F.col("output").isNotNull()).select(*keys)
     none = replace(large, number=0)
     usual = document_blocks(tables.restricted(large.without), docs, options, none, in_parts=False)
     usual = drop_blank_blocks(usual)
-    if docs.count() <= BROADCAST_GROUPS:
-        usual = usual.join(F.broadcast(wanted), keys, "left_semi")
+    usual = usual.join(wanted, keys, "left_semi")
     whole = clean_whole(usual, keys, order, "md")
     if not large:
         return Texts(whole, None, large)
@@ -281,7 +288,9 @@ def convert(tables: DocumentTables, options: Options = Options()) -> Conversion:
     row, unless it is so large that it comes in parts (see ``operators.parts``).
     """
     docs = _stored(plan_documents(tables, options), "document-plan")
-    large = find_large_groups(tables.row_keys(), ["doc_id"], options.group_rows)
+    large = find_large_groups(
+        tables.row_keys(), ["doc_id"], options.group_rows, F.col("chars"), options.part_chars
+    )
     bodies = document_bodies(tables, docs, options, large)
     readable = docs.where(F.col("output").isNotNull())
     documents = d.format_document(

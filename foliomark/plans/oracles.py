@@ -6,6 +6,8 @@ canonical tables, small Python helpers only assemble SQL text.
 
 from __future__ import annotations
 
+import re
+
 DATE = "2024-01-01"
 
 
@@ -101,7 +103,7 @@ def joined(text: str, order: str, separator: str) -> str:
 
 
 def cells_line(cells: str) -> str:
-    return f"'| ' || array_to_string({cells}, ' | ') || ' |'"
+    return f"'| ' || array_to_string(list_transform({cells}, lambda c: coalesce(c, '')), ' | ') || ' |'"
 
 
 def table_md(rows: str, width: str) -> str:
@@ -142,7 +144,8 @@ CTES = {
         || '| a   b |' || {NL} || '### ' || source || {NL} || '#' || {NL} || '##' || {NL}
         || text || ' ' || {NL} AS text FROM documents""",
     "doc_pages": f"""SELECT conv_id AS doc_id, turn::INT AS page_no,
-        CASE WHEN turn % 5 = 2 AND role = 'user' THEN ' ' || {NL} || ' ' ELSE text END AS text,
+        CASE WHEN turn % 5 = 0 THEN ' ' || {NL} END AS embedded_text,
+        CASE WHEN turn % 5 = 2 AND role = 'user' THEN ' ' || {NL} || ' ' ELSE text END AS ocr_text,
         turn % 5 <> 4 AS rasterized,
         CASE WHEN turn % 5 = 3 AND role = 'assistant' THEN 'timeout' END AS ocr_error,
         turn % 5 = 1 AND role = 'user' AS block_error, role <> 'system' AS image_saved
@@ -159,7 +162,9 @@ CTES = {
         WHERE block_type = 0 AND {strip("text")} <> ''""",
     "order_pages": """SELECT o_orderkey AS doc_id, page_no,
         CASE WHEN o_orderstatus = 'P' THEN ' - '
-             ELSE 'Order ' || o_orderkey || ' of ' || o_orderpriority || ' ' END AS text,
+             ELSE 'Order ' || o_orderkey || ' of ' || o_orderpriority || ' ' END AS embedded_text,
+        CASE WHEN o_orderstatus = 'P' THEN 'Scanned order ' || o_orderkey || ' of ' || o_orderpriority
+             || ' with a total price of ' || floor(o_totalprice)::BIGINT END AS ocr_text,
         true AS rasterized, NULL::VARCHAR AS ocr_error,
         page_no = 2 AND o_orderkey % 10 = 0 AS block_error, o_orderstatus <> 'F' AS image_saved
         FROM orders, (SELECT unnest([0, 1, 2]) AS page_no)""",
@@ -191,9 +196,10 @@ CTES = {
          {{'level': 1, 'text': '   '}}] AS paragraphs,
         [['Key', 'Total' || {NL} || 'price'],
          [o_orderkey::VARCHAR, '  ' || o_orderstatus || ' ', 'extra'],
-         [o_orderpriority]] AS rows,
+         [NULL, o_orderpriority], [o_orderpriority]] AS rows,
         CASE WHEN o_orderkey % 3 = 0 THEN ' ' || {NL} ELSE 'OCR of  ' || o_orderkey END AS ocr_text,
         o_orderkey % 7 <> 0 AS decoded, o_orderstatus <> 'F' AS saved,
+        CASE WHEN o_orderkey % 5 = 0 THEN 'timeout' END AS ocr_error,
         CASE WHEN o_orderkey % 11 = 0 THEN 'broken' END AS error
         FROM orders""",
     "frame_lines": f"""SELECT * EXCLUDE (lines, paragraphs, i), i - 1 AS pos,
@@ -220,37 +226,43 @@ CTES = {
     "images": """SELECT * FROM (SELECT *, row_number() OVER
         (PARTITION BY doc_id ORDER BY page_no, image_no) AS image_number
         FROM image_refs WHERE decoded) WHERE saved""",
-    "image_pages": f"""SELECT doc_id, 0 AS page_no, CASE WHEN doc_id % 5 = 1 THEN '' ELSE
-        coalesce({joined("CASE WHEN confidence > 0.5 THEN text END", "line_no", NL)}, '') END AS text,
+    "image_pages": f"""SELECT doc_id, 0 AS page_no, NULL::VARCHAR AS embedded_text,
+        CASE WHEN doc_id % 5 = 1 THEN '' ELSE
+        coalesce({joined("CASE WHEN confidence > 0.5 THEN text END", "line_no", NL)}, '') END AS ocr_text,
         true AS rasterized,
         CASE WHEN doc_id % 5 = 2 THEN 'engine stopped at ' || doc_id END AS ocr_error,
         false AS block_error, doc_id % 5 <> 3 AS image_saved,
         'Photo? ' || doc_id || '.png' AS file
         FROM ocr_lines GROUP BY doc_id""",
-    # --- quick documents -------------------------------------------------------------
-    "quick_documents": f"""SELECT doc_id, file, 0 AS pages, engine, {output_of("file")} AS output,
-        {front_matter("file", "0", "engine", "used")} || {NL} || {NL}
+    # --- files that the second tier could not open -------------------------------------
+    "unreadable": f"""SELECT doc_id * 5 AS doc_id, kind, pages, engine, 'ok' AS status,
+        {front_matter("file", "pages", "engine", "used")} || {NL} || {NL}
         || CASE WHEN used THEN {clean("text")} ELSE '' END || {NL} AS markdown
-        FROM (SELECT doc_id, file, text, used,
-                CASE WHEN used THEN 'markitdown' ELSE 'none' END AS engine
-              FROM (SELECT *, {sufficient("text")} AS used FROM named JOIN documents USING (doc_id)
-                    WHERE {kind_of("file")} IS NOT NULL))""",
+        FROM (SELECT *, CASE WHEN used THEN 'markitdown' ELSE 'tesseract' END AS engine,
+                CASE WHEN kind = 'image' THEN 1 ELSE 0 END AS pages
+              FROM (SELECT *, kind <> 'image' AND {sufficient("text")} AS used
+                    FROM (SELECT doc_id, file, {kind_of("file")} AS kind FROM named)
+                    JOIN documents USING (doc_id) WHERE kind IS NOT NULL))""",
     # --- the corpus: five kinds of files in one id space ------------------------------
     "c_files": """SELECT doc_id * 5 AS doc_id, path FROM files
         UNION ALL SELECT DISTINCT o_orderkey * 5 + 1, 'orders/Order: ' || o_orderkey || '.pdf' FROM orders
         UNION ALL SELECT DISTINCT conv_id * 5 + 2, 'scans/Scan ' || conv_id || '.PDF' FROM conversations
         UNION ALL SELECT DISTINCT o_custkey * 5 + 3, 'decks/Deck ' || o_custkey || '.pptx' FROM orders
         UNION ALL SELECT DISTINCT user_id * 5 + 4, 'photos/Photo? ' || user_id || '.png' FROM events""",
-    "c_pages": """SELECT doc_id * 5 + 1 AS doc_id, page_no, text, rasterized, ocr_error, block_error,
-          image_saved FROM order_pages
-        UNION ALL SELECT doc_id * 5 + 2, page_no, text, rasterized, ocr_error, block_error,
-          image_saved FROM doc_pages
-        UNION ALL SELECT doc_id * 5 + 4, page_no, text, rasterized, ocr_error, block_error,
-          image_saved FROM image_pages""",
+    "c_pages": """SELECT doc_id * 5 + 1 AS doc_id, page_no, embedded_text, ocr_text, rasterized,
+          ocr_error, block_error, image_saved FROM order_pages
+        UNION ALL SELECT doc_id * 5 + 2, page_no, embedded_text, ocr_text, rasterized,
+          ocr_error, block_error, image_saved FROM doc_pages
+        UNION ALL SELECT doc_id * 5 + 4, page_no, embedded_text, ocr_text, rasterized,
+          ocr_error, block_error, image_saved FROM image_pages
+        UNION ALL SELECT doc_id * 5, 0, CASE WHEN doc_id % 8 < 2 AND doc_id % 3 = 0 THEN text END,
+          CASE WHEN doc_id % 8 > 1 OR doc_id % 3 > 0 THEN text END, true, NULL, false, doc_id % 2 = 0
+          FROM documents WHERE doc_id % 8 IN (0, 1, 4, 5)""",
     "c_page_facts": f"""SELECT doc_id, count(*) AS pages, length({strip(
-          "coalesce(string_agg(CASE WHEN page_no < 3 THEN text END, '' ORDER BY page_no), '')"
+          "coalesce(string_agg(CASE WHEN page_no < 3 THEN embedded_text END, '' ORDER BY page_no), '')"
         )}) > 50 AS has_text FROM c_pages GROUP BY doc_id""",
-    "c_slides": "SELECT doc_id * 5 + 3 AS doc_id, page_no, error FROM shape_slides",
+    "c_slides": """SELECT doc_id * 5 + 3 AS doc_id, page_no, error FROM shape_slides
+        UNION ALL SELECT doc_id * 5, 0, NULL FROM documents WHERE doc_id % 8 IN (2, 3)""",
     "c_slide_counts": "SELECT doc_id, count(*) AS slides FROM c_slides GROUP BY doc_id",
     "c_typed": f"""SELECT doc_id, file, {kind_of("file")} AS kind, {output_of("file")} AS output
         FROM (SELECT doc_id, {file_of("path")} AS file FROM c_files)""",
@@ -294,11 +306,11 @@ SLIDE_FAILED = page_warning("Diapositiva {n}: error al procesar.")
 
 SCANNED_MD = f"""CASE WHEN NOT rasterized THEN {NOT_RASTERIZED}
     WHEN ocr_error IS NOT NULL THEN {OCR_FAILED}
-    WHEN {strip("text")} = '' THEN {OCR_EMPTY} ELSE text END"""
+    WHEN {strip("coalesce(ocr_text, '')")} = '' THEN {OCR_EMPTY} ELSE ocr_text END"""
 IMAGE_MD = f"""CASE WHEN ocr_error IS NOT NULL
     THEN {padded("'> ⚠️ Error al aplicar OCR: ' || ocr_error")}
-    WHEN {strip("text")} = '' THEN {padded("'> ⚠️ OCR no produjo resultado para ' || file || '.'")}
-    ELSE text END"""
+    WHEN {strip("coalesce(ocr_text, '')")} = ''
+    THEN {padded("'> ⚠️ OCR no produjo resultado para ' || file || '.'")} ELSE ocr_text END"""
 K3 = "0::DOUBLE AS k1, 0::DOUBLE AS k2, {} AS k3, 0::BIGINT AS k4"
 SHAPE_KEYS = """coalesce(top, 0)::DOUBLE AS k1, coalesce(left_, 0)::DOUBLE AS k2,
     shape_no AS k3, pos::BIGINT AS k4"""
@@ -306,6 +318,11 @@ SLIDE_TABLE = f"""list_transform(rows, lambda r: list_transform(r, lambda c:
     replace({strip("c")}, {NL}, ' ')))"""
 
 
+def but_failed(pages: str, failed: str) -> str:
+    """What was read last on a page is missing if the page failed."""
+    return f"ANTI JOIN (SELECT doc_id, page_no FROM {pages} WHERE {failed}) f USING (doc_id, page_no)"
+
+
 def text_pdf_blocks(pages: str, blocks: str, tables: str, images: str) -> str:
     return " UNION ALL ".join(
         [
@@ -313,7 +330,9 @@ def text_pdf_blocks(pages: str, blocks: str, tables: str, images: str) -> str:
             _block(
                 1, "text", blocks, f"{BAND} AS k1, x0 AS k2, block_no AS k3, 0::BIGINT AS k4"
             ),
-            _block(2, table_md("rows", "width"), tables, K3.format("table_no::BIGINT")),
+            _block(
+                2, table_md("rows", "width"), f"{tables} {but_failed(pages, 'block_error')}", K3.format("table_no::BIGINT")
+            ),
             _block(4, PARTIAL, f"{pages} WHERE block_error"),
             _block(5, padded(link("'Figura'", "image_name")), images, K3.format("image_no")),
         ]
@@ -335,7 +354,7 @@ def shape_blocks(shapes: str, lines: str) -> str:
     good = "error IS NULL AND kind = '{}'"
     picture = f"(SELECT *, 0 AS pos FROM {shapes} WHERE {good.format('PICTURE')} AND decoded)"
     ocr = f"""(SELECT * REPLACE (CASE WHEN image_name IS NULL THEN 0 ELSE 1 END AS pos)
-        FROM {picture} WHERE {strip("ocr_text")} <> '')"""
+        FROM {picture} WHERE ocr_error IS NULL AND {strip("ocr_text")} <> '')"""
     table = f"(SELECT *, 0 AS pos FROM {shapes} WHERE {good.format('TABLE')})"
     return " UNION ALL ".join(
         [
@@ -360,7 +379,7 @@ def slide_blocks(slides: str, shapes: str, lines: str, notes: str) -> str:
             _block(
                 3,
                 padded(f"'> **Notas:** ' || {strip('text')}"),
-                f"{notes} WHERE {strip('text')} <> ''",
+                f"{notes} {but_failed(slides, 'error IS NOT NULL')} WHERE {strip('text')} <> ''",
             ),
             _block(4, SLIDE_FAILED, f"{slides} WHERE error IS NOT NULL"),
         ]
@@ -386,7 +405,9 @@ CTES |= {
         AS image_name FROM shapes""",
     # --- corpus blocks, by route ------------------------------------------------------
     "c_prefix": f"""SELECT doc_id, kind, route, file, {sanitized(stem_of("file"))} AS prefix FROM c_docs""",
-    "c_blocks": "SELECT * REPLACE (doc_id * 5 + 1 AS doc_id) FROM kept_blocks",
+    "c_blocks": f"""SELECT doc_id * 5 + 1 AS doc_id, page_no, block_no, x0, y0, text FROM kept_blocks
+        UNION ALL SELECT doc_id * 5, 0, 0, 0, 0, {strip("text")} FROM documents
+        WHERE doc_id % 8 < 2 AND doc_id % 3 = 0 AND {strip("text")} <> ''""",
     "c_tables": "SELECT * REPLACE (doc_id * 5 + 1 AS doc_id) FROM page_tables",
     "c_refs": """SELECT * REPLACE (doc_id * 5 AS doc_id) FROM image_refs
         UNION ALL SELECT * REPLACE (doc_id * 5 + 1 AS doc_id) FROM image_refs""",
@@ -405,7 +426,8 @@ CTES |= {
               ORDER BY page_no, coalesce(top, 0), coalesce(left_, 0), shape_no) AS image_number
             FROM shapes WHERE kind = 'PICTURE' AND error IS NULL AND decoded) USING (doc_id, shape_no)""",
     "c_lines": "SELECT * REPLACE (doc_id * 5 + 3 AS doc_id) FROM paragraph_lines",
-    "c_notes": "SELECT * REPLACE (doc_id * 5 + 3 AS doc_id) FROM notes",
+    "c_notes": """SELECT doc_id * 5 + 3 AS doc_id, page_no, text FROM notes
+        UNION ALL SELECT doc_id * 5, 0, text FROM documents WHERE doc_id % 8 IN (2, 3)""",
     "c_photos": """SELECT p.*, file FROM c_pages p JOIN c_prefix USING (doc_id) WHERE route = 'image'""",
     # decks have no quick text here, so only PDFs get an image section
     "c_figures": f"""SELECT doc_id, string_agg({link("'Figura ' || figure", "image_name")}, {NL}
@@ -431,6 +453,10 @@ CTES |= {
           FROM c_all_blocks JOIN (SELECT doc_id, route FROM c_docs) USING (doc_id, route)
           WHERE {strip("md")} <> '' GROUP BY doc_id, route)
         UNION ALL SELECT * FROM c_quick""",
+    "c_documents": f"""SELECT doc_id, route, pages, engine, output,
+        {front_matter("file", "pages", "engine", "route = 'quick'")} || {NL} || {NL}
+        || coalesce(body, '') || {NL} AS markdown
+        FROM c_docs LEFT JOIN c_bodies USING (doc_id, route) WHERE status = 'ok'""",
 }
 
 # --- queries ----------------------------------------------------------------------------
@@ -452,7 +478,8 @@ SQL = {
     "scan_one": f"{CORPUS_FILE} WHERE doc_id = (SELECT arg_max(doc_id, path) FROM files)",
     "distinct_sorted_paths": """SELECT DISTINCT event_type || '/User ' || user_id || '.pdf' AS path
         FROM events ORDER BY string_split(path, '/')""",
-    "write_documents": "SELECT string_split(output, '/')[-1] AS file, markdown FROM quick_documents",
+    "write_documents": """SELECT string_split(output, '/')[-1] AS file, markdown FROM c_documents
+        WHERE doc_id % 5 = 0""",
     "run_report": """SELECT file, pages, engine, status,
         CASE WHEN status = 'ok' THEN output ELSE '—' END AS output FROM c_docs""",
     "file_type": f"""SELECT doc_id, {stem_of("file")} AS stem, {suffix_of("file")} AS suffix,
@@ -468,7 +495,7 @@ SQL = {
     "quick_sufficient": f"SELECT doc_id, {sufficient('text')} AS sufficient FROM documents",
     "has_embedded_text": """SELECT doc_id, has_text FROM c_page_facts
         WHERE doc_id IN (SELECT doc_id FROM c_pages WHERE page_no < 3)""",
-    "first_pages": "SELECT doc_id, page_no, text FROM doc_pages WHERE page_no < 3",
+    "first_pages": "SELECT doc_id, page_no, embedded_text, ocr_text FROM doc_pages WHERE page_no < 3",
     "text_blocks": "SELECT doc_id, page_no, block_no, text FROM kept_blocks",
     "drop_blank_blocks": f"SELECT doc_id, block_no, text FROM blocks WHERE {strip('text')} <> ''",
     "ocr_confident_lines": """SELECT doc_id, page_no, line_no, text FROM ocr_lines
@@ -533,7 +560,7 @@ SQL = {
                 1,
                 SCANNED_MD,
                 f"""doc_pages WHERE NOT rasterized OR ocr_error IS NOT NULL
-                    OR {strip("text")} = ''""",
+                    OR {strip("ocr_text")} = ''""",
             ),
             _block(4, PARTIAL, "doc_pages WHERE block_error"),
         ]
@@ -541,7 +568,7 @@ SQL = {
     "doc_warnings": " UNION ALL ".join(
         [
             _block(
-                1, IMAGE_MD, f"image_pages WHERE ocr_error IS NOT NULL OR {strip('text')} = ''"
+                1, IMAGE_MD, f"image_pages WHERE ocr_error IS NOT NULL OR {strip('ocr_text')} = ''"
             ),
             _block(4, SLIDE_FAILED, "slides WHERE error IS NOT NULL"),
         ]
@@ -556,7 +583,8 @@ SQL = {
         CASE WHEN kind IS NULL OR route = 'quick' THEN status ELSE 'error: Motor OCR no soportado: '
           || '"it''s". Opciones: [''paddle'', ''surya'', ''tesseract'']' END
         AS status_unknown_engine FROM c_docs""",
-    "unreadable_ok": "SELECT doc_id, pages, engine, markdown FROM quick_documents",
+    "unreadable_ok": """SELECT doc_id, kind, pages, engine, status, 0::BIGINT AS part_no, markdown
+        FROM unreadable""",
     "output_collisions": """SELECT 'output/User ' || user_id || '.md' AS output,
         count(DISTINCT event_type) AS n_files FROM events
         GROUP BY user_id HAVING count(DISTINCT event_type) > 1""",
@@ -580,14 +608,25 @@ SQL = {
         FROM (SELECT doc_id, {joined("md", ORDER, f"{NL} || {NL}")} AS joined FROM scan_blocks
               WHERE {strip("md")} <> '' AND section <> 5 GROUP BY doc_id)
         JOIN (SELECT doc_id, count(*) AS pages FROM doc_pages GROUP BY doc_id) USING (doc_id)""",
-    "convert_corpus": f"""SELECT doc_id, route, pages, engine, output, 0::BIGINT AS part_no,
-        {front_matter("file", "pages", "engine", "route = 'quick'")} || {NL} || {NL}
-        || coalesce(body, '') || {NL} AS markdown
-        FROM c_docs LEFT JOIN c_bodies USING (doc_id, route) WHERE status = 'ok'""",
+    "convert_corpus": """SELECT doc_id, route, pages, engine, output, 0::BIGINT AS part_no, markdown
+        FROM c_documents""",
 }
 
-WITH = "WITH " + ",\n".join(f"{name} AS ({sql})" for name, sql in CTES.items())
+
+
+def _used(sql: str) -> set[str]:
+    """Names of the common tables that a query needs, also through others."""
+    found = {name for name in CTES if re.search(rf"\b{name}\b", sql)}
+    return found.union(*(_used(CTES[name]) for name in found if CTES[name] != sql))
 
 
 def oracles() -> dict[str, str]:
-    return {name: f"{WITH}\n{sql}" for name, sql in SQL.items()}
+    """Each query with just the tables it needs; those that several others read are made once."""
+    whole = {}
+    for name, sql in SQL.items():
+        used = _used(sql)
+        parts = ",\n".join(
+            f"{t} AS {'MATERIALIZED ' if t in ('c_docs', 'c_pages', 'c_images') else ''}({CTES[t]})" for t in CTES if t in used
+        )
+        whole[name] = f"WITH {parts}\n{sql}" if parts else sql
+    return whole

@@ -6,13 +6,14 @@ come from its columns.  ``corpus`` brings them together in one id space.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.blocks import in_parts
 from ..operators.documents import join_ocr_lines
-from ..session import checkpointed
 from ..sources.corpus import spread
 from .convert import DocumentTables
 
@@ -22,6 +23,7 @@ SPACES = ["documents", "orders", "conversations", "customers", "users"]
 _SHAPE_ROWS = """
     array(array('Key', 'Total\\nprice'),
           array(cast(o_orderkey as string), concat('  ', o_orderstatus, ' '), 'extra'),
+          array(cast(null as string), o_orderpriority),
           array(o_orderpriority))
 """
 _SHAPE_PARAGRAPHS = """
@@ -65,7 +67,8 @@ class Vehicles:
         return self.table("conversations").selectExpr(
             "conv_id as doc_id",
             "cast(turn as int) as page_no",
-            "case when turn % 5 = 2 and role = 'user' then ' \\n ' else text end as text",
+            "case when turn % 5 = 0 then ' \\n' end as embedded_text",
+            "case when turn % 5 = 2 and role = 'user' then ' \\n ' else text end as ocr_text",
             "turn % 5 <> 4 as rasterized",
             "case when turn % 5 = 3 and role = 'assistant' then 'timeout' end as ocr_error",
             "turn % 5 = 1 and role = 'user' as block_error",
@@ -88,17 +91,20 @@ class Vehicles:
         )
 
     def order_pages(self) -> DataFrame:
-        """Three pages per order; those with status P have hardly any embedded text."""
+        """Three pages per order; those with status P have only blanks embedded and were read by OCR."""
         return self.table("orders").selectExpr(
             "o_orderkey as doc_id",
             "explode(array(0, 1, 2)) as page_no",
             """case when o_orderstatus = 'P' then ' - '
-                    else concat('Order ', o_orderkey, ' of ', o_orderpriority, ' ') end as text""",
+                    else concat('Order ', o_orderkey, ' of ', o_orderpriority, ' ') end as embedded_text""",
+            """case when o_orderstatus = 'P' then concat('Scanned order ', o_orderkey, ' of ',
+                    o_orderpriority, ' with a total price of ', cast(o_totalprice as bigint)) end as ocr_text""",
             "o_orderstatus <> 'F' as image_saved",
         ).selectExpr(
             "doc_id",
             "page_no",
-            "text",
+            "embedded_text",
+            "ocr_text",
             "true as rasterized",
             "cast(null as string) as ocr_error",
             "page_no = 2 and doc_id % 10 = 0 as block_error",
@@ -137,6 +143,7 @@ class Vehicles:
                  else concat('OCR of  ', o_orderkey) end as ocr_text""",
             "o_orderkey % 7 <> 0 as decoded",
             "o_orderstatus <> 'F' as saved",
+            "case when o_orderkey % 5 = 0 then 'timeout' end as ocr_error",
             "case when o_orderkey % 11 = 0 then 'broken' end as error",
         )
 
@@ -180,27 +187,63 @@ class Vehicles:
             "value > 5 as saved",
         )
 
-    def image_pages(self) -> DataFrame:
-        """Image files: one per user, with the OCR text of all lines and sometimes a failure."""
+    def image_pages(self, **limits: int) -> DataFrame:
+        """Image files: one per user, with the OCR text of all lines and sometimes a failure.
+
+        A very long text keeps its parts.
+        """
         lines = self.ocr_lines().withColumn("page_no", F.lit(0))
-        return join_ocr_lines(lines, confident_only=True).selectExpr(
+        return join_ocr_lines(lines, confident_only=True, **limits).selectExpr(
             "doc_id",
             "page_no",
-            "case when doc_id % 5 = 1 then '' else text end as text",
+            "part_no",
+            "cast(null as string) as embedded_text",
+            "case when doc_id % 5 = 1 then '' else text end as ocr_text",
             "true as rasterized",
             "case when doc_id % 5 = 2 then concat('engine stopped at ', doc_id) end as ocr_error",
             "false as block_error",
             "doc_id % 5 <> 3 as image_saved",
         )
 
-    def corpus(self) -> DocumentTables:
-        """All of the above as one corpus of five kinds of files."""
+    # Second tier of the documents space, for files whose quick text does not suffice: PDFs
+    # (every third with embedded text) and images are one page, decks are one slide with notes.
+
+    def file_pages(self) -> DataFrame:
+        return self.table("documents").where("doc_id % 8 in (0, 1, 4, 5)").selectExpr(
+            "doc_id",
+            "0 as page_no",
+            "case when doc_id % 8 < 2 and doc_id % 3 = 0 then text end as embedded_text",
+            "case when doc_id % 8 > 1 or doc_id % 3 > 0 then text end as ocr_text",
+            "true as rasterized",
+            "cast(null as string) as ocr_error",
+            "false as block_error",
+            "doc_id % 2 = 0 as image_saved",
+        )
+
+    def file_blocks(self) -> DataFrame:
+        return self.table("documents").where("doc_id % 8 < 2 and doc_id % 3 = 0").selectExpr(
+            "doc_id", "0 as page_no", "0L as block_no", "0 as block_type", "0D as x0", "0D as y0", "text"
+        )
+
+    def file_notes(self) -> DataFrame:
+        return self.table("documents").where("doc_id % 8 in (2, 3)").selectExpr(
+            "doc_id", "0 as page_no", "text"
+        )
+
+    def file_slides(self) -> DataFrame:
+        return self.file_notes().selectExpr("doc_id", "page_no", "cast(null as string) as error")
+
+    def corpus(self, spaces: Sequence[str] = SPACES) -> DocumentTables:
+        """All of the above as one corpus of five kinds of files, or only some spaces of it."""
 
         def placed(df: DataFrame, space: str) -> DataFrame:
             return df.withColumn("doc_id", F.col("doc_id") * 5 + SPACES.index(space))
 
         def together(**frames: DataFrame) -> DataFrame:
-            return reduce(DataFrame.unionByName, [placed(df, at) for at, df in frames.items()])
+            chosen = {at: df for at, df in frames.items() if at in spaces}
+            if not chosen:  # a table without rows
+                chosen = {at: df.where(F.lit(False)) for at, df in list(frames.items())[:1]}
+            return reduce(DataFrame.unionByName, [placed(df, at) for at, df in chosen.items()])
 
         def named(df: DataFrame, key: str, before: str, after: str) -> DataFrame:
             path = F.concat(F.lit(before), F.col(key), F.lit(after))
@@ -216,14 +259,15 @@ class Vehicles:
             ),
             quick_text=together(documents=self.quick_text()),
             doc_pages=together(
-                orders=self.order_pages(),
-                conversations=self.doc_pages(),
-                users=checkpointed(self.image_pages()),
+                documents=in_parts(self.file_pages()),
+                orders=in_parts(self.order_pages()),
+                conversations=in_parts(self.doc_pages()),
+                users=self.image_pages(),
             ),
-            blocks=together(orders=self.blocks()),
+            blocks=together(documents=self.file_blocks(), orders=self.blocks()),
             table_rows=together(orders=self.table_rows()),
-            slides=together(customers=self.shape_slides()),
+            slides=together(documents=self.file_slides(), customers=self.shape_slides()),
             shapes=together(customers=self.shapes()),
-            notes=together(customers=self.notes()),
+            notes=together(documents=self.file_notes(), customers=self.notes()),
             image_refs=together(documents=self.image_refs(), orders=self.image_refs()),
         )

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names as n
@@ -35,17 +35,29 @@ def write_text_folders(documents: DataFrame, folder: str, mode: str = "errorifex
 
 
 def part_file(output: Column, part_no: Column) -> Column:
-    """File of a part: the output itself, with ``.<part_no>`` added after the first part."""
-    return F.when(part_no == 0, output).otherwise(F.concat(output, F.lit("."), part_no))
+    """File of a part: the output itself, later parts as ``name.part<part_no>.md``."""
+    later = F.concat(n.stem(output), F.lit(".part"), part_no, n.suffix(output))
+    return F.when(part_no == 0, output).otherwise(later)
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` as Spark itself would resolve it, with the scheme of its file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def write_files(texts: DataFrame, folder: str) -> DataFrame:
     """Write ``file, text`` rows as UTF-8 files under a shared folder; ``file, bytes`` back.
 
-    ``folder`` is an absolute path or a URI that Arrow knows (hdfs, s3, gs, file).
-    Tasks write their own rows; a task that runs again writes the same files again.
-    Two rows with the same name overwrite each other.
+    ``folder`` is resolved as Spark does it; its file system must be one that Arrow
+    knows (hdfs, s3, gs, file).  Tasks write their own rows; a task that runs again
+    writes the same files again.  Two rows with one name are refused before anything
+    is written, as one would overwrite the other.
     """
+    folder = qualified(texts.sparkSession, folder)
+    twice = texts.groupBy("file").count().where("count > 1").select("file").first()
+    if twice:
+        raise ValueError(f"several documents would be written to {twice[0]!r}")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs

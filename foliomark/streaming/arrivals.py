@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.skew import BROADCAST_GROUPS
 from ..plans.convert import DocumentTables, Options, convert
+from ..session import scratch
 from ..sources.corpus import suffix_glob
 
 BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
@@ -24,7 +25,7 @@ BINARY_FILE = "path string, modificationTime timestamp, length long, content bin
 def arriving_files(spark: SparkSession, root: str, any_case: bool = False) -> DataFrame:
     """Stream of ``doc_id, path`` for supported files below a folder, each once.
 
-    The id is a hash of the path; decoders that use other ids bring their own stream.
+    The id is the path's SHA-256, so that no two files share one; decoders that use other ids bring their own stream.
     """
     files = (
         spark.readStream.format("binaryFile")
@@ -33,36 +34,34 @@ def arriving_files(spark: SparkSession, root: str, any_case: bool = False) -> Da
         .option("recursiveFileLookup", "true")
         .load(root)
     )
-    return files.select(F.xxhash64("path").alias("doc_id"), "path")
+    return files.select(F.sha2("path", 256).alias("doc_id"), "path")
 
 
 def convert_arrivals(
     files: DataFrame,
-    decoded: Callable[[SparkSession], DocumentTables],
+    decoded: Callable[[DataFrame], DocumentTables],
     folder: str,
     checkpoint: str,
     options: Options = Options(),
+    once: bool = True,
 ) -> StreamingQuery:
-    """Start converting a stream of ``doc_id, path``.
+    """Start converting a stream of ``doc_id, path``; ``once``: stop when all is converted.
 
-    ``decoded`` gives the decoded tables as they are when a batch starts.  Results
-    go to ``<folder>/documents/batch=<n>`` and ``<folder>/report/batch=<n>``; a batch
+    ``decoded`` gets the batch's files and gives their decoded tables, so that it can read
+    just the partitions they are in; rows of other files are ignored.  Results go to ``<folder>/documents/batch=<n>`` and ``<folder>/report/batch=<n>``; a batch
     that runs again replaces its own folders, so no document is written twice.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        tables = decoded(batch.sparkSession)
+        tables = decoded(batch)
         ids = batch.select("doc_id").distinct()
         if ids.count() <= BROADCAST_GROUPS:
             ids = F.broadcast(ids)
         mine = tables.restricted(lambda table: table.join(ids, "doc_id", "left_semi"))
-        documents, report = convert(replace(mine, files=batch), options)
-        documents.write.mode("overwrite").parquet(f"{folder}/documents/batch={number}")
-        report.write.mode("overwrite").parquet(f"{folder}/report/batch={number}")
+        with scratch(batch.sparkSession):
+            documents, report = convert(replace(mine, files=batch), options)
+            documents.write.mode("overwrite").parquet(f"{folder}/documents/batch={number}")
+            report.write.mode("overwrite").parquet(f"{folder}/report/batch={number}")
 
-    return (
-        files.writeStream.foreachBatch(run)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    writer = files.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()

@@ -9,17 +9,18 @@ from foliomark.sources import sinks
 
 SMALL = "/root/testdata/sf0.001"
 QUICK = "\n".join(["word" * 10] * 8)
+LONG = "a line that the engine read\n" * 20 + "end"
 SCHEMAS = {
     "files": "doc_id long, path string",
     "quick_text": "doc_id long, text string",
-    "doc_pages": "doc_id long, page_no int, text string, rasterized boolean, ocr_error string, "
-    "block_error boolean, image_saved boolean",
+    "doc_pages": "doc_id long, page_no int, embedded_text string, ocr_text string, rasterized boolean, "
+    "ocr_error string, block_error boolean, image_saved boolean",
     "blocks": "doc_id long, page_no int, block_no long, block_type int, x0 double, y0 double, text string",
     "table_rows": "doc_id long, page_no int, table_no int, extractor int, row_no long, cells array<string>",
     "slides": "doc_id long, page_no int, error string",
     "shapes": "doc_id long, page_no int, shape_no long, kind string, name string, top long, left long, "
     "paragraphs array<struct<level int, text string>>, rows array<array<string>>, ocr_text string, "
-    "decoded boolean, saved boolean, error string",
+    "decoded boolean, saved boolean, error string, ocr_error string",
     "notes": "doc_id long, page_no int, text string",
     "image_refs": "doc_id long, page_no int, image_no long, decoded boolean, saved boolean",
 }
@@ -33,26 +34,31 @@ ROWS = {
         (6, "in/broken.pdf"),
         (7, "in/note.txt"),
         (8, "in/quick.png"),
+        (9, "in/long scan.pdf"),
     ],
     "quick_text": [(1, QUICK), (2, "short"), (3, None), (8, QUICK)],
     "doc_pages": [
-        (1, 0, "x" * 60, True, None, False, True),
-        (2, 0, "x" * 60, True, None, False, True),
-        (2, 1, "", True, None, True, True),
-        (3, 0, "ocr text", True, None, False, True),
-        (3, 1, None, False, None, False, True),
-        (5, 0, "photo text", True, None, False, True),
-        (8, 0, "", True, None, False, False),
+        (1, 0, "x" * 60, None, True, None, False, True),
+        (2, 0, "x" * 60, None, True, None, False, True),
+        (2, 1, "", None, True, None, True, True),
+        (3, 0, " ", "ocr text", True, None, False, True),
+        (3, 1, None, None, False, None, False, True),
+        (5, 0, None, "photo text", True, None, False, True),
+        (8, 0, None, "", True, None, False, False),
+        # far more OCR text than makes a text PDF
+        (9, 0, "  ", LONG, True, None, False, False),
+        (9, 1, "", "more", True, None, False, False),
     ],
     "blocks": [(2, 0, 1, 0, 0.0, 0.0, "• item"), (2, 0, 2, 0, 50.0, 0.0, "##  two  words")],
-    "table_rows": [(2, 0, 0, 2, 0, ["a", "b"]), (2, 0, 0, 2, 1, ["1", None])],
-    "slides": [(4, 0, None)],
+    "table_rows": [(2, 0, 0, 2, 0, ["a", "b"]), (2, 0, 0, 2, 1, ["1", None]), (2, 1, 0, 1, 0, ["lost"])],
+    "slides": [(4, 0, None), (4, 1, "broken")],
     "shapes": [
-        (4, 0, 1, "TEXT", "Title", 5, 0, [(0, "Head")], None, None, True, True, None),
-        (4, 0, 2, "PICTURE", "p", 9, 0, None, None, "seen", True, True, None),
-        (4, 0, 3, "PICTURE", "p", 1, 0, None, None, "", True, True, None),
+        (4, 0, 1, "TEXT", "Title", 5, 0, [(0, "Head")], None, None, True, True, None, None),
+        (4, 0, 2, "PICTURE", "p", 9, 0, None, None, "seen", True, True, None, None),
+        (4, 0, 3, "PICTURE", "p", 1, 0, None, None, "lost", True, True, None, "timeout"),
+        (4, 1, 1, "TEXT", "Body", 5, 0, [(0, "before it broke")], None, None, True, True, None, None),
     ],
-    "notes": [(4, 0, "say")],
+    "notes": [(4, 0, "say"), (4, 1, "never read")],
     "image_refs": [(1, 0, 0, True, True), (1, 0, 1, True, False), (1, 1, 0, True, True), (2, 0, 0, True, True)],
 }
 
@@ -80,10 +86,12 @@ WANTED = {
     3: "\n# Página 1\n\nocr text\n\n![Página 1](images/scan_image_001.png)\n\n# Página 2\n\n"
     "> ⚠️ Página 2: no pudo rasterizarse. Contenido omitido.\n",
     4: "\n# Diapositiva 1\n\n![Figura](images/deck_image_001.png)\n\n## Head\n\n"
-    "![Figura](images/deck_image_002.png)\n\nseen\n\n> **Notas:** say\n",
+    "![Figura](images/deck_image_002.png)\n\nseen\n\n> **Notas:** say\n\n"
+    "# Diapositiva 2\n\nbefore it broke\n\n> ⚠️ Diapositiva 2: error al procesar.\n",
     5: "\nphoto text\n\n![photo](images/photo_image_001.png)\n",
     6: "\n\n",
     8: "\n> ⚠️ OCR no produjo resultado para quick.png.\n",
+    9: "\n# Página 1\n\n" + LONG + "\n\n# Página 2\n\nmore\n",
 }
 
 
@@ -108,12 +116,15 @@ def test_every_kind_of_file(tables, sliced, limits):
         "quick.pdf": (1, "markitdown", "ok", "output/quick.md"),
         "text.pdf": (2, "tesseract", "ok", "output/text.md"),
         "scan.pdf": (2, "tesseract", "ok", "output/scan.md"),
-        "deck.pptx": (1, "tesseract", "ok", "output/deck.md"),
+        "deck.pptx": (2, "tesseract", "ok", "output/deck.md"),
         "photo.png": (1, "tesseract", "ok", "output/photo.md"),
         "broken.pdf": (0, "tesseract", "ok", "output/broken.md"),
         "note.txt": (0, "none", "error: Tipo de archivo no soportado: '.txt'", "—"),
         "quick.png": (1, "tesseract", "ok", "output/quick.md"),
+        "long scan.pdf": (2, "tesseract", "ok", "output/long scan.md"),
     }
+    routes = dict(documents.where("part_no = 0").select("doc_id", "route").collect())
+    assert (routes[2], routes[3], routes[9]) == ("text_pdf", "scanned_pdf", "scanned_pdf")
 
 
 def test_no_quick_tier_and_no_images(tables):
@@ -130,12 +141,51 @@ def test_unknown_engine_spares_quick_documents(tables):
     assert {row["engine"] for row in report.collect()} == {"markitdown", "none"}
 
 
-def test_route_filter_does_not_change_results(tables, monkeypatch):
-    from foliomark.plans import convert as module
-
-    monkeypatch.setattr(module, "BROADCAST_GROUPS", -1)
-    documents, _ = convert(tables, Options(extract_images=True))
-    assert bodies(documents) == WANTED
+def test_routes_are_chosen_before_the_gathering(spark, tables):
+    """Without broadcasts the join to the plan and the gathering share one partitioning."""
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"]
+    spark.conf.set(names[0], "-1")
+    spark.conf.set(names[1], "false")
+    try:
+        documents, _ = convert(tables, Options(extract_images=True))
+        plan = documents._jdf.queryExecution().executedPlan().toString()
+        assert bodies(documents) == WANTED
+    finally:
+        for name in names:
+            spark.conf.unset(name)
+    above, found, below = plan.partition("collect_list(struct(page_no")
+    assert found and "LeftSemi" in below and "Exchange" not in below.split("LeftSemi")[0].split("collect_list")[-1]
+
+
+def test_failed_files(spark, tables):
+    """A failure of the second tier is the file's status, in its own words; quick files are spared."""
+    from dataclasses import replace
+
+    failed = tables.files.withColumn("error", F.when(F.col("doc_id") < 4, "engine not installed"))
+    documents, report = convert(replace(tables, files=failed), Options())
+    rows = {row["file"]: tuple(row)[1:] for row in report.collect()}
+    assert rows["quick.pdf"] == (1, "markitdown", "ok", "output/quick.md")
+    assert rows["scan.pdf"] == rows["text.pdf"] == (0, "none", "error: engine not installed", "—")
+    assert {row["doc_id"] for row in documents.collect()} == {1, 4, 5, 6, 8, 9}
+
+
+def test_long_pages_in_parts(spark, sliced):
+    """A page's OCR text that comes in parts is one page, in order, for everything that reads it."""
+    vehicles = Vehicles(spark, SMALL)
+    options = Options(extract_images=True, generated_at="2024-01-01")
+    parts = vehicles.image_pages(group_rows=3, part_chars=30)
+    assert parts.where("part_no > 0").count() > 0
+    counts = parts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("part_no").alias("last"))
+    assert counts.where("n <> last + 1").count() == 0
+    corpus = vehicles.corpus(["users"])
+    cut = DocumentTables(**{
+        name: parts.withColumn("doc_id", F.col("doc_id") * 5 + 4) if name == "doc_pages" else getattr(corpus, name)
+        for name in SCHEMAS
+    })
+    whole, wanted = convert(corpus, options)
+    found, report = convert(cut, options)
+    assert bodies(found) == bodies(whole)
+    assert sorted(report.collect()) == sorted(wanted.collect())
 
 
 def test_given_corpus_in_parts(spark, sliced):

@@ -15,13 +15,13 @@ from foliomark.operators import tables as tab
 from .helpers import apply
 
 PAGES = (
-    "doc_id long, page_no int, text string, rasterized boolean, ocr_error string, "
+    "doc_id long, page_no int, ocr_text string, rasterized boolean, ocr_error string, "
     "block_error boolean, image_saved boolean"
 )
 SHAPES = (
     "doc_id long, page_no int, shape_no long, kind string, name string, top long, left long, "
     "paragraphs array<struct<level int, text string>>, rows array<array<string>>, ocr_text string, "
-    "decoded boolean, saved boolean, error string, image_name string"
+    "decoded boolean, saved boolean, error string, image_name string, ocr_error string"
 )
 
 
@@ -66,7 +66,7 @@ def test_output_and_image_names(spark):
 
 
 def test_quoted(spark):
-    given = [".txt", "", "it's", "\"it's", "a\\b"]
+    given = [".txt", "", "it's", "\"it's", "a\\b", "a\tb\nc\r"]
     assert apply(spark, n.quoted, given) == [repr(text) for text in given]
 
 
@@ -82,9 +82,14 @@ def test_quick_gate(spark):
 
 def test_embedded_text_looks_at_three_pages(spark):
     rows = [(1, 0, "x" * 30), (1, 1, "x" * 21), (2, 0, "x" * 50), (3, 0, " "), (3, 3, "x" * 99)]
-    pages = spark.createDataFrame(rows, "doc_id long, page_no int, text string")
+    # white space counts between inked pages, and not at the ends
+    rows += [(4, 0, "\n x"), (4, 1, " " * 48), (4, 2, None), (4, 2, "x \x1c\u3000"), (5, 0, " "), (5, 1, " " * 20 + "x" * 40)]
+    rows += [(6, 0, "x" * 25), (6, 1, " "), (6, 2, " " * 30 + "x" * 24 + "\n" * 9), (7, 0, None)]
+    pages = spark.createDataFrame(rows, "doc_id long, page_no int, embedded_text string")
     found = {row["doc_id"]: (row["pages"], row["has_text"]) for row in g.page_facts(pages).collect()}
-    assert found == {1: (2, True), 2: (1, False), 3: (2, False)}
+    assert found == {
+        1: (2, True), 2: (1, False), 3: (2, False), 4: (4, False), 5: (2, False), 6: (3, True), 7: (1, False)
+    }
 
 
 # --- tables ----------------------------------------------------------------------
@@ -102,6 +107,9 @@ def test_page_table_is_as_wide_as_its_widest_row(spark):
     assert render(spark, tb.table_md_padded, RAGGED) == "\n".join(lines)
     assert render(spark, tb.table_md_padded, []) is None
     assert render(spark, tb.table_md_padded, [["a|b\nc"]]) == "| a|b\nc |\n| --- |"
+    wanted = "| a |  | c |\n| --- | --- | --- |"
+    assert render(spark, tb.table_md_padded, [["a", None, "c"]]) == wanted
+    assert render(spark, tb.table_md_header_width, [["a", None, "c"]]) == wanted
 
 
 def test_slide_table_is_as_wide_as_its_header(spark):
@@ -144,7 +152,7 @@ def test_reading_order(spark):
 
 
 def test_shape_order(spark):
-    rows = [(1, 0, 0, 200, 0), (1, 0, 1, 0, 50), (1, 0, 2, 100, 0), (1, 0, 3, None, None)]
+    rows = [(1, 0, 0, 731, 4), (1, 0, 1, 12, 88), (1, 0, 2, 340, 4), (1, 0, 3, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, page_no int, shape_no long, top long, left long")
     found = o.shape_order(df).orderBy("shape_pos").collect()
     assert [row["shape_no"] for row in found] == [3, 1, 2, 0]
@@ -208,8 +216,8 @@ def test_text_pages(spark):
     ]
 
 
-def shape(number, kind, name="", paragraphs=None, rows=None, ocr=None, error=None, image=None, decoded=True):
-    return (1, 0, number, kind, name, number, 0, paragraphs, rows, ocr, decoded, True, error, image)
+def shape(number, kind, name="", paragraphs=None, rows=None, ocr=None, error=None, image=None, decoded=True, failed=None):
+    return (1, 0, number, kind, name, number, 0, paragraphs, rows, ocr, decoded, True, error, image, failed)
 
 
 def test_shapes(spark):
@@ -224,6 +232,7 @@ def test_shapes(spark):
             shape(5, "PICTURE", ocr="lost", decoded=False),
             shape(6, "TEXT", "Content", [(0, "broken")], error="x"),
             shape(7, "LINE"),
+            shape(8, "PICTURE", ocr="lost", image="d_image_002.png", failed="timeout"),
         ],
         SHAPES,
     )
@@ -235,12 +244,13 @@ def test_shapes(spark):
         "| A | B |\n| --- | --- |\n| 1 | 2 |",
         "\n![Figura](images/d_image_001.png)\n",
         "seen",
+        "\n![Figura](images/d_image_002.png)\n",
     ]
 
 
 def test_slides_with_notes_and_failure(spark):
     slides = spark.createDataFrame([(1, 0, None), (1, 1, "x")], "doc_id long, page_no int, error string")
-    notes = spark.createDataFrame([(1, 0, " note\n"), (1, 1, " ")], "doc_id long, page_no int, text string")
+    notes = spark.createDataFrame([(1, 0, " note\n"), (1, 1, "never read"), (1, 0, " ")], "doc_id long, page_no int, text string")
     none = spark.createDataFrame([], SHAPES)
     assert texts(b.slide_blocks(slides, none, notes)) == [
         "\n## Diapositiva 1\n",
@@ -278,7 +288,7 @@ def test_confident_lines_keep_empty_pages(spark):
 
 def test_status(spark):
     rows = [("a.pdf", "pdf", "text_pdf"), ("b.PDF", "pdf", "quick"), ("c.TXT", None, None)]
-    df = spark.createDataFrame(rows, "file string, kind string, route string")
+    df = spark.createDataFrame(rows, "file string, kind string, route string").withColumn("error", F.lit(None).cast("string"))
     found = [tuple(row) for row in df.select(r.file_status(), r.file_status("gpt")).collect()]
     unknown = "error: Motor OCR no soportado: 'gpt'. Opciones: ['paddle', 'surya', 'tesseract']"
     unsupported = "error: Tipo de archivo no soportado: '.txt'"

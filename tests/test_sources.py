@@ -72,6 +72,33 @@ def test_shared_folder_is_the_one_the_cluster_names():
         shared_folder(Cluster(None))
 
 
+def test_local_cluster_is_a_cluster():
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(Cluster(None, "local-cluster[2,1,1024]"))
+
+
+def test_scratch_folders_go(spark):
+    from foliomark.session import run_folder, scratch
+
+    with scratch(spark):
+        folder = run_folder(spark, "scratch-test")
+        spark.range(3).write.parquet(folder)
+        assert spark.read.parquet(folder).count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(folder)
+
+
+def test_file_sink_refuses_shared_names(spark, tmp_path):
+    from foliomark.sources.sinks import write_markdown_files
+
+    rows = [("o/a.md", 0, "x"), ("o/a.md", 1, "y"), ("o/a.part1.md", 0, "z")]
+    documents = spark.createDataFrame(rows, "output string, part_no long, markdown string")
+    with pytest.raises(ValueError, match="a.part1.md"):
+        write_markdown_files(documents, f"{tmp_path}/out")
+    write_markdown_files(documents.where("markdown <> 'z'"), f"{tmp_path}/out").count()
+    assert sorted(p.name for p in (tmp_path / "out").glob("*.md")) == ["a.md", "a.part1.md"]
+
+
 def test_missing_folder(spark, tmp_path):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         scan_corpus(spark, f"{tmp_path}/missing")
