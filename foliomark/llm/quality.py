@@ -17,8 +17,8 @@ from .trees import Trees, boosted
 
 #: Labelled documents that the trees are trained on, about (drawn by a hash of the id).
 SAMPLE = 20_000
-#: Documents are kept from this probability of being good on.
-KEEP_FROM = 0.5
+#: Documents are kept from this probability of being good on: clean ones must not be lost to doubt.
+KEEP_FROM = 0.3
 LEAST_WORDS, MOST_REPEATED_PERCENT, WINDOW = 50, 50, 3
 SYMBOLS = b"#*$%&|<>"
 
