@@ -73,15 +73,23 @@ def base_failed(counts: np.ndarray) -> np.ndarray:
 
 
 def labelled_features(docs: DataFrame, labels: DataFrame, sample: int, doc_id: str, text: str) -> DataFrame:
-    """label and features of about ``sample`` labelled documents; several labels of an id are averaged."""
+    """label and features of about ``sample`` labelled documents.
+
+    Several labels of an id are averaged, and of several documents with one id a single row is kept.
+    """
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.avg("quality") >= 0.5).alias("good"))
     whole = 1_000_000
     share = min(1.0, sample / max(1, known.count()))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(whole)) < int(whole * share))
     # as many narrow rows as the sample has, so they can be broadcast
-    rows = docs.select(named(doc_id).alias("doc_id"), named(text).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "good")
+    rows = docs.select(named(doc_id).alias("doc_id"), named(text).alias("text")).join(F.broadcast(chosen), "doc_id")
     kind = T.StructType([T.StructField(f, T.DoubleType()) for f in FEATURES])
-    return append_columns(rows, ["text"], kind, lambda texts: list(map(list, zip(*(statistics(t)[1] for t in texts), strict=True))) or [[] for _ in FEATURES]).drop("text")
+
+    def make(texts):
+        return list(map(list, zip(*(statistics(t)[1] for t in texts), strict=True))) or [[] for _ in FEATURES]
+
+    described = append_columns(rows, ["text"], kind, make)
+    return described.groupBy("doc_id").agg(F.min(F.struct("good", *FEATURES)).alias("one")).select("one.*")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> Trees | None:

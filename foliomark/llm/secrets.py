@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -70,9 +71,10 @@ def candidates(text: str | None) -> list[tuple[int, int, str]]:
     order = {"private_key": 0, "vendor": 1, "assigned": 2, "token": 3}
     kept: list[tuple[int, int, str]] = []
     for a, b, kind in sorted(found, key=lambda x: (order[x[2]], x[0])):
-        if all(b <= s or e <= a for s, e, _ in kept[-64:]) and all(b <= s or e <= a for s, e, _ in kept[:-64]):
-            kept.append((a, b, kind))
-    return sorted(kept)
+        i = bisect_left(kept, (a,))
+        if (i == 0 or kept[i - 1][1] <= a) and (i == len(kept) or b <= kept[i][0]):
+            kept.insert(i, (a, b, kind))
+    return kept
 
 
 def _coverage(value: str) -> float:
@@ -153,8 +155,9 @@ def rule_labels(findings: DataFrame) -> DataFrame:
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Trees | None:
     """A forest from labelled findings (columns of `find` and label); None without both labels.
 
-    Of each label, half of ``sample`` are drawn by a hash at most, about.
+    Of each label, half of ``sample`` are drawn by a hash at most, about; the same finding counts once.
     """
+    labelled = labelled.dropDuplicates(["doc_id", "start", "value"])
     sizes = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
     if set(sizes) != {0, 1}:
         return None
