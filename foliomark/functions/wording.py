@@ -20,6 +20,8 @@ QUICK_MIN_NEWLINES = 5
 DETECTION_PAGES = 3
 EMBEDDED_MIN_CHARS = 50
 OCR_MIN_CONFIDENCE = 0.5
+# the engine whose unsure lines are left out
+SURE_LINES_ENGINES = ("paddle",)
 ROW_BAND = 20
 
 # --- languages ------------------------------------------------------------------

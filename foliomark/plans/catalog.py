@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import fields
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +21,7 @@ from ..operators import tables as tab
 from ..session import run_folder
 from ..sources.corpus import distinct_sorted_paths, scan_corpus, scan_one
 from ..sources.sinks import write_files, write_markdown_files
-from .convert import DocumentTables, Options, convert, plan_documents, typed_files
+from .convert import Options, convert, plan_documents, typed_files
 from .vehicles import Vehicles
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,7 +97,8 @@ def _(v):
 def _(v):
     """All given documents through both tiers into files, and the files read back."""
     folder = run_folder(v.spark, "markdown")
-    corpus, options = v.corpus(["documents"]), Options(extract_images=True, generated_at=DATE)
+    corpus = v.corpus(["documents"])
+    options = Options(ocr_engine="paddle", extract_images=True, generated_at=DATE)
     write_markdown_files(convert(corpus, options).documents, folder)
     files = v.spark.read.text(folder, wholetext=True, pathGlobFilter="*.md")
     return files.select(
@@ -403,9 +404,7 @@ def _(v):
 def _(v):
     """Files that no decoder of the second tier could open."""
     corpus = v.corpus(["documents"])
-    decoded = {f.name: getattr(corpus, f.name) for f in fields(corpus)}
-    bare = {name: df.where(F.lit(False)) for name, df in decoded.items()}
-    unread = DocumentTables(**bare | {name: decoded[name] for name in ("files", "quick_text")})
+    unread = replace(corpus.restricted(lambda df: df.where(F.lit(False))), quick_text=corpus.quick_text)
     return convert(unread, Options(generated_at=DATE)).documents.select(
         "doc_id", "kind", "pages", "engine", "status", "part_no", "markdown"
     )
@@ -492,8 +491,8 @@ def _(v):
 
 @query("convert_corpus")
 def _(v):
-    """The whole conversion, all five kinds of files, with images."""
-    options = Options(extract_images=True, generated_at=DATE)
+    """The whole conversion, all five kinds of files, with images and the engine's lines."""
+    options = Options(ocr_engine="paddle", extract_images=True, generated_at=DATE)
     return convert(v.corpus(), options).documents.select(
         "doc_id", "route", "pages", "engine", "output", "part_no", "markdown"
     )

@@ -46,6 +46,8 @@ class DocumentTables:
                 rows, ocr_text, ocr_error, decoded, saved, error
     notes       doc_id, page_no, text
     image_refs  doc_id, page_no, image_no, decoded, saved
+    ocr_lines   doc_id, page_no, line_no, text, confidence; may be left out.  What the
+                engine read line by line on pages whose ocr_text is null
     =========== ==============================================================
 
     A file that could not be opened simply has no rows besides the one in ``files``.
@@ -60,19 +62,26 @@ class DocumentTables:
     shapes: DataFrame
     notes: DataFrame
     image_refs: DataFrame
+    ocr_lines: DataFrame | None = None
+
+    def decoded(self) -> dict[str, DataFrame]:
+        """Every given table but the file list."""
+        tables = {field.name: getattr(self, field.name) for field in fields(self)}
+        return {name: df for name, df in tables.items() if name != "files" and df is not None}
 
     def restricted(self, change) -> DocumentTables:
         """Apply ``change`` to every table but the file list."""
-        names = [field.name for field in fields(self) if field.name != "files"]
-        return replace(self, **{name: change(getattr(self, name)) for name in names})
+        return replace(self, **{name: change(df) for name, df in self.decoded().items()})
 
     def row_keys(self) -> DataFrame:
         """``doc_id, chars`` of every decoded row: its key and the length of its text."""
-        texts = {"quick_text": "text", "doc_pages": "ocr_text", "blocks": "text", "notes": "text", "shapes": "ocr_text"}
-        names = [field.name for field in fields(self) if field.name != "files"]
-        chars = {name: F.length(texts[name]) if name in texts else F.lit(0) for name in names}
-        chars["table_rows"] = cell_chars()
-        rows = [getattr(self, name).select("doc_id", chars[name].alias("chars")) for name in names]
+        texts = dict.fromkeys(("quick_text", "blocks", "notes", "ocr_lines"), "text")
+        texts |= dict.fromkeys(("doc_pages", "shapes"), "ocr_text")
+        rows = []
+        for name, df in self.decoded().items():
+            chars = F.length(texts[name]) if name in texts else F.lit(0)
+            chars = cell_chars() if name == "table_rows" else chars
+            rows.append(df.select("doc_id", chars.alias("chars")))
         return reduce(DataFrame.union, rows)
 
 
@@ -115,6 +124,29 @@ def typed_files(files: DataFrame, output_dir: str = "output") -> DataFrame:
     )
 
 
+def pages_with_lines(tables: DocumentTables, options: Options) -> DocumentTables:
+    """Put the lines that the engine read into the pages, by the engine's own rule for them.
+
+    One engine leaves out lines it is not sure of.  A page's long text comes in parts.
+    """
+    if tables.ocr_lines is None:
+        return tables
+    sure = options.ocr_engine in w.SURE_LINES_ENGINES
+    read = d.join_ocr_lines(
+        tables.ocr_lines, sure, group_rows=options.group_rows, part_chars=options.part_chars
+    ).withColumnRenamed("text", "_read")
+    pages = b.in_parts(tables.doc_pages)
+    bare = pages.where(F.col("ocr_text").isNull()).drop("part_no")
+    filled = (
+        bare.join(read, ["doc_id", "page_no"], "left")
+        .withColumn("part_no", F.coalesce("part_no", F.lit(0).cast("bigint")))
+        .withColumn("ocr_text", F.col("_read"))
+        .select(pages.columns)
+    )
+    kept = pages.where(F.col("ocr_text").isNotNull())
+    return replace(tables, doc_pages=kept.unionByName(filled), ocr_lines=None)
+
+
 def plan_documents(tables: DocumentTables, options: Options) -> DataFrame:
     """One row per file: ``doc_id, file, kind, route, pages, engine, quick_used, status, output``."""
     files = typed_files(tables.files, options.output_dir)
@@ -291,7 +323,7 @@ def convert(tables: DocumentTables, options: Options = Options()) -> Conversion:
     large = find_large_groups(
         tables.row_keys(), ["doc_id"], options.group_rows, F.col("chars"), options.part_chars
     )
-    bodies = document_bodies(tables, docs, options, large)
+    bodies = document_bodies(pages_with_lines(tables, options), docs, options, large)
     readable = docs.where(F.col("output").isNotNull())
     documents = d.format_document(
         readable, bodies, options.date(), options.language_list(), keys=("doc_id", "route")

@@ -456,7 +456,7 @@ CTES |= {
     "c_documents": f"""SELECT doc_id, route, pages, engine, output,
         {front_matter("file", "pages", "engine", "route = 'quick'")} || {NL} || {NL}
         || coalesce(body, '') || {NL} AS markdown
-        FROM c_docs LEFT JOIN c_bodies USING (doc_id, route) WHERE status = 'ok'""",
+        FROM (SELECT * REPLACE (replace(engine, 'tesseract', 'paddle') AS engine) FROM c_docs) LEFT JOIN c_bodies USING (doc_id, route) WHERE status = 'ok'""",
 }
 
 # --- queries ----------------------------------------------------------------------------

@@ -205,6 +205,23 @@ class Vehicles:
             "doc_id % 5 <> 3 as image_saved",
         )
 
+    def photos(self) -> DataFrame:
+        """The same image files, of which the engine's lines are still to be put in."""
+        users = self.table("events").select(F.col("user_id").alias("doc_id")).distinct()
+        return users.selectExpr(
+            "doc_id",
+            "0 as page_no",
+            "cast(null as string) as embedded_text",
+            "cast(null as string) as ocr_text",
+            "true as rasterized",
+            "case when doc_id % 5 = 2 then concat('engine stopped at ', doc_id) end as ocr_error",
+            "false as block_error",
+            "doc_id % 5 <> 3 as image_saved",
+        )
+
+    def photo_lines(self) -> DataFrame:
+        return self.ocr_lines().where("doc_id % 5 <> 1").withColumn("page_no", F.lit(0))
+
     # Second tier of the documents space, for files whose quick text does not suffice: PDFs
     # (every third with embedded text) and images are one page, decks are one slide with notes.
 
@@ -262,7 +279,7 @@ class Vehicles:
                 documents=in_parts(self.file_pages()),
                 orders=in_parts(self.order_pages()),
                 conversations=in_parts(self.doc_pages()),
-                users=self.image_pages(),
+                users=in_parts(self.photos()),
             ),
             blocks=together(documents=self.file_blocks(), orders=self.blocks()),
             table_rows=together(orders=self.table_rows()),
@@ -270,4 +287,5 @@ class Vehicles:
             shapes=together(customers=self.shapes()),
             notes=together(documents=self.file_notes(), customers=self.notes()),
             image_refs=together(documents=self.image_refs(), orders=self.image_refs()),
+            ocr_lines=together(users=self.photo_lines()),
         )

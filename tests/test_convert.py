@@ -157,6 +157,19 @@ def test_routes_are_chosen_before_the_gathering(spark, tables):
     assert found and "LeftSemi" in below and "Exchange" not in below.split("LeftSemi")[0].split("collect_list")[-1]
 
 
+@pytest.mark.parametrize("engine, text", [("paddle", "sure\nquite"), ("surya", "sure\nunsure\nquite")])
+def test_lines_of_an_engine(spark, tables, engine, text):
+    """Lines fill the pages that have no text yet; one engine leaves out what it isn't sure of."""
+    from dataclasses import replace
+
+    rows = [(8, 0, 2, "unsure", 0.5), (8, 0, 1, "sure", 0.9), (8, 0, 3, "quite", 0.6), (5, 0, 1, "not this", 0.9)]
+    lines = spark.createDataFrame(rows, "doc_id long, page_no int, line_no long, text string, confidence double")
+    pages = tables.doc_pages.withColumn("ocr_text", F.when(F.col("doc_id") != 8, F.col("ocr_text")))
+    documents, _ = convert(replace(tables, doc_pages=pages, ocr_lines=lines), Options(ocr_engine=engine))
+    found = bodies(documents)
+    assert found[8] == f"\n{text}\n" and found[5] == "\nphoto text\n"
+
+
 def test_failed_files(spark, tables):
     """A failure of the second tier is the file's status, in its own words; quick files are spared."""
     from dataclasses import replace
@@ -172,7 +185,7 @@ def test_failed_files(spark, tables):
 def test_long_pages_in_parts(spark, sliced):
     """A page's OCR text that comes in parts is one page, in order, for everything that reads it."""
     vehicles = Vehicles(spark, SMALL)
-    options = Options(extract_images=True, generated_at="2024-01-01")
+    options = Options(ocr_engine="paddle", extract_images=True, generated_at="2024-01-01")
     parts = vehicles.image_pages(group_rows=3, part_chars=30)
     assert parts.where("part_no > 0").count() > 0
     counts = parts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("part_no").alias("last"))
@@ -190,6 +203,7 @@ def test_long_pages_in_parts(spark, sliced):
 
 def test_given_corpus_in_parts(spark, sliced):
     corpus = Vehicles(spark, SMALL).corpus()
+    assert corpus.ocr_lines is not None
     whole, _ = convert(corpus, Options(extract_images=True, generated_at="2024-01-01"))
     parts, _ = convert(
         corpus,
