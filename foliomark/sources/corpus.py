@@ -73,6 +73,11 @@ def spread(table: DataFrame) -> DataFrame:
     return table.repartition(cores)
 
 
+def path_ids(paths: DataFrame) -> DataFrame:
+    """``doc_id, path``: the id is the path's SHA-256, so that no two files share one."""
+    return paths.select(F.sha2("path", 256).alias("doc_id"), "path")
+
+
 def distinct_sorted_paths(paths: DataFrame) -> DataFrame:
     """Each path once, ordered folder by folder."""
     return paths.select("path").distinct().orderBy(F.split("path", "/"))

@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.skew import BROADCAST_GROUPS
 from ..plans.convert import DocumentTables, Options, convert
 from ..session import scratch
-from ..sources.corpus import suffix_glob
+from ..sources.corpus import path_ids, suffix_glob
 
 BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
 
@@ -25,7 +25,7 @@ BINARY_FILE = "path string, modificationTime timestamp, length long, content bin
 def arriving_files(spark: SparkSession, root: str, any_case: bool = False) -> DataFrame:
     """Stream of ``doc_id, path`` for supported files below a folder, each once.
 
-    The id is the path's SHA-256, so that no two files share one; decoders that use other ids bring their own stream.
+    The id comes from the path (``path_ids``); decoders that use other ids bring their own stream.
     """
     files = (
         spark.readStream.format("binaryFile")
@@ -34,7 +34,7 @@ def arriving_files(spark: SparkSession, root: str, any_case: bool = False) -> Da
         .option("recursiveFileLookup", "true")
         .load(root)
     )
-    return files.select(F.sha2("path", 256).alias("doc_id"), "path")
+    return path_ids(files)
 
 
 def convert_arrivals(

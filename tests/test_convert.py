@@ -213,6 +213,25 @@ def test_given_corpus_in_parts(spark, sliced):
     assert parts.where(F.col("part_no") > 0).count() > 0
 
 
+def test_folder(spark, tmp_path):
+    """Listed, decoded, converted and written in one go; nothing is left in the shared folder."""
+    from foliomark.plans.folder import convert_folder
+
+    (tmp_path / "in").mkdir()
+    for name in ("a.pdf", "b.pdf", "c.txt"):
+        (tmp_path / "in" / name).write_text(name)
+    none = {name: spark.createDataFrame([], kind.replace("doc_id long", "doc_id string")) for name, kind in SCHEMAS.items()}
+
+    def decoded(files):
+        text = F.when(F.col("path").endswith("a.pdf"), QUICK)
+        return DocumentTables(**none | {"quick_text": files.select("doc_id", text.alias("text"))})
+
+    convert_folder(spark, str(tmp_path / "in"), decoded, str(tmp_path / "out"), Options(generated_at="2024-01-01"))
+    found = bodies(spark.read.parquet(f"{tmp_path}/out/documents").withColumn("doc_id", F.col("file")))
+    assert found == {"a.pdf": f"\n{QUICK}\n", "b.pdf": "\n\n"}
+    assert spark.read.parquet(f"{tmp_path}/out/report").count() == 2
+
+
 def test_sinks(spark, tables, tmp_path):
     documents, _ = convert(tables, Options(generated_at="2024-01-01"))
     documents = documents.where("doc_id < 8")
