@@ -19,13 +19,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import named, stored
+from .common import named
 from .elias_fano import EliasFano, Levels
 
 #: Weight of the lower order: P(w | u) = (c(u, w) + PRIOR * P(w)) / (c(u) + PRIOR).
 PRIOR = 1_000.0
 #: Tokens that one shard holds, about, and that a batch of documents is cut after.
-SHARD_TOKENS, BATCH_TOKENS = 2_500_000, 1_000_000
+SHARD_TOKENS, BATCH_TOKENS = 2_000_000, 1_000_000
 #: Bytes of a token with its blank, to set the number of shards from the size of the texts.
 TOKEN_BYTES = 6
 #: Bytes of text that are cut into words at once.
@@ -37,7 +37,7 @@ LEVELS = 1 << 16
 #: What no word can be: the end of a text, which is a token, and its beginning, which is only a context.
 END, BEGIN = b"\n", b"\n\n"
 
-_GRAMS = "shard int, batch string, held array<boolean>, ids array<string>, sizes array<long>, data binary"
+_ROWS = "batch string, ids array<string>, held array<boolean>, sizes array<long>, data binary"
 
 
 def code(word: bytes) -> int:
@@ -98,81 +98,102 @@ class _Batch:
         self.sizes.append(size)
         self.count += size
 
+    def codes(self) -> np.ndarray:
+        return np.fromiter(map(code, self.words), dtype=np.uint64, count=len(self.words))
+
     def rows(self, name: str, shards: int) -> Iterator[tuple]:
         """One row for each shard that has a word here, and one (shard -1 and below) with the documents."""
-        codes = np.fromiter(map(code, self.words), dtype=np.uint64, count=len(self.words))
-        tokens, sizes = np.concatenate(self.tokens), np.array(self.sizes)
-        docs, starts = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+        codes, tokens, sizes = self.codes(), np.concatenate(self.tokens), np.array(self.sizes)
+        # words numbered by shard and code, so that both can be sent as differences
+        shard = (codes % np.uint64(shards)).astype(np.int64)
+        order = np.lexsort((codes, shard))
+        rank = np.empty(len(codes), dtype=np.int32)
+        rank[order] = np.arange(len(codes), dtype=np.int32)
+        shorts = np.append(short_context(codes), short_context(np.array([code(BEGIN)], dtype=np.uint64)))
+        context, context_rank = np.unique(shorts, return_inverse=True)
         before = np.empty_like(tokens)
         before[1:] = tokens[:-1]
-        before[starts] = len(codes)
-        contexts = np.append(codes, np.uint64(code(BEGIN)))
-        shard = (codes % np.uint64(shards)).astype(np.int64)
-        # by shard, then by word, so that codes of words are sent once
-        order = np.lexsort((docs, before, tokens, shard[tokens]))
-        bounds = np.flatnonzero(np.diff(shard[tokens[order]], prepend=-1))
-        yield -1 - xxhash.xxh32_intdigest(name) % shards, name, self.held, self.ids, self.sizes, None
-        for a, b in zip(bounds, [*bounds[1:], len(order)], strict=True):
-            own = order[a:b]
-            word, word_at = np.unique(tokens[own], return_inverse=True)
-            context, context_at = np.unique(before[own], return_inverse=True)
-            yield int(shard[tokens[own[0]]]), name, self.held, None, None, _pack(codes[word], contexts[context], word_at, context_at, docs[own])
+        before[np.cumsum(sizes) - sizes] = len(codes)
+        word, before = rank[tokens], context_rank[before]
+        docs = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        order_of = np.argsort(word.astype(np.int64) * len(context) + before, kind="stable")
+        word, before, docs = word[order_of], before[order_of], docs[order_of]
+        held = np.array(self.held, dtype=np.uint8)
+        yield -1 - xxhash.xxh32_intdigest(name) % shards, name, self.ids, self.held, self.sizes, None
+        bounds = np.searchsorted(shard[order], np.arange(shards + 1))
+        cuts = np.searchsorted(word, bounds)
+        for k in np.flatnonzero(np.diff(cuts)):
+            own = slice(cuts[k], cuts[k + 1])
+            used, used_at = np.unique(before[own], return_inverse=True)
+            words = codes[order[bounds[k] : bounds[k + 1]]]
+            yield int(k), name, None, None, None, _pack(_differences(words), np.diff(word[own] - bounds[k], prepend=0), _differences(context[used]), used_at, docs[own], held)
+
+
+def _differences(ascending: np.ndarray) -> np.ndarray:
+    """Steps between ascending uint64 numbers; `np.cumsum` undoes it."""
+    return np.diff(ascending, prepend=np.uint64(0))
+
+
+def short_context(codes: np.ndarray) -> np.ndarray:
+    return codes >> np.uint64(64 - CONTEXT_BITS)
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 1, F.lit(False))
 
 
+def _batches(rows: Iterator[pa.RecordBatch]) -> Iterator[_Batch]:
+    batch = _Batch()
+    for r in rows:
+        for d, h, t in zip(*(r.column(c) for c in ("doc_id", "held", "text")), strict=True):
+            batch.add(d.as_py(), h.as_py(), t.as_py())
+            if batch.count >= BATCH_TOKENS:
+                yield batch
+                batch = _Batch()
+    if batch.ids:
+        yield batch
+
+
+def _training_words(docs: DataFrame) -> DataFrame:
+    """Words of the training texts and how often they occur, batch by batch."""
+
+    def run(rows):
+        for batch in _batches(rows):
+            counts = np.bincount(np.concatenate(batch.tokens), minlength=len(batch.words))
+            yield pa.RecordBatch.from_arrays([pa.array(batch.codes().view(np.int64)), pa.array(counts)], names=["word", "n"])
+
+    return docs.where("NOT held").mapInArrow(run, "word long, n long")
+
+
 def _gathered(docs: DataFrame, shards: int) -> DataFrame:
     """The tokens of all documents by shard of their word."""
-    schema = pa.schema([
-        ("shard", pa.int32()), ("batch", pa.string()), ("held", pa.list_(pa.bool_())), ("ids", pa.list_(pa.string())),
-        ("sizes", pa.list_(pa.int64())), ("data", pa.binary()),
-    ])
+    kinds = [pa.int32(), pa.string(), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary()]
+    names = ["shard", "batch", "ids", "held", "sizes", "data"]
 
-    def run(batches):
+    def run(rows):
         from pyspark import TaskContext
 
-        part, number, batch = TaskContext.get().partitionId(), 0, _Batch()
-
-        def out():
-            rows = list(batch.rows(f"{part}-{number}", shards))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+        part = TaskContext.get().partitionId()
+        for number, batch in enumerate(_batches(rows)):
+            columns = zip(*batch.rows(f"{part}-{number}", shards), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-        for rows in batches:
-            for d, h, t in zip(*(rows.column(c) for c in ("doc_id", "held", "text")), strict=True):
-                batch.add(d.as_py(), h.as_py(), t.as_py())
-                if batch.count >= BATCH_TOKENS:
-                    yield out()
-                    batch, number = _Batch(), number + 1
-        if batch.ids:
-            yield out()
+    return docs.mapInArrow(run, "shard int, " + _ROWS)
 
-    return docs.mapInArrow(run, _GRAMS)
 
-
-def _summed(rows: pd.DataFrame) -> pd.DataFrame:
-    """One row for a shard: its words, their counts, and all occurrences; documents pass through."""
-    if rows["shard"].iloc[0] < 0:
-        return rows.assign(words=0, train=0)
-    parts = []
-    for k, (held, data) in enumerate(zip(rows["held"], rows["data"], strict=True)):
-        words, contexts, word_at, context_at, docs = _unpack(data)
-        parts.append((words[word_at], contexts[context_at], docs.astype(np.int64), np.asarray(held, dtype=bool)[docs], np.full(len(docs), k)))
-    word, context, doc, held, batch = map(np.concatenate, zip(*parts, strict=True))
-    del parts
+def _together(blobs: pd.Series) -> tuple[np.ndarray, ...]:
+    """The occurrences of a shard: its words, and of each occurrence the word's place, the context, whether it
+    is held out, its batch and document.  Columns are put together one by one, to hold little at once."""
+    parts = [_unpack(b) for b in blobs]
+    word = np.concatenate([np.cumsum(p[0])[np.cumsum(p[1].astype(np.int32))] for p in parts])
     words, word_at = np.unique(word, return_inverse=True)
-    contexts, context_at = np.unique(context, return_inverse=True)
-    # occurrences of a pair stand together
-    order = np.lexsort((doc, batch, context_at, word_at))
-    word_at, context_at, doc, held, batch = (x[order] for x in (word_at, context_at, doc, held, batch))
-    train = np.bincount(word_at[~held], minlength=len(words))
-    sizes = rows["held"].map(len).to_numpy()
-    data = _pack(words, contexts, word_at, context_at, doc, held.astype(np.uint8), batch, sizes)
-    return pd.DataFrame({
-        "shard": [rows["shard"].iloc[0]], "batch": [None], "held": [None], "ids": [list(rows["batch"])], "sizes": [None],
-        "data": [data], "words": [int((train > 0).sum())], "train": [int(train.sum())],
-    })
+    del word
+    word_at = word_at.astype(np.int32)
+    context = np.concatenate([np.cumsum(p[2].astype(np.uint64))[p[3]] for p in parts])
+    docs = np.concatenate([p[4].astype(np.int32) for p in parts])
+    held = np.concatenate([p[5][p[4]] for p in parts]) > 0
+    batch = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p[4]) for p in parts])
+    return words, word_at, context, held, batch, docs
 
 
 class Trie:
@@ -216,65 +237,65 @@ def quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return book.astype(np.float64) if len(book) else np.zeros(1), place.astype(np.uint16)
 
 
-def short_context(codes: np.ndarray) -> np.ndarray:
-    return codes >> np.uint64(64 - CONTEXT_BITS)
-
-
 def _scored(total: int, distinct: int, begins: int, prior: float):
-    """Sums over a shard's tokens, by batch: known tokens, base score and the model's score."""
-    base_total, begin = np.log10(total + 0.5 * (distinct + 1)), np.uint64(code(BEGIN))
-    end = np.uint64(code(END))
-
-    def one(ids: list[str], data: bytes) -> Iterator[pa.RecordBatch]:
-        words, contexts, word_at, context_at, doc, held, batch, sizes = _unpack(data)
-        word_at, context_at = word_at.astype(np.int64), context_at.astype(np.int64)
-        train = held == 0
-        count = np.bincount(word_at[train], minlength=len(words))
+    """A shard's share in the scores of the documents, batch by batch; rows with documents pass through."""
+    base_total, begin = np.log10(total + 0.5 * (distinct + 1)), short_context(np.array([code(BEGIN)], dtype=np.uint64))[0]
+    end, unknown = np.uint64(code(END)), np.log10(0.5) - base_total
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        if rows["shard"].iloc[0] < 0:
+            return rows.drop(columns="shard")
+        words, word_at, context, held, batch, docs = _together(rows["data"])
+        # occurrences of a pair (a word after a context) are put next to each other
+        order = np.lexsort((context, word_at))
+        word_at, context, held, batch, docs = (x[order] for x in (word_at, context, held, batch, docs))
+        del order
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(word_at) != 0) | (context[1:] != context[:-1])]))
+        runs = np.diff(first, append=len(word_at))
+        count = np.bincount(word_at[~held], minlength=len(words))
+        seen = np.add.reduceat(~held, first, dtype=np.int64)
         base = np.log10(count + 0.5) - base_total
-        # pairs stand together; of each, how often it was seen in training
-        first = np.flatnonzero((np.diff(word_at, prepend=-1) != 0) | (np.diff(context_at, prepend=-1) != 0))
-        pair_of = np.repeat(np.arange(len(first)), np.diff(first, append=len(word_at)))
-        seen = np.bincount(pair_of[train], minlength=len(first))
-        lower = prior * 10.0**base
-        inside = seen > 0
-        known_words = np.flatnonzero(count > 0)
-        rank = np.cumsum(count > 0) - 1
-        parents = rank[word_at[first[inside]]]
-        trie = Trie(
-            words[known_words], parents, short_context(contexts[context_at[first[inside]]]), base[known_words],
-            np.log10(seen[inside] + lower[word_at[first[inside]]]),
-        )
+        # the trie has what training saw
+        inside, known = first[seen > 0], np.flatnonzero(count > 0)
+        parents = (np.cumsum(count > 0) - 1)[word_at[inside]]
+        values = np.log10(seen[seen > 0] + prior * 10.0 ** base[word_at[inside]])
+        trie = Trie(words[known], parents, context[inside], base[known], values)
         place = trie.words(words)
-        unknown = np.log10(0.5) - base_total
-        word_value = np.where(place >= 0, trie.values("word", place), unknown) if len(known_words) else np.full(len(words), unknown)
+        word_value = np.full(len(words), unknown)
+        word_value[place >= 0] = trie.values("word", place[place >= 0])
         pair = np.full(len(first), -1, dtype=np.int64)
         asked = np.flatnonzero(place[word_at[first]] >= 0)
-        pair[asked] = trie.pairs(place[word_at[first[asked]]], short_context(contexts[context_at[first[asked]]]))
-        backed = np.log10(prior) + word_value[word_at[first]]
-        value = np.where(pair >= 0, trie.values("pair", pair), backed) if inside.any() else backed
-        # what a token adds to its text: its own numerator, and the denominator it is to the token after it
-        after = np.where(words == end, 0.0, -np.log10(count + prior))
-        token = value[pair_of] + after[word_at] - np.where(contexts[context_at] == begin, np.log10(begins + prior), 0.0)
-        bounds = np.concatenate([[0], np.cumsum(sizes.astype(np.int64))])
-        at = bounds[batch] + doc.astype(np.int64)
-        known, base_sum, model = (np.bincount(at, w, bounds[-1]) for w in ((count[word_at] > 0).astype(float), base[word_at], token))
-        n = np.bincount(at, minlength=bounds[-1])
-        for k, name in enumerate(ids):
-            own = slice(bounds[k], bounds[k + 1])
-            has = np.flatnonzero(n[own])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * len(has)), pa.array(has.astype(np.int32)), pa.array(known[own][has].astype(np.int64)), pa.array(base_sum[own][has]), pa.array(model[own][has])],
-                names=["batch", "doc", "n_known", "base_score", "score"],
-            )
-
-    def run(batches):
-        for rows in batches:
-            for ids, data in zip(rows.column("ids"), rows.column("data"), strict=True):
-                yield from one(ids.as_py(), data.as_py())
+        pair[asked] = trie.pairs(place[word_at[first[asked]]], context[first[asked]])
+        value = np.log10(prior) + word_value[word_at[first]]
+        value[pair >= 0] = trie.values("pair", pair[pair >= 0])
+        # what a token adds to its text: its own numerator, and the denominator that it is for the next
+        value -= np.where(context[first] == begin, np.log10(begins + prior), 0.0)
+        value -= np.where(words == end, 0.0, np.log10(count + prior))[word_at[first]]
+        token = np.repeat(value, runs)
+        data = []
+        for k in range(len(rows)):
+            own = np.flatnonzero(batch == k)
+            sums = [np.bincount(docs[own], x[own]) for x in (token,)]
+            sums += [np.bincount(docs[own], base[word_at[own]]), np.bincount(docs[own], count[word_at[own]] > 0)]
+            data.append(np.stack(sums).tobytes())
+        return pd.DataFrame({"batch": rows["batch"], "ids": None, "held": None, "sizes": None, "data": data})
 
     return run
 
 
+def _summed(rows: pd.DataFrame) -> pd.DataFrame:
+    """The documents of a batch with the sums of what all shards have for them."""
+    meta = rows[rows["ids"].notna()].iloc[0]
+    sums = np.zeros((3, len(meta["ids"])))
+    for data in rows.loc[rows["ids"].isna(), "data"]:
+        part = np.frombuffer(data).reshape(3, -1)
+        sums[:, : part.shape[1]] += part
+    return pd.DataFrame({
+        "doc_id": meta["ids"], "held_out": meta["held"], "n_tokens": meta["sizes"],
+        "n_known": sums[2].round().astype(np.int64), "base_score": sums[1], "score": sums[0],
+    })
+
+
 def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", prior: float = PRIOR, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
@@ -283,31 +304,28 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pri
     bigram probabilities, smoothed towards these frequencies.  A null or blank text is an end token alone;
     a null id counts as the empty id and comes out null.  Repeated rows are learned as often as they come,
     and each is scored.  Other columns are ignored; an empty table gives no rows; without any training text
-    all counts are zero.  ``docs`` is read once for its size and once for its words.
+    all counts are zero.
+
+    ``docs`` is read for the size of its texts, for the number of its training words, and for its tokens; it
+    should give its rows in the same order each time, as files do.
     """
     rows = docs.select(named(doc_id).alias("doc_id"), named(text).alias("text"))
-    size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + TOKEN_BYTES)).first()[0] or 0
-    shards = max(1, -(-size // (TOKEN_BYTES * shard_tokens)))
-    kind = rows.schema["doc_id"].dataType
     ready = rows.select(F.col("doc_id").cast("string"), held_out(F.col("doc_id")).alias("held"), "text")
-    summed = stored(
-        _gathered(ready, shards).groupBy("shard").applyInPandas(_summed, _GRAMS + ", words long, train long"), "ngram-shards"
-    )
-    totals = summed.agg(F.sum("train"), F.sum("words")).first()
-    meta = (
-        summed.where("shard < 0")
-        .select("batch", F.posexplode(F.arrays_zip("ids", "held", "sizes")).alias("doc", "d"))
-        .select("batch", "doc", F.col("d.ids").cast(kind).alias("doc_id"), F.col("d.held").alias("held_out"), F.col("d.sizes").alias("n_tokens"))
-    )
-    begins = meta.where("NOT held_out").count()
-    sums = (
-        summed.where("shard >= 0")
-        .select("ids", "data")
-        .mapInArrow(_scored(totals[0] or 0, totals[1] or 0, begins, prior), "batch string, doc int, n_known long, base_score double, score double")
-        .groupBy("batch", "doc")
-        .agg(F.sum("n_known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score"))
-    )
-    return meta.join(sums, ["batch", "doc"]).select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(totals[0] or 0).cast("long").alias("train_tokens"), "base_score", "score"
-    )
-
+    sizes = ready.agg(
+        F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + TOKEN_BYTES), F.count_if(~F.col("held"))
+    ).first()
+    shards = max(1, -(-(sizes[0] or 0) // (TOKEN_BYTES * shard_tokens)))
+    words = _training_words(ready).groupBy("word").agg(F.sum("n").alias("n"))
+    distinct, total = words.where("n > 0").agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    kind = rows.schema["doc_id"].dataType
+    return (
+        _gathered(ready, shards)
+        .groupBy("shard")
+        .applyInPandas(_scored(total, distinct, sizes[1], prior), _ROWS)
+        .groupBy("batch")
+        .applyInPandas(_summed, "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+        .select(
+            F.col("doc_id").cast(kind).alias("doc_id"), "held_out", "n_tokens", "n_known",
+            F.lit(total).cast("long").alias("train_tokens"), "base_score", "score",
+        )
+    )
