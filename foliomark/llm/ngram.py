@@ -19,19 +19,23 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import named
+from .common import checkpointed, named
 from .elias_fano import EliasFano, Levels
 
 #: Weight of the lower order: P(w | u) = (c(u, w) + PRIOR * P(w)) / (c(u) + PRIOR).
 PRIOR = 1_000.0
 #: Tokens that one shard holds, about, and that a batch of documents is cut after.
-SHARD_TOKENS, BATCH_TOKENS = 2_000_000, 1_000_000
+SHARD_TOKENS, BATCH_TOKENS = 3_000_000, 2_000_000
 #: Bytes of a token with its blank, to set the number of shards from the size of the texts.
 TOKEN_BYTES = 6
 #: Bytes of text that are cut into words at once.
 PIECE_BYTES = 8_000_000
 #: Bits of the code of a word before another, below that other word.
 CONTEXT_BITS = 40
+#: Words with so large a share of a shard's tokens are hot: their occurrences are dealt by context, too.
+HOT_SHARE = 0.25
+#: An odd number, to mix the codes of a hot word and its context.
+MIX = 0x9E3779B97F4A7C15
 LEVELS = 1 << 16
 
 #: What no word can be: the end of a text, which is a token, and its beginning, which is only a context.
@@ -101,32 +105,42 @@ class _Batch:
     def codes(self) -> np.ndarray:
         return np.fromiter(map(code, self.words), dtype=np.uint64, count=len(self.words))
 
-    def rows(self, name: str, shards: int) -> Iterator[tuple]:
-        """One row for each shard that has a word here, and one (shard -1 and below) with the documents."""
+    def rows(self, name: str, shards: int, hot: np.ndarray) -> Iterator[tuple]:
+        """One row for each shard that has an occurrence here, and one (shard -1 and below) with the documents.
+
+        An occurrence is a word after a context in a document, with the times that it is there.  It belongs to
+        the shard of its word or, if the word is hot, of word and context.
+        """
         codes, tokens, sizes = self.codes(), np.concatenate(self.tokens), np.array(self.sizes)
-        # words numbered by shard and code, so that both can be sent as differences
-        shard = (codes % np.uint64(shards)).astype(np.int64)
-        order = np.lexsort((codes, shard))
-        rank = np.empty(len(codes), dtype=np.int32)
-        rank[order] = np.arange(len(codes), dtype=np.int32)
+        ordered = np.sort(codes)
+        word = np.searchsorted(ordered, codes)[tokens]
         shorts = np.append(short_context(codes), short_context(np.array([code(BEGIN)], dtype=np.uint64)))
         context, context_rank = np.unique(shorts, return_inverse=True)
         before = np.empty_like(tokens)
         before[1:] = tokens[:-1]
         before[np.cumsum(sizes) - sizes] = len(codes)
-        word, before = rank[tokens], context_rank[before]
+        before = context_rank[before]
         docs = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-        order_of = np.argsort(word.astype(np.int64) * len(context) + before, kind="stable")
-        word, before, docs = word[order_of], before[order_of], docs[order_of]
+        # texts come one after the other, so stable sorts leave the documents of a pair in order
+        order = np.argsort(word * len(context) + before, kind="stable")
+        word, before, docs = word[order], before[order], docs[order]
+        shard = (ordered % np.uint64(shards)).astype(np.int32)[word]
+        split = np.isin(ordered, hot)[word]
+        shard[split] = ((ordered[word[split]] ^ (context[before[split]] * np.uint64(MIX))) % np.uint64(shards)).astype(np.int32)
+        order = np.argsort(shard, kind="stable")
+        word, before, docs, shard = word[order], before[order], docs[order], shard[order]
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(word) != 0) | (np.diff(before) != 0) | (np.diff(docs) != 0)]))
+        times = np.diff(first, append=len(word))
+        word, before, docs, shard = word[first], before[first], docs[first], shard[first]
         held = np.array(self.held, dtype=np.uint8)
         yield -1 - xxhash.xxh32_intdigest(name) % shards, name, self.ids, self.held, self.sizes, None
-        bounds = np.searchsorted(shard[order], np.arange(shards + 1))
-        cuts = np.searchsorted(word, bounds)
-        for k in np.flatnonzero(np.diff(cuts)):
-            own = slice(cuts[k], cuts[k + 1])
-            used, used_at = np.unique(before[own], return_inverse=True)
-            words = codes[order[bounds[k] : bounds[k + 1]]]
-            yield int(k), name, None, None, None, _pack(_differences(words), np.diff(word[own] - bounds[k], prepend=0), _differences(context[used]), used_at, docs[own], held)
+        cuts = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            words, word_at = np.unique(word[a:b], return_inverse=True)
+            used, used_at = np.unique(before[a:b], return_inverse=True)
+            yield int(shard[a]), name, None, None, None, _pack(
+                _differences(ordered[words]), np.diff(word_at, prepend=0), _differences(context[used]), used_at, docs[a:b], times[a:b], held
+            )
 
 
 def _differences(ascending: np.ndarray) -> np.ndarray:
@@ -165,7 +179,7 @@ def _training_words(docs: DataFrame) -> DataFrame:
     return docs.where("NOT held").mapInArrow(run, "word long, n long")
 
 
-def _gathered(docs: DataFrame, shards: int) -> DataFrame:
+def _gathered(docs: DataFrame, shards: int, hot) -> DataFrame:
     """The tokens of all documents by shard of their word."""
     kinds = [pa.int32(), pa.string(), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary()]
     names = ["shard", "batch", "ids", "held", "sizes", "data"]
@@ -175,7 +189,7 @@ def _gathered(docs: DataFrame, shards: int) -> DataFrame:
 
         part = TaskContext.get().partitionId()
         for number, batch in enumerate(_batches(rows)):
-            columns = zip(*batch.rows(f"{part}-{number}", shards), strict=True)
+            columns = zip(*batch.rows(f"{part}-{number}", shards, hot.value[0]), strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     return docs.mapInArrow(run, "shard int, " + _ROWS)
@@ -183,7 +197,7 @@ def _gathered(docs: DataFrame, shards: int) -> DataFrame:
 
 def _together(blobs: pd.Series) -> tuple[np.ndarray, ...]:
     """The occurrences of a shard: its words, and of each occurrence the word's place, the context, whether it
-    is held out, its batch and document.  Columns are put together one by one, to hold little at once."""
+    is held out, its batch and document, and its times; then the batches' numbers of documents.  Columns are put together one by one, to hold little at once."""
     parts = [_unpack(b) for b in blobs]
     word = np.concatenate([np.cumsum(p[0])[np.cumsum(p[1].astype(np.int32))] for p in parts])
     words, word_at = np.unique(word, return_inverse=True)
@@ -191,9 +205,10 @@ def _together(blobs: pd.Series) -> tuple[np.ndarray, ...]:
     word_at = word_at.astype(np.int32)
     context = np.concatenate([np.cumsum(p[2].astype(np.uint64))[p[3]] for p in parts])
     docs = np.concatenate([p[4].astype(np.int32) for p in parts])
-    held = np.concatenate([p[5][p[4]] for p in parts]) > 0
+    times = np.concatenate([p[5].astype(np.int32) for p in parts])
+    held = np.concatenate([p[6][p[4]] for p in parts]) > 0
     batch = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p[4]) for p in parts])
-    return words, word_at, context, held, batch, docs
+    return words, word_at, context, held, batch, docs, times, [len(p[6]) for p in parts]
 
 
 class Trie:
@@ -237,7 +252,7 @@ def quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return book.astype(np.float64) if len(book) else np.zeros(1), place.astype(np.uint16)
 
 
-def _scored(total: int, distinct: int, begins: int, prior: float):
+def _scored(total: int, distinct: int, begins: int, prior: float, hot):
     """A shard's share in the scores of the documents, batch by batch; rows with documents pass through."""
     base_total, begin = np.log10(total + 0.5 * (distinct + 1)), short_context(np.array([code(BEGIN)], dtype=np.uint64))[0]
     end, unknown = np.uint64(code(END)), np.log10(0.5) - base_total
@@ -245,15 +260,20 @@ def _scored(total: int, distinct: int, begins: int, prior: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         if rows["shard"].iloc[0] < 0:
             return rows.drop(columns="shard")
-        words, word_at, context, held, batch, docs = _together(rows["data"])
+        words, word_at, context, held, batch, docs, times, sizes = _together(rows["data"])
         # occurrences of a pair (a word after a context) are put next to each other
         order = np.lexsort((context, word_at))
-        word_at, context, held, batch, docs = (x[order] for x in (word_at, context, held, batch, docs))
+        word_at, context, held, batch, docs, times = (x[order] for x in (word_at, context, held, batch, docs, times))
         del order
         first = np.flatnonzero(np.concatenate([[True], (np.diff(word_at) != 0) | (context[1:] != context[:-1])]))
         runs = np.diff(first, append=len(word_at))
-        count = np.bincount(word_at[~held], minlength=len(words))
-        seen = np.add.reduceat(~held, first, dtype=np.int64)
+        learned = np.where(held, 0, times)
+        count = np.bincount(word_at, learned, len(words))
+        # a hot word is in several shards, its count is known beforehand
+        at = np.searchsorted(hot.value[0], words).clip(0, max(len(hot.value[0]) - 1, 0))
+        if len(hot.value[0]):
+            count = np.where(hot.value[0][at] == words, hot.value[1][at], count)
+        seen = np.add.reduceat(learned, first, dtype=np.int64)
         base = np.log10(count + 0.5) - base_total
         # the trie has what training saw
         inside, known = first[seen > 0], np.flatnonzero(count > 0)
@@ -271,13 +291,13 @@ def _scored(total: int, distinct: int, begins: int, prior: float):
         # what a token adds to its text: its own numerator, and the denominator that it is for the next
         value -= np.where(context[first] == begin, np.log10(begins + prior), 0.0)
         value -= np.where(words == end, 0.0, np.log10(count + prior))[word_at[first]]
-        token = np.repeat(value, runs)
+        shares = (np.repeat(value, runs) * times, base[word_at] * times, (count > 0)[word_at] * times)
         data = []
         for k in range(len(rows)):
             own = np.flatnonzero(batch == k)
-            sums = [np.bincount(docs[own], x[own]) for x in (token,)]
-            sums += [np.bincount(docs[own], base[word_at[own]]), np.bincount(docs[own], count[word_at[own]] > 0)]
-            data.append(np.stack(sums).tobytes())
+            score, base_sum, n_known = (np.bincount(docs[own], x[own], sizes[k]) for x in shares)
+            small = "<u2" if n_known.max(initial=0) < 1 << 16 else "<u4"
+            data.append(score.astype("<f4").tobytes() + base_sum.tobytes() + n_known.astype(small).tobytes())
         return pd.DataFrame({"batch": rows["batch"], "ids": None, "held": None, "sizes": None, "data": data})
 
     return run
@@ -286,10 +306,12 @@ def _scored(total: int, distinct: int, begins: int, prior: float):
 def _summed(rows: pd.DataFrame) -> pd.DataFrame:
     """The documents of a batch with the sums of what all shards have for them."""
     meta = rows[rows["ids"].notna()].iloc[0]
-    sums = np.zeros((3, len(meta["ids"])))
+    n = len(meta["ids"])
+    sums = np.zeros((3, n))
     for data in rows.loc[rows["ids"].isna(), "data"]:
-        part = np.frombuffer(data).reshape(3, -1)
-        sums[:, : part.shape[1]] += part
+        sums[0] += np.frombuffer(data, "<f4", n)
+        sums[1] += np.frombuffer(data, "<f8", n, 4 * n)
+        sums[2] += np.frombuffer(data, "<u2" if len(data) == 14 * n else "<u4", n, 12 * n)
     return pd.DataFrame({
         "doc_id": meta["ids"], "held_out": meta["held"], "n_tokens": meta["sizes"],
         "n_known": sums[2].round().astype(np.int64), "base_score": sums[1], "score": sums[0],
@@ -315,13 +337,18 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pri
         F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + TOKEN_BYTES), F.count_if(~F.col("held"))
     ).first()
     shards = max(1, -(-(sizes[0] or 0) // (TOKEN_BYTES * shard_tokens)))
-    words = _training_words(ready).groupBy("word").agg(F.sum("n").alias("n"))
-    distinct, total = words.where("n > 0").agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    words = checkpointed(_training_words(ready).groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"))
+    distinct, total = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    # 1 / HOT_SHARE for each shard at most
+    found = words.where(F.col("n") >= HOT_SHARE * shard_tokens).toPandas().astype({"word": np.int64, "n": np.int64})
+    codes = found["word"].to_numpy().view(np.uint64)
+    order = np.argsort(codes)
+    hot = docs.sparkSession.sparkContext.broadcast((codes[order], found["n"].to_numpy()[order]))
     kind = rows.schema["doc_id"].dataType
     return (
-        _gathered(ready, shards)
+        _gathered(ready, shards, hot)
         .groupBy("shard")
-        .applyInPandas(_scored(total, distinct, sizes[1], prior), _ROWS)
+        .applyInPandas(_scored(total, distinct, sizes[1], prior, hot), _ROWS)
         .groupBy("batch")
         .applyInPandas(_summed, "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
         .select(
