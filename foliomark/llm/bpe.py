@@ -21,8 +21,8 @@ from .common import append_columns, named
 
 #: Fixed value: how byte-level BPE cuts a text before merging.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces whose tokens a task remembers, and the longest such piece; a full memory is emptied.
-REMEMBERED, LONGEST = 400_000, 64
+#: Pieces whose tokens a task remembers (twice as many at most), and the longest such piece.
+REMEMBERED, LONGEST = 200_000, 64
 
 
 def byte_letters() -> list[str]:
@@ -34,16 +34,19 @@ def byte_letters() -> list[str]:
 
 
 class _Memory(dict):
-    """Tokens of pieces, made when first asked for."""
+    """Tokens of pieces, made when first asked for.  Of a full memory, what is asked for again survives."""
 
     def __init__(self, make) -> None:
         super().__init__()
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self.make(piece)
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.make(piece)
         if len(piece) <= LONGEST:
             if len(self) >= REMEMBERED:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -58,11 +61,13 @@ class BytePairs:
         letters = byte_letters()
         byte_of = {c: b for b, c in enumerate(letters)}
         self.first = [vocabulary[c] for c in letters]
-        #: of two neighbouring tokens: the rank of their merge and what they become
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        #: the rank of the merge of two neighbouring tokens, and what the merge of a rank makes
+        self.ranks: dict[tuple[int, int], int] = {}
+        self.made: list[int] = []
         for rank, pair in enumerate(model["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[vocabulary[a], vocabulary[b]] = (rank, vocabulary[a + b])
+            self.ranks[vocabulary[a], vocabulary[b]] = rank
+            self.made.append(vocabulary[a + b])
         added = {t["content"]: t["id"] for t in model.get("added_tokens", [])}
         self.added = added
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
@@ -77,27 +82,29 @@ class BytePairs:
 
     def merged(self, piece: str) -> tuple[int, ...]:
         """The tokens of one piece: the earliest merge first, of equal ones the leftmost."""
-        ids = [self.first[b] for b in piece.encode("utf-8", "surrogatepass")]
-        if len(ids) == 1:
+        first = self.first
+        ids = [first[b] for b in piece.encode("utf-8", "surrogatepass")]
+        size = len(ids)
+        if size == 1:
             return (ids[0],)
-        merges, size = self.merges, len(ids)
-        following, before = list(range(1, size + 1)), list(range(-1, size - 1))
-        queue = [(*merges[pair], i, pair) for i in range(size - 1) if (pair := (ids[i], ids[i + 1])) in merges]
-        queue = [(rank, i, new, pair) for rank, new, i, pair in queue]
+        # an entry of the queue is rank * size + place of the left token
+        rank_of, made = self.ranks.get, self.made
+        queue = [r * size + i for i, r in enumerate(map(rank_of, zip(ids, ids[1:], strict=False))) if r is not None]
         heapify(queue)
+        following, before = list(range(1, size + 1)), list(range(-1, size - 1))
         while queue:
-            _, i, new, (a, b) = heappop(queue)
+            rank, i = divmod(heappop(queue), size)
             j = following[i]
-            if ids[i] != a or j >= size or ids[j] != b:  # stale: one of the two has been merged meanwhile
+            if j >= size or rank_of((ids[i], ids[j])) != rank:  # stale: one of the two has been merged meanwhile
                 continue
-            ids[i], ids[j] = new, -1
+            ids[i], ids[j] = made[rank], -1
             following[i] = after = following[j]
             if after < size:
                 before[after] = i
-                if (found := merges.get(pair := (new, ids[after]))) is not None:
-                    heappush(queue, (found[0], i, found[1], pair))
-            if (h := before[i]) >= 0 and (found := merges.get(pair := (ids[h], new))) is not None:
-                heappush(queue, (found[0], h, found[1], pair))
+                if (found := rank_of((ids[i], ids[after]))) is not None:
+                    heappush(queue, found * size + i)
+            if (h := before[i]) >= 0 and (found := rank_of((ids[h], ids[i]))) is not None:
+                heappush(queue, found * size + h)
         return tuple(x for x in ids if x >= 0)
 
     def encode(self, text: str | None) -> list[int]:
