@@ -1,8 +1,12 @@
-"""Embedding near-dedup by sorted projection passes.
+"""Embedding near-dedup: every pair of distinct vectors compared, tile by tile.
 
-Equal vectors are first made one.  Each pass orders all vectors by the signs of their projections on random
-directions, written one after the other, and compares every vector with the neighbours in its window; verified
-pairs of all passes are united into components.  Inside a component, links are then counted exactly.
+Equal vectors are first made one.  The others are dealt into tiles; each pair of tiles is one task's matrix
+products, which give the links of its vectors with each other and a forest that joins them.
+
+Without ``exact``, sorted projection passes stand for the tiles: each pass orders all vectors by the signs of
+their projections on random directions, written one after the other, and compares every vector with the
+neighbours in its window; verified pairs of all passes are united into components.  Inside a component, links
+are then counted exactly.  That misses more links the more vectors there are.
 """
 
 from __future__ import annotations
@@ -24,6 +28,10 @@ PASSES, HASHES, SEED = 10, 64, 20_240_229
 BLOCK, OVERLAP = 1_024, 256
 #: Members of a component compared with each other at once.
 TILE = 512
+#: Bytes of a tile's vectors in the exact comparison, and the tiles that fewer vectors are spread over.
+CELL_BYTES, SPREAD = 32 << 20, 16
+#: Rows and columns of one matrix product of the exact comparison.
+ROWS, COLUMNS = 512, 4_096
 
 
 def unit_vectors(vectors: Iterator) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -147,15 +155,77 @@ def _link_counts(members: DataFrame, threshold: float, tile: int) -> DataFrame:
     return met.groupBy("alone", "bin", "low", "high").applyInPandas(_counted(threshold), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
+def _packed(nodes: DataFrame) -> DataFrame:
+    """node, copies, dims and unit vector (the bytes of its doubles) of every usable vector."""
+
+    def run(batches):
+        for batch in batches:
+            places, units = unit_vectors(batch.column("vector").to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("node").take(pa.array(places)),
+                    batch.column("copies").take(pa.array(places)),
+                    pa.array([len(u) for u in units], pa.int32()),
+                    pa.array([u.tobytes() for u in units], pa.binary()),
+                ],
+                names=["node", "copies", "dims", "unit"],
+            )
+
+    return nodes.select("node", "copies", "vector").mapInArrow(run, "node long, copies long, dims int, unit binary")
+
+
+def _cell_links(threshold: float):
+    """Links (copies counted) of the rows of one tile, or of two with each other, and the root that they reach."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for dims, own in rows.groupby("dims"):
+            unit = np.frombuffer(b"".join(own["unit"]), dtype=np.float64).reshape(-1, dims)
+            ids, copies, tile = (own[c].to_numpy() for c in ("node", "copies", "tile"))
+            low, high = np.flatnonzero(tile == own["low"]), np.flatnonzero(tile == own["high"])
+            same, forest, links = own["low"].iat[0] == own["high"].iat[0], Forest(len(own)), np.zeros(len(own), dtype=np.int64)
+            for i in range(0, len(low), ROWS):
+                a = low[i : i + ROWS]
+                for j in range(i if same else 0, len(high), COLUMNS):
+                    b = high[j : j + COLUMNS]
+                    x, y = np.nonzero(unit[a] @ unit[b].T >= threshold)
+                    x, y = a[x], b[y]
+                    if same:  # each pair once
+                        x, y = x[x < y], y[x < y]
+                    np.add.at(links, x, copies[y])
+                    np.add.at(links, y, copies[x])
+                    forest.join(x, y)
+            near = np.flatnonzero(links)
+            found.append(pd.DataFrame({"a": ids[near], "b": ids[forest.roots(near)], "links": links[near]}))
+        return pd.concat(found) if found else pd.DataFrame({"a": [], "b": [], "links": []}, dtype="int64")
+
+    return run
+
+
+def _all_links(packed: DataFrame, threshold: float) -> DataFrame:
+    """Of every vector in every pair of tiles where it has links: itself (a), the root that it reaches (b), links.
+
+    A tile's rows are sent once for every tile, so what is shuffled grows with their number.
+    """
+    n, dims = packed.agg(F.count(F.lit(1)), F.max("dims")).first()
+    tiles = max(-(-n * 8 * (dims or 1) // CELL_BYTES), min(SPREAD, -(-n // ROWS)), 1)
+    met = packed.withColumn("tile", F.pmod(F.xxhash64("node"), F.lit(tiles)).cast("int")).withColumn(
+        "partner", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
+    ).select("node", "copies", "dims", "unit", "tile", F.least("tile", "partner").alias("low"), F.greatest("tile", "partner").alias("high"))
+    return met.groupBy("low", "high").applyInPandas(_cell_links(threshold), "a long, b long, links long")
+
+
 def embedding_components(
     vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD,
     passes: int = PASSES, hashes: int = HASHES, block: int = BLOCK, overlap: int = OVERLAP, seed: int = SEED,
+    exact: bool = True,
 ) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row.
 
-    Vectors with a cosine of ``threshold`` or more (in double precision) are linked if some pass puts them
-    within one window; no pair below it ever is.  n_links counts all linked others of the component, copies
-    included; component_id is the smallest id that links reach; kept says whether that is the row's own.
+    Vectors with a cosine of ``threshold`` or more (in double precision) are linked, all of them; no pair below
+    it ever is.  The work grows with the square of the number of distinct vectors.  With ``exact`` false, only
+    pairs are linked that one of the ``passes`` puts within one window, and ``hashes``, ``block``, ``overlap``
+    and ``seed`` say how.  n_links counts all linked others of the component, copies included; component_id is the smallest id that links reach; kept says whether that is the row's own.
     Vectors that are null, empty or zero or hold null or non-finite components have no link, nor do vectors
     of different lengths.  A row without id gets its component's smallest id and isn't kept.  Repeated rows
     are copies, and each comes out.  Other columns are ignored; an empty table gives no rows.
@@ -168,13 +238,20 @@ def embedding_components(
         .agg(F.first("vector").alias("vector"), F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
         .withColumn("node", F.monotonically_increasing_id())
     )
-    projected = _projected(nodes, passes, hashes, seed)
-    blocks = _blocks(projected, block, overlap).join(nodes.select("node", "vector"), "node")
-    links = blocks.groupBy("block").applyInPandas(_window_links(threshold), "a long, b long")
-    joined = checkpointed(connected(links).join(nodes.select("node", "vector", "copies", "least_id"), "node"))
-    counts = _link_counts(joined.select("node", "component", "vector", "copies"), threshold, TILE)
+    if exact:
+        usable = checkpointed(_packed(nodes))
+        every = checkpointed(_all_links(usable, threshold))
+        joined = checkpointed(connected(every.select("a", "b")).join(nodes.select("node", "least_id"), "node"))
+        counts = every.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    else:
+        projected = _projected(nodes, passes, hashes, seed)
+        blocks = _blocks(projected, block, overlap).join(nodes.select("node", "vector"), "node")
+        links = blocks.groupBy("block").applyInPandas(_window_links(threshold), "a long, b long")
+        joined = checkpointed(connected(links).join(nodes.select("node", "vector", "copies", "least_id"), "node"))
+        counts = _link_counts(joined.select("node", "component", "vector", "copies"), threshold, TILE)
+        usable = projected.where(F.col("pass") == 0)
+    usable = usable.select(F.col("node").alias("good"))
     least = joined.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    usable = projected.where(F.col("pass") == 0).select(F.col("node").alias("good"))
     found = (
         nodes.select("h1", "h2", "node", "copies", "least_id")
         .join(joined.select("node", "component").join(least, "component").drop("component"), "node", "left")

@@ -157,6 +157,36 @@ def test_embeddings_against_brute_force(spark, monkeypatch, tile):
     assert found[-9:] == wanted[-9:] and found[0] == wanted[0]
 
 
+@pytest.mark.parametrize("tile", [32 << 20, 8 * 64 * 50])
+def test_embeddings_miss_no_link(spark, monkeypatch, tile):
+    """Isolated pairs just above the threshold, and a dense cone, with windows too narrow to hold them."""
+    monkeypatch.setattr(embeddings, "CELL_BYTES", tile)
+    monkeypatch.setattr(embeddings, "COLUMNS", 70)
+    monkeypatch.setattr(embeddings, "ROWS", 40)
+    random_ = np.random.default_rng(3)
+    base = random_.standard_normal((350, 64))
+    base[:150] = base[0] + base[:150] * 0.3
+    near = base + random_.standard_normal((350, 64)) * 0.45 * np.linalg.norm(base, axis=1)[:, None] / 8
+    x = np.concatenate([base, near, near[:20]])
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    close = unit @ unit.T >= 0.9
+    close[np.arange(700 - 350, 700 - 330), np.arange(700, 720)] = close[np.arange(700, 720), np.arange(700 - 350, 700 - 330)] = True
+    np.fill_diagonal(close, False)
+    roots = reach(len(x), [(int(i), int(j)) for i, j in zip(*np.nonzero(close), strict=True)])
+    assert len(set(roots)) > 150 and close[150:350, 500:700].diagonal().sum() > 50
+    frame = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = sorted(map(tuple, embeddings.embedding_components(frame, passes=1, block=16, overlap=4).collect()))
+    assert found == [(i, int(close[i].sum()), roots[i], i == roots[i]) for i in range(len(x))]
+
+
+def test_embeddings_by_passes(spark):
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(vectors())], "vec_id long, embedding array<double>")
+    exact = {r.vec_id: r for r in embeddings.embedding_components(frame).collect()}
+    found = embeddings.embedding_components(frame, block=64, overlap=32, exact=False).collect()
+    assert len(found) == len(exact) and sum(exact[r.vec_id] == r for r in found) >= 0.98 * len(found)
+    assert all(r.n_links <= exact[r.vec_id].n_links for r in found)
+
+
 def test_embeddings_without_ids_or_rows(spark):
     kind = "vec_id long, embedding array<float>"
     rows = [(None, [1.0, 0.0]), (4, [1.0, 0.0]), (None, None), (2, [0.0, 1.0])]
