@@ -32,13 +32,17 @@ REDACTED = "[REDACTED]"
 
 _NAMES = r"pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|credential|auth(?:orization)?"
 _HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "auth")
-_ASSIGNED = re.compile(rf"(?i:{_NAMES})s?[\"']?[ \t]{{0,3}}[:=][ \t]{{0,3}}[\"']?([^\s\"'<>]{{6,}})")
+_ASSIGNED = re.compile(rf"(?i:{_NAMES})s?[\"']?[ \t]{{0,3}}[:=][ \t]{{0,3}}[\"']?(?i:(?:Bearer|Basic)[ \t]{{1,3}})?([^\s\"'<>]{{6,}})")
 _RUN = re.compile(r"[A-Za-z0-9+/=_\-]{16,}")
 _BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[^-]*(?:-----END [A-Z ]{0,40}PRIVATE KEY-----)?")
 _VENDOR = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]+")
 _DIGIT = re.compile(r"\d")
-_WORD_BEFORE = re.compile(rf"(?i)(?:{_NAMES})s?[\"']?\s*[:=]?\s*[\"']?$")
+_WORD_BEFORE = re.compile(rf"(?i)(?:{_NAMES})s?[\"']?\s*[:=]?\s*[\"']?(?:(?:Bearer|Basic)\s+)?$")
 _PATH = re.compile(r"(?i)test|example|sample|fixture|doc|readme|mock")
+#: Words and numbers with signs between them.
+_WORDY = r"^(?:[A-Za-z]{3,}[0-9]{0,4}|[0-9]+)(?:[+/=_-]+(?:[A-Za-z]+[0-9]{0,4}|[0-9]+))*[+/=_-]*$"
+#: What stands before and after a secret that has no name: a blank, or an address.
+UNNAMED = ((" ", " "), ("", "\n"), (" https://api/v1?", " "), (" https://files/", "/"))
 _MADE_UP = re.compile(r"(?i)example|placeholder|changeme|your[_-]|xxxx|dummy|<|\$\{")
 #: Words that dictionary coverage counts; common in prose, code and addresses.
 WORDS = frozenset(
@@ -137,19 +141,32 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
 
 
 def rule_labels(findings: DataFrame) -> DataFrame:
-    """Findings with a label where fixed rules are sure: 1 for vendors' formats and for random values that
-    are assigned to a secret's name; 0 for numbers, parts of addresses, made-up values and words."""
+    """Findings with a label where fixed rules are sure: 1 for vendors' formats, wherever they stand, and for
+    random values that are assigned to a secret's name; 0 for numbers, made-up values, words, and names in
+    mail addresses.
+
+    No rule is sure of a random value without a name.  So that the forest knows such secrets, each random value
+    that has one comes once more as a token, with one of UNNAMED around it.
+    """
     value = F.col("value")
     mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.length(value) >= 16)
     made_up = value.rlike(_MADE_UP.pattern)
-    address = F.col("before").rlike(r"(://[^ ]*|@)$") | F.col("after").startswith("@")
+    mail = F.col("after").startswith("@") & ~F.col("before").rlike("://[^ ]*$")
     label = (
-        F.when(made_up | address | value.rlike(r"^[0-9+/=_\-]+$") | value.rlike("^[A-Za-z_/=+-]+$"), 0)
+        F.when(made_up, 0)
         .when(F.col("kind").isin("vendor", "private_key"), 1)
+        .when(value.rlike(r"^[0-9+/=_\-]+$") | value.rlike("^[A-Za-z_/=+-]+$"), 0)
         .when((F.col("kind") == "assigned") & mixed, 1)
-        .when(F.col("kind") == "token", 0)
+        .when((F.col("kind") == "token") & (mail | (F.length(value) <= 256) & value.rlike(_WORDY)), 0)
+    )
+    labelled = findings.withColumn("label", label).where("label IS NOT NULL")
+    around = F.element_at(
+        F.array(*(F.struct(F.lit(b).alias("before"), F.lit(a).alias("after")) for b, a in UNNAMED)),
+        (F.pmod(F.xxhash64("value"), F.lit(len(UNNAMED))) + 1).cast("int"),
     )
-    return findings.withColumn("label", label).where("label IS NOT NULL")
+    named_ = (F.col("label") == 1) & (F.col("kind") == "assigned") & value.rlike(rf"^{_RUN.pattern}$")
+    unnamed = labelled.where(named_).withColumns({"kind": F.lit("token"), "before": around["before"], "after": around["after"]})
+    return labelled.unionByName(unnamed)
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Trees | None:
@@ -157,7 +174,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Trees | None:
 
     Of each label, half of ``sample`` are drawn by a hash at most, about; the same finding counts once.
     """
-    labelled = labelled.dropDuplicates(["doc_id", "start", "value"])
+    labelled = labelled.dropDuplicates(["doc_id", "start", "value", "kind"])
     sizes = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
     if set(sizes) != {0, 1}:
         return None
