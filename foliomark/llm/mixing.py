@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_number, bucket_of, checkpointed, expand_copies, fresh, named, running_total, word_count
+from .common import bucket_number, bucket_of, checkpointed, expand_copies, fresh, named, running_total, stored, word_count
 
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
@@ -100,18 +100,34 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """The mix itself: every document as often as the mix takes it, with all its columns.
 
     Documents stay whole: the one that a source's budget ends in comes in full once more.  Documents
-    without words cost nothing and come once for each begun pass over their source.  Rows that agree in
-    source, id and size come equally often: as often as they are taken in the mean, rounded up.
+    without words cost nothing and come once for each begun pass over their source.  Of rows that agree in
+    source, id and size, only so many come once more as the budget reaches; which of them doesn't matter.
     """
     taken, size, copy = (F.col(c) for c in ("rest", "size", "copies"))
     partly = F.when(size > 0, F.greatest(F.lit(0), F.least(copy, F.ceil((taken - F.col("before")) / size)))).otherwise(
         F.when(taken > 0, copy).otherwise(0)
     )
-    times = F.col("passes") + F.ceil(partly / copy)
-    key, plan_key, t, i = fresh(docs, "mix_key_", "mix_plan_key_", "mix_times_", "mix_copy_")
-    plan = mix_plan(docs, doc_id, text, source, weights, epochs).select(
-        F.struct("source", "doc_id", "size").alias(plan_key), times.cast("long").alias(t)
+    key, plan_key, t, i, row, group, extra, chosen = fresh(
+        docs, "mix_key_", "mix_plan_key_", "mix_times_", "mix_copy_", "mix_row_", "mix_group_", "mix_extra_", "mix_chosen_"
     )
-    keyed = docs.withColumn(key, F.struct(named(source).alias("source"), named(doc_id).alias("doc_id"), word_count(named(text)).alias("size")))
+    plan = checkpointed(
+        mix_plan(docs, doc_id, text, source, weights, epochs).select(
+            F.struct("source", "doc_id", "size").alias(plan_key),
+            (F.col("passes") + F.when(partly == copy, 1).otherwise(0)).cast("long").alias(t),
+            F.when(partly < copy, partly).otherwise(0).cast("long").alias(extra),
+            F.monotonically_increasing_id().alias(group),
+        )
+    )
+    # the rows that a budget ends in, at most one group a source, are numbered
+    tied = not plan.where(F.col(extra) > 0).isEmpty()
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "mixed-documents") if tied else docs
+    keyed = rows.withColumn(key, F.struct(named(source).alias("source"), named(doc_id).alias("doc_id"), word_count(named(text)).alias("size")))
     joined = keyed.join(plan, F.col(key).eqNullSafe(F.col(plan_key))).drop(plan_key, key)
-    return expand_copies(joined, t, i).drop(t, i)
+    if tied:
+        number = F.xxhash64(row).bitwiseAND(0xFFFFFFFF)
+        ends = checkpointed(joined.where(F.col(extra) > 0).select(row, group, extra, number.alias("number"), F.lit(1).alias("one")))
+        bucketed = ends.withColumn("bucket", bucket_of(F.col("number"), bucket_number(ends.count())))
+        numbered = running_total(bucketed, group, "bucket", [F.col("number"), F.col(row)], "one", "ahead")
+        once_more = numbered.where(F.col("ahead") < F.col(extra)).select(F.col(row).alias(chosen))
+        joined = joined.join(once_more, F.col(row) == F.col(chosen), "left").withColumn(t, F.col(t) + F.col(chosen).isNotNull().cast("long")).drop(row, chosen)
+    return expand_copies(joined.drop(extra, group), t, i).drop(t, i)

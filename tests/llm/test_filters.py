@@ -132,6 +132,24 @@ def test_mixed_documents_stay_whole(spark):
     assert copies == {d: -(-t // n) for d, (n, t) in taken.items() if t}
 
 
+@pytest.mark.parametrize("bucket_rows", [500, 3])
+def test_rows_that_agree_are_mixed_one_by_one(spark, monkeypatch, bucket_rows):
+    from foliomark.llm import common
+
+    monkeypatch.setattr(common, "BUCKET_ROWS", bucket_rows)
+    rows = [(None, f"t{i} w w", "ab"[i % 2], f"h{i}") for i in range(70)] + [(1, "w w", "a", "x")] * 3 + [(2, " ", "a", "x")] * 4
+    docs = spark.createDataFrame(rows, DOCS)
+    target, out = {}, {}
+    for r in mixing.mix_sources(docs).collect():
+        target[r.source] = int(r.target + 0.5)
+    found = mixing.mixed_documents(docs)
+    assert found.columns == docs.columns
+    for r in found.collect():
+        assert tuple(r) in rows
+        out[r.source] = out.get(r.source, 0) + words(r.text)
+    assert all(target[s] <= out[s] < target[s] + 3 for s in target), (target, out)
+
+
 def test_copies_are_expanded_without_long_arrays(spark, monkeypatch):
     from foliomark.llm import common
 
