@@ -26,8 +26,6 @@ SAMPLE = 20_000
 SECRET_FROM = 0.5
 #: Characters before and after a candidate that are looked at.
 BEFORE, AFTER = 48, 24
-#: Candidates longer than this are described by their first characters only; they are still found whole.
-DESCRIBED = 4_096
 REDACTED = "[REDACTED]"
 
 _NAMES = r"pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|credential|auth(?:orization)?"
@@ -93,14 +91,13 @@ def _coverage(value: str) -> float:
 
 def describe(kind: str, path: str | None, before: str, value: str, after: str) -> list[float]:
     """The numbers of FEATURES for one candidate."""
-    value = value[:DESCRIBED]
     n = max(len(value), 1)
-    classes = [0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in value]
-    shares = [classes.count(k) / n for k in range(4)]
+    classes = np.fromiter((0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in value), dtype=np.int8, count=len(value))
+    shares = (np.bincount(classes, minlength=4) / n).tolist()
     counts = Counter(value)
     entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
     return [
-        math.log(n), sum(a != b for a, b in zip(classes, classes[1:], strict=False)) / max(n - 1, 1), _coverage(value), entropy,
+        math.log(n), float((classes[1:] != classes[:-1]).sum()) / max(n - 1, 1), _coverage(value), entropy,
         len(counts) / n, shares[2], shares[1], shares[0], shares[3],
         float(all(c in "0123456789abcdefABCDEF" for c in value) and shares[2] < 1),
         float(kind in ("vendor", "private_key")), float(bool(_WORD_BEFORE.search(before))), float(bool(re.search(r"[:=]\s*[\"']?$", before))),
@@ -181,12 +178,16 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Trees | None:
     whole = 1_000_000
     share = F.when(F.col("label") == 1, int(whole * min(1, sample / 2 / sizes[1]))).otherwise(int(whole * min(1, sample / 2 / sizes[0])))
     drawn = labelled.where(F.pmod(F.xxhash64("doc_id", "start", "value"), F.lit(whole)) < share)
-    rows = drawn.select("kind", "path", "before", F.substring("value", 1, DESCRIBED).alias("value"), "after", "label").toPandas()
+    # described where they are, so that only numbers come to the driver
+    columns = ["kind", "path", "before", "value", "after"]
+    added = T.StructType([T.StructField(f, T.DoubleType()) for f in FEATURES])
+    make = lambda *given: np.array([describe(*r) for r in zip(*given, strict=True)]).reshape(-1, len(FEATURES)).T
+    rows = append_columns(drawn.select(*columns, "label"), columns, added, make).select(*FEATURES, "label").toPandas()
     if rows["label"].nunique() < 2:
         return None
-    rows = rows.sort_values(list(rows.columns))  # so that reruns agree
-    x = np.array([describe(*r) for r in rows[["kind", "path", "before", "value", "after"]].itertuples(index=False, name=None)])
-    return forest(x, rows["label"].to_numpy())
+    x = rows.to_numpy(dtype=float)
+    x = x[np.lexsort(x.T[::-1])]  # so that reruns agree
+    return forest(x[:, :-1], x[:, -1])
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", path: str = "source", sample: int = SAMPLE, secret_from: float = SECRET_FROM) -> DataFrame:
