@@ -8,15 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import run_folder
+from .alignment import align_tokenizers
 from .bpe import bpe_round_trip
 from .common import read_table
 from .embeddings import embedding_components
+from .filter_audit import filter_interactions
 from .mixing import mix_sources
 from .ngram import score_texts
 from .quality import quality_rules
 from .secrets import scan
 from .sharding import shard_documents
 from .simhash import simhash_components
+from .transducer import transducer_round_trip
 from .url_filter import filter_urls
 from .warc import page_number, payload_digest, read_warc, write_warc
 
@@ -31,6 +34,8 @@ URL_RULES = [
 ]
 SHARDS = 24
 TOKENIZER = "byte_bpe_50k.json"
+RANKS = "byte_bpe_multi_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,10 +101,28 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_interactions(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op12_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read_table(spark, sf_dir, "documents")
+    return transducer_round_trip(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read_table(spark, sf_dir, "documents")
+    return align_tokenizers(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES))[0]
+
+
 def queries() -> dict[str, Query]:
     every = [
         op1_url_filter, op2_embedding_dedup, op3_mix_sources, op4_lm_scores, op5_bpe, op6_warc, op7_secret_scan, op8_quality,
-        op9_shards, op10_simhash,
+        op9_shards, op10_simhash, op11_filter_audit, op12_bpe_transducer, op13_tokenizer_alignment,
     ]
     return {f.__name__: f for f in every}
 
@@ -161,4 +184,39 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN page_id IS DISTINCT FROM original AND original IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN page_id IS DISTINCT FROM original THEN original END AS refers_to
 FROM firsts""",
+        "op11_filter_audit": r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least
+  FROM documents),
+flags AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+masked AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         concat(CASE WHEN len(words) < 200 THEN 'A' END, CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' END,
+                CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 'C' END,
+                CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' END, CASE WHEN t.doc_id > least THEN 'E' END) AS failing
+  FROM texts t LEFT JOIN flags f ON t.doc_id = f.doc_id),
+cells AS (SELECT part, failing, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic FROM masked GROUP BY ALL),
+letters(f) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+  SELECT concat(a.f, b.f, c.f, d.f, e.f) AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (SELECT filter_order, CAST(step AS INT) AS step, filter_order[step] AS own, filter_order[1:step - 1] AS earlier
+          FROM orders, range(1, 6) r(step)),
+met AS (
+  SELECT part, filter_order, step, own, n, n_good, n_toxic, contains(failing, own) AS fails, failing = own AS alone,
+         len(regexp_extract_all(failing, '[' || earlier || ' ]')) = 0 AS here
+  FROM cells, steps),
+counted AS (
+  SELECT part, filter_order, step, own,
+         CAST(coalesce(sum(n) FILTER (here AND NOT fails), 0) AS BIGINT) AS kept,
+         CAST(coalesce(sum(n) FILTER (here AND fails), 0) AS BIGINT) AS removed,
+         CAST(coalesce(sum(n) FILTER (NOT here AND fails), 0) AS BIGINT) AS redundant,
+         CAST(coalesce(sum(n) FILTER (alone), 0) AS BIGINT) AS unique_fails,
+         CAST(coalesce(sum(n_good) FILTER (here AND fails), 0) AS BIGINT) AS good_lost,
+         CAST(coalesce(sum(n_toxic) FILTER (here AND fails), 0) AS BIGINT) AS toxic_lost
+  FROM met GROUP BY ALL)
+SELECT * EXCLUDE (own), CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM counted""",
     }
