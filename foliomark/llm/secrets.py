@@ -2,7 +2,8 @@
 
 Candidates are found in whole texts.  The forest is trained on labelled findings (a bounded, hashed sample) from
 a candidate's length, character transitions and dictionary coverage, its path, and the words around it, and is
-flattened into numpy arrays that score all candidates of a batch at once.
+flattened into numpy arrays that score all candidates of a batch at once.  The dictionary is made of the words that
+most of the corpus' documents share.  What is stored between jobs are numbers and digests, never a secret.
 """
 
 from __future__ import annotations
@@ -32,7 +33,15 @@ _NAMES = r"pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|c
 _HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "auth")
 _ASSIGNED = re.compile(rf"(?i:{_NAMES})s?[\"']?[ \t]{{0,3}}[:=][ \t]{{0,3}}[\"']?(?i:(?:Bearer|Basic)[ \t]{{1,3}})?([^\s\"'<>]{{6,}})")
 _RUN = re.compile(r"[A-Za-z0-9+/=_\-]{16,}")
-_BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[^-]*(?:-----END [A-Z ]{0,40}PRIVATE KEY-----)?")
+#: A private key: its first line, header lines, lines of base64, and maybe its end.  Lines may be told apart by any
+#: white space or a written-out line break.  Without a long line of base64 it is a mention, not a key; without an end
+#: it goes as far as its lines do.
+_GAP, _KEY = r"(?:\s|\\[nr])*", r"PRIVATE KEY(?: BLOCK)?-----"
+_BLOCK = re.compile(
+    rf"-----BEGIN [A-Z0-9 ]{{0,40}}{_KEY}{_GAP}(?:[A-Za-z][A-Za-z-]{{0,40}}: [^\n\\]{{0,200}}(?:\n|\\n){_GAP})*"
+    rf"(?:[A-Za-z0-9+/=]{{32,}}{_GAP})+(?:[A-Za-z0-9+/=]{{1,31}}{_GAP}(?=-----END)|[A-Za-z0-9+/]{{1,29}}={{1,2}}(?![A-Za-z0-9+/=]))?"
+    rf"(?:-----END [A-Z0-9 ]{{0,40}}{_KEY})?"
+)
 _VENDOR = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]+")
 _DIGIT = re.compile(r"\d")
 _WORD_BEFORE = re.compile(rf"(?i)(?:{_NAMES})s?[\"']?\s*[:=]?\s*[\"']?(?:(?:Bearer|Basic)\s+)?$")
@@ -42,19 +51,16 @@ _WORDY = r"^(?:[A-Za-z]{3,}[0-9]{0,4}|[0-9]+)(?:[+/=_-]+(?:[A-Za-z]+[0-9]{0,4}|[
 #: What stands before and after a secret that has no name: a blank, or an address.
 UNNAMED = ((" ", " "), ("", "\n"), (" https://api/v1?", " "), (" https://files/", "/"))
 _MADE_UP = re.compile(r"(?i)example|placeholder|changeme|your[_-]|xxxx|dummy|<|\$\{")
-#: Words that dictionary coverage counts; common in prose, code and addresses.
-WORDS = frozenset(
-    "the and for with that this from have not are was you all can use get set new one two out has his her they will more"
-    " page index user name value test example sample default license version public private general copyright http https"
-    " www com org net html file path data text image content home search login email mail number phone address time date"
-    " year month day list item order total count config system server client request response error class function return"
-    " true false none null string int float array object type key id ing ion tion ment ness able".split()
-)
+#: Words of the dictionary at most, the fewest documents that hold one, and the shortest and longest word in it.
+DICTIONARY, LEAST_DOCUMENTS, SHORTEST, LONGEST = 20_000, 3, 3, 14
+_WORD = re.compile(rf"(?<![a-z])[a-z]{{{SHORTEST},{LONGEST}}}(?![a-z])")
 
 FEATURES = [
     "length", "transitions", "coverage", "entropy", "distinct", "digits", "uppers", "lowers", "others", "hexadecimal",
     "vendor", "named", "assigned", "quoted", "address", "made_up", "plain_path",
 ]
+#: The same as columns.
+NUMBERS = [f"x_{name}" for name in FEATURES]
 FINDING = "start int, length int, kind string, path string, before string, value string, after string"
 
 
@@ -64,7 +70,7 @@ def candidates(text: str | None) -> list[tuple[int, int, str]]:
         return []
     found = [(m.start(), m.end(), "token") for m in _RUN.finditer(text) if _DIGIT.search(m.group())]
     if "-----BEGIN" in text:
-        found += [(m.start(), m.end(), "private_key") for m in _BLOCK.finditer(text)]
+        found += [(m.start(), m.start() + len(m[0].rstrip()), "private_key") for m in _BLOCK.finditer(text)]
     if any(x in text for x in ("AKIA", "ASIA", "gh", "xox", "sk_live_", "eyJ")):
         found += [(m.start(), m.end(), "vendor") for m in _VENDOR.finditer(text)]
     low = text.lower()
@@ -79,17 +85,38 @@ def candidates(text: str | None) -> list[tuple[int, int, str]]:
     return kept
 
 
-def _coverage(value: str) -> float:
-    """Share of the characters inside words of the list, longest word first from the left."""
+def frequent_words(docs: DataFrame, text: str = "text", size: int = DICTIONARY) -> frozenset[str]:
+    """The dictionary: words (runs of letters, A-Z lower-cased) that most documents hold, ``size`` at most.
+
+    Counted over all documents; words of fewer than LEAST_DOCUMENTS are left out, so that no single secret's
+    letters are a word.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            counts = Counter()
+            for t in batch.column("text").to_pylist():
+                counts.update(set(_WORD.findall(t.lower())) if t else ())
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+
+    counted = docs.select(named(text).alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = counted.where(F.col("n") >= LEAST_DOCUMENTS).orderBy(F.desc("n"), "word").limit(size)
+    return frozenset(r["word"] for r in top.collect())
+
+
+def _coverage(value: str, words: frozenset[str]) -> float:
+    """Share of the characters inside words of the dictionary, longest word first from the left."""
     low, i, covered = value.lower(), 0, 0
     while i < len(low):
-        n = next((n for n in range(9, 1, -1) if low[i : i + n] in WORDS), 0)
+        n = next((n for n in range(LONGEST, SHORTEST - 1, -1) if low[i : i + n] in words and i + n <= len(low)), 0)
         covered += n
         i += n or 1
     return covered / max(len(low), 1)
 
 
-def describe(kind: str, path: str | None, before: str, value: str, after: str) -> list[float]:
+def describe(kind: str, path: str | None, before: str, value: str, after: str, words: frozenset[str] = frozenset()) -> list[float]:
     """The numbers of FEATURES for one candidate."""
     n = max(len(value), 1)
     classes = np.fromiter((0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in value), dtype=np.int8, count=len(value))
@@ -97,7 +124,7 @@ def describe(kind: str, path: str | None, before: str, value: str, after: str) -
     counts = Counter(value)
     entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
     return [
-        math.log(n), float((classes[1:] != classes[:-1]).sum()) / max(n - 1, 1), _coverage(value), entropy,
+        math.log(n), float((classes[1:] != classes[:-1]).sum()) / max(n - 1, 1), _coverage(value, words), entropy,
         len(counts) / n, shares[2], shares[1], shares[0], shares[3],
         float(all(c in "0123456789abcdefABCDEF" for c in value) and shares[2] < 1),
         float(kind in ("vendor", "private_key")), float(bool(_WORD_BEFORE.search(before))), float(bool(re.search(r"[:=]\s*[\"']?$", before))),
@@ -107,12 +134,9 @@ def describe(kind: str, path: str | None, before: str, value: str, after: str) -
     ]
 
 
-def _scores(model: Trees | None, rows: list[tuple[str, str | None, str, str, str]]) -> np.ndarray:
-    if not rows:
-        return np.zeros(0)
-    x = np.array([describe(*r) for r in rows])
+def _scores(model: Trees | None, x: np.ndarray, kinds: list[str]) -> np.ndarray:
     # without a forest every candidate that a pattern names stays
-    return model.sums(x) if model else np.array([float(r[0] != "token") for r in rows])
+    return model.sums(x) if model and len(x) else np.array([float(k != "token") for k in kinds])
 
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
@@ -137,14 +161,8 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
     return narrow.mapInArrow(run, schema).select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.*")
 
 
-def rule_labels(findings: DataFrame) -> DataFrame:
-    """Findings with a label where fixed rules are sure: 1 for vendors' formats, wherever they stand, and for
-    random values that are assigned to a secret's name; 0 for numbers, made-up values, words, and names in
-    mail addresses.
-
-    No rule is sure of a random value without a name.  So that the forest knows such secrets, each random value
-    that has one comes once more as a token, with one of UNNAMED around it.
-    """
+def _ruled(findings: DataFrame) -> DataFrame:
+    """Findings with the rules' label (null where none is sure) and bare: whether it is a copy without its name."""
     value = F.col("value")
     mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.length(value) >= 16)
     made_up = value.rlike(_MADE_UP.pattern)
@@ -156,33 +174,57 @@ def rule_labels(findings: DataFrame) -> DataFrame:
         .when((F.col("kind") == "assigned") & mixed, 1)
         .when((F.col("kind") == "token") & (mail | (F.length(value) <= 256) & value.rlike(_WORDY)), 0)
     )
-    labelled = findings.withColumn("label", label).where("label IS NOT NULL")
     around = F.element_at(
         F.array(*(F.struct(F.lit(b).alias("before"), F.lit(a).alias("after")) for b, a in UNNAMED)),
         (F.pmod(F.xxhash64("value"), F.lit(len(UNNAMED))) + 1).cast("int"),
     )
-    named_ = (F.col("label") == 1) & (F.col("kind") == "assigned") & value.rlike(rf"^{_RUN.pattern}$")
-    unnamed = labelled.where(named_).withColumns({"kind": F.lit("token"), "before": around["before"], "after": around["after"]})
-    return labelled.unionByName(unnamed)
+    copied = (F.col("label") == 1) & (F.col("kind") == "assigned") & value.rlike(rf"^{_RUN.pattern}$")
 
+    def form(kind, before, after, bare):
+        return F.struct(kind.alias("kind"), before.alias("before"), after.alias("after"), F.lit(bare).alias("bare"))
 
-def train(labelled: DataFrame, sample: int = SAMPLE) -> Trees | None:
-    """A forest from labelled findings (columns of `find` and label); None without both labels.
+    own = form(F.col("kind"), F.col("before"), F.col("after"), False)
+    forms = F.when(copied, F.array(own, form(F.lit("token"), around["before"], around["after"], True))).otherwise(F.array(own))
+    labelled = findings.withColumn("label", label).withColumn("form", F.explode(forms))
+    return labelled.select(*(F.col(f"form.{c}").alias(c) if c in ("kind", "before", "after") else named(c) for c in findings.columns), "label", "form.bare")
+
+
+def rule_labels(findings: DataFrame) -> DataFrame:
+    """Findings with a label where fixed rules are sure: 1 for vendors' formats, wherever they stand, and for
+    random values that are assigned to a secret's name; 0 for numbers, made-up values, words, and names in
+    mail addresses.
+
+    No rule is sure of a random value without a name.  So that the forest knows such secrets, each random value
+    that has one comes once more as a token, with one of UNNAMED around it.
+    """
+    return _ruled(findings).where("label IS NOT NULL").drop("bare")
+
+
+def _described(findings: DataFrame, words) -> DataFrame:
+    """Findings with the numbers of FEATURES and the value's digest in place of value, path and surroundings."""
+    columns = ["kind", "path", "before", "value", "after"]
+    added = T.StructType([T.StructField(name, T.DoubleType()) for name in NUMBERS])
+
+    def make(*given):
+        return np.array([describe(*r, words.value) for r in zip(*given, strict=True)]).reshape(-1, len(FEATURES)).T
+
+    rows = append_columns(findings.withColumn("value_sha256", F.sha2("value", 256)), columns, added, make)
+    return rows.drop("path", "before", "value", "after")
+
+
+def _trained(labelled: DataFrame, sample: int) -> Trees | None:
+    """A forest from described findings with a label; None without both labels.
 
     Of each label, half of ``sample`` are drawn by a hash at most, about; the same finding counts once.
     """
-    labelled = labelled.dropDuplicates(["doc_id", "start", "value", "kind"])
+    labelled = labelled.where("label IS NOT NULL").dropDuplicates(["doc_id", "start", "value_sha256", "kind"])
     sizes = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
     if set(sizes) != {0, 1}:
         return None
     whole = 1_000_000
     share = F.when(F.col("label") == 1, int(whole * min(1, sample / 2 / sizes[1]))).otherwise(int(whole * min(1, sample / 2 / sizes[0])))
-    drawn = labelled.where(F.pmod(F.xxhash64("doc_id", "start", "value"), F.lit(whole)) < share)
-    # described where they are, so that only numbers come to the driver
-    columns = ["kind", "path", "before", "value", "after"]
-    added = T.StructType([T.StructField(f, T.DoubleType()) for f in FEATURES])
-    make = lambda *given: np.array([describe(*r) for r in zip(*given, strict=True)]).reshape(-1, len(FEATURES)).T
-    rows = append_columns(drawn.select(*columns, "label"), columns, added, make).select(*FEATURES, "label").toPandas()
+    drawn = labelled.where(F.pmod(F.xxhash64("doc_id", "start", "value_sha256"), F.lit(whole)) < share)
+    rows = drawn.select(*NUMBERS, "label").toPandas()
     if rows["label"].nunique() < 2:
         return None
     x = rows.to_numpy(dtype=float)
@@ -190,27 +232,39 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Trees | None:
     return forest(x[:, :-1], x[:, -1])
 
 
+def _learned(docs: DataFrame, labelled: DataFrame | None, doc_id: str, text: str, path: str, sample: int):
+    """The described candidates of ``docs`` (stored, without copies), the forest, and the sent dictionary."""
+    words = docs.sparkSession.sparkContext.broadcast(frequent_words(docs, text))
+    found = find(docs, doc_id, text, path)
+    if labelled is None:
+        rows = checkpointed(_described(_ruled(found), words))
+        return rows.where("NOT bare"), _trained(rows, sample), words
+    return checkpointed(_described(found, words)), _trained(checkpointed(_described(labelled, words)), sample), words
+
+
 def scan(docs: DataFrame, labelled: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", path: str = "source", sample: int = SAMPLE, secret_from: float = SECRET_FROM) -> DataFrame:
     """doc_id, start, length, kind, value_sha256, score and is_secret of every candidate.
 
     ``labelled`` are findings with labels; without any, those that fixed rules are sure of.  With labels of
-    one kind only, the patterns' own kinds decide.  Starts and lengths count code points.  The value itself
-    isn't returned.  A null or empty text has no candidates; a null path is an empty one; null ids and
+    one kind only, the patterns' own kinds decide.  Starts and lengths count code points.  The value itself is
+    neither returned nor stored in between.  A long value without a name, a vendor's form or a
+    digit is no candidate.  A null or empty text has no candidates; a null path is an empty one; null ids and
     repeated rows are passed through; other columns are ignored; an empty table gives no rows.
     """
-    found = checkpointed(find(docs, doc_id, text, path))
-    model = train(rule_labels(found) if labelled is None else labelled, sample)
+    found, model, _ = _learned(docs, labelled, doc_id, text, path, sample)
     kind = T.StructType([T.StructField("score", T.DoubleType())])
-    make = lambda *columns: [_scores(model, list(zip(*columns, strict=True))).tolist()]
-    scored = append_columns(found, ["kind", "path", "before", "value", "after"], kind, make)
-    return scored.select(
-        "doc_id", "start", "length", "kind", F.sha2("value", 256).alias("value_sha256"), "score", (F.col("score") >= secret_from).alias("is_secret")
-    )
+    make = lambda kinds, *x: [_scores(model, np.array(x).T, kinds).tolist()]
+    scored = append_columns(found.select("doc_id", "start", "length", "kind", "value_sha256", *NUMBERS), ["kind", *NUMBERS], kind, make)
+    return scored.select("doc_id", "start", "length", "kind", "value_sha256", "score", (F.col("score") >= secret_from).alias("is_secret"))
 
 
 def redact(docs: DataFrame, labelled: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", path: str = "source", sample: int = SAMPLE, secret_from: float = SECRET_FROM) -> DataFrame:
-    """``docs`` with every secret in ``text`` replaced by a mark; nothing else changes."""
-    model = train(rule_labels(checkpointed(find(docs, doc_id, text, path))) if labelled is None else labelled, sample)
+    """``docs`` with every secret in ``text`` replaced by a mark; nothing else changes.
+
+    What is a secret is as in `scan`.  Null and empty texts stay as they are; null ids, null paths, repeated rows and
+    other columns are kept; an empty table gives no rows.
+    """
+    _, model, words = _learned(docs, labelled, doc_id, text, path, sample)
 
     def make(texts, paths):
         places, rows = [], []
@@ -219,7 +273,8 @@ def redact(docs: DataFrame, labelled: DataFrame | None = None, doc_id: str = "do
                 places.append((i, a, b))
                 rows.append((k, None if paths[i] is None else str(paths[i]), t[max(0, a - BEFORE) : a], t[a:b], t[b : b + AFTER]))
         cuts: dict[int, list[tuple[int, int]]] = {}
-        for (i, a, b), s in zip(places, _scores(model, rows), strict=True):
+        x = np.array([describe(*r, words.value) for r in rows]).reshape(-1, len(FEATURES))
+        for (i, a, b), s in zip(places, _scores(model, x, [r[0] for r in rows]), strict=True):
             if s >= secret_from:
                 cuts.setdefault(i, []).append((a, b))
         out = list(texts)
