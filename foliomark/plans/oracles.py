@@ -26,6 +26,15 @@ def strip(x: str) -> str:
     return f"trim({x}, {WS})"
 
 
+#: Any character that is no white space.
+INK = r"'[^\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]'"
+
+
+def inked(x: str) -> str:
+    """Whether something is left once ``x`` is stripped; null for null."""
+    return f"regexp_matches({x}, {INK})"
+
+
 def control(x: str) -> str:
     return rf"regexp_replace({x}, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g')"
 
@@ -94,8 +103,8 @@ def padded(x: str) -> str:
 
 
 def sufficient(text: str) -> str:
-    s = strip(text)
-    return f"coalesce(length({s}) > 200 AND length({s}) - length(replace({s}, {NL}, '')) > 5, false)"
+    enough = f"length(s) > 200 AND length(s) - length(replace(s, {NL}, '')) > 5"
+    return f"coalesce(list_transform([{strip(text)}], lambda s: {enough})[1], false)"
 
 
 def joined(text: str, order: str, separator: str) -> str:
@@ -159,7 +168,7 @@ CTES = {
              ELSE '  Part ' || l_partkey || '  as supplied by ' || l_suppkey END AS text
         FROM lineitem""",
     "kept_blocks": f"""SELECT * REPLACE ({strip("text")} AS text) FROM blocks
-        WHERE block_type = 0 AND {strip("text")} <> ''""",
+        WHERE block_type = 0 AND {inked("text")}""",
     "order_pages": """SELECT o_orderkey AS doc_id, page_no,
         CASE WHEN o_orderstatus = 'P' THEN ' - '
              ELSE 'Order ' || o_orderkey || ' of ' || o_orderpriority || ' ' END AS embedded_text,
@@ -306,10 +315,10 @@ SLIDE_FAILED = page_warning("Diapositiva {n}: error al procesar.")
 
 SCANNED_MD = f"""CASE WHEN NOT rasterized THEN {NOT_RASTERIZED}
     WHEN ocr_error IS NOT NULL THEN {OCR_FAILED}
-    WHEN {strip("coalesce(ocr_text, '')")} = '' THEN {OCR_EMPTY} ELSE ocr_text END"""
+    WHEN NOT {inked("coalesce(ocr_text, '')")} THEN {OCR_EMPTY} ELSE ocr_text END"""
 IMAGE_MD = f"""CASE WHEN ocr_error IS NOT NULL
     THEN {padded("'> ⚠️ Error al aplicar OCR: ' || ocr_error")}
-    WHEN {strip("coalesce(ocr_text, '')")} = ''
+    WHEN NOT {inked("coalesce(ocr_text, '')")}
     THEN {padded("'> ⚠️ OCR no produjo resultado para ' || file || '.'")} ELSE ocr_text END"""
 K3 = "0::DOUBLE AS k1, 0::DOUBLE AS k2, {} AS k3, 0::BIGINT AS k4"
 SHAPE_KEYS = """coalesce(top, 0)::DOUBLE AS k1, coalesce(left_, 0)::DOUBLE AS k2,
@@ -354,7 +363,7 @@ def shape_blocks(shapes: str, lines: str) -> str:
     good = "error IS NULL AND kind = '{}'"
     picture = f"(SELECT *, 0 AS pos FROM {shapes} WHERE {good.format('PICTURE')} AND decoded)"
     ocr = f"""(SELECT * REPLACE (CASE WHEN image_name IS NULL THEN 0 ELSE 1 END AS pos)
-        FROM {picture} WHERE ocr_error IS NULL AND {strip("ocr_text")} <> '')"""
+        FROM {picture} WHERE ocr_error IS NULL AND {inked("ocr_text")})"""
     table = f"(SELECT *, 0 AS pos FROM {shapes} WHERE {good.format('TABLE')})"
     return " UNION ALL ".join(
         [
@@ -379,7 +388,7 @@ def slide_blocks(slides: str, shapes: str, lines: str, notes: str) -> str:
             _block(
                 3,
                 padded(f"'> **Notas:** ' || {strip('text')}"),
-                f"{notes} {but_failed(slides, 'error IS NOT NULL')} WHERE {strip('text')} <> ''",
+                f"{notes} {but_failed(slides, 'error IS NOT NULL')} WHERE {inked('text')}",
             ),
             _block(4, SLIDE_FAILED, f"{slides} WHERE error IS NOT NULL"),
         ]
@@ -396,6 +405,11 @@ def image_blocks(pages: str) -> str:
     )
 
 
+def of(table: str, route: str) -> str:
+    """Rows of the documents that take a route."""
+    return f"(SELECT * FROM {table} SEMI JOIN (SELECT doc_id FROM c_docs WHERE route = '{route}') r USING (doc_id))"
+
+
 CTES |= {
     "scan_images": f"""SELECT doc_id, page_no, {image_name("'Scan'", "image_number")} AS image_name
         FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_no) AS image_number
@@ -407,7 +421,7 @@ CTES |= {
     "c_prefix": f"""SELECT doc_id, kind, route, file, {sanitized(stem_of("file"))} AS prefix FROM c_docs""",
     "c_blocks": f"""SELECT doc_id * 5 + 1 AS doc_id, page_no, block_no, x0, y0, text FROM kept_blocks
         UNION ALL SELECT doc_id * 5, 0, 0, 0, 0, {strip("text")} FROM documents
-        WHERE doc_id % 8 < 2 AND doc_id % 3 = 0 AND {strip("text")} <> ''""",
+        WHERE doc_id % 8 < 2 AND doc_id % 3 = 0 AND {inked("text")}""",
     "c_tables": "SELECT * REPLACE (doc_id * 5 + 1 AS doc_id) FROM page_tables",
     "c_refs": """SELECT * REPLACE (doc_id * 5 AS doc_id) FROM image_refs
         UNION ALL SELECT * REPLACE (doc_id * 5 + 1 AS doc_id) FROM image_refs""",
@@ -442,16 +456,15 @@ CTES |= {
     "c_all_blocks": " UNION ALL ".join(
         f"SELECT '{name}' AS route, * FROM ({rows})"
         for name, rows in {
-            "text_pdf": text_pdf_blocks("c_pages", "c_blocks", "c_tables", "c_images"),
-            "scanned_pdf": scanned_blocks("c_pages", "c_scan_images"),
-            "slides": slide_blocks("c_slides", "c_shapes", "c_lines", "c_notes"),
+            "text_pdf": text_pdf_blocks(*(of(table, "text_pdf") for table in ("c_pages", "c_blocks", "c_tables", "c_images"))),
+            "scanned_pdf": scanned_blocks(of("c_pages", "scanned_pdf"), of("c_scan_images", "scanned_pdf")),
+            "slides": slide_blocks(*(of(table, "slides") for table in ("c_slides", "c_shapes", "c_lines", "c_notes"))),
             "image": image_blocks("c_photos"),
         }.items()
     ),
     "c_bodies": f"""SELECT doc_id, route, {clean("joined")} AS body FROM (
           SELECT doc_id, route, {joined("md", ORDER, f"{NL} || {NL}")} AS joined
-          FROM c_all_blocks JOIN (SELECT doc_id, route FROM c_docs) USING (doc_id, route)
-          WHERE {strip("md")} <> '' GROUP BY doc_id, route)
+          FROM c_all_blocks WHERE {inked("md")} GROUP BY doc_id, route)
         UNION ALL SELECT * FROM c_quick""",
     "c_documents": f"""SELECT doc_id, route, pages, engine, output,
         {front_matter("file", "pages", "engine", "route = 'quick'")} || {NL} || {NL}
@@ -459,6 +472,15 @@ CTES |= {
         FROM (SELECT * REPLACE (replace(engine, 'tesseract', 'paddle') AS engine) FROM c_docs) LEFT JOIN c_bodies USING (doc_id, route) WHERE status = 'ok'""",
 }
 
+# --- the same of the given documents alone -------------------------------------------------
+
+FIRST_SPACE = ("c_files", "c_pages", "c_slides", "c_blocks", "c_tables", "c_refs", "c_shapes", "c_lines", "c_notes")
+CTES |= {
+    re.sub("^c_", "d_", name): re.sub(r"\bc_", "d_", f"SELECT * FROM ({sql}) WHERE doc_id % 5 = 0" if name in FIRST_SPACE else sql)
+    for name, sql in CTES.items()
+    if name.startswith("c_")
+}
+
 # --- queries ----------------------------------------------------------------------------
 
 BLOCK = f"doc_id, {ORDER}, md"
@@ -478,8 +500,7 @@ SQL = {
     "scan_one": f"{CORPUS_FILE} WHERE doc_id = (SELECT arg_max(doc_id, path) FROM files)",
     "distinct_sorted_paths": """SELECT DISTINCT event_type || '/User ' || user_id || '.pdf' AS path
         FROM events ORDER BY string_split(path, '/')""",
-    "write_documents": """SELECT string_split(output, '/')[-1] AS file, markdown FROM c_documents
-        WHERE doc_id % 5 = 0""",
+    "write_documents": """SELECT string_split(output, '/')[-1] AS file, markdown FROM d_documents""",
     "run_report": """SELECT file, pages, engine, status,
         CASE WHEN status = 'ok' THEN output ELSE '—' END AS output FROM c_docs""",
     "file_type": f"""SELECT doc_id, {stem_of("file")} AS stem, {suffix_of("file")} AS suffix,
@@ -497,7 +518,7 @@ SQL = {
         WHERE doc_id IN (SELECT doc_id FROM c_pages WHERE page_no < 3)""",
     "first_pages": "SELECT doc_id, page_no, embedded_text, ocr_text FROM doc_pages WHERE page_no < 3",
     "text_blocks": "SELECT doc_id, page_no, block_no, text FROM kept_blocks",
-    "drop_blank_blocks": f"SELECT doc_id, block_no, text FROM blocks WHERE {strip('text')} <> ''",
+    "drop_blank_blocks": f"SELECT doc_id, block_no, text FROM blocks WHERE {inked('text')}",
     "ocr_confident_lines": """SELECT doc_id, page_no, line_no, text FROM ocr_lines
         WHERE confidence > 0.5""",
     "nonblank_paragraphs": """SELECT doc_id, shape_no, pos::INT AS pos, level, text
@@ -560,7 +581,7 @@ SQL = {
                 1,
                 SCANNED_MD,
                 f"""doc_pages WHERE NOT rasterized OR ocr_error IS NOT NULL
-                    OR {strip("ocr_text")} = ''""",
+                    OR NOT {inked("ocr_text")}""",
             ),
             _block(4, PARTIAL, "doc_pages WHERE block_error"),
         ]
@@ -568,7 +589,7 @@ SQL = {
     "doc_warnings": " UNION ALL ".join(
         [
             _block(
-                1, IMAGE_MD, f"image_pages WHERE ocr_error IS NOT NULL OR {strip('ocr_text')} = ''"
+                1, IMAGE_MD, f"image_pages WHERE ocr_error IS NOT NULL OR NOT {inked('ocr_text')}"
             ),
             _block(4, SLIDE_FAILED, "slides WHERE error IS NOT NULL"),
         ]
@@ -578,7 +599,7 @@ SQL = {
         FROM ocr_lines GROUP BY doc_id, page_no""",
     "assemble_body": f"""SELECT doc_id, 0::BIGINT AS part_no,
         {joined("md", ORDER, f"{NL} || {NL}")} AS body
-        FROM scan_blocks WHERE {strip("md")} <> '' GROUP BY doc_id""",
+        FROM scan_blocks WHERE {inked("md")} GROUP BY doc_id""",
     "file_status": """SELECT doc_id, file, status,
         CASE WHEN kind IS NULL OR route = 'quick' THEN status ELSE 'error: Motor OCR no soportado: '
           || '"it''s". Opciones: [''paddle'', ''surya'', ''tesseract'']' END
@@ -606,7 +627,7 @@ SQL = {
         {front_matter("('Scan ' || doc_id || '.pdf')", "pages", "'tesseract'", "false")}
         || {NL} || {NL} || {clean("joined")} || {NL} AS markdown
         FROM (SELECT doc_id, {joined("md", ORDER, f"{NL} || {NL}")} AS joined FROM scan_blocks
-              WHERE {strip("md")} <> '' AND section <> 5 GROUP BY doc_id)
+              WHERE {inked("md")} AND section <> 5 GROUP BY doc_id)
         JOIN (SELECT doc_id, count(*) AS pages FROM doc_pages GROUP BY doc_id) USING (doc_id)""",
     "convert_corpus": """SELECT doc_id, route, pages, engine, output, 0::BIGINT AS part_no, markdown
         FROM c_documents""",
@@ -626,7 +647,7 @@ def oracles() -> dict[str, str]:
     for name, sql in SQL.items():
         used = _used(sql)
         parts = ",\n".join(
-            f"{t} AS {'MATERIALIZED ' if t in ('c_docs', 'c_pages', 'c_images') else ''}({CTES[t]})" for t in CTES if t in used
+            f"{t} AS {'MATERIALIZED ' if t[1:] in ('_docs', '_pages', '_images') else ''}({CTES[t]})" for t in CTES if t in used
         )
         whole[name] = f"WITH {parts}\n{sql}" if parts else sql
     return whole
