@@ -135,56 +135,93 @@ def vectors():
     return rows + odd + [[0.0] * 24]
 
 
-@pytest.mark.parametrize("tile", [512, 9])
-def test_embeddings_against_brute_force(spark, monkeypatch, tile):
-    monkeypatch.setattr(embeddings, "TILE", tile)
-    data = vectors()
+def brute_links(data):
+    """(vec_id, n_links, component_id, kept) of every vector by comparing all pairs."""
     unit = []
     for v in data:
         x = None if v is None or any(c is None for c in v) else np.array(v)
         good = x is not None and len(x) and np.isfinite(x).all() and x.any()
         unit.append(x / np.abs(x).max() / np.linalg.norm(x / np.abs(x).max()) if good else None)
     n = len(data)
-    links = [(i, j) for i in range(n) for j in range(n) if i != j and unit[i] is not None and unit[j] is not None and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.9]
+    links = []
+    for size in {len(u) for u in unit if u is not None}:
+        own = np.array([i for i, u in enumerate(unit) if u is not None and len(u) == size])
+        x = np.stack([unit[i] for i in own])
+        near = x @ x.T >= 0.9
+        np.fill_diagonal(near, False)
+        links += [(int(own[i]), int(own[j])) for i, j in zip(*np.nonzero(near), strict=True)]
     roots, degree = reach(n, links), [0] * n
     for i, _ in links:
         degree[i] += 1
+    return [(i, degree[i], roots[i], i == roots[i]) for i in range(n)]
+
+
+@pytest.mark.parametrize("options", [{}, {"exact": True}, {"block": 64, "overlap": 32}, {"small": 9}, {"small": 9, "exact": True}])
+def test_embeddings_against_brute_force(spark, monkeypatch, options):
+    options = dict(options)
+    if small := options.pop("small", None):
+        monkeypatch.setattr(embeddings, "SMALL", small)
+        monkeypatch.setattr(embeddings, "CELL_BYTES", 8 * 24 * 50)
+    data = vectors()
     frame = spark.createDataFrame([(i, v, "x") for i, v in enumerate(data)], "vec_id long, embedding array<double>, node string")
-    found = sorted(map(tuple, embeddings.embedding_components(frame, block=64, overlap=32).collect()))
-    wanted = [(i, degree[i], roots[i], i == roots[i]) for i in range(n)]
-    same = sum(a == b for a, b in zip(found, wanted, strict=True))
-    assert same >= 0.98 * n and all(a[1] <= b[1] for a, b in zip(found, wanted, strict=True))
-    assert found[-9:] == wanted[-9:] and found[0] == wanted[0]
+    assert sorted(map(tuple, embeddings.embedding_components(frame, **options).collect())) == brute_links(data)
+
+
+@pytest.mark.parametrize("turned", [False, True])
+@pytest.mark.parametrize("exact", [False, True])
+def test_a_null_component_is_no_shorter_vector(spark, turned, exact):
+    forms = [[1.0, 2.0], [1.0, None, 2.0], [None, 1.0, 2.0], [1.0, float("nan"), 2.0]]
+    rows = [(i, v) for i, v in enumerate(forms[::-1] if turned else forms)]
+    found = embeddings.embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1), exact=exact)
+    assert sorted(map(tuple, found.collect())) == [(i, 0, i, True) for i in range(4)]
+
+
+def scattered(n, seed=3, dims=64):
+    """Lone pairs just above the threshold, a dense cone that holds a third of all, and pairs below the threshold."""
+    random_ = np.random.default_rng(seed)
+    base = random_.standard_normal((n // 2, dims))
+    cone = n // 6
+    base[:cone] = base[0] + base[:cone] * 0.3
+    near = base + random_.standard_normal(base.shape) * 0.45 * np.linalg.norm(base, axis=1)[:, None] / 8
+    return np.concatenate([base, near, near[:20]])
 
 
 @pytest.mark.parametrize("tile", [32 << 20, 8 * 64 * 50])
-def test_embeddings_miss_no_link(spark, monkeypatch, tile):
-    """Isolated pairs just above the threshold, and a dense cone, with windows too narrow to hold them."""
+def test_exact_embeddings_miss_no_link(spark, monkeypatch, tile):
     monkeypatch.setattr(embeddings, "CELL_BYTES", tile)
     monkeypatch.setattr(embeddings, "COLUMNS", 70)
     monkeypatch.setattr(embeddings, "ROWS", 40)
-    random_ = np.random.default_rng(3)
-    base = random_.standard_normal((350, 64))
-    base[:150] = base[0] + base[:150] * 0.3
-    near = base + random_.standard_normal((350, 64)) * 0.45 * np.linalg.norm(base, axis=1)[:, None] / 8
-    x = np.concatenate([base, near, near[:20]])
-    unit = x / np.linalg.norm(x, axis=1)[:, None]
-    close = unit @ unit.T >= 0.9
-    close[np.arange(700 - 350, 700 - 330), np.arange(700, 720)] = close[np.arange(700, 720), np.arange(700 - 350, 700 - 330)] = True
-    np.fill_diagonal(close, False)
-    roots = reach(len(x), [(int(i), int(j)) for i, j in zip(*np.nonzero(close), strict=True)])
-    assert len(set(roots)) > 150 and close[150:350, 500:700].diagonal().sum() > 50
-    frame = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    found = sorted(map(tuple, embeddings.embedding_components(frame, passes=1, block=16, overlap=4).collect()))
-    assert found == [(i, int(close[i].sum()), roots[i], i == roots[i]) for i in range(len(x))]
-
-
-def test_embeddings_by_passes(spark):
-    frame = spark.createDataFrame([(i, v) for i, v in enumerate(vectors())], "vec_id long, embedding array<double>")
-    exact = {r.vec_id: r for r in embeddings.embedding_components(frame).collect()}
-    found = embeddings.embedding_components(frame, block=64, overlap=32, exact=False).collect()
-    assert len(found) == len(exact) and sum(exact[r.vec_id] == r for r in found) >= 0.98 * len(found)
-    assert all(r.n_links <= exact[r.vec_id].n_links for r in found)
+    data = [list(map(float, v)) for v in scattered(700)]
+    frame = spark.createDataFrame(list(enumerate(data)), "vec_id long, embedding array<double>")
+    found = sorted(map(tuple, embeddings.embedding_components(frame, exact=True).collect()))
+    assert found == brute_links(data) and len({r[2] for r in found}) > 150
+
+
+def test_passes_reach_their_recall(spark):
+    """Narrow windows, so that the passes have to do the work; links are never too many."""
+    data = [list(map(float, v)) for v in scattered(3_000)]
+    frame = spark.createDataFrame(list(enumerate(data)), "vec_id long, embedding array<double>")
+    wanted = brute_links(data)
+    found = sorted(map(tuple, embeddings.embedding_components(frame, block=128, overlap=64).collect()))
+    assert all(a[1] <= b[1] for a, b in zip(found, wanted, strict=True))
+    assert sum(a[1] for a in found) >= 0.99 * sum(b[1] for b in wanted)
+    few = sorted(map(tuple, embeddings.embedding_components(frame, block=128, overlap=64, passes=1).collect()))
+    assert sum(a[1] for a in few) < sum(a[1] for a in found)
+
+
+def test_passes_grow_with_the_table():
+    counts = [embeddings.passes_for(n, 0.999, 0.9) for n in (100, 50_000, 10**6, 10**9)]
+    assert counts[0] == 1 and counts == sorted(counts) and counts[-1] < 300
+
+
+def test_pairs_at_the_threshold_are_decided_in_double_precision(spark):
+    """Cosines a hair above and below 0.9, which single precision can't tell apart."""
+    rows = []
+    for i in range(40):
+        angle = np.arccos(0.9) + (1e-9 if i % 2 else -1e-9)
+        rows += [(2 * i, [0.0] * i + [1.0, 0.0] + [0.0] * 50), (2 * i + 1, [0.0] * i + [float(np.cos(angle)), float(np.sin(angle))] + [0.0] * 50)]
+    found = embeddings.embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(map(tuple, found)) == brute_links([v for _, v in rows])
 
 
 def test_embeddings_without_ids_or_rows(spark):
