@@ -28,10 +28,10 @@ from pyspark.sql import types as T
 
 from .common import append_columns, fresh, named
 
-#: Transitions, and pairs of neighbours, that a task remembers; beyond, all are made anew.
-MOVES, PAIRS = 150_000, 500_000
+#: Transitions, and pairs of neighbours, that a task remembers; others are made each time that they are needed.
+MOVES, PAIRS = 250_000, 600_000
 #: Pieces of text whose tokens a task remembers (twice as many at most), and the longest such piece.
-PIECES, LONGEST = 200_000, 64
+PIECES, LONGEST = 250_000, 64
 #: Ids that are decoded at once.
 CHUNK = 512
 
@@ -93,9 +93,9 @@ class Merges:
         key = left << 32 | right
         known = self._beside.get(key)
         if known is None:
-            if len(self._beside) >= PAIRS:
-                self._beside.clear()
-            known = self._beside[key] = self.reached(right) and (left < 0 or self._compare(left, right))
+            known = self.reached(right) and (left < 0 or self._compare(left, right))
+            if len(self._beside) < PAIRS:
+                self._beside[key] = known
         return known
 
     def _compare(self, left: int, right: int) -> bool:
@@ -149,11 +149,7 @@ class Transducer:
                     self.inner.append(False)
             self.token[at] = i
         self._start = _State(((-1, 0, ()),))
-        self._forget()
-
-    def _forget(self) -> None:
         self.states: dict[Ways, _State] = {self._start.ways: self._start}
-        self._start.clear()
         self.made = 0
 
     def _advance(self, ways: Ways, byte: int) -> tuple[Ways, tuple[int, ...]]:
@@ -179,33 +175,26 @@ class Transducer:
         return tuple((last, place, pending[sure:]) for last, place, pending in still), own[:sure]
 
     def emit(self, data: bytes) -> list[int]:
-        """Tokens of the bytes of one piece, each put out as soon as it is certain.
-
-        One new transition is remembered each time, so that only ways taken again and again become states.
-        """
-        state, tokens, at = self._start, [], 0
+        """Tokens of the bytes of one piece, each put out as soon as it is certain."""
+        state, ways, tokens = self._start, self._start.ways, []
         for byte in data:
-            step = state.get(byte)
-            if step is None:
-                break
-            state, out = step
-            tokens += out
-            at += 1
-        ways = state.ways
-        if at < len(data):
-            ways, out = self._advance(ways, data[at])
+            if state is not None:
+                step = state.get(byte)
+                if step is not None:
+                    state, out = step
+                    ways = state.ways
+                    tokens += out
+                    continue
+            ways, out = self._advance(ways, byte)
             tokens += out
-            if self.made >= MOVES:
-                self._forget()
-            else:
-                target = self.states.get(ways)
+            target = self.states.get(ways)
+            if self.made < MOVES:
                 if target is None:
                     target = self.states[ways] = _State(ways)
-                state[data[at]] = target, out
-                self.made += 1
-            for byte in data[at + 1 :]:
-                ways, out = self._advance(ways, byte)
-                tokens += out
+                if state is not None:
+                    state[byte] = target, out
+                    self.made += 1
+            state = target  # none if it is new and there is no room for it
         tokens += ways[-1][2]
         return tokens
 

@@ -113,7 +113,7 @@ def test_transducer_against_the_library(multi):
         assert own.decode(ids) == (text, True)
 
 
-def test_transducer_forgets_without_harm(multi, monkeypatch):
+def test_transducer_without_room_for_states(multi, monkeypatch):
     monkeypatch.setattr(transducer, "MOVES", 50)
     monkeypatch.setattr(transducer, "PAIRS", 50)
     monkeypatch.setattr(transducer, "PIECES", 5)
@@ -220,6 +220,16 @@ def aligned_brute(rows):
     return out, {(*p, n, n == most[p[1]]) for p, n in counts.items()}
 
 
+def test_ranks_say_what_the_file_says():
+    with open(A_PATH, encoding="utf-8") as a, open(B_PATH, "rb") as b:
+        spec, own = a.read(), b.read()
+    fast, file = alignment.aligner(spec, own).a, alignment._file_tokenizer(spec)
+    pick = random.Random(6)
+    letters = [chr(c) for c in [*range(128), 0x85, 0xA0, 0x1C, 0x2028, 0x3000, 0x17F, 0x301, 0x660, 0x4E00, 0x1F600, *(pick.randrange(0x80, 0xD800) for _ in range(200))]]
+    texts = [t for t in TEXTS if t] + ["".join(pick.choice(letters[: pick.choice([128, len(letters)])]) for _ in range(40)) for _ in range(4_000)]
+    assert all(fast(t) == file.encode(t, add_special_tokens=False).ids for t in texts)
+
+
 def test_alignment_against_brute_force(spark):
     pick = random.Random(12)
     words = ["the", "house", "Haus", "tokenization", "été", "12345", "x9", "日本", ",", "\n", "  ", "unbelievably"]
