@@ -9,6 +9,7 @@ in a vector as long as the vocabulary.  Only pairs of irregular groups are shuff
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from functools import lru_cache
 from typing import NamedTuple
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import byte_letters
+from .bpe import PIECES, byte_letters
 from .common import checkpointed, named, stored
 
 #: How sentencepiece writes a blank; fixed value.
@@ -32,13 +33,44 @@ class Vocabulary(NamedTuple):
 
     strings: list[bytes]
     sizes: np.ndarray
-    inside: list[bytes]
-    last: list[bytes]
+    inside: np.ndarray
+    last: np.ndarray
 
 
 def _vocabulary(strings: list[bytes], inside: bytes, last: bytes) -> Vocabulary:
     numbers = [str(i).encode() for i in range(len(strings))]
-    return Vocabulary(strings, np.array([len(s) for s in strings], dtype=np.int64), [n + inside for n in numbers], [n + last for n in numbers])
+    sizes = np.array([len(s) for s in strings], dtype=np.int64)
+    return Vocabulary(strings, sizes, *(np.array([n + end for n in numbers], dtype=object) for end in (inside, last)))
+
+
+def _byte_encoder(spec: str, strings: list[bytes], added: dict):
+    """Ids of a text by a byte-level BPE file, special tokens' strings being plain text.
+
+    Where ids are the order of the merges, which is what they usually are, a table of ranks says the same as the
+    file, and the faster library is asked; tests compare it with the file's own.
+    """
+    model = json.loads(spec)
+    merges, vocabulary = model["model"]["merges"], model["model"]["vocab"]
+    usual = model["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    in_order = all(vocabulary["".join(p.split(" ") if isinstance(p, str) else p)] == 256 + k for k, p in enumerate(merges))
+    if usual and in_order and model["normalizer"] is None:
+        import tiktoken
+
+        ranks = {s: i for i, s in enumerate(strings) if i not in added}
+        return tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    tokenizer = _file_tokenizer(spec)
+    return lambda text: tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+
+def _file_tokenizer(spec: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+    import tokenizers
+
+    tokenizer = tokenizers.Tokenizer.from_str(spec)
+    tokenizer.encode_special_tokens = True
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
 
 
 class Alignment(NamedTuple):
@@ -57,20 +89,16 @@ class Aligner:
     """Both tokenizers and the map between their ids."""
 
     def __init__(self, a_spec: str, b_model: bytes) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         import sentencepiece
-        import tokenizers
 
-        self.a = tokenizers.Tokenizer.from_str(a_spec)
-        self.a.encode_special_tokens = True
-        self.a.no_truncation()
-        self.a.no_padding()
+        file = _file_tokenizer(a_spec)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
         byte_of = {c: b for b, c in enumerate(byte_letters())}
-        a_strings = [b""] * self.a.get_vocab_size(with_added_tokens=True)
-        added = self.a.get_added_tokens_decoder()
-        for token, i in self.a.get_vocab(with_added_tokens=True).items():
+        a_strings = [b""] * file.get_vocab_size(with_added_tokens=True)
+        added = file.get_added_tokens_decoder()
+        for token, i in file.get_vocab(with_added_tokens=True).items():
             a_strings[i] = token.encode() if i in added else bytes(byte_of[c] for c in token)
+        self.a = _byte_encoder(a_spec, a_strings, added)
         b_strings = [
             bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(BLANK, " ").encode()
             for i, piece in enumerate(map(self.b.id_to_piece, range(self.b.get_piece_size())))
@@ -87,8 +115,7 @@ class Aligner:
         """Ids by A and B; None if there are no tokens or their bytes aren't the text's."""
         if not text:
             return None
-        a = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
-        b = self.b.encode([text], num_threads=1)[0]
+        a, b = self.a(" " + text), self.b.encode(text)
         expected = b" " + text.encode()
         if b"".join(map(self.a_words.strings.__getitem__, a)) != expected or b"".join(map(self.b_words.strings.__getitem__, b)) != expected:
             return None
@@ -107,15 +134,13 @@ class Aligner:
     def listed(self, x: Alignment) -> bytes:
         """All groups, in order: `a1,a2|b1;a3|b2,b3`."""
         n_a, n_b = len(x.a), len(x.b)
-        a_group, b_group = np.searchsorted(x.a_ends, np.arange(n_a)), np.searchsorted(x.b_ends, np.arange(n_b))
+        a_group, b_group = (np.repeat(np.arange(len(ends)), np.diff(ends, prepend=-1)) for ends in (x.a_ends, x.b_ends))
         # before an A token stand the B tokens of the groups before; before a B token the A tokens up to its group
-        a_at = np.arange(n_a) + np.r_[0, x.b_ends + 1][a_group]
+        a_at = np.arange(n_a) + np.concatenate(([0], x.b_ends + 1))[a_group]
         b_at = np.arange(n_b) + x.a_ends[b_group] + 1
         words = np.empty(n_a + n_b, dtype=object)
-        words[a_at] = list(map(self.a_words.inside.__getitem__, x.a.tolist()))
-        words[b_at] = list(map(self.b_words.inside.__getitem__, x.b.tolist()))
-        words[a_at[x.a_ends]] = list(map(self.a_words.last.__getitem__, x.a[x.a_ends].tolist()))
-        words[b_at[x.b_ends]] = list(map(self.b_words.last.__getitem__, x.b[x.b_ends].tolist()))
+        words[a_at], words[b_at] = self.a_words.inside[x.a], self.b_words.inside[x.b]
+        words[a_at[x.a_ends]], words[b_at[x.b_ends]] = self.a_words.last[x.a[x.a_ends]], self.b_words.last[x.b[x.b_ends]]
         return b"".join(words.tolist())[:-1]
 
 
