@@ -47,12 +47,19 @@ class EliasFano:
         words = self.low[(first >> 3)[:, None] + np.arange(8)].view("<u8").ravel()
         return (words >> (first & 7).astype(np.uint64)) & np.uint64((1 << self.low_bits) - 1)
 
-    def find(self, wanted: np.ndarray) -> np.ndarray:
+    def at(self, places: np.ndarray) -> np.ndarray:
+        """The numbers at some places."""
+        high = np.searchsorted(self.starts, places, side="right") - 1
+        return (high.astype(np.uint64) << np.uint64(self.low_bits)) | self.low_part(places)
+
+    def find(self, wanted: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> np.ndarray:
         """The place of the successor of each wanted number (the first that isn't smaller), and so of the
-        number itself if it is there: -1 if it isn't."""
+        number itself if it is there: -1 if it isn't.  It is looked for from ``first`` up to before ``last`` only."""
         high = (wanted >> np.uint64(self.low_bits)).astype(np.int64).clip(0, len(self.starts) - 2)
         low = wanted & np.uint64((1 << self.low_bits) - 1)
         a, b = self.starts[high], self.starts[high + 1]
+        if first is not None:
+            a, b = np.maximum(a, first), np.maximum(a, np.minimum(b, last))
         end = b.copy()
         while (open_ := np.flatnonzero(a < b)).size:
             middle = (a[open_] + b[open_]) >> 1

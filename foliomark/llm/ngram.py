@@ -4,12 +4,16 @@ The corpus is gathered by word: the occurrences of a word, with the words before
 its counts are summed and the occurrences are scored.  So the model is as large as the corpus makes it, and no
 task holds more than a shard.  A shard's trie has two levels: words, and below each word the words that came
 before it.  Both are Elias-Fano sequences (children are made monotone by adding their parent's place), tied by
-monotone pointers, with smoothed probabilities quantised to 16 bits, in memory-mapped arrays.
+monotone pointers, a third such sequence: a context is searched between its parent's pointer and the next.
+Smoothed probabilities are quantised to 16 bits, all in memory-mapped arrays.
+
+Hot words are dealt to shards by word and context, hot pairs of these by batch, with their counts sent along.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -32,8 +36,9 @@ TOKEN_BYTES = 6
 PIECE_BYTES = 8_000_000
 #: Bits of the code of a word before another, below that other word.
 CONTEXT_BITS = 40
-#: Words with so large a share of a shard's tokens are hot: their occurrences are dealt by context, too.
-HOT_SHARE = 0.25
+#: Words (pairs) with so large a share of a shard's tokens are hot: they are dealt by context (batch), too.  Of each
+#: there are HOT_MOST at most: hot is only what also has that share of all tokens.
+HOT_SHARE, HOT_MOST = 0.25, 100_000
 #: An odd number, to mix the codes of a hot word and its context.
 MIX = 0x9E3779B97F4A7C15
 LEVELS = 1 << 16
@@ -105,12 +110,9 @@ class _Batch:
     def codes(self) -> np.ndarray:
         return np.fromiter(map(code, self.words), dtype=np.uint64, count=len(self.words))
 
-    def rows(self, name: str, shards: int, hot: np.ndarray) -> Iterator[tuple]:
-        """One row for each shard that has an occurrence here, and one (shard -1 and below) with the documents.
-
-        An occurrence is a word after a context in a document, with the times that it is there.  It belongs to
-        the shard of its word or, if the word is hot, of word and context.
-        """
+    def placed(self) -> tuple[np.ndarray, ...]:
+        """The batch's word codes and short context codes, ascending; and of every token the places of its word and
+        of its context among them, and its document."""
         codes, tokens, sizes = self.codes(), np.concatenate(self.tokens), np.array(self.sizes)
         ordered = np.sort(codes)
         word = np.searchsorted(ordered, codes)[tokens]
@@ -119,30 +121,59 @@ class _Batch:
         before = np.empty_like(tokens)
         before[1:] = tokens[:-1]
         before[np.cumsum(sizes) - sizes] = len(codes)
-        before = context_rank[before]
-        docs = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        return ordered, context, word, context_rank[before], np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+
+    def rows(self, name: str, shards: int, hot: Hot) -> Iterator[tuple]:
+        """One row for each shard that has an occurrence here, and one (shard -1 and below) with the documents.
+
+        An occurrence is a word after a context in a document, with the times that it is there.  It belongs to
+        the shard of its word or, if the word is hot, of word and context or, if this pair is hot, also of the batch.
+        """
+        ordered, context, word, before, docs = self.placed()
         # texts come one after the other, so stable sorts leave the documents of a pair in order
         order = np.argsort(word * len(context) + before, kind="stable")
         word, before, docs = word[order], before[order], docs[order]
         shard = (ordered % np.uint64(shards)).astype(np.int32)[word]
-        split = np.isin(ordered, hot)[word]
-        shard[split] = ((ordered[word[split]] ^ (context[before[split]] * np.uint64(MIX))) % np.uint64(shards)).astype(np.int32)
+        split = np.isin(ordered, hot.words)[word]
+        mixed = (ordered[word[split]] ^ (context[before[split]] * np.uint64(MIX))) % np.uint64(shards)
+        own = xxhash.xxh32_intdigest(name) % shards
+        dealt = np.isin((word[split] << 32) | before[split], hot.places(ordered, context))
+        shard[split] = np.where(dealt, (mixed + np.uint64(own)) % np.uint64(shards), mixed).astype(np.int32)
         order = np.argsort(shard, kind="stable")
         word, before, docs, shard = word[order], before[order], docs[order], shard[order]
         first = np.flatnonzero(np.concatenate([[True], (np.diff(word) != 0) | (np.diff(before) != 0) | (np.diff(docs) != 0)]))
         times = np.diff(first, append=len(word))
         word, before, docs, shard = word[first], before[first], docs[first], shard[first]
         held = np.array(self.held, dtype=np.uint8)
-        yield -1 - xxhash.xxh32_intdigest(name) % shards, name, self.ids, self.held, self.sizes, None
+        yield -1 - own, name, self.ids, self.held, self.sizes, None
         cuts = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             words, word_at = np.unique(word[a:b], return_inverse=True)
             used, used_at = np.unique(before[a:b], return_inverse=True)
+            present, doc_at = np.unique(docs[a:b], return_inverse=True)
             yield int(shard[a]), name, None, None, None, _pack(
-                _differences(ordered[words]), np.diff(word_at, prepend=0), _differences(context[used]), used_at, docs[a:b], times[a:b], held
+                _differences(ordered[words]), np.diff(word_at, prepend=0), _differences(context[used]), used_at, doc_at, times[a:b],
+                np.diff(present, prepend=0), held[present],
             )
 
 
+class Hot(NamedTuple):
+    """Hot words (codes, ascending) and hot pairs (word and short context), each with its training count."""
+
+    words: np.ndarray
+    counts: np.ndarray
+    pair_words: np.ndarray
+    pair_contexts: np.ndarray
+    pair_counts: np.ndarray
+
+    def places(self, words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+        """The hot pairs that ``words`` and ``contexts`` (both ascending) hold, as place << 32 | place."""
+        at, ctx = np.searchsorted(words, self.pair_words), np.searchsorted(contexts, self.pair_contexts)
+        here = (at < len(words)) & (ctx < len(contexts))
+        here[here] = (words[at[here]] == self.pair_words[here]) & (contexts[ctx[here]] == self.pair_contexts[here])
+        return (at[here] << 32) | ctx[here]
+
+
 def _differences(ascending: np.ndarray) -> np.ndarray:
     """Steps between ascending uint64 numbers; `np.cumsum` undoes it."""
     return np.diff(ascending, prepend=np.uint64(0))
@@ -168,15 +199,50 @@ def _batches(rows: Iterator[pa.RecordBatch]) -> Iterator[_Batch]:
         yield batch
 
 
-def _training_words(docs: DataFrame) -> DataFrame:
-    """Words of the training texts and how often they occur, batch by batch."""
+def _words(docs: DataFrame) -> DataFrame:
+    """Words, how often they occur in training texts (n) and in all (n_all), batch by batch."""
 
     def run(rows):
         for batch in _batches(rows):
-            counts = np.bincount(np.concatenate(batch.tokens), minlength=len(batch.words))
-            yield pa.RecordBatch.from_arrays([pa.array(batch.codes().view(np.int64)), pa.array(counts)], names=["word", "n"])
+            tokens, size = np.concatenate(batch.tokens), len(batch.words)
+            learned = np.repeat(~np.array(batch.held, dtype=bool), batch.sizes)
+            counts = [np.bincount(tokens[learned], minlength=size), np.bincount(tokens, minlength=size)]
+            yield pa.RecordBatch.from_arrays([pa.array(batch.codes().view(np.int64)), *map(pa.array, counts)], names=["word", "n", "n_all"])
 
-    return docs.where("NOT held").mapInArrow(run, "word long, n long")
+    return docs.mapInArrow(run, "word long, n long, n_all long")
+
+
+def _pairs_of(docs: DataFrame, words) -> DataFrame:
+    """Pairs of hot words with their short contexts, counted as the words are, batch by batch."""
+
+    def run(rows):
+        for batch in _batches(rows):
+            ordered, context, word, before, docs_ = batch.placed()
+            at = np.flatnonzero(np.isin(ordered, words.value)[word])
+            pair, place = np.unique((word[at] << 32) | before[at], return_inverse=True)
+            learned = ~np.array(batch.held, dtype=bool)[docs_[at]]
+            arrays = [
+                ordered[pair >> 32].view(np.int64), context[pair & 0xFFFFFFFF].view(np.int64),
+                np.bincount(place[learned], minlength=len(pair)), np.bincount(place, minlength=len(pair)),
+            ]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, arrays)), names=["word", "context", "n", "n_all"])
+
+    return docs.mapInArrow(run, "word long, context long, n long, n_all long")
+
+
+def _hot(docs: DataFrame, words: DataFrame, every: int, shard_tokens: int) -> Hot:
+    """What is hot: HOT_MOST words and pairs at most, since each has that share of all tokens."""
+    least = max(HOT_SHARE * shard_tokens, every / HOT_MOST)
+    found = words.where(F.col("n_all") >= least).select("word", "n").toPandas().astype(np.int64)
+    codes = found["word"].to_numpy().view(np.uint64)
+    order = np.argsort(codes)
+    codes, counts = codes[order], found["n"].to_numpy()[order]
+    none = np.zeros(0, dtype=np.uint64)
+    if not len(codes):
+        return Hot(codes, counts, none, none, np.zeros(0, dtype=np.int64))
+    pairs = _pairs_of(docs, docs.sparkSession.sparkContext.broadcast(codes)).groupBy("word", "context").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all"))
+    found = pairs.where(F.col("n_all") >= least).select("word", "context", "n").toPandas().astype(np.int64)
+    return Hot(codes, counts, found["word"].to_numpy().view(np.uint64), found["context"].to_numpy().view(np.uint64), found["n"].to_numpy())
 
 
 def _gathered(docs: DataFrame, shards: int, hot) -> DataFrame:
@@ -189,26 +255,28 @@ def _gathered(docs: DataFrame, shards: int, hot) -> DataFrame:
 
         part = TaskContext.get().partitionId()
         for number, batch in enumerate(_batches(rows)):
-            columns = zip(*batch.rows(f"{part}-{number}", shards, hot.value[0]), strict=True)
+            columns = zip(*batch.rows(f"{part}-{number}", shards, hot.value), strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     return docs.mapInArrow(run, "shard int, " + _ROWS)
 
 
-def _together(blobs: pd.Series) -> tuple[np.ndarray, ...]:
+def _together(blobs: pd.Series) -> tuple:
     """The occurrences of a shard: its words, and of each occurrence the word's place, the context, whether it
-    is held out, its batch and document, and its times; then the batches' numbers of documents.  Columns are put together one by one, to hold little at once."""
+    is held out, its document (numbered through all batches) and its times; then each batch's present documents.
+    Columns are put together one by one, to hold little at once."""
     parts = [_unpack(b) for b in blobs]
     word = np.concatenate([np.cumsum(p[0])[np.cumsum(p[1].astype(np.int32))] for p in parts])
     words, word_at = np.unique(word, return_inverse=True)
     del word
     word_at = word_at.astype(np.int32)
     context = np.concatenate([np.cumsum(p[2].astype(np.uint64))[p[3]] for p in parts])
-    docs = np.concatenate([p[4].astype(np.int32) for p in parts])
+    present = [np.cumsum(p[6].astype(np.int64)) for p in parts]
+    before = np.cumsum([0, *map(len, present[:-1])])
+    docs = np.concatenate([p[4].astype(np.int64) + n for p, n in zip(parts, before, strict=True)])
     times = np.concatenate([p[5].astype(np.int32) for p in parts])
-    held = np.concatenate([p[6][p[4]] for p in parts]) > 0
-    batch = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p[4]) for p in parts])
-    return words, word_at, context, held, batch, docs, times, [len(p[6]) for p in parts]
+    held = np.concatenate([p[7][p[4]] for p in parts]) > 0
+    return words, word_at, context, held, docs, times, present
 
 
 class Trie:
@@ -226,15 +294,16 @@ class Trie:
         for name, values in (("word", word_values), ("pair", pair_values)):
             arrays[f"{name}_book"], arrays[f"{name}_value"] = quantised(values)
         self.levels = Levels(**arrays)
-        self.sequences = {n: EliasFano(*self.shape[n], self.levels[f"{n}_low"], self.levels[f"{n}_high"]) for n in ("word", "pair")}
+        self.sequences = {n: EliasFano(*self.shape[n], self.levels[f"{n}_low"], self.levels[f"{n}_high"]) for n in self.shape}
 
     def words(self, codes: np.ndarray) -> np.ndarray:
         """Places of words, -1 for those not seen."""
         return self.sequences["word"].find(codes)
 
     def pairs(self, parents: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-        """Places of contexts below their parents, by a search for successors from the parents' bases."""
-        return self.sequences["pair"].find((parents.astype(np.uint64) << np.uint64(CONTEXT_BITS)) + contexts)
+        """Places of contexts below their parents, by a search for successors between the parents' pointers."""
+        first, last = (self.sequences["pointer"].at(parents + k).astype(np.int64) for k in (0, 1))
+        return self.sequences["pair"].find((parents.astype(np.uint64) << np.uint64(CONTEXT_BITS)) + contexts, first, last)
 
     def values(self, level: str, places: np.ndarray) -> np.ndarray:
         return self.levels[f"{level}_book"][self.levels[f"{level}_value"][places]]
@@ -260,20 +329,20 @@ def _scored(total: int, distinct: int, begins: int, prior: float, hot):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         if rows["shard"].iloc[0] < 0:
             return rows.drop(columns="shard")
-        words, word_at, context, held, batch, docs, times, sizes = _together(rows["data"])
+        words, word_at, context, held, docs, times, present = _together(rows["data"])
         # occurrences of a pair (a word after a context) are put next to each other
         order = np.lexsort((context, word_at))
-        word_at, context, held, batch, docs, times = (x[order] for x in (word_at, context, held, batch, docs, times))
+        word_at, context, held, docs, times = (x[order] for x in (word_at, context, held, docs, times))
         del order
         first = np.flatnonzero(np.concatenate([[True], (np.diff(word_at) != 0) | (context[1:] != context[:-1])]))
         runs = np.diff(first, append=len(word_at))
         learned = np.where(held, 0, times)
         count = np.bincount(word_at, learned, len(words))
-        # a hot word is in several shards, its count is known beforehand
-        at = np.searchsorted(hot.value[0], words).clip(0, max(len(hot.value[0]) - 1, 0))
-        if len(hot.value[0]):
-            count = np.where(hot.value[0][at] == words, hot.value[1][at], count)
         seen = np.add.reduceat(learned, first, dtype=np.int64)
+        # a hot word or pair is in several shards, its count is known beforehand
+        known_words, known_pairs = _known(words, word_at[first], context[first], hot.value)
+        count[known_words[0]] = known_words[1]
+        seen[known_pairs[0]] = known_pairs[1]
         base = np.log10(count + 0.5) - base_total
         # the trie has what training saw
         inside, known = first[seen > 0], np.flatnonzero(count > 0)
@@ -292,29 +361,51 @@ def _scored(total: int, distinct: int, begins: int, prior: float, hot):
         value -= np.where(context[first] == begin, np.log10(begins + prior), 0.0)
         value -= np.where(words == end, 0.0, np.log10(count + prior))[word_at[first]]
         shares = (np.repeat(value, runs) * times, base[word_at] * times, (count > 0)[word_at] * times)
-        data = []
-        for k in range(len(rows)):
-            own = np.flatnonzero(batch == k)
-            score, base_sum, n_known = (np.bincount(docs[own], x[own], sizes[k]) for x in shares)
-            small = "<u2" if n_known.max(initial=0) < 1 << 16 else "<u4"
-            data.append(score.astype("<f4").tobytes() + base_sum.tobytes() + n_known.astype(small).tobytes())
+        total_docs = sum(map(len, present))
+        sums = [np.bincount(docs, x, total_docs) for x in shares]
+        data, at = [], 0
+        for places in present:
+            score, base_sum, n_known = (x[at : at + len(places)] for x in sums)
+            data.append(places.astype("<u4").tobytes() + n_known.astype("<u4").tobytes() + base_sum.tobytes() + score.tobytes())
+            at += len(places)
         return pd.DataFrame({"batch": rows["batch"], "ids": None, "held": None, "sizes": None, "data": data})
 
     return run
 
 
+def _known(words: np.ndarray, word_at: np.ndarray, context: np.ndarray, hot: Hot) -> tuple:
+    """Of a shard's words, and of its pairs (ascending by word and context), the hot ones' places and counts."""
+    at = np.searchsorted(words, hot.words)
+    here = at < len(words)
+    here[here] = words[at[here]] == hot.words[here]
+    pair_at = np.searchsorted(words, hot.pair_words)
+    there = pair_at < len(words)
+    there[there] = words[pair_at[there]] == hot.pair_words[there]
+    bits = np.uint64(CONTEXT_BITS)
+    own = (word_at.astype(np.uint64) << bits) | context
+    asked = (pair_at[there].astype(np.uint64) << bits) | hot.pair_contexts[there]
+    place = np.searchsorted(own, asked)
+    found = place < len(own)
+    found[found] = own[place[found]] == asked[found]
+    return (at[here], hot.counts[here]), (place[found], hot.pair_counts[there][found])
+
+
 def _summed(rows: pd.DataFrame) -> pd.DataFrame:
-    """The documents of a batch with the sums of what all shards have for them."""
+    """The documents of a batch with the sums of what all shards have for them.
+
+    A shard sends only documents that it has tokens of, so a batch's group is no larger than its tokens.
+    """
     meta = rows[rows["ids"].notna()].iloc[0]
     n = len(meta["ids"])
-    sums = np.zeros((3, n))
+    known, base, score = np.zeros(n, dtype=np.int64), np.zeros(n), np.zeros(n)
     for data in rows.loc[rows["ids"].isna(), "data"]:
-        sums[0] += np.frombuffer(data, "<f4", n)
-        sums[1] += np.frombuffer(data, "<f8", n, 4 * n)
-        sums[2] += np.frombuffer(data, "<u2" if len(data) == 14 * n else "<u4", n, 12 * n)
+        k = len(data) // 24
+        places = np.frombuffer(data, "<u4", k)
+        known[places] += np.frombuffer(data, "<u4", k, 4 * k)
+        base[places] += np.frombuffer(data, "<f8", k, 8 * k)
+        score[places] += np.frombuffer(data, "<f8", k, 16 * k)
     return pd.DataFrame({
-        "doc_id": meta["ids"], "held_out": meta["held"], "n_tokens": meta["sizes"],
-        "n_known": sums[2].round().astype(np.int64), "base_score": sums[1], "score": sums[0],
+        "doc_id": meta["ids"], "held_out": meta["held"], "n_tokens": meta["sizes"], "n_known": known, "base_score": base, "score": score,
     })
 
 
@@ -328,8 +419,8 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pri
     and each is scored.  Other columns are ignored; an empty table gives no rows; without any training text
     all counts are zero.
 
-    ``docs`` is read for the size of its texts, for the number of its training words, and for its tokens; it
-    should give its rows in the same order each time, as files do.
+    ``docs`` is read for the size of its texts, for its words, for the pairs of hot words if there are any, and for
+    its tokens; it should give its rows in the same order each time, as files do.
     """
     rows = docs.select(named(doc_id).alias("doc_id"), named(text).alias("text"))
     ready = rows.select(F.col("doc_id").cast("string"), held_out(F.col("doc_id")).alias("held"), "text")
@@ -337,13 +428,9 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pri
         F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + TOKEN_BYTES), F.count_if(~F.col("held"))
     ).first()
     shards = max(1, -(-(sizes[0] or 0) // (TOKEN_BYTES * shard_tokens)))
-    words = checkpointed(_training_words(ready).groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"))
-    distinct, total = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    # 1 / HOT_SHARE for each shard at most
-    found = words.where(F.col("n") >= HOT_SHARE * shard_tokens).toPandas().astype({"word": np.int64, "n": np.int64})
-    codes = found["word"].to_numpy().view(np.uint64)
-    order = np.argsort(codes)
-    hot = docs.sparkSession.sparkContext.broadcast((codes[order], found["n"].to_numpy()[order]))
+    words = checkpointed(_words(ready).groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all")))
+    distinct, total, every = words.agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_all"), F.lit(0))).first()
+    hot = docs.sparkSession.sparkContext.broadcast(_hot(ready, words, every, shard_tokens))
     kind = rows.schema["doc_id"].dataType
     return (
         _gathered(ready, shards, hot)
