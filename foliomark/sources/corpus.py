@@ -1,17 +1,25 @@
-"""Listing input files with Spark's own binary file source.
+"""Listing input files, folder by folder, and reading their bytes.
 
-Zero-length files and names that start with ``_`` or ``.`` are left out by that
-source.  File contents are read only if the ``content`` column is used.
+Folders are listed by tasks, level by level, so the driver never holds the list of files; zero-length files and
+names that start with ``_`` or ``.`` are listed like others.  Bytes are read by Spark's own binary file source.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names as n
 from ..functions import wording as w
+from ..operators.idsets import written
+from .paths import exists, opened, qualified
+
+LISTED = "path string, length long, modificationTime timestamp, is_folder boolean"
+# Folders that one task lists, about.
+FOLDERS_PER_TASK = 64
 
 
 def suffix_glob(any_case: bool = False) -> str:
@@ -22,7 +30,7 @@ def suffix_glob(any_case: bool = False) -> str:
     return "*.{" + ",".join(bare) + "}"
 
 
-def _described(files: DataFrame) -> DataFrame:
+def _described(files: DataFrame, *more: str) -> DataFrame:
     file = n.file_name(F.col("path"))
     return files.select(
         "path",
@@ -30,7 +38,7 @@ def _described(files: DataFrame) -> DataFrame:
         n.file_type(file).alias("kind"),
         "length",
         "modificationTime",
-        "content",
+        *more,
     )
 
 
@@ -38,27 +46,91 @@ def _binary_files(spark: SparkSession) -> DataFrameReader:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true")
 
 
+def _entries(folders: DataFrame, root: str) -> DataFrame:
+    """What is in each of the folders (``path``), itself not included; one call of the file system for each."""
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        target, top = opened(root)
+        scheme = root.removesuffix(top)
+        kinds = [pa.string(), pa.int64(), pa.timestamp("us", "UTC"), pa.bool_()]
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                try:
+                    found = target.get_file_info(fs.FileSelector(path.removeprefix(scheme), recursive=False))
+                except FileNotFoundError:
+                    continue  # gone since it was listed
+                rows = [(scheme + f.path, f.size or 0, f.mtime, f.type == fs.FileType.Directory) for f in found]
+                columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["path", "length", "modificationTime", "is_folder"]
+                )
+
+    return folders.mapInArrow(run, LISTED)
+
+
+def list_files(spark: SparkSession, root: str, recursive: bool = False) -> DataFrame:
+    """``path, length, modificationTime`` of every file in a folder, or also below it.
+
+    Level by level: the folders of a level are dealt out to tasks, and what they hold is written to the shared
+    folder, so that neither files nor folders pass through the driver.  The file system has to be one that Arrow
+    knows (hdfs, s3, gs, file); a missing folder is an error.
+    """
+    root = qualified(spark, root.rstrip("/") or "/")
+    if not exists(spark, root):
+        raise FileNotFoundError(f"[PATH_NOT_FOUND] {root}")
+    folders, number, files = spark.createDataFrame([(root,)], "path string"), 1, None
+    while number:
+        level = written(_entries(folders.repartition(max(1, -(-number // FOLDERS_PER_TASK))), root), "listing")
+        found = level.where("NOT is_folder").drop("is_folder")
+        files = found if files is None else files.union(found)
+        folders = level.where("is_folder").select("path")
+        number = folders.count() if recursive else 0
+    return files
+
+
 def scan_corpus(
     spark: SparkSession, root: str, recursive: bool = False, any_case: bool = False
 ) -> DataFrame:
-    """Supported files in a folder, or also below it if ``recursive``."""
+    """Supported files in a folder, or also below it if ``recursive``: ``path, file, kind, length, modificationTime``.
+
+    Suffixes are lower case, unless ``any_case``.  Empty files are listed; their conversion is one of files that
+    cannot be opened.
+    """
+    suffixes = [*w.PDF_SUFFIXES, *w.SLIDE_SUFFIXES, *w.IMAGE_SUFFIXES]
+    file = F.element_at(F.split("path", "/"), -1)
+    name = F.lower(file) if any_case else file
+    wanted = [name.endswith(suffix) for suffix in suffixes]
+    return _described(list_files(spark, root, recursive).where(reduce(Column.__or__, wanted)))
+
+
+def read_corpus(
+    spark: SparkSession, root: str, recursive: bool = False, any_case: bool = False
+) -> DataFrame:
+    """The same with ``content``, by Spark's binary file source.
+
+    That source leaves out zero-length files and names that start with ``_`` or ``.``; contents are read only if
+    that column is used.
+    """
     root, glob = root.rstrip("/"), suffix_glob(any_case)
     below = _binary_files(spark).option("pathGlobFilter", glob)
     if recursive:
-        return _described(below.load(root))
+        return _described(below.load(root), "content")
     # a glob in the path itself does not go down into sub-folders
     try:
-        return _described(_binary_files(spark).load(f"{root}/{glob}"))
+        return _described(_binary_files(spark).load(f"{root}/{glob}"), "content")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
     # no such file; this fails in turn if there is no such folder
-    return _described(below.load(root)).where(F.lit(False))
+    return _described(below.load(root), "content").where(F.lit(False))
 
 
 def scan_one(spark: SparkSession, path: str) -> DataFrame:
     """A single file of any suffix, whatever its case; a missing path is an error."""
-    return _described(spark.read.format("binaryFile").load(path))
+    return _described(spark.read.format("binaryFile").load(path), "content")
 
 
 def spread(table: DataFrame) -> DataFrame:

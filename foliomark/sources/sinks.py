@@ -6,14 +6,15 @@ document can overwrite another.  The file sinks make one file per document.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names as n
-from ..session import checkpointed
+from ..session import shared_folder
+from .files_sink import TextFiles
+from .paths import qualified
 
 
 def write_table(documents: DataFrame, folder: str, mode: str = "errorifexists") -> None:
@@ -40,46 +41,31 @@ def part_file(output: Column, part_no: Column) -> Column:
     return F.when(part_no == 0, output).otherwise(later)
 
 
-def qualified(spark: SparkSession, folder: str) -> str:
-    """``folder`` as Spark itself would resolve it, with the scheme of its file system."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+def _shared(spark: SparkSession, folder: str) -> str:
+    """``folder`` qualified; refused if it is a machine's own and the tasks run on several."""
+    folder = qualified(spark, folder)
+    local = re.match(r"local(\[|$)", spark.sparkContext.master)
+    known = qualified(spark, shared_folder(spark))
+    if folder.startswith("file:") and not local and not f"{folder}/".startswith(f"{known.rstrip('/')}/"):
+        raise ValueError(f"{folder} may be another folder on each machine; choose one below {known} or on a shared file system")
+    return folder
 
 
 def write_files(texts: DataFrame, folder: str) -> DataFrame:
     """Write ``file, text`` rows as UTF-8 files under a shared folder; ``file, bytes`` back.
 
-    ``folder`` is resolved as Spark does it; its file system must be one that Arrow
-    knows (hdfs, s3, gs, file).  Tasks write their own rows; a task that runs again
-    writes the same files again.  Two rows with one name are refused before anything
-    is written, as one would overwrite the other.
+    ``folder`` is resolved as Spark does it; its file system must be one that Arrow knows (hdfs, s3, gs, file).
+    All files appear when the job commits, or none (`files_sink`).  Two rows with one name are refused before
+    anything is written, as one would overwrite the other; a null text is an empty file.
     """
-    folder = qualified(texts.sparkSession, folder)
+    spark = texts.sparkSession
+    folder = _shared(spark, folder)
     twice = texts.groupBy("file").count().where("count > 1").select("file").first()
     if twice:
         raise ValueError(f"several documents would be written to {twice[0]!r}")
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        target, root = fs.FileSystem.from_uri(folder)
-        made = set()
-        for batch in batches:
-            sizes = []
-            for file, text in zip(batch["file"], batch["text"]):
-                path = f"{root}/{file}"
-                parent = path.rpartition("/")[0]
-                if parent not in made:
-                    target.create_dir(parent, recursive=True)
-                    made.add(parent)
-                data = text.encode("utf-8")
-                with target.open_output_stream(path) as stream:
-                    stream.write(data)
-                sizes.append(len(data))
-            yield pd.DataFrame({"file": batch["file"], "bytes": sizes})
-
-    written = texts.select("file", "text").mapInPandas(write, "file string, bytes bigint")
-    return checkpointed(written)
+    spark.dataSource.register(TextFiles)
+    texts.select("file", "text").write.format(TextFiles.name()).mode("append").save(folder)
+    return texts.select("file", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("bytes"))
 
 
 def write_markdown_files(documents: DataFrame, folder: str) -> DataFrame:

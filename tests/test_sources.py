@@ -3,7 +3,7 @@
 import pytest
 
 from foliomark.session import shared_folder
-from foliomark.sources.corpus import distinct_sorted_paths, scan_corpus, scan_one
+from foliomark.sources.corpus import distinct_sorted_paths, list_files, read_corpus, scan_corpus, scan_one
 
 
 @pytest.fixture
@@ -31,6 +31,40 @@ def test_recursive_listing(spark, folder):
     assert found == sorted([*FLAT, ("g.tif", "image"), ("h.gif", "image")])
 
 
+def test_empty_and_hidden_files_are_listed(spark, folder, tmp_path):
+    (tmp_path / "empty.pdf").touch()
+    (tmp_path / "sub" / "_none.tif").touch()
+    (tmp_path / "sub" / ".hidden.pdf").write_text("x")
+    (tmp_path / "folder.pdf").mkdir()
+    assert names(scan_corpus(spark, folder)) == sorted([*FLAT, ("empty.pdf", "pdf")])
+    found = scan_corpus(spark, folder, recursive=True)
+    assert names(found) == sorted([*FLAT, ("g.tif", "image"), ("h.gif", "image"), ("empty.pdf", "pdf"), ("_none.tif", "image"), (".hidden.pdf", "pdf")])
+    sizes = {r["file"]: r["length"] for r in found.collect()}
+    assert sizes["empty.pdf"] == 0 and sizes["a.pdf"] == 5
+    assert found.where("modificationTime > '2020-01-01'").count() == found.count()
+
+
+@pytest.mark.parametrize("recursive, any_case", [(False, False), (True, False), (True, True)])
+def test_listing_agrees_with_the_binary_source(spark, folder, recursive, any_case):
+    """Same rows where nothing is empty or hidden; paths are written alike."""
+    columns = ["path", "file", "kind", "length"]
+    listed = scan_corpus(spark, folder, recursive, any_case).select(*columns).collect()
+    read = read_corpus(spark, folder, recursive, any_case).select(*columns).collect()
+    assert sorted(listed) == sorted(read) and listed
+
+
+def test_deep_folders(spark, tmp_path):
+    """More folders than one task lists; all levels are found."""
+    wanted = []
+    for i in range(70):
+        place = tmp_path / f"f{i}" / "x y" / "z"
+        place.mkdir(parents=True)
+        (place / f"{i}.pdf").write_text("a")
+        wanted.append(f"{i}.pdf")
+    assert sorted(r["file"] for r in scan_corpus(spark, str(tmp_path), recursive=True).collect()) == sorted(wanted)
+    assert list_files(spark, str(tmp_path)).count() == 0
+
+
 def test_any_case(spark, folder):
     assert ("B.PDF", "pdf") in names(scan_corpus(spark, folder, any_case=True))
 
@@ -47,7 +81,7 @@ def test_empty_folder(spark, tmp_path):
 
 
 def test_content_is_only_read_when_asked(spark, folder):
-    df = scan_corpus(spark, folder, recursive=True).select("file")
+    df = read_corpus(spark, folder, recursive=True).select("file")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan.split("ReadSchema")[1]
 
@@ -102,3 +136,51 @@ def test_file_sink_refuses_shared_names(spark, tmp_path):
 def test_missing_folder(spark, tmp_path):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         scan_corpus(spark, f"{tmp_path}/missing")
+
+
+def files_below(folder):
+    return {str(p.relative_to(folder)): p.read_text(encoding="utf-8") for p in folder.rglob("*") if p.is_file()}
+
+
+def test_file_sink_commits_as_a_whole(spark, tmp_path):
+    """A task that fails leaves no file; the run after it gives the whole folder, also where files are there already."""
+    from pyspark.sql import functions as F
+
+    from foliomark.sources.sinks import write_files
+
+    texts = spark.range(40, numPartitions=4).selectExpr("concat('d', id % 3, '/', id, '.md') AS file", "concat('ü', id) AS text")
+    broken = texts.withColumn("text", F.when(F.col("file") == "d1/37.md", F.raise_error(F.lit("stop"))).otherwise(F.col("text")))
+    with pytest.raises(Exception, match="stop"):
+        write_files(broken, f"{tmp_path}/out")
+    assert not (tmp_path / "out").exists() or files_below(tmp_path / "out") == {}
+    wanted = {f"d{i % 3}/{i}.md": f"ü{i}" for i in range(40)}
+    for _ in range(2):
+        sizes = write_files(texts, f"{tmp_path}/out")
+        assert files_below(tmp_path / "out") == wanted
+    assert {r["file"]: r["bytes"] for r in sizes.collect()} == {f: len(t.encode()) for f, t in wanted.items()}
+    assert [p.name for p in (tmp_path / "out").iterdir() if p.name.startswith("_")] == []
+
+
+def test_file_sink_of_nothing_and_nulls(spark, tmp_path):
+    from foliomark.sources.sinks import write_files
+
+    rows = spark.createDataFrame([("a.md", None), ("b.md", "")], "file string, text string")
+    write_files(rows, f"{tmp_path}/out")
+    assert files_below(tmp_path / "out") == {"a.md": "", "b.md": ""}
+    write_files(rows.limit(0), f"{tmp_path}/none")
+    assert not (tmp_path / "none").exists() or files_below(tmp_path / "none") == {}
+
+
+def test_machine_local_folders_are_refused_on_a_cluster(spark, tmp_path, monkeypatch):
+    from foliomark.session import shared_folder as shared
+    from foliomark.sources import sinks
+
+    known = shared(spark)
+
+    class Remote:
+        _jvm, _jsc, conf = spark._jvm, spark._jsc, {"spark.checkpoint.dir": known}
+        sparkContext = type("Context", (), {"master": "yarn", "getCheckpointDir": lambda _: known})()
+
+    with pytest.raises(ValueError, match="shared file system"):
+        sinks._shared(Remote(), f"{tmp_path}/out")
+    assert sinks._shared(Remote(), f"{known}/out").endswith("/out")
