@@ -64,6 +64,9 @@ UNSUPPORTED_TYPE = "Tipo de archivo no soportado: {suffix}"
 UNSUPPORTED_ENGINE = "Motor OCR no soportado: {engine}. Opciones: {options}"
 NO_OUTPUT = "—"
 
+# --- stages in which a file may fail ---------------------------------------------
+CONVERT, COUNT, WRITE, WORKER = "convert", "count", "write", "worker"
+
 # --- text cleaning ----------------------------------------------------------------
 BULLETS = "•·▪▸→"
 STAR = "*"

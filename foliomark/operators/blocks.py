@@ -35,7 +35,6 @@ def block(
     k3: Column | None = None,
     k4: Column | None = None,
     same_block: Column | None = None,
-    route: str | None = None,
 ) -> Column:
     """One block of a row as a struct; a null ``md`` means there is none."""
 
@@ -43,7 +42,6 @@ def block(
         return (F.lit(0) if column is None else column).cast(kind).alias(name)
 
     return F.struct(
-        *([] if route is None else [F.lit(route).alias("route")]),
         F.lit(section).alias("section"),
         key(k1, "double", "k1"),
         key(k2, "double", "k2"),
@@ -62,6 +60,15 @@ def emit(df: DataFrame, *blocks: Column) -> DataFrame:
     return rows.where(F.col("md").isNotNull())
 
 
+def emit_by(df: DataFrame, choice: Column, blocks: dict[str, list[Column]]) -> DataFrame:
+    """The blocks of every row that its ``choice`` names, in one pass; other blocks aren't worked out."""
+    found = None
+    for name, own in blocks.items():
+        found = (F if found is None else found).when(choice == name, F.array(*own))
+    rows = in_parts(df).select("doc_id", F.col("page_no").cast("int").alias("page_no"), F.inline(found))
+    return rows.where(F.col("md").isNotNull())
+
+
 def in_parts(pages: DataFrame) -> DataFrame:
     """Pages with ``part_no``: 0, unless a page's long OCR text comes in several rows."""
     if "part_no" in pages.columns:
@@ -87,6 +94,19 @@ def union(*frames: DataFrame | None) -> DataFrame:
     return reduce(DataFrame.unionByName, [frame for frame in frames if frame is not None])
 
 
+# What a document's id is called in a union that is dealt by document.
+DEALT = "document"
+
+
+def union_dealt(*frames: DataFrame | None) -> DataFrame:
+    """A union that is still dealt by document if its frames are; the id is then called DEALT.
+
+    Spark compares the columns that frames are dealt by as they come out of each.  A join has found out that its
+    key is never null, which its input's dealing doesn't say; under a new name both are the same column again.
+    """
+    return union(*(None if frame is None else frame.withColumnRenamed("doc_id", DEALT) for frame in frames))
+
+
 def shown_number() -> Column:
     """Pages are stored from 0 and shown from 1."""
     return F.col("page_no") + 1
@@ -95,8 +115,8 @@ def shown_number() -> Column:
 # --- headings ---------------------------------------------------------------------
 
 
-def heading(template: str, route: str | None = None) -> Column:
-    return block(HEADING, once(t.fill(template, n=shown_number())), route=route)
+def heading(template: str) -> Column:
+    return block(HEADING, once(t.fill(template, n=shown_number())))
 
 
 def page_sections(pages: DataFrame, content: DataFrame, template: str) -> DataFrame:
@@ -142,10 +162,24 @@ def table_line_blocks(lines: DataFrame) -> DataFrame:
     )
 
 
+def own_line(md: Column) -> Column:
+    return F.concat(F.lit("\n"), md, F.lit("\n"))
+
+
+def figure_link() -> Column:
+    link = n.image_link(F.lit(w.FIGURE_LABEL), F.col("image_name"))
+    return block(IMAGES, own_line(link), k3=F.col("image_no"))
+
+
 def figure_links(named_images: DataFrame) -> DataFrame:
+    return emit(named_images, figure_link())
+
+
+def picture_link() -> Column:
+    """Link of a slide's picture, from ``top, left, image_no``; it stands before what OCR read in the picture."""
     link = n.image_link(F.lit(w.FIGURE_LABEL), F.col("image_name"))
-    return as_blocks(
-        named_images, IMAGES, F.concat(F.lit("\n"), link, F.lit("\n")), k3=F.col("image_no")
+    return block(
+        CONTENT, own_line(link), k1=F.col("top"), k2=F.col("left"), k3=F.col("image_no"), k4=F.lit(-1)
     )
 
 
@@ -154,18 +188,27 @@ def partial_error() -> Column:
     return once(F.when(F.col("block_error"), t.fill(w.PAGE_PARTIAL_ERROR, n=shown_number())))
 
 
-def text_page(route: str | None = None) -> list[Column]:
+def text_page() -> list[Column]:
     """What a page of a text PDF has besides its blocks: heading and, maybe, a warning."""
-    return [heading(w.PAGE_HEADING, route), block(WARNING, partial_error(), route=route)]
+    return [heading(w.PAGE_HEADING), block(WARNING, partial_error())]
 
 
-def without_failed_pages(rows: DataFrame, doc_pages: DataFrame) -> DataFrame:
-    """Drop what comes after the text blocks of a page on which these failed.
+def but_pages(rows: DataFrame, failed: DataFrame, by_document: bool = False) -> DataFrame:
+    """Rows without those of the ``failed`` pages (``doc_id, page_no``).
 
-    A semi-join on page keys; Spark may split a page with very many rows.
+    An anti-join on page keys; Spark may split a page with very many rows.  ``by_document`` is for documents of
+    bounded size: their failed pages come as one list, so that rows that are dealt by document stay where they are.
     """
-    failed = doc_pages.where(F.col("block_error")).select("doc_id", "page_no")
-    return rows.join(failed, ["doc_id", "page_no"], "left_anti")
+    if not by_document:
+        return rows.join(failed, ["doc_id", "page_no"], "left_anti")
+    lists = failed.groupBy("doc_id").agg(F.collect_set("page_no").alias("_failed"))
+    spared = ~F.coalesce(F.array_contains("_failed", F.col("page_no")), F.lit(False))
+    return rows.join(lists, "doc_id", "left").where(spared).drop("_failed")
+
+
+def without_failed_pages(rows: DataFrame, doc_pages: DataFrame, by_document: bool = False) -> DataFrame:
+    """Drop what comes after the text blocks of a page on which these failed."""
+    return but_pages(rows, doc_pages.where(F.col("block_error")).select("doc_id", "page_no"), by_document)
 
 
 def pdf_page_blocks(
@@ -203,21 +246,21 @@ def scanned_page_warning() -> Column:
     )
 
 
-def read_text(warning: Column, route: str | None = None) -> Column:
+def read_text(warning: Column) -> Column:
     """OCR text or the warning that stands for it; later parts carry on a line below."""
     later = F.col("part_no") > 0
     was_read = F.col("rasterized") & F.col("ocr_error").isNull()
     text = F.when(was_read, F.when(later, after_break("ocr_text")).otherwise(F.col("ocr_text")))
-    return block(CONTENT, F.coalesce(warning, text), k4=F.col("part_no"), same_block=later, route=route)
+    return block(CONTENT, F.coalesce(warning, text), k4=F.col("part_no"), same_block=later)
 
 
-def scanned_page(route: str | None = None) -> list[Column]:
+def scanned_page() -> list[Column]:
     """Heading, then OCR text or its warning."""
-    return [heading(w.PAGE_HEADING, route), read_text(scanned_page_warning(), route)]
+    return [heading(w.PAGE_HEADING), read_text(scanned_page_warning())]
 
 
-def page_images(doc_pages: DataFrame) -> DataFrame:
-    """Image references of scanned pages: one for each page that went through OCR."""
+def page_images(doc_pages: DataFrame, *more: str) -> DataFrame:
+    """Image references of scanned pages: one for each page that went through OCR; ``more`` columns are kept."""
     read = in_parts(doc_pages).where(
         F.col("rasterized") & F.col("ocr_error").isNull() & (F.col("part_no") == 0)
     )
@@ -227,13 +270,17 @@ def page_images(doc_pages: DataFrame) -> DataFrame:
         F.lit(0).cast("bigint").alias("image_no"),
         F.lit(True).alias("decoded"),
         F.col("image_saved").alias("saved"),
+        *more,
     )
 
 
-def page_links(named_images: DataFrame) -> DataFrame:
+def page_link() -> Column:
     label = t.fill(w.PAGE_LABEL, n=shown_number())
-    link = n.image_link(label, F.col("image_name"))
-    return as_blocks(named_images, IMAGES, F.concat(F.lit("\n"), link, F.lit("\n")))
+    return block(IMAGES, own_line(n.image_link(label, F.col("image_name"))))
+
+
+def page_links(named_images: DataFrame) -> DataFrame:
+    return emit(named_images, page_link())
 
 
 def scanned_page_blocks(doc_pages: DataFrame, images: DataFrame | None = None) -> DataFrame:
@@ -326,17 +373,17 @@ def slide_failed() -> Column:
     return F.when(F.col("error").isNotNull(), t.fill(w.SLIDE_FAILED, n=shown_number()))
 
 
-def slide_blocks(slides: DataFrame, shapes: DataFrame, notes: DataFrame) -> DataFrame:
+def slide_blocks(slides: DataFrame, shapes: DataFrame, notes: DataFrame, by_document: bool = False) -> DataFrame:
     """Per slide: heading, shapes by position, then speaker notes; a warning if it failed.
 
     Notes are read last, so a slide that failed has none.  ``shapes`` needs
-    ``image_name``; null where no image was saved.
+    ``image_name``; null where no image was saved.  ``by_document``: see `but_pages`.
     """
     failed = slides.where(F.col("error").isNotNull()).select("doc_id", "page_no")
     return union(
         emit(slides, heading(w.SLIDE_HEADING), block(WARNING, slide_failed())),
         shape_dispatch(shapes),
-        notes_blocks(notes.join(failed, ["doc_id", "page_no"], "left_anti")),
+        notes_blocks(but_pages(notes, failed, by_document)),
     )
 
 
@@ -355,13 +402,16 @@ def image_doc_blocks(image_pages: DataFrame, with_images: bool = False) -> DataF
 
     ``image_pages`` has one row per image file that could be opened, with ``file``.
     """
+    return emit(image_pages, *image_page(with_images))
+
+
+def image_page(with_images: bool = False) -> list[Column]:
     blocks = [read_text(image_warning())]
     if with_images:
         stem = n.stem(F.col("file"))
         link = n.image_link(stem, n.image_name(n.sanitize_name(stem), F.lit(1)))
-        shown = F.when(F.col("image_saved"), F.concat(F.lit("\n"), link, F.lit("\n")))
-        blocks.append(block(IMAGES, once(shown)))
-    return emit(image_pages, *blocks)
+        blocks.append(block(IMAGES, once(F.when(F.col("image_saved"), own_line(link)))))
+    return blocks
 
 
 def doc_warnings(image_pages: DataFrame, slides: DataFrame) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import names as n
 from ..functions import text as t
 from ..functions import wording as w
-from .blocks import IMAGES, ORDER, as_blocks
+from .blocks import IMAGES, ORDER, block, emit
 from .gates import drop_blank_blocks, quick_sufficient
+from .idsets import IdBitmap, broadcastable, written
 from .parts import PART_CHARS, Texts, clean_body, ordered_text
 from .skew import LargeGroups, find_large_groups, join_per_group
 
@@ -37,9 +38,19 @@ def tier_fallback(
     quick_text: DataFrame,
     large: LargeGroups | None = None,
     group_rows: int | None = None,
+    bitmap: bool | None = None,
 ) -> DataFrame:
-    """Blocks of the documents whose quick text is missing or not sufficient."""
-    done = quick_text.where(quick_sufficient(F.col("text"))).select("doc_id")
+    """Blocks of the documents whose quick text is missing or not sufficient.
+
+    The ids of sufficient texts are written once.  If they are too many for a broadcast, a bitmap of them lets
+    the blocks of other documents pass without a shuffle; only blocks whose document may be among them (those
+    that are, and a share of others that `IdBitmap` states) go through the exact anti-join.  ``bitmap`` decides
+    instead of the size.
+    """
+    done = written(quick_text.where(quick_sufficient(F.col("text"))).select("doc_id"), "sufficient")
+    if bitmap if bitmap is not None else not broadcastable(done):
+        passing, rest = IdBitmap.of(done, "doc_id").split(blocks)
+        return passing.unionByName(join_per_group(rest, done, ["doc_id"], "left_anti", large, group_rows))
     return join_per_group(blocks, done, ["doc_id"], "left_anti", large, group_rows)
 
 
@@ -60,12 +71,18 @@ def engine_known(ocr_engine: str) -> bool:
 
 
 def engine_label(ocr_engine: str) -> Column:
-    """The quick converter, or the OCR engine *asked for*, even where no OCR was needed."""
+    """The quick converter, or the OCR engine *asked for*, even where no OCR was needed.
+
+    A file that fails in the second tier has none; one that fails later keeps its engine, and one whose
+    worker died is booked on the engine asked for.
+    """
     second = ocr_engine if engine_known(ocr_engine) else w.NO_ENGINE
+    stage = F.when(F.col("error").isNotNull(), F.coalesce("error_stage", F.lit(w.CONVERT)))
     return (
-        F.when(F.col("route").isNull(), w.NO_ENGINE)
+        F.when(F.coalesce(stage == w.WORKER, F.lit(False)), ocr_engine)
+        .when(F.col("route").isNull(), w.NO_ENGINE)
         .when(F.col("route") == QUICK, w.QUICK_ENGINE)
-        .when(F.col("error").isNotNull(), w.NO_ENGINE)
+        .when(F.coalesce(stage == w.CONVERT, F.lit(False)), w.NO_ENGINE)
         .otherwise(second)
     )
 
@@ -80,15 +97,14 @@ def image_section_blocks(figures: DataFrame) -> DataFrame:
 
     It is a document's last block, so the line break at its end is stripped anyway.
     """
+    return emit(figures, image_section_block())
+
+
+def image_section_block() -> Column:
     before, _, _ = w.IMAGE_SECTION.partition("{links}")
     link, first = image_section_link(), F.col("figure") == 1
-    return as_blocks(
-        figures,
-        IMAGES,
-        F.when(first, F.concat(F.lit(before), link)).otherwise(link),
-        k3=F.col("figure"),
-        same_block=~first,
-    )
+    md = F.when(first, F.concat(F.lit(before), link)).otherwise(link)
+    return block(IMAGES, md, k3=F.col("figure"), same_block=~first)
 
 
 def attach_image_section(

@@ -23,39 +23,48 @@ def first_pages(doc_pages: DataFrame) -> DataFrame:
     return doc_pages.where(F.col("page_no") < w.DETECTION_PAGES)
 
 
-def _stripped_length(pages: Column) -> Column:
-    """Length of the pages' joined and stripped text, from numbers of each page in order.
+def _long_enough() -> Column:
+    """Whether the first pages' joined text, stripped, is long, from each page's ``chars, lead, trail``.
 
     White space falls away before the first and after the last page that isn't blank.
     """
-    inked = F.filter(pages, lambda p: p["chars"] > p["lead"])
-    first, last = F.element_at(inked, 1), F.element_at(inked, -1)
-    inner = F.filter(pages, lambda p: (p["page_no"] >= first["page_no"]) & (p["page_no"] <= last["page_no"]))
-    chars = F.aggregate(inner, F.lit(0), lambda total, p: total + p["chars"])
-    return F.when(F.size(inked) > 0, chars - first["lead"] - last["trail"]).otherwise(0)
-
-
-def page_facts(doc_pages: DataFrame) -> DataFrame:
-    """``doc_id, pages, has_text`` in one aggregation.
-
-    Of the embedded texts of a document's first pages only lengths are shuffled.  A page
-    that comes in parts (``part_no``) counts once; OCR text plays no role.
+    slots = range(w.DETECTION_PAGES)
+    chars, lead, trail = ([F.coalesce(f"_{name}{slot}", F.lit(0)) for slot in slots] for name in ("chars", "lead", "trail"))
+    length = F.lit(0)
+    for first in reversed(slots):
+        inner = F.lit(0)
+        for last in slots[first:]:
+            inked = chars[last] > lead[last]
+            inner = F.when(inked, sum(chars[first + 1 : last + 1], chars[first]) - lead[first] - trail[last]).otherwise(inner)
+        length = F.when(chars[first] > lead[first], inner).otherwise(length)
+    return length > w.EMBEDDED_MIN_CHARS
+
+
+def page_facts(doc_pages: DataFrame, *more: Column) -> DataFrame:
+    """``doc_id, pages, has_text`` in one aggregation; ``more`` are aggregates to take along.
+
+    Each of a document's first pages has a slot of its own for the lengths of its embedded text, so that pages can
+    be combined in any order: nothing is gathered or sorted, and only numbers are shuffled.  A page that comes in
+    parts (``part_no``) counts once; OCR text plays no role.
     """
     text = F.coalesce("embedded_text", F.lit(""))
     blanks = F.lit(w.WHITESPACE)
-    chars = F.length(text)
-    numbers = F.struct(
-        "page_no",
-        chars.alias("chars"),
-        (chars - F.length(F.ltrim(text, blanks))).alias("lead"),
-        (chars - F.length(F.rtrim(text, blanks))).alias("trail"),
-    )
     first_part = F.col("part_no") == 0 if "part_no" in doc_pages.columns else F.lit(True)
-    looked_at = F.when((F.col("page_no") < w.DETECTION_PAGES) & first_part, numbers)
-    return doc_pages.groupBy("doc_id").agg(
-        F.count_if(first_part).alias("pages"),
-        (_stripped_length(F.sort_array(F.collect_list(looked_at))) > w.EMBEDDED_MIN_CHARS).alias("has_text"),
-    )
+    looked_at = F.when((F.col("page_no") < w.DETECTION_PAGES) & first_part, text)
+    chars = F.length(looked_at)
+    rows = doc_pages.withColumns({
+        "_first_part": first_part,
+        "_chars": chars,
+        "_lead": chars - F.length(F.ltrim(looked_at, blanks)),
+        "_trail": chars - F.length(F.rtrim(looked_at, blanks)),
+    })
+    slots = [
+        F.max(F.when(F.col("page_no") == slot, F.col(f"_{name}"))).alias(f"_{name}{slot}")
+        for slot in range(w.DETECTION_PAGES)
+        for name in ("chars", "lead", "trail")
+    ]
+    found = rows.groupBy("doc_id").agg(F.count_if("_first_part").alias("pages"), *slots, *more)
+    return found.withColumn("has_text", _long_enough()).drop(*(f"_{name}{slot}" for slot in range(w.DETECTION_PAGES) for name in ("chars", "lead", "trail")))
 
 
 def has_embedded_text(doc_pages: DataFrame) -> DataFrame:

@@ -45,21 +45,25 @@ def number_images(
     order: tuple[str, ...] = ("page_no", "image_no"),
     large: LargeGroups | None = None,
     group_rows: int | None = None,
+    figures: bool = False,
+    key: str = "doc_id",
 ) -> DataFrame:
     """Saved images with their number in the document.
 
     An image takes its number before it is saved, so a failed save leaves a gap;
-    an image that cannot be decoded takes no number.
+    an image that cannot be decoded takes no number.  With ``figures``, labels are numbered in
+    the same pass: ``figure`` counts saved images only, so it has no gaps.
     """
     decoded = image_refs.where(F.col("decoded"))
-    numbered = number_rows(decoded, ["doc_id"], order, "image_number", large, group_rows)
+    counted = {"figure": F.col("saved")} if figures else None
+    numbered = number_rows(decoded, [key], order, "image_number", large, group_rows, counted)
     return numbered.where(F.col("saved"))
 
 
 def number_figures(
     numbered: DataFrame, large: LargeGroups | None = None, group_rows: int | None = None
 ) -> DataFrame:
-    """Number the saved images 1..n for their labels; unlike file numbers, without gaps."""
+    """Number the saved images 1..n for their labels, where this wasn't done along with the images."""
     return number_rows(numbered, ["doc_id"], ["image_number"], "figure", large, group_rows)
 
 

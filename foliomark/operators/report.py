@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import names as n
@@ -11,21 +11,29 @@ from ..functions import wording as w
 from .documents import QUICK, engine_known
 
 
+def failed_at(*stages: str) -> Column:
+    """Whether the file failed in one of these stages, from ``error, error_stage``; without a stage, in the second tier."""
+    return F.col("error").isNotNull() & F.coalesce("error_stage", F.lit(w.CONVERT)).isin(*stages)
+
+
 def error_message(ocr_engine: str = w.DEFAULT_OCR_ENGINE) -> Column:
-    """Why a file failed, from ``file, kind, route, error``; null if it did not.
+    """Why a file failed, from ``file, kind, route, error, error_stage``; null if it did not.
 
     A wrong engine name only matters to files that need the second tier, and so does a
-    failure there (``error``: a codec or an engine that stopped, in its own words).
+    failure there (``error``: a codec or an engine that stopped, in its own words).  What fails
+    later - taking images out, writing - or the whole worker, fails quick files, too.
     """
     suffix = n.quoted(F.lower(n.suffix(F.col("file"))))
-    message = F.when(F.col("kind").isNull(), t.fill(w.UNSUPPORTED_TYPE, suffix=suffix))
+    message = F.when(failed_at(w.WORKER), F.col("error"))
+    message = message.when(F.col("kind").isNull(), t.fill(w.UNSUPPORTED_TYPE, suffix=suffix))
     if not engine_known(ocr_engine):
         options = "[" + ", ".join(f"'{name}'" for name in w.OCR_ENGINES) + "]"
         unknown = t.fill(
             w.UNSUPPORTED_ENGINE, engine=n.quoted(F.lit(ocr_engine)), options=F.lit(options)
         )
         message = message.when(F.col("route") != QUICK, unknown)
-    return message.when(F.col("route") != QUICK, F.col("error"))
+    message = message.when((F.col("route") != QUICK) & failed_at(w.CONVERT), F.col("error"))
+    return message.when(failed_at(w.COUNT, w.WRITE), F.col("error"))
 
 
 def file_status(ocr_engine: str = w.DEFAULT_OCR_ENGINE) -> Column:
@@ -54,3 +62,22 @@ def output_collisions(documents: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n_files"))
         .where(F.col("n_files") > 1)
     )
+
+
+def report_figures(report: DataFrame, name: str = "report") -> tuple[DataFrame, Observation]:
+    """``report`` and its figures, gathered while it is written: no job counts them.
+
+    ``Observation.get`` waits for the first job over the returned table and gives files, ok, failed, pages and
+    quick (files that the quick converter did).
+    """
+    ok = F.col("status") == w.STATUS_OK
+    figures = Observation(name)
+    observed = report.observe(
+        figures,
+        F.count(F.lit(1)).alias("files"),
+        F.count_if(ok).alias("ok"),
+        F.count_if(~ok).alias("failed"),
+        F.coalesce(F.sum(F.col("pages").cast("bigint")), F.lit(0)).alias("pages"),
+        F.count_if(F.col("engine") == w.QUICK_ENGINE).alias("quick"),
+    )
+    return observed, figures

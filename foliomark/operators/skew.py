@@ -115,26 +115,38 @@ def number_rows(
     name: str,
     large: LargeGroups | None = None,
     group_rows: int | None = None,
+    counted: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """1-based row number in each group.  ``order`` must be unique in a group."""
+    """1-based row number in each group.  ``order`` must be unique in a group.
+
+    ``counted`` adds running counts of conditions, this row included, in the same order: one
+    sort and one window give them all.
+    """
     large = find_large_groups(df, keys, group_rows) if large is None else large
-    usual_window = Window.partitionBy(*keys).orderBy(*order)
-    usual = large.without(df).withColumn(name, F.row_number().over(usual_window).cast("bigint"))
+    ones = {at: F.when(condition, 1).otherwise(0).cast("bigint") for at, condition in (counted or {}).items()}
+
+    def numbered(rows: DataFrame, window: WindowSpec, before: dict[str, Column]) -> DataFrame:
+        up_to_here = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        found = {name: F.row_number().over(window).cast("bigint")}
+        found |= {at: F.sum(one).over(up_to_here) for at, one in ones.items()}
+        return rows.withColumns({at: n + before[at] if before else n for at, n in found.items()})
+
+    usual = numbered(large.without(df), Window.partitionBy(*keys).orderBy(*order), {})
     if not large:
         return usual
     sliced = slice_groups(large.only(df), keys, order, large)
-    per_slice = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
+    names = [name, *ones]
+    per_slice = sliced.groupBy(*keys, "_slice").agg(
+        F.count(F.lit(1)).alias(f"_{name}"), *(F.sum(one).alias(f"_{at}") for at, one in ones.items())
+    )
     offsets = per_slice.select(
         *keys,
         "_slice",
-        F.coalesce(F.sum("_rows").over(before_slice(keys)), F.lit(0)).alias("_before"),
-    )
-    numbered = (
-        sliced.join(large.bounded(offsets), [*keys, "_slice"])
-        .withColumn(name, F.row_number().over(in_slice(keys, order)) + F.col("_before"))
-        .select(*df.columns, name)
+        *(F.coalesce(F.sum(f"_{at}").over(before_slice(keys)), F.lit(0)).alias(f"_{at}") for at in names),
     )
-    return usual.unionByName(numbered)
+    joined = sliced.join(large.bounded(offsets), [*keys, "_slice"])
+    cut = numbered(joined, in_slice(keys, order), {at: F.col(f"_{at}") for at in names})
+    return usual.unionByName(cut.select(*df.columns, *names))
 
 
 def join_per_group(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -81,8 +83,10 @@ def cell_chars() -> Column:
     return F.aggregate("cells", F.lit(0), lambda n, cell: n + F.length(F.coalesce(cell, F.lit(""))) + 3)
 
 
-def tables_md(table_rows: DataFrame) -> DataFrame:
-    by_page = as_printed(table_rows).repartition(*PAGE)
+def tables_md(table_rows: DataFrame, by: Sequence[str] = PAGE) -> DataFrame:
+    """Tables in one shuffle ``by`` page, or by document if the rows are or will be dealt so anyway."""
+    by_page = as_printed(table_rows)
+    by_page = by_page.repartition(*by) if list(by) == PAGE else by_page
     rows = F.transform(
         F.sort_array(F.collect_list(F.struct("row_no", "cells"))), lambda row: row["cells"]
     )

@@ -22,6 +22,7 @@ from ..session import run_folder
 from ..sources.corpus import distinct_sorted_paths, scan_corpus, scan_one
 from ..sources.sinks import write_files, write_markdown_files
 from .convert import Options, convert, plan_documents, typed_files
+from .stored import convert_stored, store_tables
 from .vehicles import Vehicles
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -258,7 +259,7 @@ def _(v):
 
 
 def _figures(v: Vehicles) -> DataFrame:
-    return o.with_image_names(o.number_figures(o.number_images(v.image_refs())), F.lit("User"))
+    return o.with_image_names(o.number_images(v.image_refs(), figures=True), F.lit("User"))
 
 
 @query("attach_image_section")
@@ -391,13 +392,35 @@ def _(v):
 # --- report ---------------------------------------------------------------------------
 
 
+def _failing_files(v: Vehicles) -> DataFrame:
+    """The corpus' files, of which some failed: in the second tier, later, or with their worker."""
+    return v.corpus().files.selectExpr(
+        "doc_id",
+        "path",
+        "case when doc_id % 7 = 3 then concat('stopped at ', doc_id) end as error",
+        "element_at(array('convert', 'write', 'count', 'worker', cast(null as string)), cast(doc_id % 5 as int) + 1) as error_stage",
+    )
+
+
 @query("file_status")
 def _(v):
-    """With every engine, and as it would be with an unknown one."""
-    plan = plan_documents(v.corpus(), Options()).withColumn("error", F.lit(None).cast("string"))
-    return plan.select(
-        "doc_id", "file", "status", r.file_status(UNKNOWN_ENGINE).alias("status_unknown_engine")
+    """With failures of every stage, quick files included; with a known engine, and with an unknown one."""
+    corpus = replace(v.corpus(), files=_failing_files(v))
+    known = plan_documents(corpus, Options()).select("doc_id", "file", "engine", "pages", "status")
+    other = plan_documents(corpus, Options(ocr_engine=UNKNOWN_ENGINE)).select(
+        "doc_id", F.col("status").alias("status_unknown_engine")
     )
+    return known.join(other, "doc_id")
+
+
+@query("run_figures")
+def _(v):
+    """Files by status and engine, as the report's own figures have them while it is written."""
+    report = r.run_report(plan_documents(replace(v.corpus(), files=_failing_files(v)), Options()))
+    observed, figures = r.report_figures(report)
+    observed.write.parquet(run_folder(v.spark, "report"))
+    names = ["files", "ok", "failed", "pages", "quick"]
+    return v.spark.createDataFrame([tuple(figures.get[name] for name in names)], ", ".join(f"{name} long" for name in names))
 
 
 @query("unreadable_ok")
@@ -496,3 +519,16 @@ def _(v):
     return convert(v.corpus(), options).documents.select(
         "doc_id", "route", "pages", "engine", "output", "part_no", "markdown"
     )
+
+
+@query("convert_stored")
+def _(v):
+    """The same from tables that are stored by document first."""
+    options = Options(ocr_engine="paddle", extract_images=True, generated_at=DATE)
+    folder = run_folder(v.spark, "decoded")
+    name = f"decoded_{folder.rpartition('-')[2]}"
+    buckets = int(v.spark.conf.get("spark.sql.shuffle.partitions"))
+    stored = store_tables(v.corpus(), folder, name, buckets, options)
+    return convert_stored(stored, options).documents.select(
+        "doc_id", "route", "pages", "engine", "output", "part_no", "markdown"
+    )

@@ -16,16 +16,11 @@ from ..operators import blocks as b
 from ..operators import documents as d
 from ..operators import report as r
 from ..operators.gates import drop_blank_blocks, page_facts, quick_sufficient
-from ..operators.order import number_figures, number_images, with_image_names
+from ..operators.idsets import IdBitmap, broadcastable, written
+from ..operators.order import number_images, with_image_names
 from ..operators.parts import PART_CHARS, Texts, clean_parts, clean_whole
-from ..operators.skew import (
-    LargeGroups,
-    find_large_groups,
-    join_per_group,
-    number_rows,
-)
+from ..operators.skew import GROUP_ROWS, LargeGroups, join_per_group
 from ..operators.tables import cell_chars, table_lines, tables_md
-from ..session import run_folder
 
 
 @dataclass(frozen=True)
@@ -33,7 +28,8 @@ class DocumentTables:
     """Decoded input, keyed by ``doc_id`` (never null).
 
     =========== ==============================================================
-    files       doc_id, path; maybe error: why the second tier failed on the file
+    files       doc_id, path; maybe error: why the file failed, and error_stage: convert (the second
+                tier, also if left out), count (of pages), write, or worker
     quick_text  doc_id, text; null if the quick conversion failed
     doc_pages   doc_id, page_no, embedded_text, ocr_text, rasterized, ocr_error,
                 block_error, image_saved; pages of PDFs and, as page 0, image files.
@@ -73,15 +69,16 @@ class DocumentTables:
         """Apply ``change`` to every table but the file list."""
         return replace(self, **{name: change(df) for name, df in self.decoded().items()})
 
-    def row_keys(self) -> DataFrame:
-        """``doc_id, chars`` of every decoded row: its key and the length of its text."""
-        texts = dict.fromkeys(("quick_text", "blocks", "notes", "ocr_lines"), "text")
-        texts |= dict.fromkeys(("doc_pages", "shapes"), "ocr_text")
+    def row_sizes(self) -> DataFrame:
+        """``doc_id, _rows, _chars`` of every decoded row of the tables that the plan doesn't read anyway."""
+        texts = dict.fromkeys(("blocks", "notes", "ocr_lines"), "text") | {"shapes": "ocr_text"}
         rows = []
         for name, df in self.decoded().items():
+            if name in ("quick_text", "doc_pages"):
+                continue
             chars = F.length(texts[name]) if name in texts else F.lit(0)
             chars = cell_chars() if name == "table_rows" else chars
-            rows.append(df.select("doc_id", chars.alias("chars")))
+            rows.append(df.select("doc_id", F.lit(1).alias("_rows"), F.coalesce(chars, F.lit(0)).alias("_chars")))
         return reduce(DataFrame.union, rows)
 
 
@@ -97,6 +94,8 @@ class Options:
     # rows of one document that one task may gather, and characters per part beyond that
     group_rows: int | None = None
     part_chars: int = PART_CHARS
+    # whether ids of routes are put into bitmaps; by their number if left out
+    bitmap: bool | None = None
 
     def date(self) -> Column:
         if self.generated_at is None:
@@ -114,10 +113,14 @@ class Conversion(NamedTuple):
 
 def typed_files(files: DataFrame, output_dir: str = "output") -> DataFrame:
     file = n.file_name(F.col("path"))
-    error = F.col("error") if "error" in files.columns else F.lit(None).cast("string")
+
+    def given(name: str) -> Column:
+        return (F.col(name) if name in files.columns else F.lit(None).cast("string")).alias(name)
+
     return files.select(
         "doc_id",
-        error.alias("error"),
+        given("error"),
+        given("error_stage"),
         file.alias("file"),
         n.file_type(file).alias("kind"),
         n.output_path(file, output_dir).alias("planned_output"),
@@ -147,21 +150,32 @@ def pages_with_lines(tables: DocumentTables, options: Options) -> DocumentTables
     return replace(tables, doc_pages=kept.unionByName(filled), ocr_lines=None)
 
 
-def plan_documents(tables: DocumentTables, options: Options) -> DataFrame:
-    """One row per file: ``doc_id, file, kind, route, pages, engine, quick_used, status, output``."""
+def plan_documents(tables: DocumentTables, options: Options, sizes: bool = False) -> DataFrame:
+    """One row per file: ``doc_id, file, kind, route, pages, engine, quick_used, status, output``.
+
+    With ``sizes`` also ``rows, chars`` of its decoded tables; lengths are taken where texts are looked at anyway.
+    """
     files = typed_files(tables.files, options.output_dir)
-    if options.use_quick:
-        gate = tables.quick_text.select("doc_id", quick_sufficient(F.col("text")).alias("sufficient"))
-        files = files.join(gate, "doc_id", "left")
-    else:
-        files = files.withColumn("sufficient", F.lit(False))
+    gate = quick_sufficient(F.col("text")) if options.use_quick else F.lit(False)
+    quick = tables.quick_text.select("doc_id", gate.alias("sufficient"), F.coalesce(F.length("text"), F.lit(0)).alias("_quick_chars"))
+    read = [F.count(F.lit(1)).alias("_page_rows"), F.sum(F.coalesce(F.length("ocr_text"), F.lit(0))).alias("_page_chars")]
     files = (
-        files.join(page_facts(tables.doc_pages), "doc_id", "left")
+        files.join(quick, "doc_id", "left")
+        .join(page_facts(tables.doc_pages, *(read if sizes else [])), "doc_id", "left")
         .join(d.page_count(tables.slides).withColumnRenamed("pages", "slides"), "doc_id", "left")
         .withColumn("sufficient", F.coalesce("sufficient", F.lit(False)))
         .withColumn("route", d.route(options.use_quick))
         .withColumn("status", r.file_status(options.ocr_engine))
     )
+    measured = []
+    if sizes:
+        rest = tables.row_sizes().groupBy("doc_id").agg(F.sum("_rows").alias("_rows"), F.sum("_chars").alias("_chars"))
+        files = files.join(rest, "doc_id", "left")
+        total = lambda *names: sum((F.coalesce(name, F.lit(0)) for name in names), F.lit(0)).cast("bigint")
+        has_quick = F.when(F.col("_quick_chars").isNotNull(), 1).otherwise(0)
+        measured = [
+            (total("_page_rows", "_rows") + has_quick).alias("rows"), total("_quick_chars", "_page_chars", "_chars").alias("chars"),
+        ]
     ok = F.col("status") == w.STATUS_OK
     counted = (
         F.when(F.col("kind") == "image", 1)
@@ -173,159 +187,202 @@ def plan_documents(tables: DocumentTables, options: Options) -> DataFrame:
         "file",
         "kind",
         "route",
-        F.when(ok, F.coalesce(counted, F.lit(0))).otherwise(0).cast("int").alias("pages"),
+        F.when(ok | r.failed_at(w.WRITE) & F.col("kind").isNotNull(), F.coalesce(counted, F.lit(0))).otherwise(0).cast("int").alias("pages"),
         d.engine_label(options.ocr_engine).alias("engine"),
         (F.coalesce("route", F.lit("")) == d.QUICK).alias("quick_used"),
         "status",
         F.when(ok, F.col("planned_output")).alias("output"),
+        *measured,
     )
 
 
-def _named(numbered: DataFrame, docs: DataFrame, large: LargeGroups) -> DataFrame:
-    prefixes = docs.select("doc_id", n.sanitize_name(n.stem(F.col("file"))).alias("_prefix"))
-    joined = join_per_group(numbered, prefixes, ["doc_id"], "inner", large)
-    return with_image_names(joined, F.col("_prefix")).drop("_prefix")
+# The routes that a table's rows can be on.
+ROUTES = {
+    "quick_text": (d.QUICK,),
+    "doc_pages": (d.TEXT_PDF, d.SCANNED_PDF, d.IMAGE),
+    "blocks": (d.TEXT_PDF,),
+    "table_rows": (d.TEXT_PDF,),
+    "slides": (d.SLIDES,),
+    "shapes": (d.SLIDES, d.QUICK),
+    "notes": (d.SLIDES,),
+    "image_refs": (d.TEXT_PDF, d.QUICK),
+}
 
 
-def document_blocks(
-    tables: DocumentTables, docs: DataFrame, options: Options, large: LargeGroups, in_parts: bool
-) -> DataFrame:
-    """Blocks of all routes, each row tagged with the route it belongs to.
+@dataclass(frozen=True)
+class Chosen:
+    """The documents that are written, by route, as a filter for decoded tables.
 
-    ``in_parts`` is for large documents: their tables stay one row per line.
+    A table meets the ids of its routes before anything is made of its rows: by broadcast if Spark finds the
+    written list small enough, else in a join on ``doc_id``, whose partitioning all later groupings use again.
+    Then ``bitmaps`` (one for each set of routes) keep most rows of other routes out of that join's shuffle.
     """
-    pdf_figures = page_links = quick_images = None
-    shapes = tables.shapes.withColumn("image_name", F.lit(None).cast("string"))
-    if options.extract_images:
-        images = _named(number_images(tables.image_refs, large=large), docs, large)
-        pdf_figures = b.figure_links(images)
-        scans = number_images(b.page_images(tables.doc_pages), large=large)
-        page_links = b.page_links(_named(scans, docs, large)).withColumn(
-            "route", F.lit(d.SCANNED_PDF)
-        )
-        shapes = _shapes_with_names(tables.shapes, docs, large)
-        quick_images = d.image_section_blocks(_quick_figures(tables, docs, large))
-    table_rows = b.without_failed_pages(tables.table_rows, tables.doc_pages)
+
+    docs: DataFrame
+    large: LargeGroups
+    bitmaps: dict[tuple[str, ...], IdBitmap]
+
+    @staticmethod
+    def of(docs: DataFrame, large: LargeGroups, bitmap: bool | None = None) -> Chosen:
+        """``docs`` is the written plan.  ``bitmap`` decides on bitmaps instead of the number of documents."""
+        docs = docs.where(F.col("output").isNotNull())
+        numbers = {row["route"]: row["count"] for row in docs.groupBy("route").count().collect()}
+        bitmaps = {}
+        for routes in dict.fromkeys(ROUTES.values()):
+            number = sum(numbers.get(name, 0) for name in routes)
+            wanted = bitmap if bitmap is not None else not broadcastable(docs, number)
+            if wanted and number < sum(numbers.values()):
+                bitmaps[routes] = IdBitmap.of(docs.where(F.col("route").isin(*routes)).select("doc_id"), "doc_id", number)
+        return Chosen(docs, large, bitmaps)
+
+    def on(self, *routes: str) -> DataFrame:
+        return self.docs.where(F.col("route").isin(*routes))
+
+    def of_route(self, tables: DocumentTables, name: str, *more: str) -> DataFrame:
+        """Rows of a table whose document takes a route that uses them, with ``more`` columns of the plan."""
+        rows, routes = getattr(tables, name), ROUTES[name]
+        if routes in self.bitmaps:
+            rows = self.bitmaps[routes].only(rows)
+        plan = self.on(*routes).select("doc_id", *(F.col(column).alias(f"plan_{column}") for column in more))
+        return join_per_group(rows, plan, ["doc_id"], "inner" if more else "left_semi", self.large)
+
+
+def named_images(tables: DocumentTables, chosen: Chosen, in_parts: bool) -> DataFrame:
+    """All images that are shown somewhere, numbered and named: ``doc_id, plan_route, figure, image_name, ..``.
+
+    Three lists of images become one; of each document one of them counts.  So one sort by document gives
+    both numbers, the file's and the label's, for every route.
+    """
+    zero = F.lit(0).cast("bigint")
+    place = [F.col("page_no").cast("int").alias("page_no")]
+    refs = chosen.of_route(tables, "image_refs", "route", "kind", "file").where(
+        (F.col("plan_route") == d.TEXT_PDF) | (F.col("plan_kind") == "pdf")
+    ).select(*(IMAGE[:1]), *place, zero.alias("top"), zero.alias("left"), F.col("image_no").cast("bigint").alias("image_no"), *IMAGE[1:])
+    pages = chosen.of_route(tables, "doc_pages", "route", "kind", "file").where(F.col("plan_route") == d.SCANNED_PDF)
+    scans = b.page_images(pages, "plan_route", "plan_file").select(*(IMAGE[:1]), *place, zero.alias("top"), zero.alias("left"), "image_no", *IMAGE[1:])
+    on_slide = F.col("plan_route") == d.SLIDES
+    pictures = chosen.of_route(tables, "shapes", "route", "kind", "file").where(
+        (F.col("kind") == "PICTURE") & (on_slide | (F.col("plan_kind") == "pptx"))
+    )
+    # a deck's own list is in the order of its shapes, slides go by position
+    pictures = pictures.withColumns({
+        "top": F.when(on_slide, F.coalesce("top", F.lit(0))).otherwise(0).cast("bigint"),
+        "left": F.when(on_slide, F.coalesce("left", F.lit(0))).otherwise(0).cast("bigint"),
+        "decoded": F.col("decoded") & (~on_slide | F.col("error").isNull()),
+        "image_no": F.col("shape_no").cast("bigint"),
+    }).select(*(IMAGE[:1]), *place, "top", "left", "image_no", *IMAGE[1:])
+    order = ("page_no", "top", "left", "image_no")
     if in_parts:
-        page_tables = b.table_line_blocks(table_lines(table_rows, options.group_rows))
+        numbered = number_images(b.union(refs, scans, pictures), order, large=chosen.large, figures=True)
     else:
-        page_tables = b.table_blocks(tables_md(table_rows))
-
-    quick = tables.quick_text.where(quick_sufficient(F.col("text"))).withColumn("page_no", F.lit(0))
-    tagged = {
-        d.QUICK: b.union(b.as_blocks(quick, b.CONTENT, F.col("text")), quick_images),
-        d.TEXT_PDF: b.union(b.text_block_rows(tables.blocks), page_tables, pdf_figures),
-        d.SLIDES: b.slide_blocks(tables.slides, shapes, tables.notes),
-        d.IMAGE: _image_file_blocks(tables, docs, options, large),
-    }
-    # one pass over the pages serves both kinds of PDF
-    pages = b.emit(tables.doc_pages, *b.text_page(d.TEXT_PDF), *b.scanned_page(d.SCANNED_PDF))
-    rest = [rows.withColumn("route", F.lit(name)) for name, rows in tagged.items()]
-    return b.union(pages, page_links, *rest)
+        listed = b.union_dealt(refs, scans, pictures)
+        numbered = number_images(listed, order, large=chosen.large, figures=True, key=b.DEALT).withColumnRenamed(b.DEALT, "doc_id")
+    return with_image_names(numbered, n.sanitize_name(n.stem(F.col("plan_file"))))
 
 
-def _quick_figures(tables: DocumentTables, docs: DataFrame, large: LargeGroups) -> DataFrame:
-    """Saved images of quickly converted PDFs and decks, numbered for file name and label.
+IMAGE = ["doc_id", "decoded", "saved", "plan_route", "plan_file"]
 
-    The two kinds have their own lists; a document is only ever one of them.
-    """
-    kinds = docs.where(F.col("route") == d.QUICK).select("doc_id", "kind")
-    listed = b.union(
-        tables.image_refs.select(
-            "doc_id", "page_no", "image_no", "decoded", "saved", F.lit("pdf").alias("_kind")
-        ),
-        tables.shapes.where(F.col("kind") == "PICTURE").select(
-            "doc_id",
-            "page_no",
-            F.col("shape_no").alias("image_no"),
-            "decoded",
-            "saved",
-            F.lit("pptx").alias("_kind"),
-        ),
-    )
-    mine = join_per_group(listed, kinds, ["doc_id"], "inner", large).where(
-        F.col("kind") == F.col("_kind")
-    )
-    return _named(number_figures(number_images(mine, large=large), large=large), docs, large)
 
+def document_blocks(
+    tables: DocumentTables, chosen: Chosen, options: Options, in_parts: bool
+) -> DataFrame:
+    """Blocks of all documents, each from the tables of the route that it takes; unless ``in_parts``, dealt by DEALT.
 
-def _shapes_with_names(shapes: DataFrame, docs: DataFrame, large: LargeGroups) -> DataFrame:
-    """Add ``image_name``: pictures are numbered along the deck by position on each slide."""
-    is_picture = F.coalesce(
-        (F.col("kind") == "PICTURE") & F.col("error").isNull() & F.col("decoded"), F.lit(False)
-    )
-    placed = (
-        shapes.where(is_picture)
-        .withColumn("_top", F.coalesce("top", F.lit(0)))
-        .withColumn("_left", F.coalesce("left", F.lit(0)))
+    ``in_parts`` is for large documents: their tables stay one row per line.
+    """
+    images = None
+    if options.extract_images:
+        images = b.emit_by(
+            named_images(tables, chosen, in_parts),
+            F.col("plan_route"),
+            {
+                d.TEXT_PDF: [b.figure_link()],
+                d.SCANNED_PDF: [b.page_link()],
+                d.SLIDES: [b.picture_link()],
+                d.QUICK: [d.image_section_block()],
+            },
+        )
+    # one pass over the pages serves all routes that have some
+    pages = b.emit_by(
+        chosen.of_route(tables, "doc_pages", "route", "file").withColumnRenamed("plan_file", "file"),
+        F.col("plan_route"),
+        {
+            d.TEXT_PDF: b.text_page(),
+            d.SCANNED_PDF: b.scanned_page(),
+            d.IMAGE: b.image_page(options.extract_images),
+        },
     )
-    order = ["page_no", "_top", "_left", "shape_no"]
-    numbered = number_rows(placed, ["doc_id"], order, "image_number", large)
-    named = _named(numbered, docs, large).withColumn(
-        "image_name", F.when(F.col("saved"), F.col("image_name"))
+    table_rows = b.without_failed_pages(chosen.of_route(tables, "table_rows"), tables.doc_pages, by_document=not in_parts)
+    if in_parts:
+        page_tables = b.table_line_blocks(table_lines(table_rows, options.group_rows))
+    else:
+        page_tables = b.table_blocks(tables_md(table_rows, by=["doc_id"]))
+    quick = chosen.of_route(tables, "quick_text").withColumn("page_no", F.lit(0))
+    shapes = chosen.of_route(tables, "shapes", "route").where(F.col("plan_route") == d.SLIDES)
+    shapes = shapes.withColumn("image_name", F.lit(None).cast("string"))
+    together = b.union if in_parts else b.union_dealt
+    return together(
+        pages,
+        images,
+        b.as_blocks(quick, b.CONTENT, F.col("text")),
+        b.text_block_rows(chosen.of_route(tables, "blocks")),
+        page_tables,
+        b.slide_blocks(chosen.of_route(tables, "slides"), shapes, chosen.of_route(tables, "notes"), not in_parts),
     )
-    others = shapes.where(~is_picture).withColumn("image_name", F.lit(None).cast("string"))
-    return others.unionByName(named.select(*others.columns))
 
 
-def _image_file_blocks(
-    tables: DocumentTables, docs: DataFrame, options: Options, large: LargeGroups
-) -> DataFrame:
-    images = docs.where(F.col("route") == d.IMAGE).select("doc_id", "file")
-    pages = join_per_group(tables.doc_pages, images, ["doc_id"], "inner", large)
-    return b.image_doc_blocks(pages, options.extract_images)
+def usual_bodies(tables: DocumentTables, chosen: Chosen, options: Options) -> DataFrame:
+    """``doc_id, part_no, last_part, body`` of documents that one task can hold each.
 
+    Rows meet the written list of documents table by table, before blocks are made of them (`Chosen`).  Blocks
+    are then gathered by document: in one shuffle, or in none where those joins, or the tables' buckets, have
+    dealt the rows by document already.
+    """
+    blocks = document_blocks(tables, replace(chosen, large=replace(chosen.large, number=0)), options, in_parts=False)
+    return clean_whole(drop_blank_blocks(blocks), [b.DEALT], b.ORDER, "md").withColumnRenamed(b.DEALT, "doc_id")
 
-def _stored(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it back.
 
-    The written file gives Spark its true size, by which it decides on a broadcast.
-    """
-    folder = run_folder(df.sparkSession, label)
-    df.write.parquet(folder)
-    return df.sparkSession.read.parquet(folder)
+def large_bodies(tables: DocumentTables, chosen: Chosen, options: Options) -> DataFrame:
+    """The same of large documents, in parts."""
+    blocks = document_blocks(tables, chosen, options, in_parts=True)
+    return clean_parts(chosen.large, drop_blank_blocks(blocks), ["doc_id"], b.ORDER, "md", part_chars=options.part_chars)
 
 
 def document_bodies(
     tables: DocumentTables, docs: DataFrame, options: Options, large: LargeGroups
 ) -> Texts:
-    """``doc_id, route, part_no, last_part, body`` of the documents that have any block.
-
-    Blocks are shuffled once, by document and route.  They meet the stored list of
-    documents on these keys before they are gathered and cleaned, so that only the
-    route that a document takes is worked on: by broadcast if the written list is small
-    enough for Spark, else in a join whose partitioning the gathering uses again.
-    """
-    keys, order = ["doc_id", "route"], b.ORDER
-    wanted = docs.where(F.col("output").isNotNull()).select(*keys)
-    none = replace(large, number=0)
-    usual = document_blocks(tables.restricted(large.without), docs, options, none, in_parts=False)
-    usual = drop_blank_blocks(usual)
-    usual = usual.join(wanted, keys, "left_semi")
-    whole = clean_whole(usual, keys, order, "md")
+    """Bodies of the documents that have any block."""
+    chosen = Chosen.of(docs, large, options.bitmap)
+    whole = usual_bodies(tables.restricted(large.without), chosen, options)
     if not large:
         return Texts(whole, None, large)
-    rows = document_blocks(tables.restricted(large.only), docs, options, large, in_parts=True)
-    their_routes = large.bounded(large.only(wanted))
-    rows = drop_blank_blocks(rows).join(their_routes, keys, "left_semi")
-    parts = clean_parts(large, rows, keys, order, "md", part_chars=options.part_chars)
-    return Texts(whole, parts, large)
+    theirs = replace(chosen, docs=large.only(chosen.docs), bitmaps={})
+    return Texts(whole, large_bodies(tables.restricted(large.only), theirs, options), large)
+
+
+def large_documents(docs: DataFrame, options: Options) -> LargeGroups:
+    """Documents with too many rows or characters for one task, from the sizes in the written plan."""
+    limit = GROUP_ROWS if options.group_rows is None else options.group_rows
+    keys = docs.where((F.col("rows") > limit) | (F.col("chars") > options.part_chars))
+    number, rows = keys.agg(F.count(F.lit(1)), F.sum("rows")).first()
+    return LargeGroups(("doc_id",), keys.select("doc_id"), number, rows or 0)
 
 
 def convert(tables: DocumentTables, options: Options = Options()) -> Conversion:
     """Documents (``.. part_no, markdown``) and the report (one row per file).
 
-    The plan of each document - type, route, page count - is a narrow table that is
-    written once; texts are then read once for the documents.  A document is one
+    The plan of each document - type, route, page count, size - is a narrow table that is
+    written once; texts are then read once more for the documents.  A document is one
     row, unless it is so large that it comes in parts (see ``operators.parts``).
     """
-    docs = _stored(plan_documents(tables, options), "document-plan")
-    large = find_large_groups(
-        tables.row_keys(), ["doc_id"], options.group_rows, F.col("chars"), options.part_chars
-    )
+    planned = written(plan_documents(tables, options, sizes=True), "document-plan")
+    docs = planned.drop("rows", "chars")
+    large = large_documents(planned, options)
     bodies = document_bodies(pages_with_lines(tables, options), docs, options, large)
+    return formatted(docs, bodies, options)
+
+
+def formatted(docs: DataFrame, bodies: Texts, options: Options) -> Conversion:
     readable = docs.where(F.col("output").isNotNull())
-    documents = d.format_document(
-        readable, bodies, options.date(), options.language_list(), keys=("doc_id", "route")
-    )
+    documents = d.format_document(readable, bodies, options.date(), options.language_list())
     return Conversion(documents, r.run_report(docs))

@@ -291,6 +291,19 @@ CTES = {
           LEFT JOIN c_page_facts p USING (doc_id) LEFT JOIN c_slide_counts USING (doc_id))""",
 }
 
+CTES["c_failing"] = """SELECT doc_id, file,
+      CASE WHEN stage = 'worker' THEN 'tesseract' WHEN stage = 'convert' AND route <> 'quick' THEN 'none' ELSE engine END AS engine,
+      CASE WHEN stage IN ('worker', 'count') OR stage = 'convert' AND route <> 'quick' THEN 0 ELSE pages END AS pages,
+      CASE WHEN stage = 'worker' THEN failure WHEN kind IS NULL THEN status
+           WHEN stage IN ('count', 'write') OR stage = 'convert' AND route <> 'quick' THEN failure ELSE 'ok' END AS status,
+      CASE WHEN stage = 'worker' THEN failure WHEN kind IS NULL THEN status
+           WHEN route <> 'quick' THEN 'error: Motor OCR no soportado: '
+             || '"it''s". Opciones: [''paddle'', ''surya'', ''tesseract'']'
+           WHEN stage IN ('count', 'write') THEN failure ELSE 'ok' END AS status_unknown_engine
+    FROM (SELECT *, 'error: stopped at ' || doc_id AS failure,
+            CASE WHEN doc_id % 7 = 3 THEN ['convert', 'write', 'count', 'worker', 'convert'][doc_id % 5 + 1] END AS stage
+          FROM c_docs)"""
+
 # --- block rows -----------------------------------------------------------------------
 
 
@@ -600,10 +613,9 @@ SQL = {
     "assemble_body": f"""SELECT doc_id, 0::BIGINT AS part_no,
         {joined("md", ORDER, f"{NL} || {NL}")} AS body
         FROM scan_blocks WHERE {inked("md")} GROUP BY doc_id""",
-    "file_status": """SELECT doc_id, file, status,
-        CASE WHEN kind IS NULL OR route = 'quick' THEN status ELSE 'error: Motor OCR no soportado: '
-          || '"it''s". Opciones: [''paddle'', ''surya'', ''tesseract'']' END
-        AS status_unknown_engine FROM c_docs""",
+    "file_status": """SELECT doc_id, file, engine, pages, status, status_unknown_engine FROM c_failing""",
+    "run_figures": """SELECT count(*) AS files, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status <> 'ok') AS failed,
+        sum(pages)::BIGINT AS pages, count(*) FILTER (engine = 'markitdown') AS quick FROM c_failing""",
     "unreadable_ok": """SELECT doc_id, kind, pages, engine, status, 0::BIGINT AS part_no, markdown
         FROM unreadable""",
     "output_collisions": """SELECT 'output/User ' || user_id || '.md' AS output,
@@ -631,6 +643,8 @@ SQL = {
         JOIN (SELECT doc_id, count(*) AS pages FROM doc_pages GROUP BY doc_id) USING (doc_id)""",
     "convert_corpus": """SELECT doc_id, route, pages, engine, output, 0::BIGINT AS part_no, markdown
         FROM c_documents""",
+    "convert_stored": """SELECT doc_id, route, pages, engine, output, 0::BIGINT AS part_no, markdown
+        FROM c_documents""",
 }
 
 

@@ -1,5 +1,7 @@
 """Whole conversions: small hand-made corpora, and the same corpus in parts."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,20 +143,99 @@ def test_unknown_engine_spares_quick_documents(tables):
     assert {row["engine"] for row in report.collect()} == {"markitdown", "none"}
 
 
-def test_routes_are_chosen_before_the_gathering(spark, tables):
-    """Without broadcasts the join to the plan and the gathering share one partitioning."""
-    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"]
-    spark.conf.set(names[0], "-1")
-    spark.conf.set(names[1], "false")
-    try:
-        documents, _ = convert(tables, Options(extract_images=True))
-        plan = documents._jdf.queryExecution().executedPlan().toString()
-        assert bodies(documents) == WANTED
-    finally:
-        for name in names:
-            spark.conf.unset(name)
-    above, found, below = plan.partition("collect_list(struct(page_no")
-    assert found and "LeftSemi" in below and "Exchange" not in below.split("LeftSemi")[0].split("collect_list")[-1]
+@pytest.fixture
+def without_broadcasts(spark):
+    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    yield
+    for name in names:
+        spark.conf.unset(name)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_routes_are_chosen_before_the_gathering(tables, without_broadcasts):
+    """Without broadcasts the joins to the plan deal the rows by document, and the gathering uses that."""
+    documents, _ = convert(tables, Options(extract_images=True))
+    assert bodies(documents) == WANTED
+    _, found, below = plan_of(documents).partition("functions=[collect_list(struct(page_no")
+    between = below.partition("Union")[0]
+    assert found and "partial_collect_list" in between and "Exchange" not in between
+
+
+@pytest.mark.parametrize("bitmap", [True, False])
+def test_bitmaps_change_nothing(tables, sliced, bitmap):
+    options = Options(extract_images=True, generated_at="2024-01-01", bitmap=bitmap)
+    assert bodies(convert(tables, options).documents) == WANTED
+
+
+def test_images_are_numbered_in_one_pass(tables, without_broadcasts):
+    """One window gives the numbers of files and of labels, for all routes."""
+    documents, _ = convert(tables, Options(extract_images=True, bitmap=False))
+    windows = [line for line in plan_of(documents).split("\n") if re.search(r"\bWindow \[", line)]
+    assert len(windows) == 2  # the other chooses between table extractors
+    (numbers,) = [line for line in windows if "row_number()" in line]
+    assert "sum(" in numbers
+    plain, _ = convert(tables, Options(bitmap=False))
+    assert "row_number()" not in plan_of(plain)
+
+
+def test_bitmap_keeps_rows_from_the_shuffle(spark, without_broadcasts):
+    """Of other routes' rows only the stated share enters the exchange; results are the same."""
+    from foliomark.operators.idsets import IdBitmap, written
+
+    ids = written(spark.range(0, 4_000, 2).withColumnRenamed("id", "doc_id"), "ids")
+    rows = spark.range(40_000).selectExpr("id % 8000 AS doc_id", "id AS n").unionByName(spark.createDataFrame([(None, 1)], "doc_id long, n long"))
+    bitmap = IdBitmap.of(ids, "doc_id")
+    passing, maybe = bitmap.split(rows)
+    chosen, every = 10_000, 40_001
+    entering = maybe.count()
+    assert passing.count() + entering == every
+    assert chosen <= entering <= chosen + 1.3 * bitmap.wrong_share * (every - chosen)
+    assert bitmap.only(rows).join(ids, "doc_id", "left_semi").count() == chosen
+    assert passing.join(ids, "doc_id", "left_semi").count() == 0
+    empty = IdBitmap.of(written(ids.limit(0), "ids"), "doc_id")
+    assert empty.only(rows).count() == 0 and empty.wrong_share == 0
+
+
+def test_fallback_with_and_without_bitmap(spark):
+    from foliomark.operators.documents import tier_fallback
+
+    vehicles = Vehicles(spark, SMALL)
+    blocks, quick = vehicles.blocks().select("doc_id", "block_no"), vehicles.quick_text()
+    plain, marked = (sorted(tier_fallback(blocks, quick, bitmap=on).collect()) for on in (False, True))
+    assert plain == marked and plain
+
+
+def test_stored_tables(spark, tables, tmp_path, without_broadcasts):
+    """From the buckets to the gathered documents, no row of a usual document is shuffled."""
+    from foliomark.plans.stored import convert_stored, open_tables, store_tables
+
+    options = Options(extract_images=True, generated_at="2024-01-01")
+    stored = store_tables(tables, f"{tmp_path}/decoded", "small", 3, options)
+    documents, report = convert_stored(stored, options)
+    assert bodies(documents) == WANTED and report.count() == len(ROWS["files"])
+    plan = plan_of(documents)
+    assert "collect_list(struct(page_no" in plan and "Exchange" not in plan and "Bucketed: true" in plan
+    for name in SCHEMAS:
+        spark.sql(f"DROP TABLE small_{name}")  # files of such a table stay
+    opened = open_tables(spark, f"{tmp_path}/decoded", "small", 3)
+    again = convert_stored(opened, options).documents
+    assert bodies(again) == WANTED and "Exchange" not in plan_of(again)
+    assert bodies(convert_stored(opened, Options(use_quick=False, generated_at="2024-01-01")).documents)[1] == "\n# Página 1\n"
+
+
+def test_stored_tables_with_large_documents(spark, tables, sliced, tmp_path):
+    from foliomark.plans.stored import convert_stored, store_tables
+
+    limits = Options(extract_images=True, generated_at="2024-01-01", group_rows=3, part_chars=60)
+    stored = store_tables(tables, f"{tmp_path}/decoded", "cut", 2, limits)
+    assert 0 < stored.large.number < len(ROWS["files"])
+    documents, report = convert_stored(stored, limits)
+    assert bodies(documents) == WANTED and report.count() == len(ROWS["files"])
 
 
 @pytest.mark.parametrize("engine, text", [("paddle", "sure\nquite"), ("surya", "sure\nunsure\nquite")])
@@ -182,6 +263,36 @@ def test_failed_files(spark, tables):
     assert {row["doc_id"] for row in documents.collect()} == {1, 4, 5, 6, 8, 9}
 
 
+def test_stages_of_failure(spark, tables):
+    """What fails after the second tier fails quick files, too; the row keeps engine and pages as far as they got."""
+    from dataclasses import replace
+
+    stages = {1: ("write", "disk full"), 2: ("count", "gone"), 3: (None, "no codec"), 4: ("write", "disk full"), 5: ("worker", "killed"), 7: ("write", "x")}
+    rows = [(i, *stages.get(i, (None, None))) for i in range(1, 10)]
+    failed = tables.files.join(spark.createDataFrame(rows, "doc_id long, error_stage string, error string"), "doc_id")
+    documents, report = convert(replace(tables, files=failed), Options(ocr_engine="surya"))
+    found = {row["file"]: tuple(row)[1:] for row in report.collect()}
+    assert found["quick.pdf"] == (1, "markitdown", "error: disk full", "—")
+    assert found["text.pdf"] == (0, "surya", "error: gone", "—")
+    assert found["scan.pdf"] == (0, "none", "error: no codec", "—")
+    assert found["deck.pptx"] == (2, "surya", "error: disk full", "—")
+    assert found["photo.png"] == (0, "surya", "error: killed", "—")
+    assert found["note.txt"] == (0, "none", "error: Tipo de archivo no soportado: '.txt'", "—")
+    assert {row["doc_id"] for row in documents.collect()} == {6, 8, 9}
+
+
+def test_figures_come_with_the_writing(tables, tmp_path):
+    from foliomark.operators.report import report_figures
+
+    _, report = convert(tables, Options())
+    observed, figures = report_figures(report)
+    observed.write.parquet(f"{tmp_path}/report")
+    rows = report.collect()
+    assert figures.get == {
+        "files": 9, "ok": 8, "failed": 1, "pages": sum(r["pages"] for r in rows), "quick": sum(r["engine"] == "markitdown" for r in rows),
+    }
+
+
 def test_long_pages_in_parts(spark, sliced):
     """A page's OCR text that comes in parts is one page, in order, for everything that reads it."""
     vehicles = Vehicles(spark, SMALL)
