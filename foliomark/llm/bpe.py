@@ -154,7 +154,11 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids")
 
 
 def bpe_decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """``rows`` with the texts of its token ids; a null list gives the empty text."""
+    """``rows`` with the texts of its token ids; a null or empty list gives the empty text.
+
+    All other columns and repeated rows stay as they are; an empty table gives no rows.  A column that is named like
+    the new one is replaced.
+    """
     sent = _sent(rows, path)
     make = lambda lists: [list(map(tokenizer(sent.value).decode, lists))]
     return append_columns(rows.drop(text), [ids], T.StructType([T.StructField(text, T.StringType())]), make)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bucket_number, bucket_of, checkpointed, expand_copies, fresh, named, running_total, stored, word_count
@@ -15,35 +15,45 @@ EPOCHS = 3
 BROADCAST_SOURCES = 100_000
 
 
+def in_order(rows: DataFrame, order: Sequence[Column], *values: str) -> DataFrame:
+    """``rows`` with place (from 0) and, for each of ``values``, its sum over the rows before, as before_<value>.
+
+    Rows are sorted by range and numbered inside their partitions; only one row per partition is put in order in
+    one task.  Range bounds are sampled, so the sorted rows are checkpointed.
+    """
+    ranged = checkpointed(
+        rows.repartitionByRange(*order).sortWithinPartitions(*order)
+        .withColumns({"part": F.spark_partition_id(), "row": F.monotonically_increasing_id()})
+    )
+    sums = {"place": F.count(F.lit(1)), **{f"before_{v}": F.sum(v) for v in values}}
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy("part").agg(*(total.alias(name) for name, total in sums.items()))
+    offsets = parts.select("part", *(F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(f"{name}_offset") for name in sums))
+    inside = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    own = {"place": F.count(F.lit(1)).over(inside), **{f"before_{v}": F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in values}}
+    placed = ranged.join(F.broadcast(offsets), "part").withColumns({name: total + F.col(f"{name}_offset") for name, total in own.items()})
+    return placed.select(*rows.columns, *sums)
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
     """``sizes`` (source, source_size) with source_rank and target.
 
     Sources get the weights in code-point order, null last, repeating.  The targets share the sum of all
     sizes by weight; a source gets ``epochs`` times its size at most, and what is left over is shared by
-    the others.  One row per source is put in order here, documents never are.
+    the others.  Sources may be as many as documents: they are ranked and summed range by range.
     """
-    everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("source_rank") % len(weights) + 1).cast("int"))
-    ranked = sizes.withColumn("source_rank", rank).withColumn("weight", weight)
+    ranked = in_order(sizes, [F.col("source").asc_nulls_last()]).withColumnRenamed("place", "source_rank").withColumn("weight", weight)
+    every_size, every_weight = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
     # sources reach their cap in the order of size per weight; the first that doesn't, sets the level
-    by_cap = Window.orderBy(F.col("source_size") / F.col("weight"), "source_rank")
-    earlier = by_cap.rowsBetween(Window.unboundedPreceding, -1)
-    level = ranked.select(
-        "*",
-        (
-            (F.sum("source_size").over(everything) - epochs * F.coalesce(F.sum("source_size").over(earlier), F.lit(0)))
-            / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(earlier), F.lit(0)))
-        ).alias("level"),
-        F.row_number().over(by_cap).alias("at"),
-    )
-    below = F.when(F.col("level") * F.col("weight") <= epochs * F.col("source_size"), F.struct("at", "level"))
-    return level.withColumn("share", F.min(below).over(everything)["level"] * F.col("weight")).select(
-        "source",
-        "source_rank",
-        "source_size",
-        F.least(F.coalesce("share", epochs * F.col("source_size").cast("double")), epochs * F.col("source_size").cast("double")).alias("target"),
-    )
+    by_cap = [(F.col("source_size") / F.col("weight")).asc(), F.col("source_rank").asc()]
+    level = (F.lit(every_size) - epochs * F.col("before_source_size")) / (F.lit(every_weight) - F.col("before_weight"))
+    leveled = in_order(ranked, by_cap, "source_size", "weight").withColumn("level", level)
+    below = leveled.where(F.col("level") * F.col("weight") <= epochs * F.col("source_size"))
+    found = below.agg(F.min(F.struct("place", "level"))["level"]).first()[0]
+    cap = epochs * F.col("source_size").cast("double")
+    share = cap if found is None else F.least(F.lit(found) * F.col("weight"), cap)
+    return ranked.select("source", "source_rank", "source_size", share.alias("target"))
 
 
 def mix_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
@@ -102,6 +112,7 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Documents stay whole: the one that a source's budget ends in comes in full once more.  Documents
     without words cost nothing and come once for each begun pass over their source.  Of rows that agree in
     source, id and size, only so many come once more as the budget reaches; which of them doesn't matter.
+    A null text has no words; a null source is a source, null ids are ids like others; an empty table gives no rows.
     """
     taken, size, copy = (F.col(c) for c in ("rest", "size", "copies"))
     partly = F.when(size > 0, F.greatest(F.lit(0), F.least(copy, F.ceil((taken - F.col("before")) / size)))).otherwise(

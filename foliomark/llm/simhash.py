@@ -161,7 +161,8 @@ def _labelled(prints: DataFrame, radius: int) -> DataFrame:
 def simhash_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest id (nulls last).
 
-    Of several such rows it is the first in the stored order; so of repeated rows, one stays.
+    Of several such rows it is the first in the stored order; so of repeated rows, one stays.  Null, empty and blank
+    texts share the fingerprint zero and so are one component; other columns are kept; an empty table gives no rows.
     """
     mark, row, component, chosen = fresh(docs, "print_", "row_", "component_", "chosen_")
     kept = stored(with_fingerprints(docs, text, mark).withColumn(row, F.monotonically_increasing_id()), "simhash-documents")

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull
 
+from ..sources.paths import opened, qualified
 from .common import checkpointed, named
 
 RECORD_END = "\r\n\r\n"
@@ -110,6 +111,9 @@ def write_warc(pages: DataFrame, folder: str, page_id: str = "page_id", url: str
     are responses too, and so are all pages of a payload that has no id at all.  Control characters in URLs
     become blanks; a null URL or id is an empty header.  Other columns are ignored; an empty table gives an
     archive without records.
+
+    A file is one gzip stream, as Spark's text writer makes it, not a member for each record: it is read from its
+    beginning, and a task reads whole files.
     """
     records = with_revisits(pages, page_id, url, html, least_bytes).select(record_text(date).alias("value"))
     records.write.option("lineSep", RECORD_END).option("compression", "gzip").text(folder)
@@ -182,7 +186,7 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[Files]:
         """Whole files; small ones share a partition."""
-        store, path = fs.FileSystem.from_uri(self.path)
+        store, path = opened(self.path)
         found = store.get_file_info(fs.FileSelector(path, recursive=True))
         files = sorted((f.path, f.size) for f in found if f.type == fs.FileType.File and f.base_name[:1] not in "._")
         planned: list[list[str]] = []
@@ -196,7 +200,7 @@ class WarcReader(DataSourceReader):
         return [Files(tuple(p)) for p in planned]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
-        store, _ = fs.FileSystem.from_uri(self.path)
+        store, _ = opened(self.path)
         kinds = [*[pa.string()] * 6, pa.int64(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.binary()]
         names = [c.split()[0] for c in SCHEMA.split(", ")]
 
@@ -220,7 +224,8 @@ class WarcReader(DataSourceReader):
 
 
 class WarcDataSource(DataSource):
-    """``spark.read.format("warc").option("path", folder)``; option payload=false leaves payloads out.
+    """``spark.read.format("warc").option("path", folder)``, with the scheme of its file system; option payload=false
+    leaves payloads out.
 
     Needs ``spark.sql.python.filterPushdown.enabled``: filters on headers are applied before payloads are read.
     """
@@ -233,18 +238,17 @@ class WarcDataSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> WarcReader:
-        path = self.options["path"]
-        return WarcReader(path if "://" in path or path.startswith("file:") else "file://" + path, self.options.get("payload", "true") == "true")
+        return WarcReader(self.options["path"], self.options.get("payload", "true") == "true")
 
 
 def read_warc(spark: SparkSession, folder: str, payload: bool = True) -> DataFrame:
-    """The records of the archives in ``folder``.
+    """The records of the archives in ``folder``, which is resolved by Spark's default file system, as in `write_warc`.
 
     Sets ``spark.sql.python.filterPushdown.enabled`` in the session, which readers with pushdown need.
     """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
-    return spark.read.format("warc").option("path", folder).option("payload", str(payload).lower()).load()
+    return spark.read.format("warc").option("path", qualified(spark, folder)).option("payload", str(payload).lower()).load()
 
 
 def page_number(uri: Column) -> Column:

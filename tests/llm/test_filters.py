@@ -158,3 +158,22 @@ def test_copies_are_expanded_without_long_arrays(spark, monkeypatch):
     assert sorted(map(tuple, common.expand_copies(df, "n", "i").select("k", "i").collect())) == sorted(
         (k, i) for k, n in [(1, 7), (2, 1), (4, 3)] for i in range(n)
     )
+
+
+def test_running_sums_by_range(spark):
+    """Places and sums over many partitions are those of one sorted list; null sources come last."""
+    from pyspark.sql import functions as F
+
+    from foliomark.llm.mixing import in_order, source_targets
+
+    rows = [(f"s{i * 37 % 500:03d}", i % 11 + 1) for i in range(500)] + [(None, 4)]
+    frame = spark.createDataFrame(rows, "source string, source_size long")
+    found = sorted((r.place, r.source, r.before_source_size) for r in in_order(frame, [F.col("source").asc_nulls_last()], "source_size").collect())
+    wanted, total = [], 0
+    for place, (source, size) in enumerate(sorted(rows, key=lambda r: (r[0] is None, r[0] or ""))):
+        wanted.append((place, source, total))
+        total += size
+    assert found == wanted
+    targets = source_targets(frame).collect()
+    assert abs(sum(r.target for r in targets) - total) < 1e-6 * total and all(r.target <= 3 * r.source_size for r in targets)
+    assert source_targets(frame.limit(0)).collect() == []

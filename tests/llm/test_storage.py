@@ -138,3 +138,20 @@ def test_few_or_no_groups(spark):
     assert sharding.shard_documents(spark.createDataFrame([], kind), 4).collect() == []
     few = sharding.shard_documents(spark.createDataFrame([(1, "a"), (2, "b")], kind), 4).collect()
     assert len({r.shard for r in few}) == 2 and all(r.slot == 0 for r in few)
+
+
+def test_folders_are_resolved_by_the_default_file_system(spark):
+    """A path without scheme means the same to the writer, which is Spark's, and to the reader."""
+    from foliomark.sources.paths import qualified
+
+    settings = spark._jsc.hadoopConfiguration()
+    before = settings.get("fs.defaultFS")
+    settings.set("fs.defaultFS", "hdfs://store:9000")
+    try:
+        assert qualified(spark, "/user/x/warc") == "hdfs://store:9000/user/x/warc"
+        assert qualified(spark, "file:/user/x") == "file:/user/x"
+    finally:
+        settings.set("fs.defaultFS", before)
+    folder = run_folder(spark, "warc-test").removeprefix("file:")
+    warc.write_warc(spark.createDataFrame(pages(), PAGES), folder)
+    assert warc.read_warc(spark, folder).count() == len(pages())
