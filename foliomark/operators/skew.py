@@ -6,15 +6,17 @@ rows than a limit or, where its text is built, more characters) is taken out and
 cut into ordered slices by Spark's range partitioning on (key, order); slices are
 worked on in parallel and tied together by running totals over one row per slice.
 
-Finding large groups is one aggregation with map-side combine over the keys and
-the lengths of texts; no text is shuffled.  Their keys are stored once and counted,
-and they are broadcast only up to ``BROADCAST_GROUPS``; beyond that the split is a
-shuffle join.
+Finding large groups begins with a sketch: rows and characters are added up in a
+fixed number of cells that keys are hashed to, twice.  A group can't be large if a cell
+of its key isn't, so only groups in two full cells are counted exactly, and usually there
+are none: no list of keys is shuffled, and no text ever.  The keys found are stored once
+and counted, and they are broadcast only up to ``BROADCAST_GROUPS``; beyond that the
+split is a shuffle join.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -25,6 +27,8 @@ from ..session import checkpointed
 
 # Rows of one group that a single task may hold.
 GROUP_ROWS = 200_000
+# Cells that keys are hashed to, and how often; a full cell is 16 bytes, so all of them are 2 MB.
+CELLS, HASHED = 65_536, 2
 # Large-group keys that may be broadcast: about 16 MB at two 8-byte keys each.
 BROADCAST_GROUPS = 500_000
 
@@ -59,6 +63,29 @@ class LargeGroups:
         return df.join(self.bounded(self.keys_df), list(self.keys), "left_semi")
 
 
+def suspects(
+    df: DataFrame, keys: Sequence[str], full: Callable[[Column, Column], Column], chars: Column, cells: int | None = None
+) -> DataFrame | None:
+    """Rows (keys and ``_chars``) whose key's cells are all full; None if there is no full cell.
+
+    A count-min sketch: a cell has the rows and characters of all its keys, so it is never too low.
+    ``full`` decides from both sums.
+    """
+    places = [F.pmod(F.xxhash64(F.lit(turn), *keys), F.lit(cells or CELLS)).cast("int") for turn in range(HASHED)]
+    rows = df.select(*keys, F.coalesce(chars, F.lit(0)).cast("bigint").alias("_chars"))
+    each = F.explode(F.array(*(F.struct(F.lit(turn).alias("_turn"), place.alias("_cell")) for turn, place in enumerate(places))))
+    sums = rows.select("_chars", each.alias("_at")).groupBy("_at._turn", "_at._cell").agg(
+        F.count(F.lit(1)).alias("_rows"), F.sum("_chars").alias("_sum")
+    )
+    over = checkpointed(sums.where(full(F.col("_rows"), F.col("_sum"))).select("_turn", "_cell"))
+    if over.isEmpty():
+        return None
+    for turn, place in enumerate(places):
+        mine = over.where(F.col("_turn") == turn).select("_cell")
+        rows = rows.withColumn("_cell", place).join(F.broadcast(mine), "_cell", "left_semi").drop("_cell")
+    return rows
+
+
 def find_large_groups(
     df: DataFrame,
     keys: Sequence[str],
@@ -66,16 +93,18 @@ def find_large_groups(
     chars: Column | None = None,
     group_chars: int | None = None,
 ) -> LargeGroups:
-    """One narrow job: count rows (and characters) per key and keep the keys over a limit."""
+    """Keys over a limit of rows or characters: a sketch of all keys, then an exact count of what it suspects."""
     limit = GROUP_ROWS if group_rows is None else group_rows
-    sizes = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_rows"),
-        (F.lit(0) if chars is None else F.sum(F.coalesce(chars, F.lit(0)))).alias("_chars"),
-    )
-    over = F.col("_rows") > limit
-    if chars is not None and group_chars is not None:
-        over |= F.col("_chars") > group_chars
-    large = checkpointed(sizes.where(over).select(*keys, "_rows"))
+    measured = chars is not None and group_chars is not None
+
+    def full(rows: Column, sum_: Column) -> Column:
+        return (rows > limit) | (sum_ > group_chars) if measured else rows > limit
+
+    found = suspects(df, keys, full, F.lit(0) if chars is None else chars)
+    if found is None:
+        return LargeGroups(tuple(keys), df.select(*keys).limit(0), 0)
+    sizes = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.sum("_chars").alias("_sum"))
+    large = checkpointed(sizes.where(full(F.col("_rows"), F.col("_sum"))).select(*keys, "_rows"))
     number, rows = large.agg(F.count(F.lit(1)), F.sum("_rows")).first()
     return LargeGroups(tuple(keys), large.select(*keys), number, rows or 0)
 

@@ -182,3 +182,30 @@ def test_image_section_of_a_large_document(spark):
     cut = d.attach_image_section(docs, figures, group_rows=250, part_chars=500).na.fill("")
     assert whole_texts(cut, "image_section")[0] == whole_texts(usual, "image_section")[0]
     assert cut.count() > 3
+
+
+@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("cells", [4, 64, 65_536])
+def test_sketch_finds_the_same_groups(spark, monkeypatch, seed, cells):
+    """Groups of random sizes, few cells and many: what is found is what an exact count finds."""
+    monkeypatch.setattr(skew, "CELLS", cells)
+    pick = random.Random(seed)
+    rows = [(pick.choice([None, *range(60)]) if pick.random() < 0.7 else 7, pick.randrange(3), "x" * pick.randint(0, 9)) for _ in range(1_500)]
+    df = spark.createDataFrame(rows, "doc_id long, page_no int, text string")
+    limit, most = 40, 150
+    groups = {}
+    for d, p, text in rows:
+        groups.setdefault((d, p), []).append(len(text))
+    wanted = {k for k, v in groups.items() if len(v) > limit or sum(v) > most}
+    found = skew.find_large_groups(df, ["doc_id", "page_no"], limit, F.length("text"), most)
+    assert {tuple(r) for r in found.keys_df.collect()} == wanted and found.number == len(wanted)
+    assert found.rows == sum(len(groups[k]) for k in wanted)
+
+
+def test_no_full_cell_no_key_is_counted(spark):
+    df = spark.range(100_000).withColumnRenamed("id", "doc_id")
+    found = skew.find_large_groups(df, ["doc_id"], 5_000)
+    assert not found and found.number == 0 and found.keys_df.count() == 0
+    assert skew.suspects(df, ["doc_id"], lambda rows, sums: rows > 5_000, F.lit(0)) is None
+    all_full = skew.suspects(df, ["doc_id"], lambda rows, sums: rows > 2_000, F.lit(0), cells=16)
+    assert all_full.count() == 100_000
