@@ -146,9 +146,9 @@ def test_folders_are_resolved_by_the_default_file_system(spark):
 
     settings = spark._jsc.hadoopConfiguration()
     before = settings.get("fs.defaultFS")
-    settings.set("fs.defaultFS", "hdfs://store:9000")
+    settings.set("fs.defaultFS", "hdfs://127.0.0.1:9000")
     try:
-        assert qualified(spark, "/user/x/warc") == "hdfs://store:9000/user/x/warc"
+        assert qualified(spark, "/user/x/warc") == "hdfs://127.0.0.1:9000/user/x/warc"
         assert qualified(spark, "file:/user/x") == "file:/user/x"
     finally:
         settings.set("fs.defaultFS", before)
