@@ -144,7 +144,7 @@ class _Batch:
         first = np.flatnonzero(np.concatenate([[True], (np.diff(word) != 0) | (np.diff(before) != 0) | (np.diff(docs) != 0)]))
         times = np.diff(first, append=len(word))
         word, before, docs, shard = word[first], before[first], docs[first], shard[first]
-        held = np.array(self.held, dtype=np.uint8)
+        held = np.array(self.held, dtype=np.int64)
         yield -1 - own, name, self.ids, self.held, self.sizes, None
         cuts = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -153,7 +153,7 @@ class _Batch:
             present, doc_at = np.unique(docs[a:b], return_inverse=True)
             yield int(shard[a]), name, None, None, None, _pack(
                 _differences(ordered[words]), np.diff(word_at, prepend=0), _differences(context[used]), used_at, doc_at, times[a:b],
-                np.diff(present, prepend=0), held[present],
+                np.diff((present << 1) | held[present], prepend=0),
             )
 
 
@@ -199,50 +199,72 @@ def _batches(rows: Iterator[pa.RecordBatch]) -> Iterator[_Batch]:
         yield batch
 
 
-def _words(docs: DataFrame) -> DataFrame:
-    """Words, how often they occur in training texts (n) and in all (n_all), batch by batch."""
+def _words(docs: DataFrame, heavy: float) -> DataFrame:
+    """Words, how often they occur in training texts (n) and in all (n_all), batch by batch; and of pairs (with
+    their short context) those that make up a share ``heavy`` of a batch."""
 
     def run(rows):
         for batch in _batches(rows):
-            tokens, size = np.concatenate(batch.tokens), len(batch.words)
-            learned = np.repeat(~np.array(batch.held, dtype=bool), batch.sizes)
-            counts = [np.bincount(tokens[learned], minlength=size), np.bincount(tokens, minlength=size)]
-            yield pa.RecordBatch.from_arrays([pa.array(batch.codes().view(np.int64)), *map(pa.array, counts)], names=["word", "n", "n_all"])
+            ordered, context, word, before, docs_ = batch.placed()
+            learned = ~np.array(batch.held, dtype=bool)[docs_]
+            counts = [np.bincount(word[learned], minlength=len(ordered)), np.bincount(word, minlength=len(ordered))]
+            none = pa.nulls(len(ordered), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(ordered.view(np.int64)), none, *map(pa.array, counts)], names=_COUNTED)
+            # only pairs of words that are heavy themselves are looked at
+            at = np.flatnonzero((counts[1] >= heavy * batch.count)[word])
+            pair, n_all = np.unique((word[at] << 32) | before[at], return_counts=True)
+            pair, n_all = (x[n_all >= heavy * batch.count] for x in (pair, n_all))
+            codes = ordered[pair >> 32].view(np.int64), context[pair & 0xFFFFFFFF].view(np.int64)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, codes), pa.array(np.zeros_like(n_all)), pa.array(n_all)], names=_COUNTED)
+
+    return docs.mapInArrow(run, "word long, context long, n long, n_all long")
 
-    return docs.mapInArrow(run, "word long, n long, n_all long")
 
+_COUNTED = ["word", "context", "n", "n_all"]
 
-def _pairs_of(docs: DataFrame, words) -> DataFrame:
-    """Pairs of hot words with their short contexts, counted as the words are, batch by batch."""
+
+def _pairs_of(docs: DataFrame, pairs) -> DataFrame:
+    """Some pairs, counted as words are, batch by batch."""
 
     def run(rows):
+        words, contexts = pairs.value
+        wanted = Hot(words, words, words, contexts, words)
         for batch in _batches(rows):
             ordered, context, word, before, docs_ = batch.placed()
-            at = np.flatnonzero(np.isin(ordered, words.value)[word])
-            pair, place = np.unique((word[at] << 32) | before[at], return_inverse=True)
+            keys = (word << 32) | before
+            at = np.flatnonzero(np.isin(keys, wanted.places(ordered, context)))
+            pair, place = np.unique(keys[at], return_inverse=True)
             learned = ~np.array(batch.held, dtype=bool)[docs_[at]]
             arrays = [
                 ordered[pair >> 32].view(np.int64), context[pair & 0xFFFFFFFF].view(np.int64),
                 np.bincount(place[learned], minlength=len(pair)), np.bincount(place, minlength=len(pair)),
             ]
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, arrays)), names=["word", "context", "n", "n_all"])
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, arrays)), names=_COUNTED)
 
     return docs.mapInArrow(run, "word long, context long, n long, n_all long")
 
 
-def _hot(docs: DataFrame, words: DataFrame, every: int, shard_tokens: int) -> Hot:
-    """What is hot: HOT_MOST words and pairs at most, since each has that share of all tokens."""
+def _hot(docs: DataFrame, words: DataFrame, candidates: DataFrame, every: int, shard_tokens: int) -> Hot:
+    """What is hot: HOT_MOST words and pairs at most, since each has that share of all tokens.
+
+    A pair that is hot has half of its occurrences in batches where it is heavy, so only such pairs of hot words
+    (twice HOT_MOST at most) are counted.  A hot pair that were missed would stay in one shard, nothing else.
+    """
     least = max(HOT_SHARE * shard_tokens, every / HOT_MOST)
-    found = words.where(F.col("n_all") >= least).select("word", "n").toPandas().astype(np.int64)
-    codes = found["word"].to_numpy().view(np.uint64)
+    found = words.where(F.col("n_all") >= least)
+    rows = found.select("word", "n").toPandas().astype(np.int64)
+    codes = rows["word"].to_numpy().view(np.uint64)
     order = np.argsort(codes)
-    codes, counts = codes[order], found["n"].to_numpy()[order]
+    codes, counts = codes[order], rows["n"].to_numpy()[order]
     none = np.zeros(0, dtype=np.uint64)
-    if not len(codes):
+    heavy = candidates.where(F.col("n_all") >= least / 2).select("word", "context")
+    asked = heavy.join(F.broadcast(found.select("word")), "word", "left_semi").toPandas().astype(np.int64)
+    if not len(asked):
         return Hot(codes, counts, none, none, np.zeros(0, dtype=np.int64))
-    pairs = _pairs_of(docs, docs.sparkSession.sparkContext.broadcast(codes)).groupBy("word", "context").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all"))
-    found = pairs.where(F.col("n_all") >= least).select("word", "context", "n").toPandas().astype(np.int64)
-    return Hot(codes, counts, found["word"].to_numpy().view(np.uint64), found["context"].to_numpy().view(np.uint64), found["n"].to_numpy())
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(asked[c].to_numpy().view(np.uint64) for c in ("word", "context")))
+    pairs = _pairs_of(docs, sent).groupBy("word", "context").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all"))
+    rows = pairs.where(F.col("n_all") >= least).select("word", "context", "n").toPandas().astype(np.int64)
+    return Hot(codes, counts, *(rows[c].to_numpy().view(np.uint64) for c in ("word", "context")), rows["n"].to_numpy())
 
 
 def _gathered(docs: DataFrame, shards: int, hot) -> DataFrame:
@@ -271,11 +293,12 @@ def _together(blobs: pd.Series) -> tuple:
     del word
     word_at = word_at.astype(np.int32)
     context = np.concatenate([np.cumsum(p[2].astype(np.uint64))[p[3]] for p in parts])
-    present = [np.cumsum(p[6].astype(np.int64)) for p in parts]
+    marked = [np.cumsum(p[6].astype(np.int64)) for p in parts]
+    present = [m >> 1 for m in marked]
     before = np.cumsum([0, *map(len, present[:-1])])
     docs = np.concatenate([p[4].astype(np.int64) + n for p, n in zip(parts, before, strict=True)])
     times = np.concatenate([p[5].astype(np.int32) for p in parts])
-    held = np.concatenate([p[7][p[4]] for p in parts]) > 0
+    held = np.concatenate([(m & 1)[p[4]] for p, m in zip(parts, marked, strict=True)]) > 0
     return words, word_at, context, held, docs, times, present
 
 
@@ -366,7 +389,7 @@ def _scored(total: int, distinct: int, begins: int, prior: float, hot):
         data, at = [], 0
         for places in present:
             score, base_sum, n_known = (x[at : at + len(places)] for x in sums)
-            data.append(places.astype("<u4").tobytes() + n_known.astype("<u4").tobytes() + base_sum.tobytes() + score.tobytes())
+            data.append(_pack(np.diff(places, prepend=0), n_known.astype(np.int64), base_sum.view(np.uint64), score.view(np.uint64)))
             at += len(places)
         return pd.DataFrame({"batch": rows["batch"], "ids": None, "held": None, "sizes": None, "data": data})
 
@@ -399,11 +422,11 @@ def _summed(rows: pd.DataFrame) -> pd.DataFrame:
     n = len(meta["ids"])
     known, base, score = np.zeros(n, dtype=np.int64), np.zeros(n), np.zeros(n)
     for data in rows.loc[rows["ids"].isna(), "data"]:
-        k = len(data) // 24
-        places = np.frombuffer(data, "<u4", k)
-        known[places] += np.frombuffer(data, "<u4", k, 4 * k)
-        base[places] += np.frombuffer(data, "<f8", k, 8 * k)
-        score[places] += np.frombuffer(data, "<f8", k, 16 * k)
+        steps, n_known, base_sum, own = _unpack(data)
+        places = np.cumsum(steps.astype(np.int64))
+        known[places] += n_known.astype(np.int64)
+        base[places] += base_sum.view(np.float64)
+        score[places] += own.view(np.float64)
     return pd.DataFrame({
         "doc_id": meta["ids"], "held_out": meta["held"], "n_tokens": meta["sizes"], "n_known": known, "base_score": base, "score": score,
     })
@@ -419,7 +442,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pri
     and each is scored.  Other columns are ignored; an empty table gives no rows; without any training text
     all counts are zero.
 
-    ``docs`` is read for the size of its texts, for its words, for the pairs of hot words if there are any, and for
+    ``docs`` is read for the size of its texts, for its words, for pairs that may be hot if there are any, and for
     its tokens; it should give its rows in the same order each time, as files do.
     """
     rows = docs.select(named(doc_id).alias("doc_id"), named(text).alias("text"))
@@ -428,9 +451,12 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pri
         F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + TOKEN_BYTES), F.count_if(~F.col("held"))
     ).first()
     shards = max(1, -(-(sizes[0] or 0) // (TOKEN_BYTES * shard_tokens)))
-    words = checkpointed(_words(ready).groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all")))
+    # half of what makes a pair hot, if it is dealt evenly
+    heavy = max(HOT_SHARE * shard_tokens * TOKEN_BYTES / max(1, sizes[0] or 0), 1 / HOT_MOST) / 2
+    counted = checkpointed(_words(ready, heavy).groupBy("word", "context").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all")))
+    words, candidates = counted.where("context IS NULL").drop("context"), counted.where("context IS NOT NULL")
     distinct, total, every = words.agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_all"), F.lit(0))).first()
-    hot = docs.sparkSession.sparkContext.broadcast(_hot(ready, words, every, shard_tokens))
+    hot = docs.sparkSession.sparkContext.broadcast(_hot(ready, words, candidates, every, shard_tokens))
     kind = rows.schema["doc_id"].dataType
     return (
         _gathered(ready, shards, hot)
