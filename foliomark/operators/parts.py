@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 from ..functions import text as t
 from ..functions import wording as w
 from .skew import (
+    WIDE,
     LargeGroups,
     before_slice,
     find_large_groups,
@@ -62,7 +63,7 @@ class Texts(NamedTuple):
         if self.parts is None:
             return usual
         large_groups = self.large.only(groups)
-        cut = self.parts.join(self.large.bounded(large_groups), list(keys), "inner")
+        cut = self.parts.join(self.large.bounded(large_groups, WIDE), list(keys), "inner")
         begun = self.parts.where(F.col("part_no") == 0).select(*keys)
         bare = large_groups.join(begun, list(keys), "left_anti")
         return usual.unionByName(cut).unionByName(bare, allowMissingColumns=True)

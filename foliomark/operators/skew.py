@@ -10,7 +10,7 @@ Finding large groups begins with a sketch: rows and characters are added up in a
 fixed number of cells that keys are hashed to, twice.  A group can't be large if a cell
 of its key isn't, so only groups in two full cells are counted exactly, and usually there
 are none: no list of keys is shuffled, and no text ever.  The keys found are stored once
-and counted, and they are broadcast only up to ``BROADCAST_GROUPS``; beyond that the
+and counted, and they are broadcast only up to ``BROADCAST_BYTES``; beyond that the
 split is a shuffle join.
 """
 
@@ -29,8 +29,8 @@ from ..session import checkpointed
 GROUP_ROWS = 200_000
 # Cells that keys are hashed to, and how often; a full cell is 16 bytes, so all of them are 2 MB.
 CELLS, HASHED = 65_536, 2
-# Large-group keys that may be broadcast: about 16 MB at two 8-byte keys each.
-BROADCAST_GROUPS = 500_000
+# Bytes that may be broadcast, and bytes of a row: keys (digests of 64 letters) and numbers, or also names of a file.
+BROADCAST_BYTES, NARROW, WIDE = 16 << 20, 96, 1_024
 
 
 @dataclass(frozen=True)
@@ -46,13 +46,9 @@ class LargeGroups:
     def __bool__(self) -> bool:
         return self.number > 0
 
-    @property
-    def broadcastable(self) -> bool:
-        return self.number <= BROADCAST_GROUPS
-
-    def bounded(self, df: DataFrame) -> DataFrame:
-        """Broadcast a frame that has a few rows per large group, if their number allows."""
-        return F.broadcast(df) if self.broadcastable else df
+    def bounded(self, df: DataFrame, row_bytes: int = NARROW) -> DataFrame:
+        """Broadcast a frame that has a row or so per large group, if so many rows of that size are few bytes."""
+        return F.broadcast(df) if self.number * row_bytes <= BROADCAST_BYTES else df
 
     def without(self, df: DataFrame) -> DataFrame:
         if not self:
@@ -195,7 +191,7 @@ def join_per_group(
     usual = large.without(rows).join(groups, list(keys), how)
     if not large:
         return usual
-    their_groups = large.bounded(large.only(groups))
+    their_groups = large.bounded(large.only(groups), WIDE)
     return usual.unionByName(large.only(rows).join(their_groups, list(keys), how))
 
 

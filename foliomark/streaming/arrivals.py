@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.skew import BROADCAST_GROUPS
+from ..operators.skew import BROADCAST_BYTES, NARROW
 from ..plans.convert import DocumentTables, Options, convert
 from ..session import scratch
 from ..sources.corpus import path_ids, suffix_glob
@@ -55,7 +55,7 @@ def convert_arrivals(
     def run(batch: DataFrame, number: int) -> None:
         tables = decoded(batch)
         ids = batch.select("doc_id").distinct()
-        if ids.count() <= BROADCAST_GROUPS:
+        if ids.count() * NARROW <= BROADCAST_BYTES:
             ids = F.broadcast(ids)
         mine = tables.restricted(lambda table: table.join(ids, "doc_id", "left_semi"))
         with scratch(batch.sparkSession):
