@@ -145,10 +145,13 @@ def _window_links(threshold: float):
             ids, forest = own["node"].to_numpy(), Forest(len(own))
             doubt = 1e-6 + 2e-7 * dims
             near = unit @ unit.T
-            forest.join(*np.nonzero(np.triu(near >= threshold + doubt, 1)))
+            x, y = np.nonzero(near >= threshold - doubt)
+            x, y = x[x < y], y[x < y]
+            sure = near[x, y] >= threshold + doubt
+            forest.join(x[sure], y[sure])
             a, b = forest.links()
             found.append(pd.DataFrame({"a": ids[a], "b": ids[b], "sure": True}))
-            x, y = np.nonzero(np.triu(np.abs(near - threshold) < doubt, 1))
+            x, y = x[~sure], y[~sure]
             apart = forest.roots(x) != forest.roots(y)
             found.append(pd.DataFrame({"a": ids[x[apart]], "b": ids[y[apart]], "sure": False}))
         return pd.concat(found) if found else pd.DataFrame({"a": [], "b": [], "sure": []}).astype({"a": "int64", "b": "int64", "sure": bool})

@@ -53,6 +53,8 @@ UNNAMED = ((" ", " "), ("", "\n"), (" https://api/v1?", " "), (" https://files/"
 _MADE_UP = re.compile(r"(?i)example|placeholder|changeme|your[_-]|xxxx|dummy|<|\$\{")
 #: Words of the dictionary at most, the fewest documents that hold one, and the shortest and longest word in it.
 DICTIONARY, LEAST_DOCUMENTS, SHORTEST, LONGEST = 20_000, 3, 3, 14
+#: Ranks of words for each doubling of their number of documents.
+RANKS = 64
 _WORD = re.compile(rf"(?<![a-z])[a-z]{{{SHORTEST},{LONGEST}}}(?![a-z])")
 
 FEATURES = [
@@ -89,7 +91,8 @@ def frequent_words(docs: DataFrame, text: str = "text", size: int = DICTIONARY)
     """The dictionary: words (runs of letters, A-Z lower-cased) that most documents hold, ``size`` at most.
 
     Counted over all documents; words of fewer than LEAST_DOCUMENTS are left out, so that no single secret's
-    letters are a word.
+    letters are a word.  Words are ranked by the logarithm of their number of documents; a rank comes whole or not
+    at all, so the driver gets no more than ``size`` words.
     """
 
     def run(batches):
@@ -102,8 +105,15 @@ def frequent_words(docs: DataFrame, text: str = "text", size: int = DICTIONARY)
             yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
     counted = docs.select(named(text).alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.where(F.col("n") >= LEAST_DOCUMENTS).orderBy(F.desc("n"), "word").limit(size)
-    return frozenset(r["word"] for r in top.collect())
+    often = checkpointed(counted.where(F.col("n") >= LEAST_DOCUMENTS).withColumn("rank", F.floor(F.log2("n") * RANKS).cast("int")))
+    # from the top, as many ranks as there is room for
+    lowest, room = None, size
+    for r in sorted(often.groupBy("rank").count().collect(), key=lambda r: -r["rank"]):
+        room -= r["count"]
+        if room < 0:
+            break
+        lowest = r["rank"]
+    return frozenset() if lowest is None else frozenset(r["word"] for r in often.where(F.col("rank") >= lowest).select("word").collect())
 
 
 def _coverage(value: str, words: frozenset[str]) -> float:

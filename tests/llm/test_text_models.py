@@ -260,10 +260,10 @@ def test_candidates_against_a_plain_scan(spark):
 
 
 def test_dictionary(spark):
-    rows = [(1, "Shared words, and a secret: abcqwe", "x", 1), (2, "shared WORDS twice words", "x", 1), (3, "words shared", "x", 1), (4, None, "x", 1), (5, "", "x", 1)]
+    rows = [(1, "Shared words, and a secret: abcqwe", "x", 1), (2, "shared WORDS twice words", "x", 1), (3, "words shared", "x", 1), (6, "shared", "x", 1), (4, None, "x", 1), (5, "", "x", 1)]
     docs = spark.createDataFrame(rows, SCANNED)
     assert secrets.frequent_words(docs) == {"shared", "words"}
-    assert secrets.frequent_words(docs, size=1) == {"shared"}
+    assert secrets.frequent_words(docs, size=1) == {"shared"} and secrets.frequent_words(docs, size=0) == frozenset()
     assert secrets.frequent_words(docs.limit(0)) == frozenset()
     assert secrets._coverage("sharedXwordsX", frozenset(["shared", "words"])) == 11 / 13
 
