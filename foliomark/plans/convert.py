@@ -253,36 +253,42 @@ def named_images(tables: DocumentTables, chosen: Chosen, in_parts: bool) -> Data
     Three lists of images become one; of each document one of them counts.  So one sort by document gives
     both numbers, the file's and the label's, for every route.
     """
-    zero = F.lit(0).cast("bigint")
-    place = [F.col("page_no").cast("int").alias("page_no")]
-    refs = chosen.of_route(tables, "image_refs", "route", "kind", "file").where(
-        (F.col("plan_route") == d.TEXT_PDF) | (F.col("plan_kind") == "pdf")
-    ).select(*(IMAGE[:1]), *place, zero.alias("top"), zero.alias("left"), F.col("image_no").cast("bigint").alias("image_no"), *IMAGE[1:])
-    pages = chosen.of_route(tables, "doc_pages", "route", "kind", "file").where(F.col("plan_route") == d.SCANNED_PDF)
-    scans = b.page_images(pages, "plan_route", "plan_file").select(*(IMAGE[:1]), *place, zero.alias("top"), zero.alias("left"), "image_no", *IMAGE[1:])
+    more = ("route", "kind", "file")
     on_slide = F.col("plan_route") == d.SLIDES
-    pictures = chosen.of_route(tables, "shapes", "route", "kind", "file").where(
+
+    def listed(rows: DataFrame, image_no: Column, top: Column = F.lit(0), left: Column = F.lit(0)) -> DataFrame:
+        return rows.select(
+            "doc_id",
+            F.col("page_no").cast("int").alias("page_no"),
+            *(number.cast("bigint").alias(name) for name, number in (("top", top), ("left", left), ("image_no", image_no))),
+            "decoded",
+            "saved",
+            "plan_route",
+            "plan_file",
+        )
+
+    refs = chosen.of_route(tables, "image_refs", *more).where(
+        (F.col("plan_route") == d.TEXT_PDF) | (F.col("plan_kind") == "pdf")
+    )
+    scans = chosen.of_route(tables, "doc_pages", *more).where(F.col("plan_route") == d.SCANNED_PDF)
+    pictures = chosen.of_route(tables, "shapes", *more).where(
         (F.col("kind") == "PICTURE") & (on_slide | (F.col("plan_kind") == "pptx"))
+    ).withColumn("decoded", F.col("decoded") & (~on_slide | F.col("error").isNull()))
+    frames = (
+        listed(refs, F.col("image_no")),
+        listed(b.page_images(scans, "plan_route", "plan_file"), F.col("image_no")),
+        # a deck's own list is in the order of its shapes, slides go by position
+        listed(pictures, F.col("shape_no"), *(F.when(on_slide, F.coalesce(side, F.lit(0))).otherwise(0) for side in ("top", "left"))),
     )
-    # a deck's own list is in the order of its shapes, slides go by position
-    pictures = pictures.withColumns({
-        "top": F.when(on_slide, F.coalesce("top", F.lit(0))).otherwise(0).cast("bigint"),
-        "left": F.when(on_slide, F.coalesce("left", F.lit(0))).otherwise(0).cast("bigint"),
-        "decoded": F.col("decoded") & (~on_slide | F.col("error").isNull()),
-        "image_no": F.col("shape_no").cast("bigint"),
-    }).select(*(IMAGE[:1]), *place, "top", "left", "image_no", *IMAGE[1:])
     order = ("page_no", "top", "left", "image_no")
     if in_parts:
-        numbered = number_images(b.union(refs, scans, pictures), order, large=chosen.large, figures=True)
+        numbered = number_images(b.union(*frames), order, large=chosen.large, figures=True)
     else:
-        listed = b.union_dealt(refs, scans, pictures)
-        numbered = number_images(listed, order, large=chosen.large, figures=True, key=b.DEALT).withColumnRenamed(b.DEALT, "doc_id")
+        numbered = number_images(b.union_dealt(*frames), order, large=chosen.large, figures=True, key=b.DEALT)
+        numbered = numbered.withColumnRenamed(b.DEALT, "doc_id")
     return with_image_names(numbered, n.sanitize_name(n.stem(F.col("plan_file"))))
 
 
-IMAGE = ["doc_id", "decoded", "saved", "plan_route", "plan_file"]
-
-
 def document_blocks(
     tables: DocumentTables, chosen: Chosen, options: Options, in_parts: bool
 ) -> DataFrame:
