@@ -70,14 +70,15 @@ def engine_known(ocr_engine: str) -> bool:
     return ocr_engine in w.OCR_ENGINES
 
 
-def engine_label(ocr_engine: str) -> Column:
+def engine_label(ocr_engine: str, stage: Column | None = None) -> Column:
     """The quick converter, or the OCR engine *asked for*, even where no OCR was needed.
 
     A file that fails in the second tier has none; one that fails later keeps its engine, and one whose
     worker died is booked on the engine asked for.
     """
     second = ocr_engine if engine_known(ocr_engine) else w.NO_ENGINE
-    stage = F.when(F.col("error").isNotNull(), F.coalesce("error_stage", F.lit(w.CONVERT)))
+    given = F.lit(w.CONVERT) if stage is None else F.coalesce(stage, F.lit(w.CONVERT))
+    stage = F.when(F.col("error").isNotNull(), given)
     return (
         F.when(F.coalesce(stage == w.WORKER, F.lit(False)), ocr_engine)
         .when(F.col("route").isNull(), w.NO_ENGINE)

@@ -11,20 +11,21 @@ from ..functions import wording as w
 from .documents import QUICK, engine_known
 
 
-def failed_at(*stages: str) -> Column:
-    """Whether the file failed in one of these stages, from ``error, error_stage``; without a stage, in the second tier."""
-    return F.col("error").isNotNull() & F.coalesce("error_stage", F.lit(w.CONVERT)).isin(*stages)
+def failed_at(stage: Column | None, *stages: str) -> Column:
+    """Whether the file failed (``error``) in one of these stages; without a stage, in the second tier."""
+    given = F.lit(w.CONVERT) if stage is None else F.coalesce(stage, F.lit(w.CONVERT))
+    return F.col("error").isNotNull() & given.isin(*stages)
 
 
-def error_message(ocr_engine: str = w.DEFAULT_OCR_ENGINE) -> Column:
-    """Why a file failed, from ``file, kind, route, error, error_stage``; null if it did not.
+def error_message(ocr_engine: str = w.DEFAULT_OCR_ENGINE, stage: Column | None = None) -> Column:
+    """Why a file failed, from ``file, kind, route, error`` and maybe the ``stage`` it failed in; null if it did not.
 
     A wrong engine name only matters to files that need the second tier, and so does a
     failure there (``error``: a codec or an engine that stopped, in its own words).  What fails
     later - taking images out, writing - or the whole worker, fails quick files, too.
     """
     suffix = n.quoted(F.lower(n.suffix(F.col("file"))))
-    message = F.when(failed_at(w.WORKER), F.col("error"))
+    message = F.when(failed_at(stage, w.WORKER), F.col("error"))
     message = message.when(F.col("kind").isNull(), t.fill(w.UNSUPPORTED_TYPE, suffix=suffix))
     if not engine_known(ocr_engine):
         options = "[" + ", ".join(f"'{name}'" for name in w.OCR_ENGINES) + "]"
@@ -32,12 +33,12 @@ def error_message(ocr_engine: str = w.DEFAULT_OCR_ENGINE) -> Column:
             w.UNSUPPORTED_ENGINE, engine=n.quoted(F.lit(ocr_engine)), options=F.lit(options)
         )
         message = message.when(F.col("route") != QUICK, unknown)
-    message = message.when((F.col("route") != QUICK) & failed_at(w.CONVERT), F.col("error"))
-    return message.when(failed_at(w.COUNT, w.WRITE), F.col("error"))
+    message = message.when((F.col("route") != QUICK) & failed_at(stage, w.CONVERT), F.col("error"))
+    return message.when(failed_at(stage, w.COUNT, w.WRITE), F.col("error"))
 
 
-def file_status(ocr_engine: str = w.DEFAULT_OCR_ENGINE) -> Column:
-    message = error_message(ocr_engine)
+def file_status(ocr_engine: str = w.DEFAULT_OCR_ENGINE, stage: Column | None = None) -> Column:
+    message = error_message(ocr_engine, stage)
     return F.when(message.isNull(), w.STATUS_OK).otherwise(
         t.fill(w.STATUS_ERROR, message=F.coalesce(message, F.lit("")))
     )

@@ -165,7 +165,7 @@ def plan_documents(tables: DocumentTables, options: Options, sizes: bool = False
         .join(d.page_count(tables.slides).withColumnRenamed("pages", "slides"), "doc_id", "left")
         .withColumn("sufficient", F.coalesce("sufficient", F.lit(False)))
         .withColumn("route", d.route(options.use_quick))
-        .withColumn("status", r.file_status(options.ocr_engine))
+        .withColumn("status", r.file_status(options.ocr_engine, F.col("error_stage")))
     )
     measured = []
     if sizes:
@@ -187,8 +187,8 @@ def plan_documents(tables: DocumentTables, options: Options, sizes: bool = False
         "file",
         "kind",
         "route",
-        F.when(ok | r.failed_at(w.WRITE) & F.col("kind").isNotNull(), F.coalesce(counted, F.lit(0))).otherwise(0).cast("int").alias("pages"),
-        d.engine_label(options.ocr_engine).alias("engine"),
+        F.when(ok | r.failed_at(F.col("error_stage"), w.WRITE) & F.col("kind").isNotNull(), F.coalesce(counted, F.lit(0))).otherwise(0).cast("int").alias("pages"),
+        d.engine_label(options.ocr_engine, F.col("error_stage")).alias("engine"),
         (F.coalesce("route", F.lit("")) == d.QUICK).alias("quick_used"),
         "status",
         F.when(ok, F.col("planned_output")).alias("output"),
