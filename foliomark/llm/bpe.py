@@ -13,6 +13,7 @@ from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -149,7 +150,11 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids")
     """
     sent = _sent(docs, path)
     rows = docs.drop(ids) if ids != text else docs
-    make = lambda texts: [list(map(tokenizer(sent.value).encode, texts))]
+
+    def make(texts):
+        # four bytes an id: lists of a batch's ids would be several times its texts
+        return [[np.array(tokenizer(sent.value).encode(t), dtype=np.int32) for t in texts]]
+
     return append_columns(rows, [text], T.StructType([T.StructField(ids, T.ArrayType(T.IntegerType()))]), make)
 
 

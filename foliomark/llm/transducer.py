@@ -346,7 +346,11 @@ def transducer_encode(docs: DataFrame, path: str, pattern: str, text: str = "tex
     """
     sent = _sent(docs, path, pattern)
     rows = docs.drop(ids) if ids != text else docs
-    make = lambda texts: [list(map(rank_tokenizer(*sent.value).encode, texts))]
+
+    def make(texts):
+        # four bytes an id: lists of a batch's ids would be several times its texts
+        return [[np.frombuffer(rank_tokenizer(*sent.value).packed(t), "<i4") for t in texts]]
+
     if ids != text:
         return append_columns(rows, [text], T.StructType([T.StructField(ids, T.ArrayType(T.IntegerType()))]), make)
     (made,) = fresh(rows, "ids_")
