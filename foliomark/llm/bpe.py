@@ -24,6 +24,8 @@ from .common import append_columns, named
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces whose tokens a task remembers (twice as many at most), and the longest such piece.
 REMEMBERED, LONGEST = 200_000, 64
+#: Texts whose ids are in a task's memory together.
+AT_ONCE = 500
 
 
 def byte_letters() -> list[str]:
@@ -155,7 +157,7 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids")
         # four bytes an id: lists of a batch's ids would be several times its texts
         return [[np.array(tokenizer(sent.value).encode(t), dtype=np.int32) for t in texts]]
 
-    return append_columns(rows, [text], T.StructType([T.StructField(ids, T.ArrayType(T.IntegerType()))]), make)
+    return append_columns(rows, [text], T.StructType([T.StructField(ids, T.ArrayType(T.IntegerType()))]), make, AT_ONCE)
 
 
 def bpe_decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:

@@ -92,10 +92,11 @@ def running_total(rows: DataFrame, group: str, bucket: str, order: list[Column],
     )
 
 
-def append_columns(df: DataFrame, source: list[str], added: T.StructType, make: Callable[..., Iterator[list]]) -> DataFrame:
+def append_columns(df: DataFrame, source: list[str], added: T.StructType, make: Callable[..., Iterator[list]], at_once: int | None = None) -> DataFrame:
     """``df`` with the columns ``added`` that ``make`` computes, batch by batch in Arrow.
 
-    ``make`` gets the Python lists of the columns ``source`` and returns one list for each added column.
+    ``make`` gets the Python lists of the columns ``source`` and returns one list for each added column; with
+    ``at_once``, of so many rows at most.
     """
     schema = T.StructType(df.schema.fields + added.fields)
     places = [df.columns.index(c) for c in source]
@@ -106,7 +107,7 @@ def append_columns(df: DataFrame, source: list[str], added: T.StructType, make:
     types = [kinds[f.dataType.simpleString()] for f in added.fields]
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(at, at_once) if at_once else b for b in batches for at in range(0, max(1, len(b)), at_once or max(1, len(b)))):
             made = make(*(batch.column(i).to_pylist() for i in places))
             columns = [*batch.columns, *(pa.array(v, t) for v, t in zip(made, types, strict=True))]
             yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])

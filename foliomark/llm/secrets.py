@@ -53,6 +53,8 @@ UNNAMED = ((" ", " "), ("", "\n"), (" https://api/v1?", " "), (" https://files/"
 _MADE_UP = re.compile(r"(?i)example|placeholder|changeme|your[_-]|xxxx|dummy|<|\$\{")
 #: Words of the dictionary at most, the fewest documents that hold one, and the shortest and longest word in it.
 DICTIONARY, LEAST_DOCUMENTS, SHORTEST, LONGEST = 20_000, 3, 3, 14
+#: Words that a task counts before it passes them on.
+COUNTED = 50_000
 #: Ranks of words for each doubling of their number of documents.
 RANKS = 64
 _WORD = re.compile(rf"(?<![a-z])[a-z]{{{SHORTEST},{LONGEST}}}(?![a-z])")
@@ -98,11 +100,18 @@ def frequent_words(docs: DataFrame, text: str = "text", size: int = DICTIONARY)
     def run(batches):
         import pyarrow as pa
 
+        def row(counts):
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+
+        counts = Counter()
         for batch in batches:
-            counts = Counter()
-            for t in batch.column("text").to_pylist():
-                counts.update(set(_WORD.findall(t.lower())) if t else ())
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+            for t in batch.column("text"):
+                if t := t.as_py():
+                    counts.update(set(_WORD.findall(t.lower())))
+                if len(counts) >= COUNTED:
+                    yield row(counts)
+                    counts.clear()
+        yield row(counts)
 
     counted = docs.select(named(text).alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     often = checkpointed(counted.where(F.col("n") >= LEAST_DOCUMENTS).withColumn("rank", F.floor(F.log2("n") * RANKS).cast("int")))
