@@ -65,6 +65,10 @@ FEATURES = [
 ]
 #: The same as columns.
 NUMBERS = [f"x_{name}" for name in FEATURES]
+#: Those that a candidate's kind and surroundings decide, whatever its value and path.
+AROUND = ["vendor", "named", "assigned", "quoted", "address"]
+#: Texts whose candidates are in a task's memory together.
+AT_ONCE = 1_000
 FINDING = "start int, length int, kind string, path string, before string, value string, after string"
 
 
@@ -158,22 +162,30 @@ def _scores(model: Trees | None, x: np.ndarray, kinds: list[str]) -> np.ndarray:
     return model.sums(x) if model and len(x) else np.array([float(k != "token") for k in kinds])
 
 
-def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
-    """One row per candidate: doc_id, start, length, kind, path, before, value, after."""
-    kind = T.ArrayType(T.StructType.fromDDL(FINDING))
+def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = "source", words=None) -> DataFrame:
+    """One row per candidate: doc_id, start, length, kind, path, before, value, after.
+
+    With ``words``, the sent dictionary, also the numbers of FEATURES: made by the same Python worker, since a second
+    one for each task would hold memory of its own.
+    """
+    numbers = NUMBERS if words else []
+    kind = T.ArrayType(T.StructType(T.StructType.fromDDL(FINDING).fields + [T.StructField(name, T.DoubleType()) for name in numbers]))
     narrow = docs.select(named(doc_id).alias("doc_id"), named(path).cast("string").alias("path"), named(text).alias("text"))
 
+    def row(where, t, a, b, k):
+        made = {"start": a, "length": b - a, "kind": k, "path": where, "before": t[max(0, a - BEFORE) : a], "value": t[a:b], "after": t[b : b + AFTER]}
+        if words:
+            made.update(zip(numbers, describe(k, where, made["before"], made["value"], made["after"], words.value), strict=True))
+        return made
+
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            rows = []
-            for where, t in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                rows.append([
-                    {"start": a, "length": b - a, "kind": k, "path": where, "before": t[max(0, a - BEFORE) : a], "value": t[a:b], "after": t[b : b + AFTER]}
-                    for a, b, k in candidates(t)
-                ])
-            fields = [("start", pa.int32()), ("length", pa.int32()), *((n, pa.string()) for n in ("kind", "path", "before", "value", "after"))]
+        strings, doubles = ("kind", "path", "before", "value", "after"), numbers
+        fields = [("start", pa.int32()), ("length", pa.int32()), *((n, pa.string()) for n in strings), *((n, pa.float64()) for n in doubles)]
+        for batch in (b.slice(at, AT_ONCE) for b in batches for at in range(0, len(b), AT_ONCE)):
+            texts = zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True)
+            rows = [[row(where, t, *c) for c in candidates(t)] for where, t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(pa.struct(fields)))], names=["doc_id", "found"])
 
     schema = T.StructType([narrow.schema["doc_id"], T.StructField("found", kind)])
@@ -193,19 +205,27 @@ def _ruled(findings: DataFrame) -> DataFrame:
         .when((F.col("kind") == "assigned") & mixed, 1)
         .when((F.col("kind") == "token") & (mail | (F.length(value) <= 256) & value.rlike(_WORDY)), 0)
     )
+    # numbers that the findings have already are those of the copy's own surroundings
+    changed = {f"x_{name}": FEATURES.index(name) for name in AROUND if f"x_{name}" in findings.columns}
+
+    def surroundings(before, after):
+        of = describe("token", None, before, "x", after)
+        return F.struct(F.lit(before).alias("before"), F.lit(after).alias("after"), *(F.lit(of[i]).alias(x) for x, i in changed.items()))
+
     around = F.element_at(
-        F.array(*(F.struct(F.lit(b).alias("before"), F.lit(a).alias("after")) for b, a in UNNAMED)),
+        F.array(*(surroundings(*u) for u in UNNAMED)),
         (F.pmod(F.xxhash64("value"), F.lit(len(UNNAMED))) + 1).cast("int"),
     )
     copied = (F.col("label") == 1) & (F.col("kind") == "assigned") & value.rlike(rf"^{_RUN.pattern}$")
 
-    def form(kind, before, after, bare):
-        return F.struct(kind.alias("kind"), before.alias("before"), after.alias("after"), F.lit(bare).alias("bare"))
+    def form(kind, at, bare):
+        return F.struct(kind.alias("kind"), *(at(c).alias(c) for c in ("before", "after", *changed)), F.lit(bare).alias("bare"))
 
-    own = form(F.col("kind"), F.col("before"), F.col("after"), False)
-    forms = F.when(copied, F.array(own, form(F.lit("token"), around["before"], around["after"], True))).otherwise(F.array(own))
+    own = form(F.col("kind"), F.col, False)
+    forms = F.when(copied, F.array(own, form(F.lit("token"), around.getField, True))).otherwise(F.array(own))
     labelled = findings.withColumn("label", label).withColumn("form", F.explode(forms))
-    return labelled.select(*(F.col(f"form.{c}").alias(c) if c in ("kind", "before", "after") else named(c) for c in findings.columns), "label", "form.bare")
+    formed = {"kind", "before", "after", *changed}
+    return labelled.select(*(F.col(f"form.{c}").alias(c) if c in formed else named(c) for c in findings.columns), "label", "form.bare")
 
 
 def rule_labels(findings: DataFrame) -> DataFrame:
@@ -227,8 +247,12 @@ def _described(findings: DataFrame, words) -> DataFrame:
     def make(*given):
         return np.array([describe(*r, words.value) for r in zip(*given, strict=True)]).reshape(-1, len(FEATURES)).T
 
-    rows = append_columns(findings.withColumn("value_sha256", F.sha2("value", 256)), columns, added, make)
-    return rows.drop("path", "before", "value", "after")
+    return _digested(append_columns(findings, columns, added, make))
+
+
+def _digested(findings: DataFrame) -> DataFrame:
+    """Findings with the value's digest in place of value, path and surroundings."""
+    return findings.withColumn("value_sha256", F.sha2("value", 256)).drop("path", "before", "value", "after")
 
 
 def _trained(labelled: DataFrame, sample: int) -> Trees | None:
@@ -254,11 +278,11 @@ def _trained(labelled: DataFrame, sample: int) -> Trees | None:
 def _learned(docs: DataFrame, labelled: DataFrame | None, doc_id: str, text: str, path: str, sample: int):
     """The described candidates of ``docs`` (stored, without copies), the forest, and the sent dictionary."""
     words = docs.sparkSession.sparkContext.broadcast(frequent_words(docs, text))
-    found = find(docs, doc_id, text, path)
+    found = find(docs, doc_id, text, path, words)
     if labelled is None:
-        rows = checkpointed(_described(_ruled(found), words))
+        rows = checkpointed(_digested(_ruled(found)))
         return rows.where("NOT bare"), _trained(rows, sample), words
-    return checkpointed(_described(found, words)), _trained(checkpointed(_described(labelled, words)), sample), words
+    return checkpointed(_digested(found)), _trained(checkpointed(_described(labelled, words)), sample), words
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", path: str = "source", sample: int = SAMPLE, secret_from: float = SECRET_FROM) -> DataFrame:
@@ -306,5 +330,5 @@ def redact(docs: DataFrame, labelled: DataFrame | None = None, doc_id: str = "do
         return [out]
 
     (clean,) = fresh(docs, "clean_text_")
-    cleaned = append_columns(docs, [text, path], T.StructType([T.StructField(clean, T.StringType())]), make)
+    cleaned = append_columns(docs, [text, path], T.StructType([T.StructField(clean, T.StringType())]), make, AT_ONCE)
     return cleaned.select(*(named(clean).alias(c) if c == text else named(c) for c in docs.columns))
