@@ -161,6 +161,24 @@ def test_file_sink_commits_as_a_whole(spark, tmp_path):
     assert [p.name for p in (tmp_path / "out").iterdir() if p.name.startswith("_")] == []
 
 
+def test_file_sink_works_texts_out_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from foliomark.sources.sinks import write_files
+
+    made = spark.sparkContext.accumulator(0)
+
+    def name(i):
+        made.add(1)
+        return f"{i}.md"
+
+    rows = spark.range(7).select(F.udf(name)("id").alias("file"), F.lit("text").alias("text"))
+    sizes = write_files(rows, f"{tmp_path}/out")
+    assert sorted(tuple(r) for r in sizes.collect()) == [(f"{i}.md", 4) for i in range(7)]
+    assert sorted(p.name for p in (tmp_path / "out").glob("*.md")) == [f"{i}.md" for i in range(7)]
+    assert made.value == 7
+
+
 def test_file_sink_of_nothing_and_nulls(spark, tmp_path):
     from foliomark.sources.sinks import write_files
 
