@@ -179,6 +179,35 @@ def test_file_sink_works_texts_out_once(spark, tmp_path):
     assert made.value == 7
 
 
+def test_commit_makes_a_folder_once(tmp_path, monkeypatch):
+    from pyarrow import fs
+
+    from foliomark.sources import files_sink
+
+    asked = []
+
+    class Watched:
+        def __init__(self, target):
+            self.target = target
+
+        def __getattr__(self, name):
+            return getattr(self.target, name)
+
+        def create_dir(self, path, **how):
+            asked.append(path)
+            self.target.create_dir(path, **how)
+
+    monkeypatch.setattr(files_sink, "opened", lambda folder: (Watched(fs.LocalFileSystem()), folder))
+    writer = files_sink.TextFilesWriter(str(tmp_path))
+    for i in range(20):
+        place = tmp_path / writer.staging / "0-0" / f"d{i % 2}"
+        place.mkdir(parents=True, exist_ok=True)
+        (place / f"{i}.md").write_text(str(i))
+    writer.commit([files_sink.Staged(f"{writer.staging}/0-0")])
+    assert files_below(tmp_path) == {f"d{i % 2}/{i}.md": str(i) for i in range(20)}
+    assert sorted(asked) == [f"{tmp_path}/d0", f"{tmp_path}/d1"]
+
+
 def test_file_sink_of_nothing_and_nulls(spark, tmp_path):
     from foliomark.sources.sinks import write_files
 
