@@ -89,6 +89,19 @@ def test_cleaning_invariants(spark):
         assert "\n\n\n" not in text and "\x02" not in text and text == text.strip()
 
 
+def test_cleaning_passes_run_where_needed_only(spark):
+    """Every pass but the first stands behind a look for what it changes; leaving it out changes no text."""
+    df = spark.createDataFrame([("plain",)], "text string").select(t.clean_markdown(F.col("text")).alias("text"))
+    plan = df._jdf.queryExecution().analyzed().toString().lower()
+    assert plan.count("case when") == plan.count("regexp_replace") - 1 == 5
+    texts = [None, "", "plain\ntext", "one\n\n\ntwo", "a  b", "| a  b |", "x\n\n• y", "x\n  * y", "## ## z", "\x01#\x02# z\n\n\n\n→ q"]
+    steps = (t.remove_control, t.normalize_headers, t.normalize_lists, t.collapse_spaces, t.limit_blank_lines)
+    wanted = texts
+    for step in steps:
+        wanted = apply(spark, step, wanted)
+    assert apply(spark, t.clean_unstripped, texts) == wanted
+
+
 def test_long_blank_runs_take_linear_time(spark):
     """100,000 blank lines: walking the run again from each line would take minutes."""
     text = "a" + "\n" * 100_000 + "b" + "\n  " * 30_000 + "• c"
