@@ -228,6 +228,18 @@ def test_stored_tables(spark, tables, tmp_path, without_broadcasts):
     assert bodies(convert_stored(opened, Options(use_quick=False, generated_at="2024-01-01")).documents)[1] == "\n# Página 1\n"
 
 
+def test_stored_tables_are_not_sorted_again(spark, tables, tmp_path, without_broadcasts):
+    """Buckets are written sorted; a join takes their rows, texts included, as they come."""
+    from foliomark.plans.stored import convert_stored, store_tables
+
+    options = Options(extract_images=True, generated_at="2024-01-01")
+    documents, _ = convert_stored(store_tables(tables, f"{tmp_path}/decoded", "ordered", 3, options), options)
+    plan = plan_of(documents)
+    assert "SortMergeJoin" in plan
+    assert not re.search(r"Sort \[doc_id#\d+L ASC NULLS FIRST\], false, 0\n(?:.*\b(?:Project|Filter|ColumnarToRow)\b.*\n)*.*FileScan", plan)
+    assert bodies(documents) == WANTED
+
+
 def test_stored_tables_with_large_documents(spark, tables, sliced, tmp_path):
     from foliomark.plans.stored import convert_stored, store_tables
 
