@@ -208,6 +208,106 @@ def test_commit_makes_a_folder_once(tmp_path, monkeypatch):
     assert sorted(asked) == [f"{tmp_path}/d0", f"{tmp_path}/d1"]
 
 
+def test_commit_lists_a_bounded_number_of_files_at_once(tmp_path, monkeypatch):
+    """However many files a task has written, the driver holds the list of one staging folder."""
+    import pyarrow as pa
+    from pyarrow import fs
+    from pyspark import TaskContext
+
+    from foliomark.sources import files_sink
+
+    listed = []
+
+    class Watched:
+        def __init__(self, target):
+            self.target = target
+
+        def __getattr__(self, name):
+            return getattr(self.target, name)
+
+        def get_file_info(self, asked):
+            found = self.target.get_file_info(asked)
+            if isinstance(asked, fs.FileSelector):
+                listed.append(sum(info.type == fs.FileType.File for info in found))
+            return found
+
+    class Task:
+        partitionId, taskAttemptId = (lambda _: 3), (lambda _: 17)
+
+    monkeypatch.setattr(files_sink, "opened", lambda folder: (Watched(fs.LocalFileSystem()), folder))
+    monkeypatch.setattr(files_sink, "MOVED_AT_ONCE", 4)
+    monkeypatch.setattr(TaskContext, "get", lambda: Task())
+    wanted = {f"d{i % 2}/{i}.md": f"ü{i}" for i in range(22)}
+    rows = pa.RecordBatch.from_pydict({"file": list(wanted), "text": list(wanted.values())})
+    writer = files_sink.TextFilesWriter(str(tmp_path))
+    writer.commit([writer.write(iter([rows.slice(0, 9), rows.slice(9)])), None])
+    assert files_below(tmp_path) == wanted
+    assert listed == [4, 4, 4, 4, 4, 2]
+
+
+def test_texts_are_listed_and_read_by_tasks(spark, tmp_path):
+    """Every file that the listing gives, the driver knowing none of them."""
+    from foliomark.sources.corpus import read_texts
+
+    wanted = {"a b+%41.md": "ü\n\r\n\n", "_hidden.md": "x", "empty.md": "", "long.md": "long " * 2_000_000}
+    for name, text in (wanted | {"a.txt": "other", "sub/b.md": "below"}).items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text, encoding="utf-8", newline="")
+    read = read_texts(spark, str(tmp_path), ".md")
+    assert {r["file"]: r["text"] for r in read.collect()} == wanted
+    assert {r["path"] for r in read.select("path").collect()} == {f"file:{tmp_path}/{name}" for name in wanted}
+    assert not [at for at in read.inputFiles() if at.endswith(".md")]
+    assert read_texts(spark, str(tmp_path), ".none").count() == 0
+
+
+def test_documents_read_back_are_no_list_on_the_driver(spark):
+    from foliomark.plans.catalog import queries
+
+    documents = queries()["write_documents"](spark, "/root/testdata/sf0.001")
+    assert not [at for at in documents.inputFiles() if at.endswith(".md")]
+    assert documents.count() > 0
+
+
+def test_large_folder_is_listed_piece_by_piece(tmp_path, monkeypatch):
+    from pyarrow import fs
+
+    from foliomark.sources import corpus
+
+    for i in range(10):
+        (tmp_path / f"{i}.md").write_text("x" * i)
+    (tmp_path / "folder").mkdir()
+    asked = []
+    scandir = corpus.os.scandir
+
+    class Entries:
+        def __init__(self, folder):
+            self.entries = scandir(folder)
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.entries.close()
+
+        def __iter__(self):
+            return self
+
+        def __next__(self):
+            asked.append(1)
+            return next(self.entries)
+
+    monkeypatch.setattr(corpus, "LISTED_AT_ONCE", 3)
+    monkeypatch.setattr(corpus.os, "scandir", Entries)
+    found = corpus._found(fs.LocalFileSystem(), str(tmp_path))
+    first = next(found)
+    assert len(asked) == 3
+    rows = [first, *found]
+    assert {(path.rpartition("/")[2], length, is_folder) for path, length, _, is_folder in rows if not is_folder} == {(f"{i}.md", i, False) for i in range(10)}
+    assert [path for path, _, _, is_folder in rows if is_folder] == [f"{tmp_path}/folder"]
+    with pytest.raises(FileNotFoundError):
+        next(corpus._found(fs.LocalFileSystem(), f"{tmp_path}/gone"))
+
+
 def test_file_sink_of_nothing_and_nulls(spark, tmp_path):
     from foliomark.sources.sinks import write_files
 
