@@ -161,6 +161,39 @@ def test_file_sink_commits_as_a_whole(spark, tmp_path):
     assert [p.name for p in (tmp_path / "out").iterdir() if p.name.startswith("_")] == []
 
 
+def test_file_sink_keeps_no_python_process_on_the_driver(spark, tmp_path):
+    """Spark has one for each data source that it looks up, plans and commits; the source itself gives the same files."""
+    from pyspark.sql import functions as F
+
+    from foliomark.sources import files_sink
+    from foliomark.sources.sinks import write_files
+
+    texts = spark.range(30, numPartitions=3).select(F.concat(F.lit("d/"), "id", F.lit(".md")).alias("file"), F.col("id").cast("string").alias("text"))
+    asked = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(spark.dataSource), "register", lambda *source: asked.append(source))
+        write_files(texts, f"{tmp_path}/out").count()
+    assert asked == []
+    spark.dataSource.register(files_sink.TextFiles)
+    texts.write.format(files_sink.TextFiles.name()).mode("append").save(f"{tmp_path}/source")
+    assert files_below(tmp_path / "out") == files_below(tmp_path / "source") == {f"d/{i}.md": str(i) for i in range(30)}
+
+
+def test_file_sink_clears_up_after_a_task_or_commit_that_fails(spark, tmp_path, monkeypatch):
+    from foliomark.sources import files_sink
+    from foliomark.sources.sinks import write_files
+
+    # no folder can be made where a file has the name
+    clash = spark.createDataFrame([("a", "x"), ("a/b.md", "y")], "file string, text string").coalesce(1)
+    with pytest.raises(Exception, match="a/b.md|Cannot create directory|Not a directory"):
+        write_files(clash, f"{tmp_path}/out")
+    assert files_below(tmp_path / "out") == {} and list((tmp_path / "out").iterdir()) == []
+    monkeypatch.setattr(files_sink.TextFilesWriter, "commit", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        write_files(clash.limit(1), f"{tmp_path}/out")
+    assert files_below(tmp_path / "out") == {} and list((tmp_path / "out").iterdir()) == []
+
+
 def test_file_sink_works_texts_out_once(spark, tmp_path):
     from pyspark.sql import functions as F
 
