@@ -194,6 +194,31 @@ def test_file_sink_clears_up_after_a_task_or_commit_that_fails(spark, tmp_path,
     assert files_below(tmp_path / "out") == {} and list((tmp_path / "out").iterdir()) == []
 
 
+def test_file_sink_leaves_no_shuffle_of_the_texts(spark, tmp_path):
+    import os
+    import time
+
+    from pyspark.sql import functions as F
+
+    from foliomark.session import SHUFFLES_GO
+    from foliomark.sources.sinks import write_files
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {at for at in files.split("\n") if "/shuffle_" in at}
+
+    rows = spark.range(40).select(F.concat("id", F.lit(".md")).alias("file"), F.concat_ws("", F.transform(F.sequence(F.lit(0), F.lit(3_000)), lambda i: F.sha2((F.col("id") * 10_000 + i).cast("string"), 256))).alias("text"))
+    before, setting = shuffled(), spark.conf.get(SHUFFLES_GO, None)
+    assert write_files(rows.repartition(3, "file"), f"{tmp_path}/out").agg(F.sum("bytes")).first()[0] == 40 * 3_001 * 64
+    for _ in range(50):  # they go in the background
+        left = sum(os.path.getsize(at) for at in shuffled() - before if os.path.exists(at))
+        if left < 100_000:
+            break
+        time.sleep(0.2)
+    assert left < 100_000
+    assert spark.conf.get(SHUFFLES_GO, None) == setting
+
+
 def test_file_sink_works_texts_out_once(spark, tmp_path):
     from pyspark.sql import functions as F
 
